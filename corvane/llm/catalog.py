@@ -13,11 +13,15 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 MODULES = (
+    "broken_pairs",
     "near_duplicates",
     "contributor_cap",
+    "boilerplate",
     "top_items",
     "splitting",
     "tokenizing",
+    "mixing",
+    "reading_level",
 )
 
 
