@@ -76,6 +76,7 @@ class Line:
     linked: int  # characters inside links
     heading: bool
     item: bool
+    top: bool  # a heading of the first level
 
     @property
     def ratio(self) -> float:
@@ -136,6 +137,7 @@ def read_lines(content: str, markup: bool) -> list[Line]:
             item = "li" in events.seen
         else:
             shown, linked, heading, item = stripped, 0, False, False
+        top = markup and "h1" in events.seen or bool(re.match(r"#\s", shown))
         heading = heading or bool(re.match(r"#{1,6}\s", shown)) or (shown.startswith("**") and shown.endswith("**") and len(shown) > 4)
         item = item or bool(re.match(r"[-*+•]\s", shown))
         links = LINK.findall(shown)
@@ -151,7 +153,7 @@ def read_lines(content: str, markup: bool) -> list[Line]:
         plain = plain.strip()
         text = NUMBER.sub("", plain).strip()
         if any(c.isalnum() for c in plain):
-            lines.append(Line(number, text or plain, plain, len(raw) - len(plain), min(linked, len(plain)), heading, item))
+            lines.append(Line(number, text or plain, plain, len(raw) - len(plain), min(linked, len(plain)), heading, item, top))
     return lines
 
 
@@ -166,7 +168,7 @@ def _slug(text: str) -> str:
 
 
 def title_line(lines: list[Line], title: str | None, url: str | None) -> int | None:
-    """Index of the line that is the article's title, known by the given title or the address."""
+    """Index of the article's title, known by the given title, the address or, without a title, as the first top heading."""
     wanted = SPACES.sub(" ", title).strip().casefold() if title else ""
     if wanted:
         for i, line in enumerate(lines):
@@ -177,6 +179,8 @@ def title_line(lines: list[Line], title: str | None, url: str | None) -> int | N
         for i, line in enumerate(lines):
             if tail in (_slug(line.text), _slug(line.plain)):
                 return i
+    if not wanted and not any(MESSAGE.fullmatch(x.text) for x in lines):
+        return next((i for i, line in enumerate(lines) if line.top), None)
     return None
 
 
