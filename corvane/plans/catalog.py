@@ -32,7 +32,7 @@ def _load() -> None:
         importlib.import_module(module)
 
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("corvane.plans.text_queries",)
 
 
 def queries() -> dict[str, Query]:
