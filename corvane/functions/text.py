@@ -29,6 +29,11 @@ ABBREVIATIONS = {
 }
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where a lambda refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def text(c: Column) -> Column:
     """The text, empty where null."""
     return F.coalesce(c, F.lit(""))

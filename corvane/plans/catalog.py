@@ -32,7 +32,7 @@ def _load() -> None:
         importlib.import_module(module)
 
 
-MODULES = ("corvane.plans.text_queries",)
+MODULES = ("corvane.plans.text_queries", "corvane.plans.ingest_queries")
 
 
 def queries() -> dict[str, Query]:
