@@ -32,7 +32,7 @@ def _load() -> None:
         importlib.import_module(module)
 
 
-MODULES = ("corvane.plans.text_queries", "corvane.plans.ingest_queries")
+MODULES = ("corvane.plans.text_queries", "corvane.plans.ingest_queries", "corvane.plans.retrieval_queries")
 
 
 def queries() -> dict[str, Query]:
@@ -46,4 +46,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/retrieved_docs.parquet").groupBy("source").count()
+    """Questions to their final chunks through the whole retrieval plan."""
+    return queries()["flow_hybrid"](spark, sf_dir)
