@@ -32,7 +32,7 @@ def _load() -> None:
         importlib.import_module(module)
 
 
-MODULES = ("corvane.plans.text_queries", "corvane.plans.ingest_queries", "corvane.plans.retrieval_queries", "corvane.plans.evaluation_queries")
+MODULES = ("corvane.plans.text_queries", "corvane.plans.ingest_queries", "corvane.plans.retrieval_queries", "corvane.plans.evaluation_queries", "corvane.plans.window_queries")
 
 
 def queries() -> dict[str, Query]:
