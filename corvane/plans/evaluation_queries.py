@@ -337,15 +337,15 @@ def agg4(spark, sf_dir):
 
 @register(
     "agg5_latency_stats",
-    """SELECT event_type, CASE WHEN grouping(user_group) = 1 THEN -1 ELSE user_group END AS user_group, count(*) AS n, round(quantile_cont(value, 0.5), 2) AS p50, round(quantile_cont(value, 0.95), 2) AS p95, round(quantile_cont(value, 0.99), 2) AS p99, round(min(value), 2) AS low, round(max(value), 2) AS high
+    """SELECT event_type, CASE WHEN grouping(user_group) = 1 THEN -1 ELSE user_group END AS user_group, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(min(value), 6) AS low, round(max(value), 6) AS high
        FROM (SELECT event_type, user_id % 5 AS user_group, value FROM events) GROUP BY GROUPING SETS ((event_type), (event_type, user_group))""",
 )
 def agg5(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("user_group", F.col("user_id") % 5)
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 2)
+    p = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
     sets = rows.groupingSets([["event_type"], ["event_type", "user_group"]], "event_type", "user_group")
     grouped = sets.agg(
-        F.grouping("user_group").alias("whole"), F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.round(F.min("value"), 2).alias("low"), F.round(F.max("value"), 2).alias("high")
+        F.grouping("user_group").alias("whole"), F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high")
     )
     return grouped.select("event_type", F.when(F.col("whole") == 1, -1).otherwise(F.col("user_group")).alias("user_group"), "n", "p50", "p95", "p99", "low", "high")
 
@@ -438,7 +438,7 @@ def _weight(token):
     f"""WITH q AS (SELECT request_id, token, {_WEIGHT} AS w FROM (SELECT request_id, unnest(list_distinct({SQL_A.format('query')})) AS token FROM {ANSWERS})),
         total AS (SELECT request_id, greatest(sum(w), 8.0) AS total, sum(w) AS exact FROM q GROUP BY request_id),
         d AS (SELECT DISTINCT x.request_id, x.chunk_id, lower(coalesce(c.page_content, '')) AS low, list_distinct({SQL_A.format('c.page_content')}) AS toks, c.parent_id FROM {DOCS} x JOIN {CHUNKS} c USING (chunk_id)),
-        h AS (SELECT d.request_id, d.chunk_id, d.parent_id, coalesce(sum(q.w) FILTER (list_contains(d.toks, q.token)), 0) AS hit FROM d JOIN q USING (request_id) GROUP BY d.request_id, d.chunk_id, d.parent_id),
+        h AS (SELECT d.request_id, d.chunk_id, d.parent_id, round(coalesce(sum(q.w) FILTER (list_contains(d.toks, q.token)), 0), 6) AS hit FROM d JOIN q USING (request_id) GROUP BY d.request_id, d.chunk_id, d.parent_id),
         g AS (SELECT h.request_id, round(max(hit / total), 6) AS top_isrel, round(avg(hit / total), 6) AS avg_isrel, count(*) FILTER (hit >= 2.0) AS supporting, count(DISTINCT parent_id) AS parents FROM h JOIN total USING (request_id) GROUP BY h.request_id),
         cc AS (SELECT request_id, sum(w) AS covered FROM (SELECT DISTINCT q.request_id, q.token, q.w FROM q JOIN d USING (request_id) WHERE contains(d.low, q.token)) GROUP BY request_id)
         SELECT g.request_id, top_isrel, avg_isrel, supporting, parents, round(coalesce(covered, 0) / exact, 6) AS claim_coverage,
@@ -453,7 +453,7 @@ def agg12(spark, sf_dir):
         _chunks(spark, sf_dir).select("chunk_id", "parent_id", F.lower(T.text(F.col("page_content"))).alias("low"), F.array_distinct(T.tokens_a(F.col("page_content"))).alias("toks")), "chunk_id"
     )
     met = docs.join(weighted, "request_id")
-    hit = own(lambda t: F.array_contains("toks", t))
+    hit = F.round(own(lambda t: F.array_contains("toks", t)), 6)
     # which query tokens a document covers is a small array, united over the documents of a request
     graded = met.select("request_id", "parent_id", "exact", hit.alias("hit"), F.filter("q", lambda t: F.contains(F.col("low"), t)).alias("covered"))
     isrel = F.col("hit") / F.greatest("exact", F.lit(8.0))

@@ -81,9 +81,9 @@ def srt1(spark, sf_dir):
     return _docs(spark, sf_dir).where("coarse_score is not null").orderBy(F.desc("coarse_score"), "retrieval_id").limit(100).select("retrieval_id", "coarse_score")
 
 
-@register("srt2_newest_sources", "SELECT source, max(indexed_at) AS newest FROM parents WHERE source IS NOT NULL GROUP BY source")
+@register("srt2_newest_sources", "SELECT source, epoch_us(max(indexed_at)) AS newest FROM parents WHERE source IS NOT NULL GROUP BY source")
 def srt2(spark, sf_dir):
-    return table(spark, sf_dir, "parents").where("source is not null").groupBy("source").agg(F.max("indexed_at").alias("newest"))
+    return table(spark, sf_dir, "parents").where("source is not null").groupBy("source").agg(F.unix_micros(F.max("indexed_at").cast("timestamp")).alias("newest"))
 
 
 @register("set1_union_all", f"SELECT request_id, chunk_id, 'retrieved' AS origin FROM {DOCS} UNION ALL SELECT request_id, chunk_id, 'evidence' FROM {ENTRIES}")
@@ -109,11 +109,11 @@ def set4(spark, sf_dir):
 
 
 # ---- stateful -------------------------------------------------------------------------------
-@register("stm1_hourly_usage", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMPTZ) AS start, event_type AS model, count(*) AS calls, CAST(sum(floor(value)) AS BIGINT) AS tokens FROM events GROUP BY 1, 2")
+@register("stm1_hourly_usage", "SELECT epoch_us(date_trunc('hour', ts)) AS start, event_type AS model, count(*) AS calls, CAST(sum(floor(value)) AS BIGINT) AS tokens FROM events GROUP BY 1, 2")
 def stm1(spark, sf_dir):
     """The tumbling windows as a streaming query run over all events."""
     stream = usage.windowed_usage(usage.read_events(spark, sf_dir))
-    return usage.run_to_table(stream, "complete", "usage").select("start", "model", "calls", "tokens")
+    return usage.run_to_table(stream, "complete", "usage").select(F.unix_micros("start").alias("start"), "model", "calls", "tokens")
 
 
 @register("stm1_sliding_usage", "SELECT s AS start, event_type AS model, count(*) AS calls, CAST(sum(floor(value)) AS BIGINT) AS tokens FROM (SELECT *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY 1, 2")
