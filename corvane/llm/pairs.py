@@ -69,20 +69,32 @@ STOPWORDS = {
 }
 
 
-def language_votes(text: str) -> dict[str, float]:
+#: The languages each stopword speaks for.
+SPEAKS_FOR = {w: [lang for lang, stop in STOPWORDS.items() if w in stop] for stop in STOPWORDS.values() for w in stop}
+
+
+LATIN = re.compile(r"[a-zà-ÿœ']+")
+KANA, CYRILLIC = re.compile(r"[぀-ヿ]"), re.compile(r"[Ѐ-ӿ]")
+SPANISH_ENDING = re.compile(r"(?:ción|ciones|dad)\b")
+
+
+def language_votes(text: str, words: list[str] | None = None) -> dict[str, float]:
     """How strongly a text speaks for each language: stopwords, Chinese characters, and telling letters."""
     votes = dict.fromkeys([*STOPWORDS, "zh"], 0.0)
     lowered = text.lower()
-    words = re.findall(r"[a-zà-ÿœ']+", lowered)
-    for lang, stop in STOPWORDS.items():
-        votes[lang] = float(sum(w in stop for w in words))
-    votes["zh"] = len(CJK.findall(text)) / 2.5
-    votes["de"] += len(re.findall(r"[ßäöü]", lowered)) * 0.3
-    votes["es"] += len(re.findall(r"[ñ¿¡]", lowered)) * 0.5 + len(re.findall(r"\w+(?:ción|ciones|dad)\b", lowered)) * 0.5
-    if re.search(r"[぀-ヿ]", text):
-        votes["ja"] = len(re.findall(r"[぀-ヿ]", text)) / 2
-    if re.search(r"[Ѐ-ӿ]", text):
-        votes["cyrillic"] = len(re.findall(r"[Ѐ-ӿ]", text)) / 3
+    for w in LATIN.findall(lowered) if words is None else words:
+        for lang in SPEAKS_FOR.get(w, ()):
+            votes[lang] += 1.0
+    if not text.isascii():
+        votes["zh"] = len(CJK.findall(text)) / 2.5
+        votes["de"] += sum(map(lowered.count, "ßäöü")) * 0.3
+        votes["es"] += sum(map(lowered.count, "ñ¿¡")) * 0.5
+        for name, letters, size in (("ja", KANA, 2), ("cyrillic", CYRILLIC, 3)):
+            found = letters.findall(text)
+            if found:
+                votes[name] = len(found) / size
+    if "ci" in lowered or "dad" in lowered:
+        votes["es"] += len(SPANISH_ENDING.findall(lowered)) * 0.5
     return votes
 
 
