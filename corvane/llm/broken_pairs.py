@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.catalog import register
-from corvane.llm.pairs import classify, observations
+from corvane.llm.pairs import classify, endings
+from corvane.llm.tokenizing import slices
 from corvane.session import materialize, table
 
+CHARS_AT_ONCE = 2_000_000
 VERDICT = "record_table string, record_id string, defect string, keys array<bigint>"
 
 
@@ -35,16 +36,9 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-        for response in batch.column(0).to_pylist():
-            for key, x, y in observations(response):
-                counts = seen[key]
-                counts[0] += x
-                counts[1] += y
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.int64()), pa.array([c[0] for c in seen.values()], pa.int64()), pa.array([c[1] for c in seen.values()], pa.int64())],
-            names=["key", "x", "y"],
-        )
+        responses = batch.column(0).to_pylist()
+        for part in slices(responses, CHARS_AT_ONCE):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in endings(responses[part])], names=["key", "x", "y"])
 
 
 def defective_pairs(pairs: DataFrame) -> DataFrame:

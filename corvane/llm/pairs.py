@@ -7,12 +7,16 @@ operator compares with how the same words end elsewhere in the corpus.
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
+import xxhash
+
+from corvane.llm.shingles import ODD, mix
+
 INVISIBLE = re.compile(r"[­​-‏ - ⁠-⁤﻿ 　᠎]")
 TAG = re.compile(r"<[^<>]{0,200}>")
 SPACES = re.compile(r"\s+")
@@ -273,6 +277,8 @@ def refuses(response: str) -> bool:
     """Whether the response declines and says nothing else."""
     words = refusal_automaton()
     text = INVISIBLE.sub(" ", response).replace("’", "'")
+    if next(words.iter(text.lower()), None) is None:
+        return False
     found = False
     for part in sentences(text):
         part = re.sub(r"^(?:\W|\d+[.)])+", "", part)
@@ -331,32 +337,53 @@ def _words(unit: str) -> list[str]:
     return WORD.findall(masked(unit).replace("#", " 0 "))
 
 
-def _key(kind: str, words: list[str]) -> int:
-    data = (kind + " ".join(words)).encode("utf-8", "surrogatepass")
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+def _keys(units: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers for the first words and for the pairs of neighbouring words of some units.
 
-
-def observations(response: str) -> list[tuple[int, int, int]]:
-    """What the sentences and list items of one response say about how wordings end.
-
-    Rows (key, x, y).  For the first words of a unit x counts the units that are
-    just these words, y those that start with them; for two words in a row x
-    counts the units that end with them, y those that go on.  A last unit without
-    a stop isn't evidence that its last two words end a unit.
+    Returns, for all words one after the other, the number of the words of the unit
+    up to it, the number of it and the next word, the unit, and the place in it.
+    """
+    known: dict[str, int] = {}
+    ids = np.array([known.setdefault(w, len(known)) for u in units for w in u], dtype=np.int64)
+    sizes = np.array([len(u) for u in units], dtype=np.int64)
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in known], dtype=np.uint64)[ids] if len(ids) else np.zeros(0, np.uint64)
+    unit = np.repeat(np.arange(len(units)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(ids)) - starts[unit]
+    powers = np.multiply.accumulate(np.full(int(sizes.max(initial=0)) + 1, 0x5851F42D4C957F2D, np.uint64))
+    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[place])])
+    first = mix(running[1:] - running[starts[unit]])
+    pair = np.zeros(len(ids), np.uint64)
+    pair[:-1] = mix(hashes[:-1] * ODD + hashes[1:])
+    return first.view(np.int64), pair.view(np.int64), unit, place
+
+
+def endings(responses: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the sentences and list items of responses say about how wordings end.
+
+    Arrays key, x, y, one place a key.  For the first words of a unit x counts the
+    units that are just these words, y those that start with them; for two words
+    in a row x counts the units that end with them, y those that go on.  A last
+    unit without a stop isn't evidence that its last two words end a unit.
     """
-    out: list[tuple[int, int, int]] = []
-    units = [u for u in sentences(TAG.sub(" ", CITED.sub("", response))) if WORD.search(u)]
-    for k, unit in enumerate(units):
-        unit = CITATION.sub("", MARKER.sub("", unit)).strip()
-        words = _words(unit)
-        count = len(words)
-        for i in range(max(1, min(2, count)), count + 1):
-            out.append((_key("p", words[:i]), int(i == count), 1))
-        for i in range(count - 2):
-            out.append((_key("b", words[i : i + 2]), 0, 1))
-        if count >= 2 and (k < len(units) - 1 or STOP.search(unit)):
-            out.append((_key("b", words[-2:]), 1, 0))
-    return out
+    units, ends = [], []
+    for response in responses:
+        found = [u for u in sentences(TAG.sub(" ", CITED.sub("", response))) if WORD.search(u)]
+        for k, unit in enumerate(found):
+            unit = CITATION.sub("", MARKER.sub("", unit)).strip()
+            units.append(_words(unit))
+            ends.append(k < len(found) - 1 or bool(STOP.search(unit)))
+    first, pair, unit, place = _keys(units)
+    sizes = np.array([len(u) for u in units], dtype=np.int64)
+    left = sizes[unit] - place - 1 if len(unit) else place
+    ended = np.array(ends, dtype=bool)[unit] if len(unit) else np.zeros(0, dtype=bool)
+    goes_on, stops = left > 1, (left == 1) & ended
+    key = np.concatenate([first, pair[goes_on], pair[stops]])
+    x = np.concatenate([left == 0, np.zeros(goes_on.sum()), np.ones(stops.sum())])
+    y = np.concatenate([np.ones(len(first)), np.ones(goes_on.sum()), np.zeros(stops.sum())])
+    keys, where = np.unique(key, return_inverse=True)
+    count = lambda v: np.bincount(where, v, minlength=len(keys)).astype(np.int64)
+    return keys, count(x), count(y)
 
 
 @dataclass(frozen=True)
@@ -425,7 +452,9 @@ def _tail(response: str) -> Verdict:
         return Verdict("truncated")
     if not words:
         return Verdict(None)
-    return Verdict(None, (_key("p", words), _key("p", words[:-1] or words), _key("b", words[-2:])))
+    first, pair, _, _ = _keys([words])
+    last = len(words) - 1
+    return Verdict(None, (int(first[last]), int(first[max(0, last - 1)]), int(pair[max(0, last - 1)])))
 
 
 def classify(prompt: str | None, response: str | None) -> Verdict:
