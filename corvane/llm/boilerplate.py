@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.catalog import register
-from corvane.llm.page_text import furniture, line_key, read_lines
+from corvane.llm.page_text import LineReader, furniture, line_key
 from corvane.session import table
 
 #: A line recurs on a site if it is on this share of its pages, and on so many at least.
@@ -29,11 +29,12 @@ def recurring_lines(pages: DataFrame, share: float = SHARE, least: int = LEAST_P
     """
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = LineReader()
         for batch in batches:
             rows = [
                 (site, key)
                 for site, content, markup in zip(batch["site"], batch["content"], batch["markup"])
-                for key in {line_key(x.text) for x in read_lines(content, markup)}
+                for key in {line_key(x.text) for x in reader.read(content, markup)}
             ]
             yield pd.DataFrame(rows, columns=["site", "key"]).groupby(["site", "key"], as_index=False).size()
 
@@ -72,10 +73,11 @@ def page_furniture(df: DataFrame, *, identifier: str, url: str, kind: str, title
     known = pages.join(recurring_lines(pages.select("site", "content", "markup")), "site", "left")
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = LineReader()
         for batch in batches:
             ids, numbers = [], []
             for row in batch.itertuples(index=False):
-                shown = read_lines(row.content, bool(row.markup))
+                shown = reader.read(row.content, bool(row.markup))
                 repeated = frozenset(row.keys.tolist()) if row.keys is not None else frozenset()
                 text = row.title if isinstance(row.title, str) else None
                 address = row.url if isinstance(row.url, str) else None

@@ -14,8 +14,11 @@ import hashlib
 import math
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
+import numpy as np
+
 SIGMA = 1.5
 LONG = 80
 
@@ -62,6 +65,8 @@ MESSAGE = re.compile(
 )
 LINK = re.compile(r"!?\[([^\]]*)\]\(([^)\s]*)[^)]*\)")
 MARK = re.compile(r"^\s*(#{1,6}|>+|[-*+•·]|\d{1,3}[.)])\s+|[*_`]{1,3}(?=\S)|(?<=\S)[*_`]{1,3}|\s#+\s*$")
+MARKS = frozenset("#>-*+•·0123456789")
+EMPHASIS = re.compile(r"[*_`]{1,3}(?=\S)|(?<=\S)[*_`]{1,3}")
 NUMBER = re.compile(r"^(\d+(\.\d+)*[.)]?|[-*•])\s+")
 DIGITS = re.compile(r"\d[\d.,:]*")
 SPACES = re.compile(r"\s+")
@@ -119,44 +124,74 @@ class _Events(HTMLParser):
             self.linked += len(data.strip())
 
 
-def read_lines(content: str, markup: bool) -> list[Line]:
-    """The lines of a page that show text; numbers count line feeds from 1."""
-    events = _Events()
-    lines = []
-    for number, raw in enumerate(content.split("\n"), 1):
-        raw = raw.rstrip("\r")
-        stripped = raw.strip()
-        if not stripped:
-            continue
-        if markup:
+class LineReader:
+    """Reads pages line by line; what a line shows is remembered, as sites repeat their lines.
+
+    A line of markup is only remembered if no link, script or style is open before
+    or after it, for then it means the same on every page.
+    """
+
+    def __init__(self, keep: int = 100_000):
+        self._keep = keep
+        self._seen: dict[tuple[bool, str], tuple | None] = {}
+
+    def read(self, content: str, markup: bool) -> list[Line]:
+        """The lines of a page that show text; numbers count line feeds from 1."""
+        events = _Events() if markup else None
+        lines = []
+        for number, raw in enumerate(content.split("\n"), 1):
+            raw = raw.rstrip("\r")
+            if not raw or raw.isspace():
+                continue
+            key = (markup, raw)
+            closed = events is None or not (events.link or events.hidden or events.rawdata)
+            if closed and key in self._seen:
+                shown = self._seen[key]
+            else:
+                shown = self._shown(raw, events)
+                if closed and (events is None or not (events.link or events.hidden or events.rawdata)) and len(raw) < 2000:
+                    if len(self._seen) >= self._keep:
+                        self._seen.clear()
+                    self._seen[key] = shown
+            if shown is not None:
+                lines.append(Line(number, *shown))
+        return lines
+
+    @staticmethod
+    def _shown(raw: str, events: _Events | None) -> tuple | None:
+        if events is not None:
             events.begin()
             events.feed(raw + "\n")
             shown = SPACES.sub(" ", "".join(events.parts)).strip()
             linked = events.linked
             heading = bool(events.seen & {"h1", "h2", "h3", "h4", "h5", "h6"})
-            item = "li" in events.seen
+            item, top = "li" in events.seen, "h1" in events.seen
         else:
-            shown, linked, heading, item = stripped, 0, False, False
-        top = markup and "h1" in events.seen or bool(re.match(r"#\s", shown))
+            shown, linked, heading, item, top = raw.strip(), 0, False, False, False
+        top = top or bool(re.match(r"#\s", shown))
         heading = heading or bool(re.match(r"#{1,6}\s", shown)) or (shown.startswith("**") and shown.endswith("**") and len(shown) > 4)
         item = item or bool(re.match(r"[-*+•]\s", shown))
-        links = LINK.findall(shown)
-        if links:
-            linked += sum(len(t) for t, _ in links)
+        if "](" in shown:
+            linked += sum(len(t) for t, _ in LINK.findall(shown))
             shown = LINK.sub(r"\1", shown)
         plain = shown
-        while True:
-            cleaned = MARK.sub("", plain) if not re.match(r"\s*\d", plain) else re.sub(r"[*_`]{1,3}(?=\S)|(?<=\S)[*_`]{1,3}", "", plain)
+        while plain[:1] in MARKS or "*" in plain or "_" in plain or "`" in plain or plain.endswith("#"):
+            cleaned = MARK.sub("", plain) if not plain[:1].isdigit() else EMPHASIS.sub("", plain)
             if cleaned == plain:
                 break
             plain = cleaned
         plain = plain.strip()
-        text = NUMBER.sub("", plain).strip()
-        if any(c.isalnum() for c in plain):
-            lines.append(Line(number, text or plain, plain, len(raw) - len(plain), min(linked, len(plain)), heading, item, top))
-    return lines
+        if not any(c.isalnum() for c in plain):
+            return None
+        text = NUMBER.sub("", plain).strip() or plain
+        return text, plain, len(raw) - len(plain), min(linked, len(plain)), heading, item, top
 
 
+def read_lines(content: str, markup: bool) -> list[Line]:
+    return LineReader().read(content, markup)
+
+
+@lru_cache(100_000)
 def line_key(text: str) -> int:
     """A number for a line's wording, whatever figures are in it."""
     wording = DIGITS.sub("#", SPACES.sub(" ", text.casefold())).strip()
@@ -185,18 +220,11 @@ def title_line(lines: list[Line], title: str | None, url: str | None) -> int | N
 
 
 def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
-    """Gaussian smoothing along the lines."""
+    """Gaussian smoothing along the lines; beyond the ends there is nothing."""
     reach = math.ceil(3 * sigma)
-    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
-    out = []
-    for i in range(len(values)):
-        total = mass = 0.0
-        for k, w in enumerate(weights, i - reach):
-            if 0 <= k < len(values):
-                total += w * values[k]
-                mass += w
-        out.append(total / mass)
-    return out
+    weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    inner = slice(reach, reach + len(values))
+    return (np.convolve(values, weights)[inner] / np.convolve(np.ones(len(values)), weights)[inner]).tolist()
 
 
 def two_means(values: list[float]) -> float:
@@ -219,6 +247,14 @@ def _sentence(text: str) -> bool:
     return len(text) >= 25 and text[-1] in ".!?。！？" and " " in text
 
 
+@lru_cache(100_000)
+def known_furniture(text: str) -> bool:
+    """Whether a line is furniture by its wording alone."""
+    return bool(
+        FURNITURE.fullmatch(text) or TEASER.fullmatch(text) or MESSAGE.fullmatch(text) or (RELATED.fullmatch(text) and not _sentence(text))
+    )
+
+
 def furniture(lines: list[Line], title: str | None, url: str | None, repeated: frozenset[int] | set[int]) -> list[bool]:
     """For each line, whether it is not part of the main body.
 
@@ -227,10 +263,7 @@ def furniture(lines: list[Line], title: str | None, url: str | None, repeated: f
     count = len(lines)
     if not count:
         return []
-    known = [
-        bool(FURNITURE.fullmatch(x.text)) or bool(TEASER.fullmatch(x.text)) or bool(MESSAGE.fullmatch(x.text)) or (bool(RELATED.fullmatch(x.text)) and not _sentence(x.text))
-        for x in lines
-    ]
+    known = [known_furniture(x.text) for x in lines]
     site = [line_key(x.text) in repeated for x in lines]
     anchor = title_line(lines, title, url)
     # content region: dense lines after smoothing and clustering
@@ -253,7 +286,7 @@ def furniture(lines: list[Line], title: str | None, url: str | None, repeated: f
     if anchor is not None:
         body[anchor] = True
         i += 1
-    later = [SPACES.sub(" ", x.text.casefold()) for x in lines]
+    later = [x.text.casefold() for x in lines] if any(CONTENTS.fullmatch(x.text) for x in lines) else []
     while i <= last:
         line = lines[i]
         if CONTENTS.fullmatch(line.text):
