@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -83,6 +84,33 @@ def ttl_hits(df: DataFrame, key: str, ts: str, order: str, seconds: int) -> Data
     return df.withColumn("hit", F.coalesce(micros(ts) - before <= seconds * 1_000_000, F.lit(False)))
 
 
+def lru_hits(df: DataFrame, owner: str, key: str, ts: str, order: str, capacity: int) -> DataFrame:
+    """Each access with ``hit``: its key is among the ``capacity`` last used ones of its owner.
+
+    The accesses of an owner pass as a stream of sorted batches past a cache of
+    fixed size.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, cache = None, OrderedDict()
+        for batch in batches:
+            hits = []
+            for who, k in zip(batch["owner"], batch["key"]):
+                if current is None or who != current:
+                    current, cache = who, OrderedDict()
+                hits.append(k in cache)
+                cache[k] = None
+                cache.move_to_end(k)
+                if len(cache) > capacity:
+                    cache.popitem(last=False)
+            yield pd.DataFrame({"id": batch["id"], "hit": hits})
+
+    rows = df.select(F.col(owner).alias("owner"), F.col(key).alias("key"), micros(ts).alias("at"), F.col(order).alias("id"))
+    kind = rows.schema["id"].dataType.simpleString()
+    ordered = rows.where("owner is not null and key is not null").repartition("owner").sortWithinPartitions("owner", "at", "id")
+    return ordered.mapInPandas(run, f"id {kind}, hit boolean").withColumnRenamed("id", order)
+
+
 def session_windows(df: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
     """Count and bounds of each key's sessions, which a pause of ``gap`` ends."""
     return df.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")

@@ -197,8 +197,8 @@ def join10(spark, sf_dir):
 
 @register(
     "join11_changed_sources",
-    f"""WITH now AS (SELECT source, left(sha1(string_agg(md5(coalesce(page_content, '')), '' ORDER BY chunk_id)), 12) AS digest FROM {CHUNKS} WHERE source IS NOT NULL GROUP BY source),
-        before AS (SELECT source, left(sha1(string_agg(md5(coalesce(page_content, '')), '' ORDER BY chunk_id)), 12) AS digest FROM {CHUNKS} WHERE source IS NOT NULL AND chunk_index % 7 <> 3 GROUP BY source)
+    f"""WITH now AS (SELECT source, count(*) || '-' || sum(CAST('0x' || left(md5(concat_ws(chr(0), chunk_id, coalesce(page_content, ''))), 8) AS BIGINT)) || '-' || bit_xor(CAST('0x' || substr(md5(concat_ws(chr(0), chunk_id, coalesce(page_content, ''))), 9, 8) AS BIGINT)) AS digest FROM {CHUNKS} WHERE source IS NOT NULL GROUP BY source),
+        before AS (SELECT source, count(*) || '-' || sum(CAST('0x' || left(md5(concat_ws(chr(0), chunk_id, coalesce(page_content, ''))), 8) AS BIGINT)) || '-' || bit_xor(CAST('0x' || substr(md5(concat_ws(chr(0), chunk_id, coalesce(page_content, ''))), 9, 8) AS BIGINT)) AS digest FROM {CHUNKS} WHERE source IS NOT NULL AND chunk_index % 7 <> 3 GROUP BY source)
         SELECT coalesce(n.source, b.source) AS source, CASE WHEN b.source IS NULL THEN 'added' WHEN n.source IS NULL THEN 'deleted' WHEN n.digest = b.digest THEN 'skipped' ELSE 'changed' END AS state FROM now n FULL JOIN before b USING (source)""",
 )
 def join11(spark, sf_dir):

@@ -153,22 +153,9 @@ def stm3(spark, sf_dir):
        SELECT p.event_id, p.last IS NOT NULL AND count(DISTINCT q.key) < 40 AS hit FROM p LEFT JOIN e q ON q.user_id = p.user_id AND q.n > p.last AND q.n < p.n GROUP BY p.event_id, p.last""",
 )
 def stm4(spark, sf_dir):
-    """Hits of a least-recently-used cache of 40 keys for each user: fewer than 40 other keys since the last access.
-
-    The keys in between are those whose own last access since then is their
-    newest, so only rows of one user within the stretch are compared.
-    """
+    """Hits of a least-recently-used cache of 40 keys for each user."""
     rows = _events(spark, sf_dir).select("event_id", "user_id", "ts", F.sha2(F.concat("event_type", "props").cast("binary"), 256).alias("key"))
-    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    own = Window.partitionBy("user_id", "key").orderBy("n")
-    linked = numbered.withColumn("last", F.lag("n").over(own)).withColumn("following", F.lead("n").over(own))
-    again = linked.where("last is not null").select("event_id", "user_id", "n", "last")
-    between = again.alias("a").join(
-        linked.select("user_id", F.col("n").alias("m"), "following").alias("b"), on=[F.col("a.user_id") == F.col("b.user_id"), F.col("m") > F.col("last"), F.col("m") < F.col("n"), F.col("following").isNull() | (F.col("following") >= F.col("n"))]
-    )
-    distances = between.groupBy("event_id").agg(F.count("*").alias("others"))
-    hits = again.join(distances, "event_id", "left").where(F.coalesce("others", F.lit(0)) < 40).select("event_id", F.lit(True).alias("hit"))
-    return rows.select("event_id").join(hits, "event_id", "left").fillna(False, ["hit"])
+    return W.lru_hits(rows, "user_id", "key", "ts", "event_id", 40)
 
 
 @register("stm5_ttl_hits", "SELECT event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= 86400 * 1000000::BIGINT, false) AS hit FROM events")

@@ -74,5 +74,19 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan, spread over all cores if its few small files would keep only some of them busy.
+
+    A large input has splits enough and is left alone.  Only the planned size is
+    looked at; nothing runs.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if len(df.inputFiles()) < cores and size < cores * 64 * 2**20:
+        return df.repartition(cores)
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -16,14 +16,15 @@ BLOCKS = ("schema_version", "embeddings", "milvus", "chunking", "advanced_index"
 
 
 def source_digests(rows: DataFrame, source: str, key: str, text: str) -> DataFrame:
-    """(source, digest): a digest of a source's texts in key order.
+    """(source, digest): what identifies the texts of a source, whatever their order.
 
-    Only the fixed-size digests of the texts are gathered by source.
+    Each row's digest enters as two numbers, one added and one combined by XOR, so
+    partial aggregation does the work and no source is gathered.
     """
-    parts = rows.select(source, F.col(key).alias("k"), F.md5(T.text(F.col(text)).cast("binary")).alias("d"))
-    by = parts.groupBy(source).agg(F.array_sort(F.collect_list(F.struct("k", "d"))).alias("all"))
-    joined = F.array_join(F.transform("all", lambda p: p["d"]), "")
-    return by.select(source, F.substring(F.sha1(joined.cast("binary")), 1, 12).alias("digest"))
+    digest = F.md5(F.concat_ws(chr(0), T.text(F.col(key).cast("string")), T.text(F.col(text))).cast("binary"))
+    part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
+    by = rows.groupBy(source).agg(F.count("*").alias("n"), F.sum(part(1)).alias("added"), F.bit_xor(part(9)).alias("mixed"))
+    return by.select(source, F.concat_ws("-", F.col("n").cast("string"), F.col("added").cast("string"), F.col("mixed").cast("string")).alias("digest"))
 
 
 def diff_manifest(now: DataFrame, before: DataFrame, source: str) -> DataFrame:
