@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.catalog import register
 from corvane.llm.page_text import LineReader, furniture, line_key
-from corvane.session import table
+from corvane.session import spread, table
 
 #: A line recurs on a site if it is on this share of its pages, and on so many at least.
 SHARE, LEAST_PAGES = 0.5, 8
@@ -61,14 +61,15 @@ def page_furniture(df: DataFrame, *, identifier: str, url: str, kind: str, title
     shows text is furniture; rows that repeat an identifier count once; an empty
     table gives an empty result.  Other columns don't matter.
     """
-    pages = df.select(
+    scan = df.select(
         F.col(identifier).alias("id"),
         _site(F.col(url)).alias("site"),
         F.col(url).alias("url"),
         F.coalesce(F.lower(F.col(kind)) == "html", F.lit(False)).alias("markup"),
         F.col(title).alias("title"),
         F.col(content).alias("content"),
-    ).where("content is not null and content <> ''")
+    )
+    pages = spread(scan.where("content is not null and content <> ''"))
     # a site's list is small; Spark broadcasts the lists if all of them are, else joins by site
     known = pages.join(recurring_lines(pages.select("site", "content", "markup")), "site", "left")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.bpe import Encoder, load_merges
 from corvane.llm.catalog import register
-from corvane.session import table
+from corvane.session import spread, table
 
 TOKENIZERS = os.environ.get("CORVANE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
@@ -40,7 +40,7 @@ def encode(df: DataFrame, text: str, *, keep: list[str], vocabulary: str | None
     """
     spark = df.sparkSession
     merges = spark.sparkContext.broadcast(load_merges(vocabulary or f"{TOKENIZERS}/{VOCABULARY}"))
-    kept = df.select(*keep, F.col(text).alias("__text"))
+    kept = spread(df.select(*keep, F.col(text).alias("__text")))
     name, kind = ("n_tokens", "bigint") if counts_only else ("ids", "array<int>")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), f"{name} {kind}"])
 
