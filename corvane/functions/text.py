@@ -20,6 +20,13 @@ STOPWORD_LISTS = {
     "support": SUPPORT_STOPWORDS,
     "relevancy": RELEVANCY_STOPWORDS,
 }
+# What is taken out of a text before its numbers are read, and the numbers.
+SOURCE_TAG = r"(?i)\[source=[^\]]*\]"
+GATE_PLACES = r"(?i)\b(page|chunk|doc|document|section|chapter)[\s_#-]*\d+(\.\d+)?"
+GATE_NUMBER = r"([-+]?\d+(?:\.\d+)?%?)"
+DOMAIN_PLACES = r"(?i)\b(page|doc|document|section|chapter|chunk)\s*#?\s*\d+(\.\d+)?"
+LIST_NUMBER = r"(^|\n)\s*\d+(\.\d+)*[.)](\s)"
+DOMAIN_NUMBER = r"(-?\d+(?:,\d{3})*(?:\.\d+)?%?)"
 ABBREVIATIONS = {
     "frtb": "fundamental review of the trading book",
     "cva": "credit valuation adjustment",
@@ -124,17 +131,14 @@ def share(part: Column, whole: Column) -> Column:
 
 def numbers_gate(c: Column) -> Column:
     """Numbers of a text for the gates: source tags and page or chunk references go first, per cent is a hundredth."""
-    t = F.regexp_replace(text(c), r"(?i)\[source=[^\]]*\]", " ")
-    t = F.regexp_replace(t, r"(?i)\b(page|chunk|doc|document|section|chapter)[\s_#-]*\d+(\.\d+)?", " ")
-    return _parsed(F.regexp_extract_all(t, F.lit(r"([-+]?\d+(?:\.\d+)?%?)"), F.lit(1)))
+    t = F.regexp_replace(F.regexp_replace(text(c), SOURCE_TAG, " "), GATE_PLACES, " ")
+    return _parsed(F.regexp_extract_all(t, F.lit(GATE_NUMBER), F.lit(1)))
 
 
 def numbers_domain(c: Column) -> Column:
     """Numbers of an answer: list numbers and references go first, thousands separators are read."""
-    t = F.regexp_replace(text(c), r"(?i)\b(page|doc|document|section|chapter|chunk)\s*#?\s*\d+(\.\d+)?", " ")
-    t = F.regexp_replace(t, r"(?i)\[source=[^\]]*\]", " ")
-    t = F.regexp_replace(t, r"(^|\n)\s*\d+(\.\d+)*[.)](\s)", "$1 $3")
-    return _parsed(F.regexp_extract_all(t, F.lit(r"(-?\d+(?:,\d{3})*(?:\.\d+)?%?)"), F.lit(1)))
+    t = F.regexp_replace(F.regexp_replace(text(c), DOMAIN_PLACES, " "), SOURCE_TAG, " ")
+    return _parsed(F.regexp_extract_all(F.regexp_replace(t, LIST_NUMBER, "$1 $3"), F.lit(DOMAIN_NUMBER), F.lit(1)))
 
 
 def _parsed(found: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 
 #: The parts of the configuration that decide whether an index can be used.
-BLOCKS = ("schema_version", "embeddings", "milvus", "chunking", "advanced_index", "source_loader")
+BLOCKS = ("schema_version", "embeddings", "vector_store", "chunking", "advanced_index", "source_loader")
 
 
 def source_digests(rows: DataFrame, source: str, key: str, text: str) -> DataFrame:

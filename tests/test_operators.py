@@ -272,3 +272,10 @@ def test_engine_end_to_end(spark):
     assert {r.id for r in found} == {1} and found[0].key.startswith("gamma.md:")
     later = engine.update(frame.where("source <> 'corpus/vega.md'"))
     assert {r.source for r in later.status().collect()} == {"corpus/delta.md", "corpus/gamma.md", *(f"corpus/other{i}.md" for i in range(9))}
+
+
+def test_scratch_is_dropped(spark):
+    from corvane.session import drop_scratch, materialize
+
+    stored = materialize(spark.range(10), "t")
+    assert stored.count() == 10 and drop_scratch(spark) >= 1 and drop_scratch(spark) == 0
