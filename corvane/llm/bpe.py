@@ -52,7 +52,7 @@ def load_merges(path: str) -> Merges:
 class Encoder:
     """Encodes texts; words already seen are remembered up to ``keep`` of them."""
 
-    def __init__(self, merges: Merges, keep: int = 400_000):
+    def __init__(self, merges: Merges, keep: int = 150_000):
         import regex
 
         self._split = regex.compile(SPLIT).findall

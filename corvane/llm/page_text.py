@@ -20,6 +20,8 @@ from html.parser import HTMLParser
 import numpy as np
 
 SIGMA = 1.5
+#: Lines up to this length recur often enough to be remembered.
+REPEATED = 200
 LONG = 80
 
 RELATED = re.compile(
@@ -131,7 +133,7 @@ class LineReader:
     or after it, for then it means the same on every page.
     """
 
-    def __init__(self, keep: int = 100_000):
+    def __init__(self, keep: int = 40_000):
         self._keep = keep
         self._seen: dict[tuple[bool, str], tuple | None] = {}
 
@@ -149,7 +151,7 @@ class LineReader:
                 shown = self._seen[key]
             else:
                 shown = self._shown(raw, events)
-                if closed and (events is None or not (events.link or events.hidden or events.rawdata)) and len(raw) < 2000:
+                if closed and (events is None or not (events.link or events.hidden or events.rawdata)) and len(raw) <= REPEATED:
                     if len(self._seen) >= self._keep:
                         self._seen.clear()
                     self._seen[key] = shown
@@ -191,9 +193,17 @@ def read_lines(content: str, markup: bool) -> list[Line]:
     return LineReader().read(content, markup)
 
 
-@lru_cache(100_000)
+@lru_cache(40_000)
+def _short_line_key(text: str) -> int:
+    return _line_key(text)
+
+
 def line_key(text: str) -> int:
     """A number for a line's wording, whatever figures are in it."""
+    return _short_line_key(text) if len(text) <= REPEATED else _line_key(text)
+
+
+def _line_key(text: str) -> int:
     wording = DIGITS.sub("#", SPACES.sub(" ", text.casefold())).strip()
     return int.from_bytes(hashlib.blake2b(wording.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -247,9 +257,17 @@ def _sentence(text: str) -> bool:
     return len(text) >= 25 and text[-1] in ".!?。！？" and " " in text
 
 
-@lru_cache(100_000)
 def known_furniture(text: str) -> bool:
     """Whether a line is furniture by its wording alone."""
+    return _short_furniture(text) if len(text) <= REPEATED else _furniture(text)
+
+
+@lru_cache(40_000)
+def _short_furniture(text: str) -> bool:
+    return _furniture(text)
+
+
+def _furniture(text: str) -> bool:
     return bool(
         FURNITURE.fullmatch(text) or TEASER.fullmatch(text) or MESSAGE.fullmatch(text) or (RELATED.fullmatch(text) and not _sentence(text))
     )

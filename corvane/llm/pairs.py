@@ -190,9 +190,32 @@ class SuffixAutomaton:
         return out
 
 
-@lru_cache(4096)
-def automaton(text: str) -> SuffixAutomaton:
-    return SuffixAutomaton(text)
+class Grams:
+    """The same question for very long texts: a character lies in a common part of
+    ``least`` characters or more just if it lies in a common part of ``least``."""
+
+    def __init__(self, text: str):
+        self._text = text
+
+    def covered(self, text: str, least: int) -> list[bool]:
+        own = {self._text[i : i + least] for i in range(len(self._text) - least + 1)}
+        out, upto = [], 0
+        for i in range(len(text)):
+            if i + least <= len(text) and text[i : i + least] in own:
+                upto = i + least
+            out.append(i < upto)
+        return out
+
+
+_prompt_automaton = lru_cache(1024)(SuffixAutomaton)
+LONG_PROMPT = 20_000
+
+
+def automaton(text: str) -> SuffixAutomaton | Grams:
+    """The automaton of a prompt; those of short prompts, which many pairs share, are kept."""
+    if len(text) > LONG_PROMPT:
+        return Grams(text)
+    return _prompt_automaton(text) if len(text) <= 400 else SuffixAutomaton(text)
 
 
 def canonical(text: str) -> str:

@@ -1,7 +1,7 @@
 import pytest
 
 from corvane.llm.broken_pairs import defective_pairs
-from corvane.llm.pairs import SuffixAutomaton, breaks_off, classify, copies, is_empty, open_delimiter, refuses
+from corvane.llm.pairs import Grams, SuffixAutomaton, breaks_off, classify, copies, is_empty, open_delimiter, refuses
 
 
 @pytest.mark.parametrize("text", [None, "", " \n\t", "n/a", "[TODO]", "<p>&nbsp;</p>", "**Answer:** ", "…", "​", "A:", "{}", "答案："])
@@ -18,7 +18,7 @@ def test_suffix_automaton_coverage_matches_brute_force():
     own, other, least = "abracadabra", "xxabracxcadabrayyra", 3
     subs = {own[i:j] for i in range(len(own)) for j in range(i + least, len(own) + 1)}
     want = [any(i <= k < i + n and other[i : i + n] in subs for i in range(len(other)) for n in range(least, 12) if i + n <= len(other)) for k in range(len(other))]
-    assert SuffixAutomaton(own).covered(other, least) == want
+    assert SuffixAutomaton(own).covered(other, least) == want == Grams(own).covered(other, least)
 
 
 def test_copies():
@@ -31,6 +31,12 @@ def test_copies():
     assert not copies("什么是变动保证金？", "变动保证金是每天交换的担保。")
 
 
+def test_very_long_texts():
+    prompt = "What is the limit of desk number " + " ".join(map(str, range(60_000))) + "?"
+    assert copies(prompt, prompt.upper()) and not copies(prompt, "It is five million. " * 20_000)
+    assert classify("What is it?", "word " * 200_000 + "end.").defect is None
+
+
 def test_refusal_needs_to_be_all_there_is():
     assert refuses("Hello! I'm sorry, but I can't help with that. Is there anything else?")
     assert refuses("Das weiß ich nicht.")
