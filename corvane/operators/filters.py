@@ -38,7 +38,8 @@ def is_junk(c: Column) -> Column:
     """Blank text, navigation, mostly citation marks, a footnote, or a list of years."""
     t = T.strip(T.text(c))
     noise = F.aggregate(F.regexp_extract_all(t, F.lit(f"({CITATION_NOISE})"), F.lit(1)), F.lit(0), lambda n, m: n + F.length(m))
-    years = F.regexp_count(t, F.lit(r"\b\d{4}\b"))
+    # a letter of any script next to four digits makes them part of a word
+    years = F.regexp_count(F.regexp_replace(t, r"\p{L}", "x"), F.lit(r"\b\d{4}\b"))
     words = F.regexp_count(t, F.lit("[A-Za-z]{3,}"))
     return (
         (t == "")

@@ -439,10 +439,10 @@ def _weight(token):
         total AS (SELECT request_id, greatest(sum(w), 8.0) AS total, sum(w) AS exact FROM q GROUP BY request_id),
         d AS (SELECT DISTINCT x.request_id, x.chunk_id, lower(coalesce(c.page_content, '')) AS low, list_distinct({SQL_A.format('c.page_content')}) AS toks, c.parent_id FROM {DOCS} x JOIN {CHUNKS} c USING (chunk_id)),
         h AS (SELECT d.request_id, d.chunk_id, d.parent_id, round(coalesce(sum(q.w) FILTER (list_contains(d.toks, q.token)), 0), 6) AS hit FROM d JOIN q USING (request_id) GROUP BY d.request_id, d.chunk_id, d.parent_id),
-        g AS (SELECT h.request_id, round(max(hit / total), 6) AS top_isrel, round(avg(hit / total), 6) AS avg_isrel, count(*) FILTER (hit >= 2.0) AS supporting, count(DISTINCT parent_id) AS parents FROM h JOIN total USING (request_id) GROUP BY h.request_id),
+        g AS (SELECT h.request_id, round(max(hit / total), 9) AS top_isrel, round(avg(hit / total), 9) AS avg_isrel, count(*) FILTER (hit >= 2.0) AS supporting, count(DISTINCT parent_id) AS parents FROM h JOIN total USING (request_id) GROUP BY h.request_id),
         cc AS (SELECT request_id, sum(w) AS covered FROM (SELECT DISTINCT q.request_id, q.token, q.w FROM q JOIN d USING (request_id) WHERE contains(d.low, q.token)) GROUP BY request_id)
-        SELECT g.request_id, top_isrel, avg_isrel, supporting, parents, round(coalesce(covered, 0) / exact, 6) AS claim_coverage,
-        CASE WHEN top_isrel < 0.1 AND round(coalesce(covered, 0) / exact, 6) < 0.15 THEN 'irrelevant' WHEN top_isrel >= 0.2 AND round(coalesce(covered, 0) / exact, 6) >= 0.3 THEN 'sufficient' ELSE 'insufficient' END AS tier
+        SELECT g.request_id, top_isrel, avg_isrel, supporting, parents, round(coalesce(covered, 0) / exact, 9) AS claim_coverage,
+        CASE WHEN top_isrel < 0.1 AND round(coalesce(covered, 0) / exact, 9) < 0.15 THEN 'irrelevant' WHEN top_isrel >= 0.2 AND round(coalesce(covered, 0) / exact, 9) >= 0.3 THEN 'sufficient' ELSE 'insufficient' END AS tier
         FROM g JOIN total USING (request_id) LEFT JOIN cc USING (request_id)""",
 )
 def agg12(spark, sf_dir):
@@ -458,14 +458,14 @@ def agg12(spark, sf_dir):
     graded = met.select("request_id", "parent_id", "exact", hit.alias("hit"), F.filter("q", lambda t: F.contains(F.col("low"), t)).alias("covered"))
     isrel = F.col("hit") / F.greatest("exact", F.lit(8.0))
     by = graded.groupBy("request_id").agg(
-        F.round(F.max(isrel), 6).alias("top_isrel"),
-        F.round(F.avg(isrel), 6).alias("avg_isrel"),
+        F.round(F.max(isrel), 9).alias("top_isrel"),
+        F.round(F.avg(isrel), 9).alias("avg_isrel"),
         F.count_if(F.col("hit") >= 2.0).alias("supporting"),
         F.count_distinct("parent_id").alias("parents"),
         F.max("exact").alias("exact"),
         F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered"),
     )
-    share = F.round(F.aggregate("covered", F.lit(0.0), lambda s, t: s + _weight(t)) / F.col("exact"), 6)
+    share = F.round(F.aggregate("covered", F.lit(0.0), lambda s, t: s + _weight(t)) / F.col("exact"), 9)
     out = by.withColumn("claim_coverage", share)
     return out.select("request_id", "top_isrel", "avg_isrel", "supporting", "parents", "claim_coverage", P.sufficiency_tier(F.col("top_isrel"), F.col("claim_coverage")).alias("tier"))
 

@@ -95,7 +95,7 @@ def prj7(spark, sf_dir):
         SELECT parent_id, i AS chunk_index, left(sha1(concat_ws(':', coalesce(source, ''), start_index, text)), 12) AS digest FROM c WHERE length(text) >= 30
         AND NOT regexp_matches(text, '(?i)^({'|'.join(P.NAVIGATION)})\\b') AND NOT starts_with(text, '^')
         AND list_sum(list_transform(regexp_extract_all(text, '{P.CITATION_NOISE}'), lambda m: length(m))) IS NOT DISTINCT FROM NULL
-        AND NOT (len(regexp_extract_all(text, '[A-Za-z]{{3,}}')) > 0 AND len(regexp_extract_all(text, '\\b\\d{{4}}\\b')) / greatest(len(regexp_extract_all(text, '[A-Za-z]{{3,}}')), 1) > 0.25)""",
+        AND NOT (len(regexp_extract_all(text, '[A-Za-z]{{3,}}')) > 0 AND len(regexp_extract_all(regexp_replace(text, '\\p{{L}}', 'x', 'g'), '\\b\\d{{4}}\\b')) / greatest(len(regexp_extract_all(text, '[A-Za-z]{{3,}}')), 1) > 0.25)""",
 )
 def prj6(spark, sf_dir):
     cut = I.fixed_chunks(_parents(spark, sf_dir), "parent_id", "page_content").withColumn("text", I.clean_noise(F.col("text")))
@@ -296,7 +296,7 @@ def flt1(spark, sf_dir):
 
 _STRIPPED = sql_strip("coalesce(page_content, '')")
 SQL_JUNK = rf"""(t = '' OR regexp_matches(t, '(?i)^({'|'.join(P.NAVIGATION)})\b') OR coalesce(list_sum(list_transform(regexp_extract_all(t, '{P.CITATION_NOISE}'), lambda m: length(m))), 0) / greatest(length(t), 1) > 0.15
-    OR starts_with(t, '^') OR (len(regexp_extract_all(t, '[A-Za-z]{{3,}}')) > 0 AND len(regexp_extract_all(t, '\b\d{{4}}\b')) / greatest(len(regexp_extract_all(t, '[A-Za-z]{{3,}}')), 1) > 0.25))"""
+    OR starts_with(t, '^') OR (len(regexp_extract_all(t, '[A-Za-z]{{3,}}')) > 0 AND len(regexp_extract_all(regexp_replace(t, '\p{{L}}', 'x', 'g'), '\b\d{{4}}\b')) / greatest(len(regexp_extract_all(t, '[A-Za-z]{{3,}}')), 1) > 0.25))"""
 
 
 @register("flt2_junk", f"SELECT chunk_id, {SQL_JUNK} AS junk FROM (SELECT chunk_id, {_STRIPPED} AS t FROM {CHUNKS})")

@@ -245,7 +245,7 @@ def hash1(spark, sf_dir):
 
 @register(
     "date1_stamps",
-    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(ts, '%Y%m%dT%H%M%SZ') AS stamp, epoch_ms(ts) AS ms FROM events""",
+    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(ts, '%Y%m%dT%H%M%SZ') AS stamp, epoch_us(ts) // 1000 AS ms FROM events""",
 )
 def date1(spark, sf_dir):
     return table(spark, sf_dir, "events").select(
