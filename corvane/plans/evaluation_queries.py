@@ -409,6 +409,19 @@ def agg10(spark, sf_dir):
     )
 
 
+@register(
+    "join6_enriched_samples",
+    f"""WITH {_SUPPORT}, s2 AS (SELECT request_id, count(*) AS sentences, count(*) FILTER (ok) AS supported FROM v GROUP BY request_id),
+        g AS (SELECT a.request_id, round(CASE WHEN used > 0 THEN 1.0 - wrong / used ELSE 1.0 END, 6) AS glossary_score FROM (SELECT a.request_id, lower(coalesce(a.report, '')) AS low, {_GLOSSARY_USED} AS used, {_GLOSSARY_WRONG} AS wrong FROM {ANSWERS} a JOIN {ITEMS} i ON i.id = a.item_id) a)
+        SELECT a.request_id, a.status, coalesce(s2.sentences, 0) AS sentences, coalesce(s2.supported, 0) AS supported, g.glossary_score FROM {ANSWERS} a LEFT JOIN s2 USING (request_id) LEFT JOIN g USING (request_id)""",
+)
+def join6(spark, sf_dir):
+    support = agg9(spark, sf_dir).select("request_id", "sentences", "supported")
+    domain = agg10(spark, sf_dir).select("request_id", "glossary_score")
+    rows = _answers(spark, sf_dir).select("request_id", "status").join(support, "request_id", "left").join(domain, "request_id", "left")
+    return rows.fillna(0, ["sentences", "supported"])
+
+
 _Q, _R, _AN = sql_relevancy("a.query"), sql_relevancy("i.reference_answer"), sql_relevancy("a.report")
 
 
@@ -501,6 +514,12 @@ def agg14(spark, sf_dir):
     return both.groupBy("source").agg(F.sum("chunks").alias("chunks"), F.sum("parents").alias("parents"))
 
 
+@register("agg15_source_groups", f"SELECT source, count(*) AS n, min(chunk_id) AS first, CAST(sum(length(coalesce(page_content, ''))) AS BIGINT) AS chars FROM {CHUNKS} GROUP BY source")
+def agg15(spark, sf_dir):
+    chars = F.sum(F.length(T.text(F.col("page_content"))))
+    return _chunks(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first"), chars.alias("chars"))
+
+
 @register(
     "agg16_token_usage",
     """SELECT coalesce(event_type, '(all)') AS model, sum(tokens) AS tokens, sum(prompt) AS prompt_tokens, count(*) AS calls FROM (SELECT event_type, CAST(floor(value) AS BIGINT) AS tokens, CAST(floor(value / 2) AS BIGINT) AS prompt FROM events) GROUP BY ROLLUP (event_type)""",

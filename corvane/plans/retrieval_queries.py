@@ -307,6 +307,39 @@ def ret16(spark, sf_dir):
     return R.top_k(met, "target", 5, F.asc("chunk_index"), F.asc("sibling")).select("target", "sibling", "snippet")
 
 
+@register(
+    "ret17_semantic_tool",
+    """SELECT qid, key, score FROM (SELECT qid, key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM (
+       SELECT q.vec_id AS qid, d.vec_id AS key, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) AS score
+       FROM embeddings d, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE q.vec_id <> d.vec_id)) WHERE rank <= 5""",
+)
+def ret17(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    # one more than wanted, for the query itself is among the rows
+    found = R.nearest(rows, "vec_id", "embedding", rows.where("vec_id % 50 = 0"), "vec_id", "embedding", 6).where("qid <> key").drop("rank")
+    return R.top_k(found, "qid", 5, F.desc("score"), F.asc("key")).select("qid", "key", "score")
+
+
+_KEYWORDS = f"list_distinct(list_filter({SQL_A.format('question')}, lambda t: length(t) >= 3 AND NOT list_contains({sql_list(T.FOCUS_STOPWORDS)}, t)))"
+
+
+@register(
+    "join14_gap_fill",
+    f"""WITH q AS (SELECT id, {_KEYWORDS} AS ks FROM {ASKED}), k AS (SELECT id, len(ks) AS n, unnest(ks) AS token FROM q), d AS (SELECT chunk_id, unnest(list_distinct({SQL_A.format('page_content')})) AS token FROM {CHUNKS}),
+        s AS (SELECT id, chunk_id, round(count(*) / any_value(n), 6) AS score FROM k JOIN d USING (token) GROUP BY id, chunk_id), b AS (SELECT *, max(score) OVER (PARTITION BY id) AS best FROM s)
+        SELECT id, chunk_id, score, CASE WHEN place = 1 THEN 2 ELSE 1 END AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, chunk_id) AS place FROM b WHERE score >= greatest(0.5, 0.99 * best)) WHERE place <= 3""",
+)
+def join14(spark, sf_dir):
+    """Chunks that hold most of a question's key words; found by the words, not by comparing all with all."""
+    keywords = F.array_distinct(F.filter(T.without_stopwords(T.tokens_a(F.col("question")), "focus"), lambda t: F.length(t) >= 3))
+    asked = _asked(spark, sf_dir).select("id", keywords.alias("ks")).select("id", F.size("ks").alias("n"), F.explode("ks").alias("token"))
+    held = _chunks(spark, sf_dir).select("chunk_id", F.explode(F.array_distinct(T.tokens_a(F.col("page_content")))).alias("token"))
+    scored = held.join(asked, "token").groupBy("id", "chunk_id").agg(F.round(F.count("*") / F.max("n"), 6).alias("score"))
+    good = scored.withColumn("best", F.max("score").over(Window.partitionBy("id"))).where("score >= greatest(0.5, 0.99 * best)")
+    top = R.top_k(good, "id", 3, F.desc("score"), F.asc("chunk_id"))
+    return top.select("id", "chunk_id", "score", F.when(F.col("rank") == 1, 2).otherwise(1).cast("bigint").alias("relevance"))
+
+
 ENTRIES = "(SELECT DISTINCT * EXCLUDE (loaded_at) FROM evidence_entries)"
 
 

@@ -7,6 +7,8 @@ loss of any executor; nothing is kept in executor-local checkpoints.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -47,7 +49,9 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="corvane-")
+    folder = tempfile.mkdtemp(prefix="corvane-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"file://{folder}"
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 

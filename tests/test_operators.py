@@ -279,3 +279,30 @@ def test_scratch_is_dropped(spark):
 
     stored = materialize(spark.range(10), "t")
     assert stored.count() == 10 and drop_scratch(spark) >= 1 and drop_scratch(spark) == 0
+
+
+def test_datasets_traces_and_reports_are_read(spark, tmp_path):
+    (tmp_path / "items.json").write_text(json.dumps([{"id": "q1", "question": "a", "reference_answer": "b", "ground_truth_contexts": ["c"], "tags": ["t"]}, {"id": "q2", "question": "d"}]))
+    (tmp_path / "qrels.json").write_text(json.dumps([{"id": "q1", "qrels": [{"qrel_id": "x", "text": "t"}, {"qrel_id": "y", "chunk_id": "c1"}]}]))
+    (tmp_path / "labels.json").write_text(json.dumps([{"id": "q2", "should_block": True}]))
+    items = files.read_dataset(spark, *(str(tmp_path / f"{n}.json") for n in ("items", "qrels", "labels")))
+    rows = {r.id: r for r in items.collect()}
+    assert len(rows["q1"].qrels) == 2 and rows["q1"].should_block is None and rows["q2"].should_block is True
+    none = spark.createDataFrame([], "id string, reason string")
+    assert [tuple(r) for r in files.text_only_judgements(items, none).collect()] == [("q1", "x")]
+    assert files.text_only_judgements(items, spark.createDataFrame([("q1", "known")], "id string, reason string")).count() == 0
+    (tmp_path / "traces").mkdir()
+    node = {"name": "n", "latency_ms": 5.0, "token_usage": {"prompt_tokens": 1, "completion_tokens": 2}}
+    (tmp_path / "traces" / "a.json").write_text(json.dumps({"request_id": "r", "nodes": [node]}))
+    (tmp_path / "traces" / "b.json").write_text("{broken")
+    assert [r.request_id for r in files.read_traces(spark, str(tmp_path / "traces")).collect()] == ["r"]
+    assert files.latest_file(spark, str(tmp_path), "items*.json").endswith("items.json")
+
+
+def test_bundles_and_vectors_are_written(spark, tmp_path):
+    files.write_bundles(spark.createDataFrame([("r1", "a"), ("r2", "b")], "request_id string, report string"), str(tmp_path / "b"))
+    assert spark.read.json(str(tmp_path / "b")).where("request_id = 'r2'").first().report == "b"
+    rows = spark.createDataFrame([(i, [float(i % 3), 1.0, float(i)]) for i in range(40)], "id bigint, v array<double>")
+    files.write_vectors(R.with_cells(rows, "v", R.fit_cells(rows, "v", 4)), str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    assert stored.count() == 40 and stored.select("cell").distinct().count() > 1
