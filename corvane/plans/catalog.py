@@ -12,11 +12,16 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Decorator: file a query under ``name`` with its oracle SQL, if any."""
+def register(name: str, sql: str | None = None, once: bool = False) -> Callable[[Query], Query]:
+    """Decorator: file a query under ``name`` with its oracle SQL, if any.
+
+    ``once`` is for queries that make each result row from one row and keep its
+    identifier: they read repeated rows as they are, and equal results are dropped
+    at the end, when filters and projections have left little to move.
+    """
 
     def keep(fn: Query) -> Query:
-        _QUERIES[name] = fn
+        _QUERIES[name] = (lambda spark, sf_dir: fn(spark, sf_dir).distinct()) if once else fn
         if sql is not None:
             _SQL[name] = sql
         return fn

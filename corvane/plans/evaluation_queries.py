@@ -13,7 +13,7 @@ from corvane.plans.catalog import register
 from corvane.plans.ingest_queries import CLAIMS, PARENTS, SQL_JUNK, SQL_TYPE, _any, _parents, claims
 from corvane.plans.retrieval_queries import DOCS, ENTRIES, _docs, _entries
 from corvane.plans.text_queries import (
-    ANSWERS, CHUNKS, ITEMS, SQL_A, SQL_B, SQL_DOMAIN_NUMBERS, SQL_GATE_NUMBERS, _answers, _chunks, _items, sql_list, sql_relevancy, sql_squeeze, sql_strip, sql_support,
+    ANSWERS, CHUNKS, ITEMS, SQL_A, SQL_B, SQL_DOMAIN_NUMBERS, SQL_GATE_NUMBERS, _answer_rows, _answers, _chunks, _items, sql_list, sql_relevancy, sql_squeeze, sql_strip, sql_support,
 )
 from corvane.session import materialize, table
 
@@ -37,7 +37,7 @@ _WITH = f"WITH {_RETRIEVED}, {_JUDGED}, {_MATCHES}"
 
 def _retrieved(spark, sf_dir):
     place = Window.partitionBy("request_id").orderBy(F.desc_nulls_last(F.coalesce("rerank_score", "coarse_score")), "retrieval_id")
-    rows = _docs(spark, sf_dir).select("request_id", "chunk_id", F.row_number().over(place).cast("bigint").alias("position"))
+    rows = _docs(spark, sf_dir, "request_id", "chunk_id", "rerank_score", "coarse_score").select("request_id", "chunk_id", F.row_number().over(place).cast("bigint").alias("position"))
     texts = _chunks(spark, sf_dir).select(
         "chunk_id", T.text(F.col("source")).alias("source"), F.trim(T.text(F.col("section_path"))).alias("section"), T.squeeze(F.col("page_content")).alias("content")
     )
@@ -92,7 +92,7 @@ _LINKED = f"""WITH c AS (SELECT request_id, ordinal, claim, list_distinct({SQL_B
 
 def _snippets(spark, sf_dir):
     texts = _chunks(spark, sf_dir).select("chunk_id", F.substring(T.text(F.col("page_content")), 1, 600).alias("snippet"), "source", "start_index")
-    return _entries(spark, sf_dir).select("request_id", "entry_id", "chunk_id").join(texts, "chunk_id")
+    return _entries(spark, sf_dir, "request_id", "chunk_id").join(texts, "chunk_id")
 
 
 def _links(spark, sf_dir):
@@ -220,7 +220,7 @@ def join11(spark, sf_dir):
 def join13(spark, sf_dir):
     gold = _items(spark, sf_dir).select(F.col("id").alias("item_id"), F.explode("ground_truth_contexts").alias("x")).select("item_id", T.squeeze(F.col("x")).alias("gold")).where("gold <> ''")
     asked = _answers(spark, sf_dir).select("request_id", "item_id").join(gold, "item_id").select("request_id", "gold").distinct()
-    found = asked.join(_docs(spark, sf_dir).select("request_id", "chunk_id").distinct(), "request_id").join(_chunks(spark, sf_dir).select("chunk_id", "page_content"), "chunk_id")
+    found = asked.join(_docs(spark, sf_dir, "request_id", "chunk_id").select("request_id", "chunk_id").distinct(), "request_id").join(_chunks(spark, sf_dir).select("chunk_id", "page_content"), "chunk_id")
     score = F.round(E.overlap_ratio(T.token_set_b(F.col("gold")), T.token_set_b(F.col("page_content"))), 6)
     best = E.ordered_first(found.select("request_id", "gold", "chunk_id", score.alias("score")).where("score >= 0.4"), ["request_id", "gold"], F.desc("score"), F.asc("chunk_id"))
     return best.select("request_id", F.md5(F.col("gold").cast("binary")).alias("gold"), "chunk_id", "score")
@@ -243,7 +243,7 @@ def join15(spark, sf_dir):
 @register("join16_dangling_citations", f"SELECT request_id, c.chunk_id AS chunk_id FROM (SELECT request_id, unnest(citations) AS c FROM {ANSWERS}) a WHERE c.chunk_id NOT IN (SELECT chunk_id FROM {DOCS} d WHERE d.request_id = a.request_id AND chunk_id IS NOT NULL)")
 def join16(spark, sf_dir):
     cited = _answers(spark, sf_dir).select("request_id", F.explode("citations.chunk_id").alias("chunk_id")).where("chunk_id is not null")
-    return cited.join(_docs(spark, sf_dir).select("request_id", "chunk_id"), ["request_id", "chunk_id"], "left_anti")
+    return cited.join(_docs(spark, sf_dir, "request_id", "chunk_id").select("request_id", "chunk_id"), ["request_id", "chunk_id"], "left_anti")
 
 
 _METRICS = _WITH + """, totals AS (SELECT request_id, count(*) FILTER (relevance >= 2) AS prim, count(*) AS every, list(relevance ORDER BY relevance DESC) AS ideal FROM judged GROUP BY request_id),
@@ -462,7 +462,7 @@ def agg12(spark, sf_dir):
     tokens = _answers(spark, sf_dir).select("request_id", F.array_distinct(T.tokens_a(F.col("query"))).alias("q"))
     own = lambda c: F.aggregate(F.filter("q", c), F.lit(0.0), lambda s, t: s + _weight(t))
     weighted = tokens.withColumn("exact", own(lambda t: F.lit(True))).where("size(q) > 0")
-    docs = _docs(spark, sf_dir).select("request_id", "chunk_id").distinct().join(
+    docs = _docs(spark, sf_dir, "request_id", "chunk_id").select("request_id", "chunk_id").distinct().join(
         _chunks(spark, sf_dir).select("chunk_id", "parent_id", F.lower(T.text(F.col("page_content"))).alias("low"), F.array_distinct(T.tokens_a(F.col("page_content"))).alias("toks")), "chunk_id"
     )
     met = docs.join(weighted, "request_id")
@@ -497,7 +497,7 @@ def agg13(spark, sf_dir):
     kept = lambda c: F.array_distinct(F.filter(T.without_stopwords(T.tokens_a(c), "sufficiency"), lambda t: F.length(t) >= 3))
     asked = _answers(spark, sf_dir).select("request_id", kept(F.col("query")).alias("q"))
     order = (F.desc_nulls_last(F.coalesce("rerank_score", "coarse_score")), F.asc("retrieval_id"))
-    four = R.top_k(_docs(spark, sf_dir), "request_id", 4, *order).select("request_id", "chunk_id")
+    four = R.top_k(_docs(spark, sf_dir, "request_id", "chunk_id", "rerank_score", "coarse_score"), "request_id", 4, *order).select("request_id", "chunk_id")
     texts = four.join(_chunks(spark, sf_dir).select("chunk_id", kept(F.substring("page_content", 1, 2000)).alias("d")), "chunk_id").select("request_id", "d")
     best = asked.join(texts, "request_id", "left").groupBy("request_id", F.size("q").alias("n")).agg(F.coalesce(F.max(T.overlap(F.col("q"), F.col("d"))), F.lit(0)).alias("common"))
     share = F.when(F.col("n") == 0, 1.0).otherwise(F.greatest("common", F.lit(0)) / F.when(F.col("n") > 0, F.col("n")))
@@ -536,7 +536,7 @@ def agg16(spark, sf_dir):
         SELECT request_id, count(*) AS size, max(score) AS best, min(score) AS worst, round(avg(score), 6) AS mean, count(DISTINCT source) AS sources, count(DISTINCT round) AS rounds FROM k GROUP BY request_id""",
 )
 def agg17(spark, sf_dir):
-    kept = R.evidence_budget(_entries(spark, sf_dir), ["request_id"], "score", ["seq", "entry_id"], 5)
+    kept = R.evidence_budget(_entries(spark, sf_dir, "request_id", "score", "seq", "source", "round"), ["request_id"], "score", ["seq", "entry_id"], 5)
     return kept.groupBy("request_id").agg(
         F.count("*").alias("size"), F.max("score").alias("best"), F.min("score").alias("worst"), F.round(F.avg("score"), 6).alias("mean"), F.count_distinct("source").alias("sources"), F.count_distinct("round").alias("rounds")
     )
@@ -576,8 +576,8 @@ _REFUSAL = f"""CASE WHEN docs = 0 OR evidence = 0 THEN CASE WHEN length(low) < 2
 
 
 def _counts(spark, sf_dir):
-    docs = _docs(spark, sf_dir).groupBy("request_id").agg(F.count("*").alias("docs"))
-    evidence = _entries(spark, sf_dir).groupBy("request_id").agg(F.count("*").alias("evidence"))
+    docs = _docs(spark, sf_dir, "request_id").groupBy("request_id").agg(F.count("*").alias("docs"))
+    evidence = _entries(spark, sf_dir, "request_id").groupBy("request_id").agg(F.count("*").alias("evidence"))
     return _answers(spark, sf_dir).join(docs, "request_id", "left").join(evidence, "request_id", "left").fillna(0, ["docs", "evidence"])
 
 
@@ -667,6 +667,6 @@ def gate8(spark, sf_dir):
     return _items(spark, sf_dir).where("size(ground_truth_contexts) > 0").join(cited, "id", "left_anti").select("id")
 
 
-@register("gate10_generation", f"SELECT request_id, failure_reason IS NULL AS ok FROM {ANSWERS}")
+@register("gate10_generation", f"SELECT request_id, failure_reason IS NULL AS ok FROM {ANSWERS}", once=True)
 def gate10(spark, sf_dir):
-    return _answers(spark, sf_dir).select("request_id", F.col("failure_reason").isNull().alias("ok"))
+    return _answer_rows(spark, sf_dir).select("request_id", F.col("failure_reason").isNull().alias("ok"))

@@ -8,14 +8,22 @@ from corvane.functions import text as T
 from corvane.operators import filters as P
 from corvane.operators import ingest as I
 from corvane.plans.catalog import register
-from corvane.plans.text_queries import ANSWERS, CHUNKS, ITEMS, _answers, _chunks, _items, sql_list, sql_squeeze, sql_strip
+from corvane.plans.text_queries import (
+    ANSWERS, CHUNKS, ITEMS, _answer_rows, _answers, _chunk_rows, _chunks, _item_rows, _items, sql_list, sql_squeeze, sql_strip,
+)
 from corvane.session import table
 
 PARENTS = "(SELECT * EXCLUDE (indexed_at) FROM parents QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY indexed_at) = 1)"
 
 
+def _parent_rows(spark, sf_dir):
+    """Parents as they come, without the load time."""
+    return table(spark, sf_dir, "parents").drop("indexed_at")
+
+
 def _parents(spark, sf_dir):
-    return table(spark, sf_dir, "parents").drop("indexed_at").dropDuplicates(["parent_id"])
+    """Parents, each once."""
+    return _parent_rows(spark, sf_dir).dropDuplicates(["parent_id"])
 
 
 def _pages(spark, sf_dir):
@@ -83,9 +91,9 @@ def prj4b(spark, sf_dir):
 _CLEAN = sql_strip(r"regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '\^?\[\d+\]|\[edit\]|\[citation needed\]', '', 'g'), '[ \t]{{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
 
 
-@register("prj7_clean", f"SELECT chunk_id, {_CLEAN.format('page_content')} AS cleaned FROM {CHUNKS}")
+@register("prj7_clean", f"SELECT chunk_id, {_CLEAN.format('page_content')} AS cleaned FROM {CHUNKS}", once=True)
 def prj7(spark, sf_dir):
-    return _chunks(spark, sf_dir).select("chunk_id", I.clean_noise(F.col("page_content")).alias("cleaned"))
+    return _chunk_rows(spark, sf_dir).select("chunk_id", I.clean_noise(F.col("page_content")).alias("cleaned"))
 
 
 @register(
@@ -128,12 +136,12 @@ def _sql_summary(expression: str, most: int) -> str:
     return f"(SELECT left(CASE WHEN length(h) >= {min(most, 240)} THEN h WHEN b <> '' THEN b ELSE h END, {most}) FROM (SELECT {head} AS h, (SELECT coalesce(array_to_string(list_filter(q, lambda s, i: coalesce(list_sum(list_transform(q[1:i - 1], lambda z: length(z) + 1)), 0) < {most}), ' '), '') FROM (SELECT {parts} AS q)) AS b))"
 
 
-@register("prj9_summary", f"SELECT parent_id, {_sql_summary('page_content', 900)} AS summary FROM {PARENTS} p")
+@register("prj9_summary", f"SELECT parent_id, {_sql_summary('page_content', 900)} AS summary FROM {PARENTS} p", once=True)
 def prj9(spark, sf_dir):
-    return _parents(spark, sf_dir).select("parent_id", I.extractive_summary(F.col("page_content")).alias("summary"))
+    return _parent_rows(spark, sf_dir).select("parent_id", I.extractive_summary(F.col("page_content")).alias("summary"))
 
 
-@register("prj10_summary_docs", f"SELECT parent_id, 'summary' AS doc_type, summary FROM (SELECT parent_id, {_sql_summary('page_content', 900)} AS summary FROM {PARENTS} p WHERE trim(parent_id) <> '') WHERE summary <> ''")
+@register("prj10_summary_docs", f"SELECT parent_id, 'summary' AS doc_type, summary FROM (SELECT parent_id, {_sql_summary('page_content', 900)} AS summary FROM {PARENTS} p WHERE trim(parent_id) <> '') WHERE summary <> ''", once=True)
 def prj10(spark, sf_dir):
     made = prj9(spark, sf_dir).where("summary <> '' and trim(parent_id) <> ''")
     return made.select("parent_id", F.lit("summary").alias("doc_type"), "summary")
@@ -144,15 +152,16 @@ def prj10(spark, sf_dir):
     rf"""SELECT parent_id, CASE WHEN l <> '' THEN {sql_strip("'What is ' || l || ' and why does it matter ' || k")} WHEN k <> '' THEN 'What is ' || k || ' and how is it used in risk systems' ELSE 'What is the definition and background' END AS question
         FROM (SELECT parent_id, regexp_replace({sql_strip("string_split(" + sql_strip("coalesce(section_path, '')") + ", '/')[-1]")}, '\s+', ' ', 'g') AS l,
               array_to_string(regexp_extract_all({_sql_summary('page_content', 240)}, '[A-Za-z0-9]+')[1:12], ' ') AS k FROM {PARENTS} p)""",
+    once=True,
 )
 def prj11(spark, sf_dir):
-    return _parents(spark, sf_dir).select("parent_id", I.hypothetical_question(F.col("page_content"), F.col("section_path")).alias("question"))
+    return _parent_rows(spark, sf_dir).select("parent_id", I.hypothetical_question(F.col("page_content"), F.col("section_path")).alias("question"))
 
 
-@register("prj12_context_brief", f"SELECT chunk_id, CASE WHEN coalesce(context_brief, '') <> '' THEN context_brief || chr(10) || coalesce(page_content, '') ELSE coalesce(page_content, '') END AS embedded FROM {CHUNKS}")
+@register("prj12_context_brief", f"SELECT chunk_id, CASE WHEN coalesce(context_brief, '') <> '' THEN context_brief || chr(10) || coalesce(page_content, '') ELSE coalesce(page_content, '') END AS embedded FROM {CHUNKS}", once=True)
 def prj12(spark, sf_dir):
     brief, body = T.text(F.col("context_brief")), T.text(F.col("page_content"))
-    return _chunks(spark, sf_dir).select("chunk_id", F.when(brief != "", F.concat(brief, F.lit("\n"), body)).otherwise(body).alias("embedded"))
+    return _chunk_rows(spark, sf_dir).select("chunk_id", F.when(brief != "", F.concat(brief, F.lit("\n"), body)).otherwise(body).alias("embedded"))
 
 
 @register(
@@ -169,11 +178,12 @@ def prj13(spark, sf_dir):
 
 @register(
     "prj15_citations",
-    f"""SELECT chunk_id, source, start_index, section_path, CASE WHEN page <> 0 THEN page END AS page, start_line, end_line, left(coalesce(page_content, ''), 300) AS snippet FROM {CHUNKS}""",
+    f"""SELECT chunk_id, source, start_index, section_path, CASE WHEN page <> 0 THEN CAST(page AS VARCHAR) END AS page, start_line, end_line, left(coalesce(page_content, ''), 300) AS snippet FROM {CHUNKS}""",
+    once=True,
 )
 def prj15(spark, sf_dir):
-    return _chunks(spark, sf_dir).select(
-        "chunk_id", "source", "start_index", "section_path", F.when(F.col("page") != 0, F.col("page")).alias("page"), "start_line", "end_line", F.substring(T.text(F.col("page_content")), 1, 300).alias("snippet")
+    return _chunk_rows(spark, sf_dir).select(
+        "chunk_id", "source", "start_index", "section_path", F.when(F.col("page") != 0, F.col("page").cast("string")).alias("page"), "start_line", "end_line", F.substring(T.text(F.col("page_content")), 1, 300).alias("snippet")
     )
 
 
@@ -260,13 +270,14 @@ _META_SQL = META_LINES.replace("'", "''")
 @register(
     "prj21_sanitised",
     rf"""SELECT request_id, array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(report, ''), '\n\n'), lambda b: array_to_string(list_filter(list_transform(regexp_split_to_array(b, '\r\n|\n|\r'), lambda x: {sql_strip('x')}), lambda x: x <> '' AND NOT regexp_matches(x, '{_META_SQL}')), chr(10))), lambda b: b <> '' AND NOT regexp_full_match(b, '\d+\)\s+[^\n]*')), chr(10) || chr(10)) AS answer FROM {ANSWERS}""",
+    once=True,
 )
 def prj21(spark, sf_dir):
     block = lambda b: F.array_join(
         F.filter(F.transform(F.split(b, I.LINE_END), T.strip), lambda x: (x != "") & ~x.rlike(META_LINES)), "\n"
     )
     blocks = F.filter(F.transform(F.split(T.text(F.col("report")), "\n\n"), block), lambda b: (b != "") & ~b.rlike(r"^\d+\)\s+[^\n]*$"))
-    return _answers(spark, sf_dir).select("request_id", F.array_join(blocks, "\n\n").alias("answer"))
+    return _answer_rows(spark, sf_dir).select("request_id", F.array_join(blocks, "\n\n").alias("answer"))
 
 
 _CLAIM_LINES = rf"list_transform(list_filter(list_transform(list_filter(list_transform(regexp_split_to_array(coalesce(report, ''), '\r\n|\n|\r'), lambda x: {sql_strip('x')}), lambda x: x <> '' AND NOT starts_with(lower(x), 'citations:') AND NOT regexp_full_match(x, '\d+\)\s*.*')), lambda x: {sql_strip(chr(114) + chr(101) + 'gexp_replace(x, ' + chr(39) + '^[-*]' + chr(92) + 's+' + chr(39) + ', ' + chr(39) * 2 + ')')}), lambda x: x <> ''), lambda x: left(x, 300))"
@@ -289,9 +300,9 @@ def prj22(spark, sf_dir):
     return claims(_answers(spark, sf_dir))
 
 
-@register("flt1_min_length", f"SELECT chunk_id FROM {CHUNKS} WHERE length({sql_strip(chr(99) + 'oalesce(page_content, ' + chr(39) * 2 + ')')}) >= 80")
+@register("flt1_min_length", f"SELECT chunk_id FROM {CHUNKS} WHERE length({sql_strip(chr(99) + 'oalesce(page_content, ' + chr(39) * 2 + ')')}) >= 80", once=True)
 def flt1(spark, sf_dir):
-    return _chunks(spark, sf_dir).where(P.long_enough(F.col("page_content"), 80)).select("chunk_id")
+    return _chunk_rows(spark, sf_dir).where(P.long_enough(F.col("page_content"), 80)).select("chunk_id")
 
 
 _STRIPPED = sql_strip("coalesce(page_content, '')")
@@ -299,17 +310,17 @@ SQL_JUNK = rf"""(t = '' OR regexp_matches(t, '(?i)^({'|'.join(P.NAVIGATION)})\b'
     OR starts_with(t, '^') OR (len(regexp_extract_all(t, '[A-Za-z]{{3,}}')) > 0 AND len(regexp_extract_all(regexp_replace(t, '\p{{L}}', 'x', 'g'), '\b\d{{4}}\b')) / greatest(len(regexp_extract_all(t, '[A-Za-z]{{3,}}')), 1) > 0.25))"""
 
 
-@register("flt2_junk", f"SELECT chunk_id, {SQL_JUNK} AS junk FROM (SELECT chunk_id, {_STRIPPED} AS t FROM {CHUNKS})")
+@register("flt2_junk", f"SELECT chunk_id, {SQL_JUNK} AS junk FROM (SELECT chunk_id, {_STRIPPED} AS t FROM {CHUNKS})", once=True)
 def flt2(spark, sf_dir):
-    return _chunks(spark, sf_dir).select("chunk_id", P.is_junk(F.col("page_content")).alias("junk"))
+    return _chunk_rows(spark, sf_dir).select("chunk_id", P.is_junk(F.col("page_content")).alias("junk"))
 
 
 SQL_QUALITY = r"""(length(t) >= 80 AND length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) >= greatest(10, floor(length(t) * 0.15)) AND NOT contains(lower(t), 'table of contents') AND NOT (contains(lower(t), 'business portal') AND contains(lower(t), 'wikipedia')))"""
 
 
-@register("flt3_quality", f"SELECT chunk_id, {SQL_QUALITY} AS passes FROM (SELECT chunk_id, {_STRIPPED} AS t FROM {CHUNKS})")
+@register("flt3_quality", f"SELECT chunk_id, {SQL_QUALITY} AS passes FROM (SELECT chunk_id, {_STRIPPED} AS t FROM {CHUNKS})", once=True)
 def flt3(spark, sf_dir):
-    return _chunks(spark, sf_dir).select("chunk_id", P.passes_quality(F.col("page_content")).alias("passes"))
+    return _chunk_rows(spark, sf_dir).select("chunk_id", P.passes_quality(F.col("page_content")).alias("passes"))
 
 
 @register("flt4_lookup", f"SELECT chunk_id, source, section_path FROM {CHUNKS} WHERE contains(lower(coalesce(source, '')), 'desk') AND contains(lower(coalesce(section_path, '')), 'limits') ORDER BY chunk_id LIMIT 20")
@@ -327,9 +338,10 @@ def _any(expression: str, parts) -> str:
     rf"""SELECT id, CASE WHEN s THEN 'simple' WHEN h THEN 'complex' ELSE 'moderate' END AS level, NOT s AS needs_retrieval, NOT s AND h AS needs_fanout, CASE WHEN s THEN 0.8 WHEN h THEN 0.75 ELSE 0.6 END AS confidence FROM (
         SELECT id, h, length(q) < 15 AND NOT h AND NOT regexp_matches(q, '(?i)\b({'|'.join(P.FINANCE_TERMS)})\b') AS s FROM (
         SELECT id, q, {_any('lower(q)', P.COMPARE + P.NUMERIC + P.MULTIHOP)} OR len(regexp_extract_all(q, '\?')) > 1 AS h FROM (SELECT id, {sql_strip("coalesce(question, '')")} AS q FROM {ITEMS})))""",
+    once=True,
 )
 def flt5(spark, sf_dir):
-    return _items(spark, sf_dir).select("id", P.complexity(F.col("question")).alias("c")).select("id", "c.level", "c.needs_retrieval", "c.needs_fanout", "c.confidence")
+    return _item_rows(spark, sf_dir).select("id", P.complexity(F.col("question")).alias("c")).select("id", "c.level", "c.needs_retrieval", "c.needs_fanout", "c.confidence")
 
 
 SQL_ROUTE = r"""CASE WHEN regexp_matches({0}, '\b(vs|compare|difference)\b') OR contains({0}, '区别') OR contains({0}, '对比') THEN 'compare'
@@ -337,17 +349,17 @@ SQL_ROUTE = r"""CASE WHEN regexp_matches({0}, '\b(vs|compare|difference)\b') OR
     WHEN regexp_matches({0}, '\b(compute|calculation|calculate|formula)\b') OR contains({0}, '怎么算') OR contains({0}, '公式') THEN 'procedure' ELSE 'default' END"""
 
 
-@register("flt6_route", f"SELECT id, {SQL_ROUTE.format(chr(108) + 'ower(question)')} AS route FROM {ITEMS}")
+@register("flt6_route", f"SELECT id, {SQL_ROUTE.format(chr(108) + 'ower(question)')} AS route FROM {ITEMS}", once=True)
 def flt6(spark, sf_dir):
-    return _items(spark, sf_dir).select("id", P.route(F.col("question")).alias("route"))
+    return _item_rows(spark, sf_dir).select("id", P.route(F.col("question")).alias("route"))
 
 
 SQL_TYPE = f"CASE WHEN {_any('{0}', P.TYPE_NUMERIC)} THEN 'numeric' WHEN {_any('{0}', P.TYPE_COMPARE)} THEN 'compare' WHEN {_any('{0}', P.TYPE_PROCEDURE)} THEN 'procedure' WHEN {_any('{0}', P.TYPE_DEFINITION)} THEN 'definition' ELSE 'default' END"
 
 
-@register("flt7_question_type", f"SELECT id, {SQL_TYPE.format(chr(108) + 'ower(question)')} AS kind FROM {ITEMS}")
+@register("flt7_question_type", f"SELECT id, {SQL_TYPE.format(chr(108) + 'ower(question)')} AS kind FROM {ITEMS}", once=True)
 def flt7(spark, sf_dir):
-    return _items(spark, sf_dir).select("id", P.question_type(F.col("question")).alias("kind"))
+    return _item_rows(spark, sf_dir).select("id", P.question_type(F.col("question")).alias("kind"))
 
 
 @register(
@@ -375,10 +387,11 @@ def flt9(spark, sf_dir):
 @register(
     "flt10_anchors",
     f"""SELECT chunk_id, trim(coalesce(source, '')) <> '' AND trim(chunk_id) <> '' AND {_STRIPPED} <> '' AND coalesce(coalesce(start_index, start_line, page) >= 0, false) AS complete FROM {CHUNKS}""",
+    once=True,
 )
 def flt10(spark, sf_dir):
     place = [F.col(c).cast("bigint") for c in ("start_index", "start_line", "page")]
-    return _chunks(spark, sf_dir).select("chunk_id", P.anchor_complete(F.col("source"), F.col("chunk_id"), F.col("page_content"), *place).alias("complete"))
+    return _chunk_rows(spark, sf_dir).select("chunk_id", P.anchor_complete(F.col("source"), F.col("chunk_id"), F.col("page_content"), *place).alias("complete"))
 
 
 @register(
@@ -391,9 +404,9 @@ def flt11(spark, sf_dir):
     return rows.select("request_id", "c.chunk_id", P.valid_citation(F.col("c.source"), F.col("c.chunk_id")).alias("valid"))
 
 
-@register("flt12_refusals", f"SELECT request_id, coalesce(len(citations), 0) = 0 AND {_any('lower(coalesce(report, chr(32)))', P.REFUSAL_WORDS)} AS refused FROM {ANSWERS}")
+@register("flt12_refusals", f"SELECT request_id, coalesce(len(citations), 0) = 0 AND {_any('lower(coalesce(report, chr(32)))', P.REFUSAL_WORDS)} AS refused FROM {ANSWERS}", once=True)
 def flt12(spark, sf_dir):
-    return _answers(spark, sf_dir).select("request_id", P.is_refusal(F.col("report"), F.col("citations")).alias("refused"))
+    return _answer_rows(spark, sf_dir).select("request_id", P.is_refusal(F.col("report"), F.col("citations")).alias("refused"))
 
 
 def _expand_sql() -> str:
@@ -435,7 +448,8 @@ def flt15(spark, sf_dir):
     rf"""SELECT id, CASE WHEN ok THEN nullif(regexp_extract(q, '(?:for|at|of) ([A-Z]\w+(?: [A-Z]\w+)*(?: desk| book)?)', 1), '') END AS desk, CASE WHEN ok THEN l * 1e6 END AS abs_limit,
         CASE WHEN ok THEN try_cast(nullif(regexp_extract(q, '(\d{{4}}-\d{{2}}-\d{{2}})', 1), '') AS DATE) END AS as_of FROM (
         SELECT id, q, l, {_any('lower(q)', ('exposure', 'delta', 'limit'))} AND l IS NOT NULL AS ok FROM (SELECT id, coalesce(question, '') AS q, try_cast(replace(nullif(regexp_extract(question, '([\d,]+(?:\.\d+)?) million', 1), ''), ',', '') AS DOUBLE) AS l FROM {ITEMS}))""",
+    once=True,
 )
 def flt16(spark, sf_dir):
     made = P.exposure_request(F.col("question"))
-    return _items(spark, sf_dir).select("id", *(c.alias(n) for n, c in made.items()))
+    return _item_rows(spark, sf_dir).select("id", *(c.alias(n) for n, c in made.items()))

@@ -12,7 +12,7 @@ from corvane.operators import ingest as I
 from corvane.operators import retrieval as R
 from corvane.plans.catalog import register
 from corvane.plans.ingest_queries import PARENTS, SQL_QUALITY, SQL_ROUTE, _parents, _sql_summary
-from corvane.plans.text_queries import ANSWERS, CHUNKS, ITEMS, SQL_A, _answers, _chunks, _items, sql_list, sql_strip
+from corvane.plans.text_queries import ANSWERS, CHUNKS, ITEMS, SQL_A, _answers, _chunk_rows, _chunks, _items, sql_list, sql_strip
 from corvane.session import materialize, table
 
 #: The stated query set: every question whose number is divisible by 50, against all rows.
@@ -95,9 +95,9 @@ def ret3_tool(spark, sf_dir):
 DOCS = "(SELECT DISTINCT * EXCLUDE (loaded_at) FROM retrieved_docs)"
 
 
-def _docs(spark, sf_dir):
-    """Retrieved records, each once."""
-    return table(spark, sf_dir, "retrieved_docs").drop("loaded_at").dropDuplicates(["retrieval_id"])
+def _docs(spark, sf_dir, *columns):
+    """The given columns of the retrieved records, each record once; repeated rows agree in all of them."""
+    return table(spark, sf_dir, "retrieved_docs").select("retrieval_id", *columns).distinct()
 
 
 def _rank_lists(docs):
@@ -111,27 +111,28 @@ def _rank_lists(docs):
         SELECT request_id, chunk_id, dense_rank AS rank FROM {DOCS} WHERE dense_rank IS NOT NULL UNION ALL SELECT request_id, chunk_id, sparse_rank FROM {DOCS} WHERE sparse_rank IS NOT NULL) GROUP BY request_id, chunk_id""",
 )
 def ret4(spark, sf_dir):
-    fused = R.fuse(_rank_lists(_docs(spark, sf_dir)), ["request_id", "chunk_id"])
+    fused = R.fuse(_rank_lists(_docs(spark, sf_dir, "request_id", "chunk_id", "dense_rank", "sparse_rank")), ["request_id", "chunk_id"])
     return fused.select("request_id", "chunk_id", F.round("rrf", 9).alias("rrf"))
 
 
-@register("ret5_document_key", f"SELECT chunk_id, CASE WHEN coalesce(chunk_id, '') <> '' THEN concat_ws('::', coalesce(source, ''), chunk_id) ELSE sha256(coalesce(page_content, '')) END AS key FROM {CHUNKS}")
+@register("ret5_document_key", f"SELECT chunk_id, CASE WHEN coalesce(chunk_id, '') <> '' THEN concat_ws('::', coalesce(source, ''), chunk_id) ELSE sha256(coalesce(page_content, '')) END AS key FROM {CHUNKS}", once=True)
 def ret5(spark, sf_dir):
-    return _chunks(spark, sf_dir).select("chunk_id", R.document_key(F.col("source"), F.col("chunk_id"), F.col("page_content")).alias("key"))
+    return _chunk_rows(spark, sf_dir).select("chunk_id", R.document_key(F.col("source"), F.col("chunk_id"), F.col("page_content")).alias("key"))
 
 
 @register(
     "ret6_merge_lists",
-    f"""SELECT coalesce(d.retrieval_id, s.retrieval_id) AS retrieval_id, d.dense_rank AS dense_rank, s.sparse_rank AS sparse_rank,
+    f"""SELECT coalesce(d.retrieval_id, s.retrieval_id) AS retrieval_id, CAST(d.dense_rank AS VARCHAR) AS dense_rank, CAST(s.sparse_rank AS VARCHAR) AS sparse_rank,
         CASE WHEN d.retrieval_id IS NULL THEN 'bm25' WHEN s.retrieval_id IS NULL THEN 'dense' ELSE 'dense,bm25' END AS found_by
         FROM (SELECT * FROM {DOCS} WHERE dense_rank IS NOT NULL) d FULL JOIN (SELECT * FROM {DOCS} WHERE sparse_rank IS NOT NULL) s ON d.retrieval_id = s.retrieval_id""",
 )
 def ret6(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
+    docs = _docs(spark, sf_dir, "dense_rank", "sparse_rank")
     dense = docs.where("dense_rank is not null").select("retrieval_id", "dense_rank")
     sparse = docs.where("sparse_rank is not null").select("retrieval_id", "sparse_rank")
     tags = F.array_join(F.array_compact(F.array(F.when(F.col("dense_rank").isNotNull(), "dense"), F.when(F.col("sparse_rank").isNotNull(), "bm25"))), ",")
-    return dense.join(sparse, "retrieval_id", "full").select("retrieval_id", "dense_rank", "sparse_rank", tags.alias("found_by"))
+    ranks = [F.col(c).cast("string").alias(c) for c in ("dense_rank", "sparse_rank")]
+    return dense.join(sparse, "retrieval_id", "full").select("retrieval_id", *ranks, tags.alias("found_by"))
 
 
 _BOOSTED = f"""SELECT d.retrieval_id, d.request_id, d.chunk_id, d.source, d.section_path, d.rrf_score, d.coarse_score, d.rerank_score,
@@ -141,7 +142,7 @@ _BOOSTED = f"""SELECT d.retrieval_id, d.request_id, d.chunk_id, d.source, d.sect
 
 def _boosted(spark, sf_dir):
     asked = _answers(spark, sf_dir).select("request_id", F.array_distinct(T.tokens_a(F.col("query"))).alias("tokens"))
-    rows = _docs(spark, sf_dir).join(asked, "request_id")
+    rows = _docs(spark, sf_dir, "request_id", "chunk_id", "source", "section_path", "rrf_score", "coarse_score", "rerank_score").join(asked, "request_id")
     return rows.withColumn("boost", R.metadata_boost(F.col("tokens"), F.col("source"), F.col("section_path"))).drop("tokens")
 
 
@@ -170,7 +171,7 @@ def ret8(spark, sf_dir):
 
 @register("ret10_confidence_gap", f"SELECT retrieval_id, round(max(s) OVER (PARTITION BY request_id) - s, 9) AS gap FROM (SELECT retrieval_id, request_id, coalesce(rerank_score, coarse_score) AS s FROM {DOCS}) WHERE s IS NOT NULL")
 def ret10(spark, sf_dir):
-    rows = _docs(spark, sf_dir).withColumn("s", F.coalesce("rerank_score", "coarse_score")).where("s is not null")
+    rows = _docs(spark, sf_dir, "request_id", "rerank_score", "coarse_score").withColumn("s", F.coalesce("rerank_score", "coarse_score")).where("s is not null")
     own = Window.partitionBy("request_id").orderBy(F.desc("s"), "retrieval_id")
     return rows.select("retrieval_id", F.round(F.first("s").over(own) - F.col("s"), 9).alias("gap"))
 
@@ -288,7 +289,7 @@ def ret14(spark, sf_dir):
 )
 def ret15(spark, sf_dir):
     texts = _parents(spark, sf_dir).select("parent_id", F.substring(F.trim("page_content"), 1, 900).alias("expanded")).where("expanded <> ''")
-    rows = _docs(spark, sf_dir).where("coarse_score >= 0.2").join(texts, "parent_id")
+    rows = _docs(spark, sf_dir, "parent_id", "coarse_score").where("coarse_score >= 0.2").join(texts, "parent_id")
     return rows.select("retrieval_id", F.length("expanded").cast("bigint").alias("expanded_len"), F.md5(F.col("expanded").cast("binary")).alias("digest"))
 
 
@@ -343,10 +344,10 @@ def join14(spark, sf_dir):
 ENTRIES = "(SELECT DISTINCT * EXCLUDE (loaded_at) FROM evidence_entries)"
 
 
-def _entries(spark, sf_dir):
-    """Evidence entries, each once; a score that isn't a number is none."""
-    rows = table(spark, sf_dir, "evidence_entries").drop("loaded_at").dropDuplicates(["entry_id"])
-    return rows.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+def _entries(spark, sf_dir, *columns):
+    """The given columns of the evidence entries, each entry once; a score that isn't a number is none."""
+    rows = table(spark, sf_dir, "evidence_entries").select("entry_id", *columns).distinct()
+    return rows.withColumn("score", F.when(~F.isnan("score"), F.col("score"))) if "score" in columns else rows
 
 
 @register(
@@ -354,7 +355,7 @@ def _entries(spark, sf_dir):
     f"""SELECT request_id, entry_id, place FROM (SELECT request_id, entry_id, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN isnan(score) THEN NULL ELSE score END DESC NULLS LAST, seq, entry_id) AS place FROM {ENTRIES}) WHERE place <= 5""",
 )
 def ret18(spark, sf_dir):
-    kept = R.evidence_budget(_entries(spark, sf_dir), ["request_id"], "score", ["seq", "entry_id"], DEFAULT.evidence_capacity)
+    kept = R.evidence_budget(_entries(spark, sf_dir, "request_id", "score", "seq"), ["request_id"], "score", ["seq", "entry_id"], DEFAULT.evidence_capacity)
     return kept.select("request_id", "entry_id", F.col("place").cast("bigint").alias("place"))
 
 
@@ -364,7 +365,7 @@ def ret18(spark, sf_dir):
 )
 def ret19(spark, sf_dir):
     score, stage = R.best_score(F.col("rerank_score"), F.col("rrf_score"), F.col("coarse_score"))
-    return _docs(spark, sf_dir).select("retrieval_id", score.alias("score"), stage.alias("stage"))
+    return _docs(spark, sf_dir, "rerank_score", "rrf_score", "coarse_score").select("retrieval_id", score.alias("score"), stage.alias("stage"))
 
 
 @register(

@@ -45,19 +45,34 @@ def sql_support(expression: str) -> str:
     )
 
 
+def _item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions as they come, some repeated."""
+    return table(spark, sf_dir, "questions")
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions, each once."""
-    return table(spark, sf_dir, "questions").dropDuplicates(["id"])
+    return _item_rows(spark, sf_dir).dropDuplicates(["id"])
+
+
+def _chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as they come, without the load time."""
+    return table(spark, sf_dir, "chunks").drop("indexed_at")
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks, each once, without the load time."""
-    return table(spark, sf_dir, "chunks").drop("indexed_at").dropDuplicates(["chunk_id"])
+    """Chunks, each once."""
+    return _chunk_rows(spark, sf_dir).dropDuplicates(["chunk_id"])
+
+
+def _answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answered requests as they come, without the load time."""
+    return table(spark, sf_dir, "structured_payload").drop("loaded_at")
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answered requests, each once."""
-    return table(spark, sf_dir, "structured_payload").dropDuplicates(["request_id"])
+    return _answer_rows(spark, sf_dir).dropDuplicates(["request_id"])
 
 
 ITEMS = "(SELECT * FROM questions QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at) = 1)"
@@ -65,16 +80,16 @@ CHUNKS = "(SELECT * EXCLUDE (indexed_at) FROM chunks QUALIFY row_number() OVER (
 ANSWERS = "(SELECT * FROM structured_payload QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY loaded_at) = 1)"
 
 
-@register("str1_tokens_mixed", f"SELECT chunk_id, len(t) AS n, array_to_string(t, ' ') AS tokens FROM (SELECT chunk_id, {SQL_A.format('page_content')} AS t FROM {CHUNKS})")
+@register("str1_tokens_mixed", f"SELECT chunk_id, len(t) AS n, array_to_string(t, ' ') AS tokens FROM (SELECT chunk_id, {SQL_A.format('page_content')} AS t FROM {CHUNKS})", once=True)
 def str1(spark, sf_dir):
     t = T.tokens_a(F.col("page_content"))
-    return _chunks(spark, sf_dir).select("chunk_id", F.size(t).cast("bigint").alias("n"), F.array_join(t, " ").alias("tokens"))
+    return _chunk_rows(spark, sf_dir).select("chunk_id", F.size(t).cast("bigint").alias("n"), F.array_join(t, " ").alias("tokens"))
 
 
-@register("str2_tokens_split", f"SELECT id, len(t) AS n, array_to_string(t, ' ') AS tokens FROM (SELECT id, {SQL_B.format('reference_answer')} AS t FROM {ITEMS})")
+@register("str2_tokens_split", f"SELECT id, len(t) AS n, array_to_string(t, ' ') AS tokens FROM (SELECT id, {SQL_B.format('reference_answer')} AS t FROM {ITEMS})", once=True)
 def str2(spark, sf_dir):
     t = T.tokens_b(F.col("reference_answer"))
-    return _items(spark, sf_dir).select("id", F.size(t).cast("bigint").alias("n"), F.array_join(t, " ").alias("tokens"))
+    return _item_rows(spark, sf_dir).select("id", F.size(t).cast("bigint").alias("n"), F.array_join(t, " ").alias("tokens"))
 
 
 @register(
@@ -83,6 +98,7 @@ def str2(spark, sf_dir):
         f"SELECT '{name}' AS list_name, id, array_to_string(list_filter({SQL_B.format('question')}, lambda x: NOT list_contains({sql_list(stop)}, x)), ' ') AS kept FROM {ITEMS}"
         for name, stop in T.STOPWORD_LISTS.items()
     ),
+    once=True,
 )
 def str3(spark, sf_dir):
     kept = F.array(
@@ -91,12 +107,12 @@ def str3(spark, sf_dir):
             for name in T.STOPWORD_LISTS
         )
     )
-    return _items(spark, sf_dir).select("id", F.explode(kept).alias("k")).select("k.list_name", "id", "k.kept")
+    return _item_rows(spark, sf_dir).select("id", F.explode(kept).alias("k")).select("k.list_name", "id", "k.kept")
 
 
-@register("str4_stemmed", f"SELECT id, array_to_string(list_sort({sql_relevancy('reference_answer')}), ' ') AS stems FROM {ITEMS}")
+@register("str4_stemmed", f"SELECT id, array_to_string(list_sort({sql_relevancy('reference_answer')}), ' ') AS stems FROM {ITEMS}", once=True)
 def str4(spark, sf_dir):
-    return _items(spark, sf_dir).select("id", F.array_join(F.array_sort(T.relevancy_tokens(F.col("reference_answer"))), " ").alias("stems"))
+    return _item_rows(spark, sf_dir).select("id", F.array_join(F.array_sort(T.relevancy_tokens(F.col("reference_answer"))), " ").alias("stems"))
 
 
 @register(
@@ -143,10 +159,11 @@ def str7(spark, sf_dir):
     f"""SELECT request_id, common, round(CASE WHEN asked > 0 THEN common / asked ELSE 0.0 END, 6) AS coverage FROM (
       SELECT request_id, len(list_intersect(q, r)) AS common, len(q) AS asked FROM (
         SELECT request_id, list_distinct({SQL_B.format('query')}) AS q, list_distinct({SQL_B.format('report')}) AS r FROM {ANSWERS}))""",
+    once=True,
 )
 def str8(spark, sf_dir):
     q, r = T.token_set_b(F.col("query")), T.token_set_b(F.col("report"))
-    rows = _answers(spark, sf_dir).select("request_id", T.overlap(q, r).cast("bigint").alias("common"), F.size(q).alias("asked"))
+    rows = _answer_rows(spark, sf_dir).select("request_id", T.overlap(q, r).cast("bigint").alias("common"), F.size(q).alias("asked"))
     return rows.select("request_id", "common", F.round(T.share(F.col("common"), F.col("asked")), 6).alias("coverage"))
 
 
@@ -191,10 +208,11 @@ def num4(spark, sf_dir):
     "num5_safe_cast",
     rf"""SELECT request_id, coalesce(try_cast(replace({sql_strip("m")}, ',', '') AS DOUBLE), 0.0) AS number
        FROM (SELECT request_id, regexp_extract(coalesce(report, ''), '([\d,.]+) (million|inputs|paths|reports)', 1) AS m FROM {ANSWERS})""",
+    once=True,
 )
 def num5(spark, sf_dir):
     found = F.regexp_extract(T.text(F.col("report")), r"([\d,.]+) (million|inputs|paths|reports)", 1)
-    return _answers(spark, sf_dir).select("request_id", T.safe_number(found).alias("number"))
+    return _answer_rows(spark, sf_dir).select("request_id", T.safe_number(found).alias("number"))
 
 
 def mock_exposure(desk, as_of, limit) -> dict:
@@ -237,10 +255,10 @@ def json2(spark, sf_dir):
     )
 
 
-@register("hash1_digests", f"SELECT chunk_id, sha1(page_content) AS sha1, md5(page_content) AS md5, sha256(page_content) AS sha256 FROM {CHUNKS} WHERE page_content IS NOT NULL")
+@register("hash1_digests", f"SELECT chunk_id, sha1(page_content) AS sha1, md5(page_content) AS md5, sha256(page_content) AS sha256 FROM {CHUNKS} WHERE page_content IS NOT NULL", once=True)
 def hash1(spark, sf_dir):
     c = F.col("page_content").cast("binary")
-    return _chunks(spark, sf_dir).where("page_content is not null").select("chunk_id", F.sha1(c).alias("sha1"), F.md5(c).alias("md5"), F.sha2(c, 256).alias("sha256"))
+    return _chunk_rows(spark, sf_dir).where("page_content is not null").select("chunk_id", F.sha1(c).alias("sha1"), F.md5(c).alias("md5"), F.sha2(c, 256).alias("sha256"))
 
 
 @register(
@@ -261,10 +279,11 @@ def date1(spark, sf_dir):
     f"""SELECT id, array_to_string(t, '|') AS merged, list_contains(t, 'theta') AS has_theta, len(t[1:3]) AS first_three FROM (
         SELECT id, list_transform(list_filter(list_zip(a, range(1, len(a) + 1)), lambda p: list_position(a, p[1]) = p[2]), lambda p: p[1]) AS t
         FROM (SELECT id, list_concat({SQL_A.format('question')}, {SQL_A.format('reference_answer')}) AS a FROM {ITEMS}))""",
+    once=True,
 )
 def arr1(spark, sf_dir):
     merged = F.array_distinct(F.concat(T.tokens_a(F.col("question")), T.tokens_a(F.col("reference_answer"))))
-    return _items(spark, sf_dir).select(
+    return _item_rows(spark, sf_dir).select(
         "id",
         F.array_join(merged, "|").alias("merged"),
         F.array_contains(merged, "theta").alias("has_theta"),

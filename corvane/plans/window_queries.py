@@ -23,7 +23,7 @@ def _events(spark, sf_dir):
 @register("win1_rank", f"SELECT retrieval_id, row_number() OVER (PARTITION BY request_id ORDER BY rrf_score DESC, retrieval_id) AS rank FROM {DOCS}")
 def win1(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("rrf_score"), "retrieval_id"))
-    return _docs(spark, sf_dir).select("retrieval_id", place.cast("bigint").alias("rank"))
+    return _docs(spark, sf_dir, "request_id", "rrf_score").select("retrieval_id", place.cast("bigint").alias("rank"))
 
 
 @register(
@@ -34,7 +34,7 @@ def win1(spark, sf_dir):
 def win4(spark, sf_dir):
     """How often a store of five entries replaces its weakest, from the running fifth best."""
     row = F.struct("seq", "entry_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    lists = _entries(spark, sf_dir).groupBy("request_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    lists = _entries(spark, sf_dir, "request_id", "seq", "score").groupBy("request_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     start = F.struct(F.array().cast("array<double>").alias("kept"), F.lit(0).cast("bigint").alias("replaced"))
 
     def step(acc, x):
@@ -78,7 +78,7 @@ def win8(spark, sf_dir):
 @register("srt1_top_scores", f"SELECT retrieval_id, coarse_score FROM {DOCS} WHERE coarse_score IS NOT NULL ORDER BY coarse_score DESC, retrieval_id LIMIT 100")
 def srt1(spark, sf_dir):
     """A top-100 report by design."""
-    return _docs(spark, sf_dir).where("coarse_score is not null").orderBy(F.desc("coarse_score"), "retrieval_id").limit(100).select("retrieval_id", "coarse_score")
+    return _docs(spark, sf_dir, "coarse_score").where("coarse_score is not null").orderBy(F.desc("coarse_score"), "retrieval_id").limit(100).select("retrieval_id", "coarse_score")
 
 
 @register("srt2_newest_sources", "SELECT source, epoch_us(max(indexed_at)) AS newest FROM parents WHERE source IS NOT NULL GROUP BY source")
@@ -88,8 +88,8 @@ def srt2(spark, sf_dir):
 
 @register("set1_union_all", f"SELECT request_id, chunk_id, 'retrieved' AS origin FROM {DOCS} UNION ALL SELECT request_id, chunk_id, 'evidence' FROM {ENTRIES}")
 def set1(spark, sf_dir):
-    one = _docs(spark, sf_dir).select("request_id", "chunk_id", F.lit("retrieved").alias("origin"))
-    return one.unionByName(_entries(spark, sf_dir).select("request_id", "chunk_id", F.lit("evidence").alias("origin")))
+    one = _docs(spark, sf_dir, "request_id", "chunk_id").select("request_id", "chunk_id", F.lit("retrieved").alias("origin"))
+    return one.unionByName(_entries(spark, sf_dir, "request_id", "chunk_id").select("request_id", "chunk_id", F.lit("evidence").alias("origin")))
 
 
 @register("set2_union_distinct", f"SELECT request_id, chunk_id FROM {DOCS} UNION SELECT request_id, chunk_id FROM {ENTRIES}")
@@ -99,13 +99,13 @@ def set2(spark, sf_dir):
 
 @register("set3_intersect", f"SELECT request_id, chunk_id FROM {DOCS} INTERSECT SELECT request_id, chunk_id FROM {ENTRIES}")
 def set3(spark, sf_dir):
-    return _docs(spark, sf_dir).select("request_id", "chunk_id").intersect(_entries(spark, sf_dir).select("request_id", "chunk_id"))
+    return _docs(spark, sf_dir, "request_id", "chunk_id").drop("retrieval_id").intersect(_entries(spark, sf_dir, "request_id", "chunk_id").drop("entry_id"))
 
 
 @register("set4_missed", f"SELECT request_id, chunk_id FROM {DOCS} d WHERE NOT EXISTS (SELECT 1 FROM {ENTRIES} e WHERE e.request_id = d.request_id AND e.chunk_id = d.chunk_id)")
 def set4(spark, sf_dir):
-    used = _entries(spark, sf_dir).select("request_id", "chunk_id").distinct()
-    return _docs(spark, sf_dir).select("request_id", "chunk_id").join(used, ["request_id", "chunk_id"], "left_anti")
+    used = _entries(spark, sf_dir, "request_id", "chunk_id").drop("entry_id").distinct()
+    return _docs(spark, sf_dir, "request_id", "chunk_id").drop("retrieval_id").join(used, ["request_id", "chunk_id"], "left_anti")
 
 
 # ---- stateful -------------------------------------------------------------------------------
