@@ -11,6 +11,7 @@ import html
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import xxhash
@@ -34,8 +35,11 @@ NOTHING_PHRASE = re.compile(
     r"\b(?:no (?:answer|data|value|response|content|text|entry)|not (?:available|applicable|provided|specified)|keine (?:angaben?|antwort|daten)|ohne (?:angabe|antwort)"
     r"|sin (?:respuesta|datos|contenido)|no (?:disponible|aplica)|(?:insert|your) (?:answer|text|response)(?: here)?|lorem ipsum)\b"
 )
+ANY_WORD = re.compile(r"[^\W_]+")
 NOTHING_CJK = frozenset(["答", "答案", "回答", "答复", "回复", "无", "空", "暂无", "待定", "未知", "没有", "报告", "回应", "待补充", "无内容", "暂缺"])
 
+MAYBE_NOTHING = NOTHING | NOTHING_CJK | frozenset(ANY_WORD.findall(NOTHING_PHRASE.pattern))
+
 
 # ---- language by stopword votes -------------------------------------------------------------
 STOPWORDS = {
@@ -190,6 +194,33 @@ class SuffixAutomaton:
         return out
 
 
+    def mostly_covers(self, text: str, least: int, share: float) -> bool:
+        """Whether at least ``share`` of the letters are covered; given up as soon as too many aren't.
+
+        A later match can't reach back beyond the current one, so what lies before it is final.
+        """
+        room = (1 - share) * (len(text) - text.count(" ")) + 1e-9
+        state = length = settled = missing = 0
+        for i, c in enumerate(text):
+            while state and c not in self.next[state]:
+                state = self.link[state]
+                length = self.length[state]
+            if c in self.next[state]:
+                state = self.next[state][c]
+                length += 1
+            else:
+                state = length = 0
+            begin = i - length + 1
+            if begin > settled:
+                missing += begin - settled - text.count(" ", settled, begin)
+                if missing > room:
+                    return False
+                settled = begin
+            if length >= least:
+                settled = i + 1
+        return missing + len(text) - settled - text.count(" ", settled) <= room
+
+
 class Grams:
     """The same question for very long texts: a character lies in a common part of
     ``least`` characters or more just if it lies in a common part of ``least``."""
@@ -206,6 +237,10 @@ class Grams:
             out.append(i < upto)
         return out
 
+    def mostly_covers(self, text: str, least: int, share: float) -> bool:
+        letters = [hit for c, hit in zip(text, self.covered(text, least)) if c != " "]
+        return sum(letters) >= share * len(letters) - 1e-9
+
 
 _prompt_automaton = lru_cache(1024)(SuffixAutomaton)
 LONG_PROMPT = 20_000
@@ -241,15 +276,8 @@ def copies(prompt: str, response: str) -> bool:
     rest = LEAD.sub("", said) or said
     chinese = bool(CJK.search(own))
     least = 2 if chinese else min(6, len(own))
-    hit = automaton(own).covered(rest, least)
-    letters = [h for c, h in zip(rest, hit) if c != " "]
-    share = sum(letters) / len(letters)
-    if share < 0.8:
-        return False
-    # most of the prompt must come back, or it is an answer in the prompt's words
-    back = automaton(rest).covered(own, least)
-    returned = sum(h for c, h in zip(own, back) if c != " ") / max(1, sum(c != " " for c in own))
-    return returned >= 0.75
+    # most of the prompt must come back too, or it is an answer in the prompt's words
+    return automaton(own).mostly_covers(rest, least, 0.8) and automaton(rest).mostly_covers(own, least, 0.75)
 
 
 # ---- refusals -------------------------------------------------------------------------------
@@ -434,6 +462,11 @@ def is_empty(response: str | None) -> bool:
     """No words, or only a label or a stand-in for a missing value."""
     if response is None:
         return True
+    if "<" not in response and "&" not in response:
+        # most responses say something with their first words
+        for word in islice(ANY_WORD.finditer(response), 20):
+            if word.group().lower() not in MAYBE_NOTHING:
+                return False
     text = INVISIBLE.sub(" ", html.unescape(TAG.sub(" ", response)))
     words = re.findall(r"[^\W_]+", NOTHING_PHRASE.sub(" ", text.lower()))
     return all(w in NOTHING or w in NOTHING_CJK for w in words)

@@ -21,6 +21,18 @@ def test_suffix_automaton_coverage_matches_brute_force():
     assert SuffixAutomaton(own).covered(other, least) == want == Grams(own).covered(other, least)
 
 
+def test_giving_up_early_changes_nothing():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(400):
+        own, text = ("".join(rng.choice("abc ") for _ in range(rng.randint(1, 40))) for _ in range(2))
+        least, share = rng.randint(1, 4), rng.choice([0.2, 0.5, 0.8, 1.0])
+        hit = [h for c, h in zip(text, SuffixAutomaton(own).covered(text, least)) if c != " "]
+        want = sum(hit) >= share * len(hit) - 1e-9
+        assert SuffixAutomaton(own).mostly_covers(text, least, share) == want == Grams(own).mostly_covers(text, least, share)
+
+
 def test_copies():
     prompt = "How is the recovery rate measured in practice?"
     assert copies(prompt, "how is the recovery rate measured in practice")
