@@ -11,19 +11,19 @@ from corvane.plans.catalog import register
 from corvane.plans.text_queries import (
     ANSWERS, CHUNKS, ITEMS, _answer_rows, _answers, _chunk_rows, _chunks, _item_rows, _items, sql_list, sql_squeeze, sql_strip,
 )
-from corvane.session import table
+from corvane.session import spread, table
 
 PARENTS = "(SELECT * EXCLUDE (indexed_at) FROM parents QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY indexed_at) = 1)"
 
 
 def _parent_rows(spark, sf_dir):
     """Parents as they come, without the load time."""
-    return table(spark, sf_dir, "parents").drop("indexed_at")
+    return spread(table(spark, sf_dir, "parents").drop("indexed_at"))
 
 
 def _parents(spark, sf_dir):
     """Parents, each once."""
-    return _parent_rows(spark, sf_dir).dropDuplicates(["parent_id"])
+    return table(spark, sf_dir, "parents").drop("indexed_at").dropDuplicates(["parent_id"])
 
 
 def _pages(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.plans.catalog import register
-from corvane.session import table
+from corvane.session import spread, table
 
 SQL_A = r"list_transform(regexp_extract_all(coalesce({0}, ''), '[A-Za-z0-9\x{{4e00}}-\x{{9fff}}]+'), lambda x: lower(x))"
 SQL_B = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+|[\x{{4e00}}-\x{{9fff}}]+')"
@@ -47,32 +47,32 @@ def sql_support(expression: str) -> str:
 
 def _item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions as they come, some repeated."""
-    return table(spark, sf_dir, "questions")
+    return spread(table(spark, sf_dir, "questions"))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions, each once."""
-    return _item_rows(spark, sf_dir).dropDuplicates(["id"])
+    return table(spark, sf_dir, "questions").dropDuplicates(["id"])
 
 
 def _chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks as they come, without the load time."""
-    return table(spark, sf_dir, "chunks").drop("indexed_at")
+    return spread(table(spark, sf_dir, "chunks").drop("indexed_at"))
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks, each once."""
-    return _chunk_rows(spark, sf_dir).dropDuplicates(["chunk_id"])
+    return table(spark, sf_dir, "chunks").drop("indexed_at").dropDuplicates(["chunk_id"])
 
 
 def _answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answered requests as they come, without the load time."""
-    return table(spark, sf_dir, "structured_payload").drop("loaded_at")
+    return spread(table(spark, sf_dir, "structured_payload").drop("loaded_at"))
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answered requests, each once."""
-    return _answer_rows(spark, sf_dir).dropDuplicates(["request_id"])
+    return table(spark, sf_dir, "structured_payload").drop("loaded_at").dropDuplicates(["request_id"])
 
 
 ITEMS = "(SELECT * FROM questions QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at) = 1)"
