@@ -51,5 +51,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions to their final chunks through the whole retrieval plan."""
-    return queries()["flow_hybrid"](spark, sf_dir)
+    """All questions of a small table to their final chunks through the whole retrieval plan."""
+    from corvane.plans import retrieval_queries as plans
+    from corvane.plans.text_queries import _items
+
+    return plans.hybrid_flow(spark, sf_dir, _items(spark, sf_dir))

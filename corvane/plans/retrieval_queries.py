@@ -241,7 +241,12 @@ def ret12(spark, sf_dir):
       SELECT id, key, rrf, hits FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rrf DESC, key) AS place FROM fused) WHERE place <= 12""",
 )
 def ret13(spark, sf_dir):
-    asked = variants(_asked(spark, sf_dir)).withColumn("qid", F.concat_ws("#", "id", F.col("ordinal").cast("string")))
+    return multi_query(spark, sf_dir, _asked(spark, sf_dir))
+
+
+def multi_query(spark, sf_dir, questions):
+    """The best chunks of all variants of each question, fused."""
+    asked = variants(questions).withColumn("qid", F.concat_ws("#", "id", F.col("ordinal").cast("string")))
     found = R.sparse_search(_chunks(spark, sf_dir), "chunk_id", "page_content", asked, "qid", "variant", DEFAULT.per_query_k)
     lists = found.select(F.split("qid", "#")[0].alias("id"), "key", "rank")
     fused = lists.groupBy("id", "key").agg(F.round(F.sum(1.0 / (DEFAULT.rrf_k + F.col("rank"))), 9).alias("rrf"), F.count("*").alias("hits"))
@@ -382,10 +387,9 @@ def ret21(spark, sf_dir):
     return found.join(low, "qid", "left_semi").select("qid", "key", "score")
 
 
-def hybrid_flow(spark, sf_dir):
+def hybrid_flow(spark, sf_dir, asked):
     """Questions to diverse final chunks: variants, lexical search, fusion, quality filter, boost, quotas."""
-    asked = _asked(spark, sf_dir)
-    fused = ret13(spark, sf_dir)
+    fused = multi_query(spark, sf_dir, asked)
     tokens = asked.select("id", F.array_distinct(T.tokens_a(F.col("question"))).alias("tokens"))
     chunks = _chunks(spark, sf_dir).select(F.col("chunk_id").alias("key"), "source", F.col("section_path").alias("section"), "page_content")
     rows = fused.join(chunks, "key").where(P.passes_quality(F.col("page_content"))).join(tokens, "id")
@@ -397,4 +401,4 @@ def hybrid_flow(spark, sf_dir):
 
 @register("flow_hybrid")
 def flow(spark, sf_dir):
-    return hybrid_flow(spark, sf_dir)
+    return hybrid_flow(spark, sf_dir, _asked(spark, sf_dir))
