@@ -107,7 +107,7 @@ def mix_sources(
     """How often each text enters the mix, and the shares reached.
 
     ``targets`` has ``source``, ``target_share`` and ``max_repeats`` and is of a
-    fixed small size.  Sizes are tokens of the public tokenizer.  A text that
+    fixed small size; rows of it with a null are left out.  Sizes are tokens of the public tokenizer.  A text that
     occurs in several rows is one text and belongs to the row with the smallest
     identifier among the listed sources.  Sources that are absent, hold no token
     or may not be used get nothing and the others their shares in proportion.
@@ -121,7 +121,7 @@ def mix_sources(
     """
     listed = {
         r.source: (float(r.target_share), int(r.max_repeats))
-        for r in targets.select("source", "target_share", "max_repeats").where("source is not null and target_share is not null").distinct().collect()
+        for r in targets.select("source", "target_share", "max_repeats").where("source is not null and target_share is not null and max_repeats is not null").distinct().collect()
     }
     spark = df.sparkSession
     usable = [s for s, (share, repeats) in listed.items() if share > 0 and repeats > 0]

@@ -91,7 +91,7 @@ def test_mix_reaches_shares(spark):
     rows += [(5000, "a", None, "x"), (5001, "b", "", "x"), (5002, "zz", "unlisted text", "x"), (5003, None, "no source", "x"), rows[0]]
     rows += [(6000 + i, "b", rows[0][2], "x") for i in range(5)]  # one text under many identifiers
     df = spark.createDataFrame(rows, "doc_id bigint, source string, text string, tokens string")
-    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.25, 1), ("c", 0.15, 3), ("gone", 0.1, 9)], "source string, target_share double, max_repeats int")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.25, 1), ("c", 0.15, 3), ("gone", 0.1, 9), (None, 0.1, 1), ("zz", None, 1), ("zz", 0.2, None)], "source string, target_share double, max_repeats int")
     for block in (50_000, 60):
         mix, shares = mix_sources(df, targets, identifier="doc_id", source="source", text="text", block=block)
         used = mix.collect()
