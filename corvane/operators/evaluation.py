@@ -193,3 +193,26 @@ def threshold_gate(metrics: DataFrame, rules: DataFrame) -> DataFrame:
 def ordered_first(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     """The first row of each group."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, float], digits: int = 6) -> DataFrame:
+    """Interpolated quantiles of each group, exact, with its ``n``, ``low`` and ``high``.
+
+    Equal values are counted first, which partial aggregation does where the rows
+    are; only the distinct values of a group are then put in order, in a window
+    that can spill, and the ranks are read off their running counts.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    ranked = counted.withColumn("_upto", F.sum("_n").over(group.orderBy(value))).withColumn("_all", F.sum("_n").over(group))
+    place = lambda q: (F.col("_all") - 1) * F.lit(q)
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col(value)))
+    found = ranked.groupBy(*by).agg(
+        F.sum("_n").alias("n"),
+        F.min(value).alias("low"),
+        F.max(value).alias("high"),
+        *(c for name, q in wanted.items() for c in (at(F.floor(place(q))).alias(f"_{name}a"), at(F.ceil(place(q))).alias(f"_{name}b"))),
+    )
+    part = lambda q: (F.col("n") - 1) * F.lit(q) - F.floor((F.col("n") - 1) * F.lit(q))
+    between = lambda name, q: F.col(f"_{name}a") + (F.col(f"_{name}b") - F.col(f"_{name}a")) * part(q)
+    return found.select(*by, "n", "low", "high", *(F.round(between(name, q), digits).alias(name) for name, q in wanted.items()))

@@ -320,34 +320,33 @@ def agg3_reasons(spark, sf_dir):
 @register(
     "agg4_reliability",
     """SELECT round(count(*) FILTER (event_type <> 'error') / greatest(count(*), 1), 6) AS success_rate, round(count(*) FILTER (event_type = 'error') / greatest(count(*), 1), 6) AS error_rate,
-       round(count(*) FILTER (value > 100) / greatest(count(*), 1), 6) AS timeout_rate, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, round(avg(length(props) / 4.0), 6) AS mean_tokens FROM events""",
+       round(count(*) FILTER (value > 100) / greatest(count(*), 1), 6) AS timeout_rate, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(length(props) / 4.0), 6) AS mean_tokens FROM events""",
 )
 def agg4(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
     n = F.greatest(F.count("*"), F.lit(1))
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    rows = table(spark, sf_dir, "events").agg(
+    rates = rows.agg(
         F.round(F.count_if(F.col("event_type") != "error") / n, 6).alias("success_rate"),
         F.round(F.count_if(F.col("event_type") == "error") / n, 6).alias("error_rate"),
         F.round(F.count_if(F.col("value") > 100) / n, 6).alias("timeout_rate"),
-        p.alias("p"),
         F.round(F.avg(F.length("props") / 4.0), 6).alias("mean_tokens"),
     )
-    return rows.select("success_rate", "error_rate", "timeout_rate", *(F.col("p")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))), "mean_tokens")
+    quantiles = E.exact_quantiles(rows, [], "value", _P).select(*_P)
+    return rates.crossJoin(quantiles)  # one row each
+
+
+_P = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
 @register(
     "agg5_latency_stats",
-    """SELECT event_type, CASE WHEN grouping(user_group) = 1 THEN -1 ELSE user_group END AS user_group, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(min(value), 6) AS low, round(max(value), 6) AS high
+    """SELECT event_type, CASE WHEN grouping(user_group) = 1 THEN -1 ELSE user_group END AS user_group, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, min(value) AS low, max(value) AS high
        FROM (SELECT event_type, user_id % 5 AS user_group, value FROM events) GROUP BY GROUPING SETS ((event_type), (event_type, user_group))""",
 )
 def agg5(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").withColumn("user_group", F.col("user_id") % 5)
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
-    sets = rows.groupingSets([["event_type"], ["event_type", "user_group"]], "event_type", "user_group")
-    grouped = sets.agg(
-        F.grouping("user_group").alias("whole"), F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high")
-    )
-    return grouped.select("event_type", F.when(F.col("whole") == 1, -1).otherwise(F.col("user_group")).alias("user_group"), "n", "p50", "p95", "p99", "low", "high")
+    rows = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 5).alias("user_group"), "value")
+    whole = E.exact_quantiles(rows, ["event_type"], "value", _P).withColumn("user_group", F.lit(-1).cast("bigint"))
+    return E.exact_quantiles(rows, ["event_type", "user_group"], "value", _P).unionByName(whole)
 
 
 @register("agg6_node_maximum", "SELECT user_id, event_type, max(value) AS value FROM events GROUP BY user_id, event_type")

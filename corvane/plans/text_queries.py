@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators.evaluation import exact_quantiles
 from corvane.plans.catalog import register
 from corvane.session import spread, table
 
@@ -195,13 +196,12 @@ def num3(spark, sf_dir):
 
 @register(
     "num4_quantiles",
-    """SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99
+    """SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99
        FROM events WHERE value IS NOT NULL GROUP BY event_type""",
 )
 def num4(spark, sf_dir):
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    rows = table(spark, sf_dir, "events").where("value is not null").groupBy("event_type").agg(p.alias("p"))
-    return rows.select("event_type", *(F.col("p")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))))
+    found = exact_quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return found.select("event_type", "p50", "p95", "p99")
 
 
 @register(

@@ -306,3 +306,17 @@ def test_bundles_and_vectors_are_written(spark, tmp_path):
     files.write_vectors(R.with_cells(rows, "v", R.fit_cells(rows, "v", 4)), str(tmp_path / "v"))
     stored = spark.read.parquet(str(tmp_path / "v"))
     assert stored.count() == 40 and stored.select("cell").distinct().count() > 1
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice("aab"), rng.choice([1.0, 2.5, rng.random()])) for _ in range(101)] + [("c", 7.0), ("d", None)]
+    got = {r.g: r for r in E.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"m": 0.5, "p": 0.95}).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for g, r in got.items():
+        xs = sorted(v for k, v in rows if k == g)
+        for q, x in ((0.5, r.m), (0.95, r.p)):
+            at = (len(xs) - 1) * q
+            want = xs[math.floor(at)] + (xs[math.ceil(at)] - xs[math.floor(at)]) * (at - math.floor(at))
+            assert abs(x - want) < 1e-6
+        assert (r.n, r.low, r.high) == (len(xs), xs[0], xs[-1])
