@@ -36,9 +36,9 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        responses = batch.column(0).to_pylist()
+        responses, prompts = (c.to_pylist() for c in batch.columns)
         for part in slices(responses, CHARS_AT_ONCE):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in endings(responses[part])], names=["key", "x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in endings(responses[part], prompts[part])], names=["key", "x", "y", "z"])
 
 
 def defective_pairs(pairs: DataFrame) -> DataFrame:
@@ -49,10 +49,12 @@ def defective_pairs(pairs: DataFrame) -> DataFrame:
     nearly all of the response; ``refusal``: refusal phrases and nothing that
     answers; ``other_language``: stopword votes of prompt and response differ;
     ``truncated``: an open delimiter, an empty list item, an ellipsis, or a last
-    sentence that stops where the same words go on elsewhere in the corpus.  The
-    first that holds counts.  A null or blank prompt can only be judged as to
-    ``empty``, ``refusal`` and ``truncated``; null identifiers are kept; repeated
-    rows count once; an empty table gives an empty result.  Other columns don't
+    sentence that stops where the same words go on elsewhere in the corpus, which
+    each different response tells once; an answer without a stop that nothing else
+    tells about is complete if three prompts got it.  The first that holds counts.
+    A null or blank prompt can only be judged as to ``empty``, ``refusal`` and
+    ``truncated``; null identifiers are kept; repeated rows count once; an empty
+    table gives an empty result.  Other columns don't
     matter.  Returns (record_table, record_id, defect).
     """
     rows = pairs.select("record_table", F.col("record_id").cast("string").alias("record_id"), "prompt", "response")
@@ -61,11 +63,13 @@ def defective_pairs(pairs: DataFrame) -> DataFrame:
     asked = open_tails.select(F.explode("keys").alias("key")).distinct()
     counts = (
         rows.where("response is not null")
-        .select("response")
-        .mapInArrow(_endings, "key bigint, x bigint, y bigint")
+        # copies of a response are no further evidence of how its words end
+        .groupBy("response")
+        .agg(F.countDistinct(F.xxhash64("prompt")).alias("prompts"))
+        .mapInArrow(_endings, "key bigint, x bigint, y bigint, z bigint")
         .join(asked, "key", "left_semi")
         .groupBy("key")
-        .agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+        .agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("z").alias("z"))
     )
     at = lambda slot, column: F.coalesce(F.max(F.when(F.col("slot") == slot, F.col(column))), F.lit(0))
     cut = (
@@ -78,10 +82,12 @@ def defective_pairs(pairs: DataFrame) -> DataFrame:
             at(1, "y").alias("before"),
             at(2, "x").alias("ends"),
             at(2, "y").alias("goes_on"),
+            at(0, "z").alias("unstopped"),
         )
         .where(
             # the rule of pairs.breaks_off
-            """case when starts >= 3 then whole < 0.5 * starts or starts < 0.15 * before
+            """case when unstopped >= 3 and unstopped >= 10 * (starts - whole) and unstopped + starts >= 0.15 * (unstopped + before) then false
+                    when starts >= 3 then whole < 0.5 * starts or starts < 0.15 * before
                     when before >= 10 then true
                     else not (ends >= 2 and ends >= 0.3 * (ends + goes_on)) end"""
         )

@@ -409,32 +409,38 @@ def _keys(units: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return first.view(np.int64), pair.view(np.int64), unit, place
 
 
-def endings(responses: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What the sentences and list items of responses say about how wordings end.
-
-    Arrays key, x, y, one place a key.  For the first words of a unit x counts the
-    units that are just these words, y those that start with them; for two words
-    in a row x counts the units that end with them, y those that go on.  A last
-    unit without a stop isn't evidence that its last two words end a unit.
+def endings(responses: list[str], prompts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the sentences and list items of different responses say about how wordings end.
+
+    ``prompts`` has the number of prompts each response was given to.  Arrays key,
+    x, y, z, one place a key.  For the first words of a unit x counts the units
+    that are just these words, y those that start with them; for two words in a
+    row x counts the units that end with them, y those that go on.  A last unit
+    without a stop may break off, so it is no evidence that its words make up a
+    unit, that its last two end one, or that its last word follows the others; z
+    counts the prompts it was given to.
     """
-    units, ends = [], []
-    for response in responses:
+    units, ends, given = [], [], []
+    for response, n in zip(responses, prompts):
         found = [u for u in sentences(TAG.sub(" ", CITED.sub("", response))) if WORD.search(u)]
         for k, unit in enumerate(found):
             unit = CITATION.sub("", MARKER.sub("", unit)).strip()
             units.append(_words(unit))
             ends.append(k < len(found) - 1 or bool(STOP.search(unit)))
+            given.append(n)
     first, pair, unit, place = _keys(units)
     sizes = np.array([len(u) for u in units], dtype=np.int64)
     left = sizes[unit] - place - 1 if len(unit) else place
     ended = np.array(ends, dtype=bool)[unit] if len(unit) else np.zeros(0, dtype=bool)
+    times = np.array(given, dtype=np.int64)[unit] if len(unit) else place
     goes_on, stops = left > 1, (left == 1) & ended
     key = np.concatenate([first, pair[goes_on], pair[stops]])
-    x = np.concatenate([left == 0, np.zeros(goes_on.sum()), np.ones(stops.sum())])
-    y = np.concatenate([np.ones(len(first)), np.ones(goes_on.sum()), np.zeros(stops.sum())])
+    x = np.concatenate([(left == 0) & ended, np.zeros(goes_on.sum()), np.ones(stops.sum())])
+    y = np.concatenate([ended | (left > 1), np.ones(goes_on.sum()), np.zeros(stops.sum())])
+    z = np.concatenate([np.where((left == 0) & ~ended, times, 0), np.zeros(goes_on.sum() + stops.sum())])
     keys, where = np.unique(key, return_inverse=True)
     count = lambda v: np.bincount(where, v, minlength=len(keys)).astype(np.int64)
-    return keys, count(x), count(y)
+    return keys, count(x), count(y), count(z)
 
 
 @dataclass(frozen=True)
@@ -444,13 +450,17 @@ class Verdict:
     keys: tuple[int, int, int] | None = None
 
 
-def breaks_off(whole: int, starts: int, before: int, ends: int, goes_on: int) -> bool:
+def breaks_off(whole: int, starts: int, before: int, ends: int, goes_on: int, unstopped: int = 0) -> bool:
     """Whether an unstopped tail breaks off, from the counts of its three keys.
 
     ``whole`` units consist of its words, ``starts`` start with them, ``before``
     with all but the last; ``ends`` units end with its last two words and
-    ``goes_on`` have them further up.
+    ``goes_on`` have them further up.  ``unstopped`` prompts got an answer that
+    ends with it without a stop: as copies of a cut answer look the same, that
+    speaks for it only if it is several prompts and the words hardly go on.
     """
+    if unstopped >= 3 and unstopped >= 10 * (starts - whole) and unstopped + starts >= 0.15 * (unstopped + before):
+        return False
     if starts >= 3:
         return whole < 0.5 * starts or starts < 0.15 * before
     if before >= 10:

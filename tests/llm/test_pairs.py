@@ -86,3 +86,12 @@ def test_operator_edges(spark):
     got = {tuple(r) for r in defective_pairs(spark.createDataFrame(rows, schema)).collect()}
     assert got == {("q", "1", "empty"), ("q", "2", "refusal"), ("q", None, "empty"), ("q", "4", "truncated")}
     assert defective_pairs(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_copies_of_a_truncated_response_do_not_vouch_for_it(spark):
+    full = [("q", f"n{i}", f"What is limit {i}?", f"A limit is a bound that desk {i} keeps.") for i in range(5)]
+    cut = [("q", f"c{i}", f"What is a bound {i % 4}?", "A limit is a bound that") for i in range(12)]
+    alone = [("q", f"a{i}", "What is a hedge?", "Hedges offset the") for i in range(9)]  # one pair under many identifiers
+    short = [("q", f"s{i}", f"What is exposure {i}?", "Price sensitivity times position size") for i in range(9)]  # an answer to many prompts
+    got = {tuple(r) for r in defective_pairs(spark.createDataFrame(full + cut + alone + short, "record_table string, record_id string, prompt string, response string")).collect()}
+    assert got == {("q", i, "truncated") for _, i, *_ in cut + alone}
