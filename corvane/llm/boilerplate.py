@@ -23,11 +23,13 @@ def _site(url):
 def recurring_lines(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
     """The lines that recur over the pages of each site, as (site, keys).
 
-    Counted per site and line with partial aggregation, so a site with most of
+    Pages of equal content, as of an article fetched again, are one page.  Counted per site and line with partial aggregation, so a site with most of
     the pages isn't gathered anywhere; a site's list has at most (lines of an
     average page) / ``share`` keys.
     """
 
+    pages = pages.select("site", "content", "markup").distinct()
+
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = LineReader()
         for batch in batches:
@@ -71,7 +73,7 @@ def page_furniture(df: DataFrame, *, identifier: str, url: str, kind: str, title
     )
     pages = spread(scan.where("content is not null and content <> ''"))
     # a site's list is small; Spark broadcasts the lists if all of them are, else joins by site
-    known = pages.join(recurring_lines(pages.select("site", "content", "markup")), "site", "left")
+    known = pages.join(recurring_lines(pages), "site", "left")
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = LineReader()

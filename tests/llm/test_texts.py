@@ -156,6 +156,16 @@ def test_page_body(spark):
     assert page_furniture(df.limit(0), **names).count() == 0
 
 
+def test_an_article_fetched_again_is_no_furniture(spark):
+    body = "The {0} paragraph of this article is long enough to be taken for running text, " * 3 + "as it goes on about {0} things."
+    article = "\n".join(["Home", *(body.format(w) for w in ("first", "second", "third")), "All rights reserved."])
+    words = "zero one two three four five six seven eight nine".split()
+    rows = [(k, "https://y.example/p", "md", None, article) for k in range(12)] + [(100 + k, "https://y.example/q", "md", None, "\n".join(["Home", body.format(w)])) for k, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "page_id bigint, source string, file_type string, title string, page_content string")
+    found = {tuple(r) for r in page_furniture(df, identifier="page_id", url="source", kind="file_type", title="title", content="page_content").collect()}
+    assert all({n for p, n in found if p == k} == {1, 5} for k in range(12))
+
+
 def test_page_helpers():
     assert [x.number for x in read_lines("<p>a</p>\n<br/>\n\n<a href='/b'>link text</a>", True)] == [1, 4]
     assert read_lines("<a href='/b'>link text</a>", True)[0].linked == 9
