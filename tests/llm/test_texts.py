@@ -196,6 +196,14 @@ def test_levels(spark):
     assert reading_levels(df.limit(0), examples, identifier="doc_id", text="text", language="lang").count() == 0
 
 
+def test_special_tokens_make_no_table_row():
+    from corvane.llm.levels import units
+
+    prose = "The desk reports the limit each day <|endoftext|> and the bank checks it. Every month it is reviewed by risk control."
+    assert len(units(prose + "\nA short line that stands alone here.")) == 3
+    assert len(units("| a | b |\nA short line that stands alone here.")) == 1
+
+
 def test_ordinal_thresholds_increase():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 2))
