@@ -45,8 +45,9 @@ def defective_pairs(pairs: DataFrame) -> DataFrame:
     """Defects of (record_table, record_id, prompt, response) rows, one row per defective pair.
 
     ``empty``: no words, or only a label or a stand-in for a missing value, also a
-    null response; ``copies_question``: a suffix automaton of the prompt covers
-    nearly all of the response; ``refusal``: refusal phrases and nothing that
+    null response; ``copies_question``: a suffix automaton of the prompt, or for
+    very long texts its substrings of the least length, which cover the same,
+    covers nearly all of the response; ``refusal``: refusal phrases and nothing that
     answers; ``other_language``: stopword votes of prompt and response differ;
     ``truncated``: an open delimiter, an empty list item, an ellipsis, or a last
     sentence that stops where the same words go on elsewhere in the corpus, which
