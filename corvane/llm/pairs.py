@@ -355,6 +355,7 @@ def _declines(part: str) -> bool:
 # ---- truncation -----------------------------------------------------------------------------
 CITATION = re.compile(r"(?:\s*\[\d+(?:,\s*\d+)*\])+\s*$")
 CITED = re.compile(r"\n\s*(?:citations?|sources?|references?|quellen|fuentes|citas|来源|引用)\s*[:：].*$", re.I | re.S)
+SOURCE = re.compile(r"^\s*(?:\[\d+\]|[-*+•]|\d{1,2}[.)])")
 STOP = re.compile(r"[.!?。！？][\"”’'»)\]）」』*_]*$")
 MARKER = re.compile(r"^\s*(?:[-*+•]|\d{1,2}[.)])(?:\s+|$)")
 OPEN, CLOSE = "([{（【「『", ")]}）】」』"
@@ -484,9 +485,12 @@ def is_empty(response: str | None) -> bool:
 
 def _tail(response: str) -> Verdict:
     text = INVISIBLE.sub(" ", response).rstrip()
-    if CITED.search(text):
-        # a list of sources follows only a finished answer
-        return Verdict(None)
+    cited = CITED.search(text)
+    if cited and all(SOURCE.match(x) for x in cited.group().strip().split("\n")[1:] if x.strip()):
+        # a list of sources that ends the response may break off itself, or follow an answer that does
+        if open_delimiter(text) or re.search(r"(?:[,;:，；：(\[]|\.\.\.|…|\n\s*(?:[-*+•]|\d{1,2}[.)]))$", text):
+            return Verdict("truncated")
+        return _tail(text[: cited.start()])
     text = CITATION.sub("", text).rstrip()
     if re.search(r"(?:…|\.\.\.)[\"”’)\]]*$", text):
         return Verdict("truncated")

@@ -95,3 +95,11 @@ def test_copies_of_a_truncated_response_do_not_vouch_for_it(spark):
     short = [("q", f"s{i}", f"What is exposure {i}?", "Price sensitivity times position size") for i in range(9)]  # an answer to many prompts
     got = {tuple(r) for r in defective_pairs(spark.createDataFrame(full + cut + alone + short, "record_table string, record_id string, prompt string, response string")).collect()}
     assert got == {("q", i, "truncated") for _, i, *_ in cut + alone}
+
+
+def test_only_a_source_list_that_ends_the_response_is_exempt():
+    whole = "The limit is reviewed monthly.\n\nSources: [1] a.md, [2] b.md"
+    assert classify("What is it?", whole).defect is None
+    assert classify("What is it?", whole + ", [3] c (part").defect == "truncated"
+    assert classify("What is it?", whole + "\n\nIt has two parts. The first one (a").defect == "truncated"
+    assert classify("What is it?", whole.replace("monthly.", "monthly. It depends on")).defect == "truncated"
