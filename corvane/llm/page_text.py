@@ -1,68 +1,57 @@
-"""The lines of one web page that belong to its main body.
+"""The lines of web pages that belong to their main body.
 
 Each line gets a text-to-tag ratio from the events of a streaming parser.  The
-ratios, set to nothing where a line is known furniture, are smoothed with a
-Gaussian along the page and split by two-means clustering; the dense stretch is
-the content region.  The article's title and the first furniture after it, where
-there are any, fix its ends, and lists of contents and pointers inside it are
-taken out line by line.
+density of a line is its ratio, weighted by how likely its wording is part of a
+main body: lines that recur on the site and wordings that stand outside content
+regions elsewhere in the corpus weigh little, the article's title weighs most.
+The densities are smoothed with a Gaussian along the page and split by two-means
+clustering; the dense stretch with the greatest mass is the content region.  It
+takes in further dense stretches, and the lines at its ends, as long as their
+wordings are likelier inside than outside; pointers and lists of contents within
+it are taken out line by line.
+
+What wordings stand inside or outside is counted over the whole corpus, from the
+regions that ratios and recurrence alone give.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import islice
 
 import numpy as np
+import xxhash
 
 SIGMA = 1.5
+REACH = math.ceil(3 * SIGMA)
 #: Lines up to this length recur often enough to be remembered.
 REPEATED = 200
 LONG = 80
-
-RELATED = re.compile(
-    r"(related|recommended|you (may|might) (also )?(like|enjoy)|more (from|on|in|about)|most (popular|read|viewed)|latest|popular|trending"
-    r"|sponsored|in this series|also in this|elsewhere on|further reading|read (next|more)|up next|editors?'?s? picks?|keep reading|don't miss"
-    r"|what to read|other (posts|articles|readers)|people also)\b[^.!?]{0,40}",
-    re.I,
-)
-FURNITURE = re.compile(
-    "|".join(
-        [
-            # sign-up
-            r"enter your e-?mail( address)?", r"subscribe( now| today)?( to .{0,40})?", r"get (our|the) .{0,30}(briefing|newsletter|letter|updates?|digest)",
-            r"join [\d.,]+k? (readers|subscribers|others|people).*", r"never miss an? .*", r"download (the|our) free .*", r"sign up (for|to) (our|the) .{0,40}(newsletter|letter|briefing|updates?)",
-            r"(our )?(weekly |free )?newsletter",
-            # sharing and comments
-            r"(e-?mail|share|print|save|rate|post|tweet|pin|bookmark|like|report|cite) (this|on|via|to|for later|it)\b[^.]{0,30}", r"(print|share|copy link|bookmark|tweet|comments?|reply)",
-            r"was this (page|article|post)? ?(helpful|useful).*", r"[\d.,]+ (comments?|shares|likes|views|replies)", r"(leave|post|add|write) a (reply|comment)", r"log in to comment",
-            # page facts
-            r"(last )?(edited|updated|modified|reviewed|published|posted)( on| at)?:? [\d\w ,.:/-]{4,30}", r"(tags?|categor(y|ies)|filed under|topics?|keywords|labels):.*", r"(reading time|time to read):?.*", r"\d+ min(ute)?s?( read)?",
-            # footer
-            r"(©|\(c\)|copyright\b).*", r"(all|some) rights reserved\.?", r"back to (the )?top", r"(follow|contact|about|find) us( on .*)?", r"contact the editors", r"(privacy|cookie|cookies)( notice| policy| settings| statement)?",
-            r"terms( of (use|service)| and conditions)?", r"imprint", r"legal( notice)?", r"site ?map", r"accessibility( statement)?", r"powered by .*", r"registered (office|address|in)\b.*",
-            r"modern slavery statement", r"do not sell .*", r".* is a trading name of .*", r"the content of this (web)?site is .*", r"(past performance|investment advice|not investment advice).{0,90}",
-            r"terms of use \W.*",
-            # consent
-            r"(accept|reject|decline|allow)( all| non-essential| cookies| essential)*", r"(essential|necessary)( cookies)? only", r"(manage|cookie) (preferences|settings|choices)", r"ok,? got it", r"(this|our) (web)?site (stores|uses) .*", r"we (use|value) .{0,20}(cookies|consent).*",
-            r"your privacy matters .*",
-            # navigation
-            r"(jump|skip) to (main )?(content|navigation)", r"skip navigation", r"\d+ languages", r"[A-Z]{2}( ?[/|] ?[A-Z]{2})+",
-        ]
-    ),
+#: A wording is described by its first words, and by all of it if it has no more.
+OPENING = 12
+#: Slots of the counts of words; those of whole wordings have two tables of as many.
+SLOTS = 1 << 16
+
+#: Wordings that count as seen outside before any page is: sign-up, sharing, page facts, footers, consent, lists of other pages.
+PRIOR = re.compile(
+    r"(?:subscribe|sign up|enter your e-?mail|(?:our |weekly |free )*newsletter|(?:share|print|save|e-?mail|bookmark|report) (?:this|on|via)\b"
+    r"|(?:leave|post|add|write) a (?:reply|comment)|[\d.,]+ (?:comments?|shares|likes|views)$|(?:last )?(?:edited|updated|modified|reviewed|published|posted) on\b|\d+ min(?:ute)?s?(?: read)?$"
+    r"|(?:©|\(c\)|copyright\b)|(?:all|some) rights reserved\.?$|back to (?:the )?top|(?:follow|contact|about) us$|(?:privacy|cookie|cookies)(?: notice| policy| settings)?$|terms (?:of|and) \w+$"
+    r"|(?:accept|reject|decline|allow) (?:all|cookies)|(?:jump|skip) to\b|(?:related|recommended|you (?:may|might) (?:also )?(?:like|enjoy)|most (?:popular|read|viewed)|latest|popular|trending|further reading|read (?:next|more)|up next)\b[^.!?]{0,40}$)",
     re.I,
 )
-TEASER = re.compile(
-    r"\W{0,3}(read (also|more|next)|see also( on this site)?|also (read|see|on this site)|(advertisement|advert|ad|sponsored|promoted)|watch( now)?|listen( now)?|related|more( on this)?|don't miss|recommended|further reading|in other news|up next)\s?[:\-–—|]\s.+",
+POINTER = re.compile(
+    r"\W{0,3}(?:(?:read|see|watch|listen)(?: (?:also|more|next|now|on this site))*|(?:also|more) (?:read|see|on this site)|related|recommended|further reading|up next|in other news|don't miss"
+    r"|advertisement|advert|ad|sponsored|promoted|tags?|topics?|categor(?:y|ies)|filed under|keywords|labels)\s?[:\-–—|]\s.+",
     re.I,
 )
-CONTENTS = re.compile(r"(on this page|in this (article|page|post)|(table of )?contents|jump to( section)?|page contents|overview of this page|sections)\W?", re.I)
 MESSAGE = re.compile(
-    r"(page not found|error \d{3}\b.*|(please )?(log|sign) in to (continue|read|view).*|this content is for (members|subscribers).*|members only.*|loading\W*|access denied.*|not found|(please )?enable (javascript|cookies).*|just a moment.*|something went wrong.*|(this )?page (has|was) (been )?(moved|removed|deleted).*|subscribe to (read|continue).*|under construction.*|coming soon.*|(please )?try again.*|this page is (empty|unavailable).*|you have reached .*|service unavailable.*)",
+    r"(?:page not found|error \d{3}\b.*|(?:please )?(?:log|sign) in to (?:continue|read|view).*|this content is for (?:members|subscribers).*|members only.*|loading\W*|access denied.*|not found|(?:please )?enable (?:javascript|cookies).*|just a moment.*"
+    r"|something went wrong.*|(?:this )?page (?:has|was) (?:been )?(?:moved|removed|deleted).*|subscribe to (?:read|continue).*|under construction.*|coming soon.*|(?:please )?try again.*|service unavailable.*)",
     re.I,
 )
 LINK = re.compile(r"!?\[([^\]]*)\]\(([^)\s]*)[^)]*\)")
@@ -72,6 +61,8 @@ EMPHASIS = re.compile(r"[*_`]{1,3}(?=\S)|(?<=\S)[*_`]{1,3}")
 NUMBER = re.compile(r"^(\d+(\.\d+)*[.)]?|[-*•])\s+")
 DIGITS = re.compile(r"\d[\d.,:]*")
 SPACES = re.compile(r"\s+")
+WORD = re.compile(r"[^\W\d_]+|\d+")
+KNOWN, ASIDE, LENGTHY, AWAY = 1, 2, 4, 8
 
 
 @dataclass
@@ -84,12 +75,19 @@ class Line:
     heading: bool
     item: bool
     top: bool  # a heading of the first level
+    key: int  # a number for the wording, whatever figures are in it
+    words: tuple[int, ...]  # slots of the wording's words, of pairs of them, and of all of it
+    flags: int
 
     @property
     def ratio(self) -> float:
         """Text-to-tag ratio: characters outside links for each character of markup."""
         return (len(self.text) - self.linked) / (1 + self.tags)
 
+    @property
+    def density(self) -> float:
+        return math.log1p(max(0.0, self.ratio)) * min(1.0, len(self.text) / LONG)
+
 
 class _Events(HTMLParser):
     """Collects text, link text and markup of one line after the other."""
@@ -186,26 +184,41 @@ class LineReader:
         if not any(c.isalnum() for c in plain):
             return None
         text = NUMBER.sub("", plain).strip() or plain
-        return text, plain, len(raw) - len(plain), min(linked, len(plain)), heading, item, top
+        return text, plain, len(raw) - len(plain), min(linked, len(plain)), heading, item, top, *wording(text)
 
 
 def read_lines(content: str, markup: bool) -> list[Line]:
     return LineReader().read(content, markup)
 
 
-@lru_cache(40_000)
-def _short_line_key(text: str) -> int:
-    return _line_key(text)
-
+@lru_cache(100_000)
+def _slot(name: str) -> int:
+    return xxhash.xxh64_intdigest(name) & (SLOTS - 1)
 
-def line_key(text: str) -> int:
-    """A number for a line's wording, whatever figures are in it."""
-    return _short_line_key(text) if len(text) <= REPEATED else _line_key(text)
 
+def wording(text: str) -> tuple[int, tuple[int, ...], int]:
+    """Key, slots and flags of a line.
 
-def _line_key(text: str) -> int:
-    wording = DIGITS.sub("#", SPACES.sub(" ", text.casefold())).strip()
-    return int.from_bytes(hashlib.blake2b(wording.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    Slots below ``SLOTS`` count words: the first ones, pairs of neighbours among
+    them, the first and the last.  A wording of few words has two more slots for
+    all of it, by independent hashes, so that one that is shared by chance shows.
+    """
+    folded = SPACES.sub(" ", text.casefold()).strip()
+    key = xxhash.xxh64_intdigest(DIGITS.sub("#", folded).encode("utf-8", "surrogatepass"))
+    words = ["#" if w.isdigit() else w for w in (m.group() for m in islice(WORD.finditer(folded), OPENING + 1))]
+    slots = {_slot("1" + w) for w in words[:OPENING]} | {_slot(f"2{a} {b}") for a, b in zip(words, words[1:OPENING])}
+    if words:
+        slots |= {_slot("a" + words[0]), _slot("z" + words[-1])}
+    found = sorted(slots)
+    if 0 < len(words) <= OPENING:
+        found += [SLOTS + (key & (SLOTS - 1)), 2 * SLOTS + (key >> 40 & (SLOTS - 1))]
+    flags = (
+        KNOWN * bool(PRIOR.match(text))
+        | ASIDE * bool(POINTER.fullmatch(text) or MESSAGE.fullmatch(text))
+        | LENGTHY * (len(text) >= 2 * LONG)
+        | AWAY * bool(MESSAGE.fullmatch(text))
+    )
+    return key - (1 << 64) if key >> 63 else key, tuple(found), flags
 
 
 def _slug(text: str) -> str:
@@ -224,110 +237,180 @@ def title_line(lines: list[Line], title: str | None, url: str | None) -> int | N
         for i, line in enumerate(lines):
             if tail in (_slug(line.text), _slug(line.plain)):
                 return i
-    if not wanted and not any(MESSAGE.fullmatch(x.text) for x in lines):
+    if not wanted and not any(x.flags & AWAY for x in lines):
         return next((i for i, line in enumerate(lines) if line.top), None)
     return None
 
 
-def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
-    """Gaussian smoothing along the lines; beyond the ends there is nothing."""
-    reach = math.ceil(3 * sigma)
-    weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    inner = slice(reach, reach + len(values))
-    return (np.convolve(values, weights)[inner] / np.convolve(np.ones(len(values)), weights)[inner]).tolist()
-
-
-def two_means(values: list[float]) -> float:
-    """The threshold between the two clusters of some numbers."""
-    low, high = min(values), max(values)
-    if low == high:
-        return low - 1
+def contents(lines: list[Line]) -> list[bool]:
+    """Which lines are a list of contents: two or more that come again below in the same order, as heads of something, and the line above them."""
+    last = {line.text.casefold(): i for i, line in enumerate(lines)}
+    again = [last[line.text.casefold()] for line in lines]
+    out = [False] * len(lines)
+    i = 0
+    while i < len(lines):
+        j = i
+        while j < len(lines) and again[j] > j:
+            j += 1
+        k = i
+        while k < j and again[k] >= j and (k == i or again[k] > again[k - 1] + 1):
+            k += 1
+        if i and k - i >= 2:
+            out[i - 1 : k] = [True] * (k - i + 1)
+            i = k
+        else:
+            i += 1
+    return out
+
+
+def smooth(values, starts=(0,)) -> np.ndarray:
+    """Gaussian smoothing along the lines of each page; beyond a page's ends there is nothing."""
+    values = np.asarray(values, dtype=float)
+    starts = np.asarray(starts, dtype=np.int64)
+    weights = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
+    sizes = np.diff(np.append(starts, len(values)))
+    place = np.arange(len(values)) + REACH * (1 + np.repeat(np.arange(len(starts)), sizes))
+    spaced, there = np.zeros((2, len(values) + REACH * (len(starts) + 1)))
+    spaced[place], there[place] = values, 1.0
+    return np.convolve(spaced, weights, "same")[place] / np.convolve(there, weights, "same")[place] if len(values) else values
+
+
+def two_means(values, starts=(0,)) -> np.ndarray:
+    """For each page, the threshold between the two clusters of its numbers."""
+    values = np.asarray(values, dtype=float)
+    starts = np.asarray(starts, dtype=np.int64)
+    page = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(values))))
+    low, high = np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
+    flat = low == high
+    count = lambda mask, v=None: np.bincount(page[mask], None if v is None else v[mask], minlength=len(starts))
     for _ in range(50):
-        middle = (low + high) / 2
-        below = [v for v in values if v <= middle]
-        above = [v for v in values if v > middle]
-        new = (sum(below) / len(below), sum(above) / len(above)) if below and above else (low, high)
-        if new == (low, high):
+        above = values > ((low + high) / 2)[page]
+        n, m = count(~above), count(above)
+        split = (n > 0) & (m > 0)
+        new = np.where(split, count(~above, values) / np.maximum(n, 1), low), np.where(split, count(above, values) / np.maximum(m, 1), high)
+        if np.array_equal(new[0], low) and np.array_equal(new[1], high):
             break
         low, high = new
-    return (low + high) / 2
+    return np.where(flat, low - 1, (low + high) / 2)
 
 
-def _sentence(text: str) -> bool:
-    return len(text) >= 25 and text[-1] in ".!?。！？" and " " in text
-
+@dataclass
+class Pages:
+    """The lines of several pages, one after the other."""
 
-def known_furniture(text: str) -> bool:
-    """Whether a line is furniture by its wording alone."""
-    return _short_furniture(text) if len(text) <= REPEATED else _furniture(text)
+    starts: np.ndarray  # of each page that shows lines
+    anchor: np.ndarray  # line of each page's title within the page, or -1
+    density: np.ndarray
+    flags: np.ndarray
+    recurs: np.ndarray  # share of the site's other pages that have the line
+    sizes: np.ndarray  # number of slots of each line
+    slots: np.ndarray
 
 
-@lru_cache(40_000)
-def _short_furniture(text: str) -> bool:
-    return _furniture(text)
+@dataclass
+class Wordings:
+    """How often what fills a slot was inside and outside of content regions."""
 
+    inside: np.ndarray = field(default_factory=lambda: np.zeros(3 * SLOTS))
+    outside: np.ndarray = field(default_factory=lambda: np.zeros(3 * SLOTS))
 
-def _furniture(text: str) -> bool:
-    return bool(
-        FURNITURE.fullmatch(text) or TEASER.fullmatch(text) or MESSAGE.fullmatch(text) or (RELATED.fullmatch(text) and not _sentence(text))
-    )
 
+#: Log odds of a line that recurs nowhere; limits of the odds; weight of words against a whole wording, and of a known one; odds of a line to be taken out of a region.
+CLEAR, SURE, WEIGHT, SEEN, STRAY = 1.1, 4.0, 3.0, 6.0, -1.0
 
-def furniture(lines: list[Line], title: str | None, url: str | None, repeated: frozenset[int] | set[int]) -> list[bool]:
-    """For each line, whether it is not part of the main body.
 
-    ``repeated`` holds the keys of the lines that recur over the pages of the site.
-    """
-    count = len(lines)
-    if not count:
-        return []
-    known = [known_furniture(x.text) for x in lines]
-    site = [line_key(x.text) in repeated for x in lines]
-    anchor = title_line(lines, title, url)
-    # content region: dense lines after smoothing and clustering
-    density = [0.0 if known[i] or site[i] else math.log1p(max(0.0, x.ratio)) * min(1.0, len(x.text) / LONG) for i, x in enumerate(lines)]
-    smoothed = smooth(density)
-    level = two_means(smoothed)
-    dense = [i for i in range(count) if smoothed[i] > level and not known[i] and not site[i]]
-    if anchor is None:
-        # without a title only clearly dense text is an article; a message in its place isn't
-        if any(MESSAGE.fullmatch(x.text) for x in lines) or sum(len(lines[i].text) >= 2 * LONG for i in dense) < 2:
-            return [True] * count
-        first, last = dense[0], dense[-1]
-        while first and lines[first - 1].heading and not known[first - 1] and not site[first - 1]:
-            first -= 1
+def odds(pages: Pages, wordings: Wordings | None) -> np.ndarray:
+    """Log odds of each line's wording to be part of a main body."""
+    known = (pages.flags & KNOWN) > 0
+    found = np.log((1 - pages.recurs) / (pages.recurs + 0.1)) - np.log(10) + CLEAR
+    if wordings is None:
+        found = found - np.where(known, SURE + CLEAR, 0.0)
     else:
-        first, last = anchor, count - 1
-    # the region ends before the first block of furniture that isn't a pointer or a list of contents
-    body = [False] * count
-    i = first
-    if anchor is not None:
-        body[anchor] = True
-        i += 1
-    later = [x.text.casefold() for x in lines] if any(CONTENTS.fullmatch(x.text) for x in lines) else []
-    while i <= last:
-        line = lines[i]
-        if CONTENTS.fullmatch(line.text):
-            # entries are the lines that come again below as headings
-            j = i + 1
-            while j < count and later[j] in later[j + 1 :] and not known[j]:
-                j += 1
-            i = j if j > i + 1 else i + 1
+        line = np.repeat(np.arange(len(pages.sizes)), pages.sizes)
+        inside, outside = wordings.inside[pages.slots], wordings.outside[pages.slots]
+        word = pages.slots < SLOTS
+        by_line = lambda mask, v: np.bincount(line[mask], v, minlength=len(pages.sizes))
+        n = by_line(word, None)
+        mean = by_line(word, np.log((inside[word] + 0.5) / (outside[word] + 0.5))) / np.maximum(n, 1)
+        by_words = 1 / (1 + np.exp(-np.clip(1.5 * mean, -20, 20)))
+        # of the two slots of a whole wording the one that fewer lines filled tells more
+        first, second = np.flatnonzero((pages.slots >= SLOTS) & (pages.slots < 2 * SLOTS)), np.flatnonzero(pages.slots >= 2 * SLOTS)
+        better = np.where(inside[first] + outside[first] <= inside[second] + outside[second], first, second)
+        whole_in, whole_out = np.zeros((2, len(pages.sizes)))
+        whole_in[line[first]], whole_out[line[first]] = inside[better], outside[better]
+        whole_out += np.where(known, SEEN, 0.0)
+        p = (whole_in + WEIGHT * by_words) / (whole_in + whole_out + WEIGHT)
+        found = found + np.log((p + 1e-3) / (1 - p + 1e-3))
+    return np.where(pages.flags & ASIDE, -3.0, np.clip(found, -SURE, SURE))
+
+
+def main_body(pages: Pages, wordings: Wordings | None = None) -> np.ndarray:
+    """Whether each line is part of the main body; without wordings only the densest stretch is."""
+    total, starts = len(pages.density), pages.starts
+    body = np.zeros(total, dtype=bool)
+    if not total:
+        return body
+    ends = np.append(starts[1:], total)
+    page = np.repeat(np.arange(len(starts)), ends - starts)
+    likely = odds(pages, wordings)
+    density = pages.density / (1 + np.exp(-likely))
+    titled = pages.anchor >= 0
+    title = (starts + pages.anchor)[titled]
+    density[title] = np.maximum(np.maximum.reduceat(density, starts)[titled], 1.0)
+    smoothed = smooth(density, starts)
+    dense = smoothed > two_means(smoothed, starts)[page]
+    likely[title] = SURE
+    # stretches of dense lines, which end with their page, and their masses
+    first = np.flatnonzero(dense & ~np.append(False, dense[:-1] & (page[1:] == page[:-1])))
+    last = np.flatnonzero(dense & ~np.append(dense[1:] & (page[1:] == page[:-1]), False))
+    mass = np.append(0.0, np.cumsum(smoothed))
+    mass = mass[last + 1] - mass[first]
+    away = np.bitwise_or.reduceat(pages.flags, starts) & AWAY
+    lengthy = np.append(0, np.cumsum(((pages.flags & LENGTHY) > 0) & dense & (likely > STRAY)))
+    held = np.searchsorted(page[first], np.arange(len(starts) + 1))
+    for k in range(len(starts)):
+        own = range(held[k], held[k + 1])
+        if not own:
             continue
-        if TEASER.fullmatch(line.text) and not FURNITURE.fullmatch(line.text):
-            i += 1
-            continue
-        if known[i] or (site[i] and not line.item and not line.heading and "|" not in line.text and not _sentence(line.text)):
-            # a stray known line inside dense text doesn't end the region
-            if not any(k > i and not site[k] and len(lines[k].text) >= 2 * LONG for k in dense) or not _resumes(lines, known, i):
+        best = max(own, key=lambda r: mass[r])
+        a, b = int(first[best]), int(last[best])
+        if titled[k]:
+            at = int(starts[k] + pages.anchor[k])
+            a = at if at <= b else a
+            body[at] = True
+        elif away[k] or lengthy[ends[k]] - lengthy[starts[k]] < 2:
+            continue  # without a title only clearly dense text is an article; a message in its place isn't
+        own_stretches = [(int(first[r]), int(last[r])) for r in own] if wordings is not None else []
+        a, b = _grown(a, b, own_stretches, likely, pages.flags, int(starts[k]), int(ends[k]), bool(titled[k]))
+        body[a : b + 1] |= likely[a : b + 1] > STRAY
+    return body
+
+
+def _grown(a: int, b: int, stretches: list[tuple[int, int]], likely: np.ndarray, flags: np.ndarray, start: int, end: int, titled: bool) -> tuple[int, int]:
+    """A region without its unlikely tail, and with the other ``stretches`` and single lines beside it whose wordings are likelier inside."""
+    counted = np.where(flags[start:end] & ASIDE, 0.0, likely[start:end])
+    gain = np.append(0.0, np.cumsum(counted))
+    for x, y in stretches:
+        if x > b:
+            if gain[x - start] - gain[b + 1 - start] < 0:
                 break
-            i += 1
-            continue
-        body[i] = True
-        i += 1
-    return [not b for b in body]
-
-
-def _resumes(lines: list[Line], known: list[bool], at: int) -> bool:
-    """Whether headings or lists of the article go on below a furniture line."""
-    return any(x.heading and not known[k] for k, x in enumerate(lines[at + 1 :], at + 1))
+            b = y
+    if not titled:
+        for x, y in reversed(stretches):
+            if y < a:
+                if gain[a - start] - gain[y + 1 - start] < 0:
+                    break
+                a = x
+    # a tail of unlikely lines goes, though dense lines be among them, as teasers have sentences too
+    inside = np.cumsum(counted[a - start : b + 1 - start])
+    b = a + len(inside) - 1 - int(inside[::-1].argmax())
+    if not stretches:
+        return a, b
+    after = np.cumsum(likely[b + 1 : end])
+    if len(after) and after.max() > 0:
+        b += 1 + int(after.argmax())
+    if not titled:
+        before = np.cumsum(likely[start:a][::-1])
+        if len(before) and before.max() > 0:
+            a -= 1 + int(before.argmax())
+    return a, b
