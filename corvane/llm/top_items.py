@@ -1,33 +1,43 @@
 """Top N items of every group by skipping Parquet row groups on their statistics.
 
-The items are laid out once: files clustered by group, rows sorted by group and
-score.  Each file is then read row group by row group in descending maximum
-score, and a row group is skipped when its maximum lies strictly below the
-current N-th score of every group it contains.  A group with more rows than a
-file should hold is spread over several files, each of which yields at most N
-rows of it; those few rows are merged at the end.
+The items are laid out once, whatever N will be: files clustered by group, within
+a file groups of like score levels next to each other, and in a level the rows in
+descending score.  Each file is then read row group by row group in descending
+maximum score, and a row group is skipped when its maximum lies strictly below
+the current N-th score of every group it contains.  As groups of a level have
+their best scores alike, that holds for most of its row groups, also where a
+row group has rows of many groups.  A group with more rows than a file should
+hold is spread over several files, each of which yields at most N rows of it;
+those few rows are merged at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.catalog import register
-from corvane.session import scratch_path, shuffle_partitions, table
+from corvane.session import materialize, scratch_path, shuffle_partitions, table
 
-ROW_GROUP_BYTES = 128 * 1024
+ROW_GROUP_BYTES = 4 * 2**20
+#: Row groups a file should have, and the least and most rows of one.
+ROW_GROUPS, LEAST_ROWS, MOST_ROWS = 32, 1_024, 131_072
 ROWS_PER_FILE = 2_000_000
+#: A group's level is its score at this place, to a quarter of a power of two; of smaller groups the least.
+PLACE = 8
+LEVEL = """case when reached = 0 then 0 when abs(reached) = double('infinity') then signum(reached) * 1e6
+           else signum(reached) * (5000 + floor(4 * log2(abs(reached)))) end"""
 ROW = "g string, item bigint, score double"
 
 
 def _cluster(items: DataFrame, row_group_bytes: int, rows_per_file: int) -> list[str]:
     """Write (g, item, score) clustered by group; the paths of the files."""
     spark = items.sparkSession
-    sizes = items.groupBy("g").count()
+    sizes = materialize(items.groupBy("g").count(), "top-sizes")
     total = sizes.agg(F.sum("count")).first()[0] or 0
     files = max(shuffle_partitions(spark), -(-total // rows_per_file))
     share = max(1, total // files)
@@ -35,30 +45,92 @@ def _cluster(items: DataFrame, row_group_bytes: int, rows_per_file: int) -> list
     hot = sizes.where(F.col("count") > share).select("g", F.ceil(F.col("count") / share).cast("int").alias("spread"))
     hot = spark.createDataFrame(hot.collect(), hot.schema)
     path = scratch_path(spark, "top-items")
+    # a group's rows are in one task now, so its level needs no further shuffle
+    own = Window.partitionBy("g", "salt").orderBy(F.desc("score"))
+    placed = F.row_number().over(own)
     (
         items.join(F.broadcast(hot), "g", "left")
         .withColumn("salt", F.pmod(F.xxhash64("item"), F.coalesce("spread", F.lit(1))))
         .repartition(files, "g", "salt")
-        .sortWithinPartitions("g", F.desc("score"))
+        .withColumn("place", placed)
+        .withColumn("reached", F.min(F.when(F.col("place") <= PLACE, F.col("score"))).over(Window.partitionBy("g", "salt")))
+        .withColumn("level", F.expr(LEVEL))
+        .sortWithinPartitions(F.desc("level"), F.desc("score"))
         .select("g", "item", "score")
         .write.option("parquet.block.size", row_group_bytes)
+        .option("parquet.block.row.count.limit", min(MOST_ROWS, max(LEAST_ROWS, share // ROW_GROUPS)))
         .option("parquet.page.size", row_group_bytes // 4)
         .parquet(path)
     )
     return list(spark.read.schema(ROW).parquet(path).inputFiles())
 
 
+class _Best:
+    """The best n rows of each group seen so far, in arrays with one line a group."""
+
+    def __init__(self, n: int):
+        self.n, self.names, self.numbers = n, [], {}
+        self.score = np.full((16, n), -np.inf)
+        self.item = np.zeros((16, n), dtype=np.int64)
+        self.held = np.zeros(16, dtype=np.int64)
+
+    def lines(self, names: list[str]) -> np.ndarray:
+        """The lines of some groups; new ones get one."""
+        for name in names:
+            if name not in self.numbers:
+                self.numbers[name] = len(self.names)
+                self.names.append(name)
+        if len(self.names) > len(self.held):
+            more = len(self.names)  # room for twice as many
+            self.score = np.vstack([self.score, np.full((more, self.n), -np.inf)])
+            self.item = np.vstack([self.item, np.zeros((more, self.n), dtype=np.int64)])
+            self.held = np.append(self.held, np.zeros(more, dtype=np.int64))
+        return np.array([self.numbers[name] for name in names], dtype=np.int64)
+
+    def all_above(self, names: list[str], top: float) -> bool:
+        """Whether every one of the groups has n rows, none of which ``top`` can replace."""
+        own = [self.numbers.get(name, -1) for name in names]
+        return min(own) >= 0 and bool((self.held[own] == self.n).all() and (self.score[own, self.n - 1] > top).all())
+
+    def add(self, names: list[str], code: np.ndarray, item: np.ndarray, score: np.ndarray) -> None:
+        """Merge rows of a row group, which touches only the lines of its groups."""
+        line = self.lines(names)
+        kept = np.arange(self.n)[None, :] < self.held[line][:, None]
+        code = np.concatenate([code, np.nonzero(kept)[0]])
+        item = np.concatenate([item, self.item[line][kept]])
+        score = np.concatenate([score, self.score[line][kept]])
+        order = np.lexsort((item, -score, code))
+        code, item, score = code[order], item[order], score[order]
+        new = np.append(True, (code[1:] != code[:-1]) | (item[1:] != item[:-1]) | (score[1:] != score[:-1]))
+        code, item, score = code[new], item[new], score[new]
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        place = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
+        best = place < self.n
+        self.score[line[code[best]], place[best]] = score[best]
+        self.item[line[code[best]], place[best]] = item[best]
+        self.held[line] = np.bincount(code[best], minlength=len(names))
+
+    def table(self) -> pd.DataFrame:
+        count = len(self.names)
+        held = np.arange(self.n)[None, :] < self.held[:count, None]
+        names = np.array(self.names, dtype=object)[np.nonzero(held)[0]]
+        return pd.DataFrame({"g": names, "item": self.item[:count][held], "score": self.score[:count][held]})
+
+
 def read_top(uri: str, n: int, seen: dict | None = None) -> pd.DataFrame:
     """The first n rows of every group in one clustered file.
 
-    ``seen`` receives the number of row groups read and skipped.
+    ``seen`` receives the number of row groups read and skipped; of a skipped row
+    group of several groups only their names are read.
     """
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
+    best = _Best(n)
+    read = skipped = 0
     with store.open_input_file(path) as handle:
-        file = pq.ParquetFile(handle)
+        file = pq.ParquetFile(handle, read_dictionary=["g"])
         meta = file.metadata
         names = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
         spans = []
@@ -66,40 +138,24 @@ def read_top(uri: str, n: int, seen: dict | None = None) -> pd.DataFrame:
             group = meta.row_group(i).column(names["g"]).statistics
             score = meta.row_group(i).column(names["score"]).statistics
             known = group is not None and group.has_min_max and score is not None and score.has_min_max
-            spans.append((score.max if known else float("inf"), i, (group.min, group.max) if known else None))
+            spans.append((score.max if known else float("inf"), i, (group.min, group.max) if known else (None, "")))
         spans.sort(key=lambda s: (-s[0], s[1]))
-        best: pd.DataFrame | None = None
-        nth: dict[str, float] = {}
-        read = skipped = 0
-        for top, i, span in spans:
-            if span is not None:
-                if span[0] == span[1]:
-                    inside = [span[0]]
-                elif any(span[0] <= g <= span[1] and top < s for g, s in nth.items()):
-                    inside = file.read_row_group(i, columns=["g"]).column("g").unique().to_pylist()
-                else:
-                    inside = [None]
-                if all(g in nth and top < nth[g] for g in inside):
+        for top, i, (first, last) in spans:
+            if read and top < float("inf"):
+                inside = [first] if first == last else file.read_row_group(i, columns=["g"]).column("g").unique().to_pylist()
+                if best.all_above(inside, top):
                     skipped += 1
                     continue
             read += 1
-            rows = file.read_row_group(i).to_pandas()
-            rows = rows.sort_values(["g", "score", "item"], ascending=[True, False, True]).drop_duplicates(["g", "item"])
-            rows = rows.groupby("g", sort=False).head(n)
-            if best is not None:
-                touched = best["g"].isin(set(rows["g"]))
-                rest = best[~touched]
-                rows = pd.concat([best[touched], rows])
-                rows = rows.sort_values(["g", "score", "item"], ascending=[True, False, True]).drop_duplicates(["g", "item"])
-                rows = rows.groupby("g", sort=False).head(n)
-            full = rows[rows.groupby("g", sort=False).cumcount() == n - 1]
-            nth.update(zip(full["g"], full["score"]))
-            best = rows if best is None else pd.concat([rest, rows])
-        if seen is not None:
-            seen["read"], seen["skipped"] = seen.get("read", 0) + read, seen.get("skipped", 0) + skipped
-    if best is None:
-        best = pd.DataFrame({"g": pd.Series(dtype=str), "item": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
-    return best
+            rows = file.read_row_group(i).combine_chunks()
+            groups = rows.column("g").combine_chunks()
+            codes = groups.indices.to_numpy()
+            used, code = np.unique(codes, return_inverse=True)
+            names_used = groups.dictionary.take(used).to_pylist()
+            best.add(names_used, code, rows.column("item").to_numpy(), rows.column("score").to_numpy())
+    if seen is not None:
+        seen["read"], seen["skipped"] = seen.get("read", 0) + read, seen.get("skipped", 0) + skipped
+    return best.table()
 
 
 def top_n_per_group(

@@ -88,3 +88,21 @@ def test_row_groups_are_skipped(spark):
     for uri in _cluster(df, 4096, 10**6):
         read_top(uri, 5, seen)
     assert seen["skipped"] > 5 * seen["read"] / 4 and seen["read"] >= 1
+
+
+def test_row_groups_of_many_groups_are_skipped(spark):
+    rng = random.Random(3)
+    rows = [(f"g{k % 1500}", k, rng.random() * (1 if k % 3 else 0.03)) for k in range(90000)]
+    df = spark.createDataFrame(rows, "g string, item bigint, score double")
+    seen, got = {}, set()
+    for uri in _cluster(df, 2**20, 10**6):
+        found = read_top(uri, 5, seen)
+        got |= set(zip(found["g"], found["item"]))
+    assert got == top(rows, 5) and seen["skipped"] > seen["read"]
+
+
+def test_scores_without_bounds_and_ties(spark):
+    rows = [("a", k, s) for k, s in enumerate([math.inf, -math.inf, 0.0, -0.0, 1e308, -1e308, 5e-324] * 3)] + [("b", k, 1.0) for k in range(20)]
+    df = spark.createDataFrame(rows, "g string, item bigint, score double")
+    got = {(r.g, r.item) for r in top_n_per_group(df, group="g", item="item", score="score", n=6).collect()}
+    assert got == top(rows, 6)
