@@ -12,6 +12,7 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import islice
+from operator import or_
 
 import numpy as np
 import xxhash
@@ -221,20 +222,25 @@ class SuffixAutomaton:
         return missing + len(text) - settled - text.count(" ", settled) <= room
 
 
-class Grams:
-    """The same question for very long texts: a character lies in a common part of
-    ``least`` characters or more just if it lies in a common part of ``least``."""
+#: Characters of a text that one automaton holds, which bounds its memory.
+STRETCH = 50_000
 
-    def __init__(self, text: str):
-        self._text = text
+
+class LongAutomaton:
+    """Automata of the stretches of a text, of which neighbours share ``least - 1`` characters.
+
+    A character lies in a common part of ``least`` characters or more just if it lies in one of
+    ``least``, and that is whole in one of the stretches.
+    """
+
+    def __init__(self, text: str, stretch: int = STRETCH):
+        self._text, self._stretch = text, stretch
 
     def covered(self, text: str, least: int) -> list[bool]:
-        own = {self._text[i : i + least] for i in range(len(self._text) - least + 1)}
-        out, upto = [], 0
-        for i in range(len(text)):
-            if i + least <= len(text) and text[i : i + least] in own:
-                upto = i + least
-            out.append(i < upto)
+        out = [False] * len(text)
+        for begin in range(0, max(1, len(self._text) - least + 1), self._stretch):
+            own = SuffixAutomaton(self._text[begin : begin + self._stretch + least - 1])
+            out = list(map(or_, out, own.covered(text, least)))
         return out
 
     def mostly_covers(self, text: str, least: int, share: float) -> bool:
@@ -243,13 +249,12 @@ class Grams:
 
 
 _prompt_automaton = lru_cache(1024)(SuffixAutomaton)
-LONG_PROMPT = 20_000
 
 
-def automaton(text: str) -> SuffixAutomaton | Grams:
+def automaton(text: str) -> SuffixAutomaton | LongAutomaton:
     """The automaton of a prompt; those of short prompts, which many pairs share, are kept."""
-    if len(text) > LONG_PROMPT:
-        return Grams(text)
+    if len(text) > STRETCH:
+        return LongAutomaton(text)
     return _prompt_automaton(text) if len(text) <= 400 else SuffixAutomaton(text)
 
 
@@ -302,6 +307,15 @@ REFUSALS = (
     # Chinese
     "我不知道", "无法回答", "不能回答", "无法作答", "不便作答", "不便回答", "不能给出答案", "无法给出", "无法提供", "没有足够", "资料不足", "证据不足", "信息不足", "无可奉告", "不能提供", "恕难", "无法帮助", "不能帮助", "没有找到", "找不到", "无从回答", "无法答复", "不予回答",
 )
+#: Phrases that may also state a fact; they decline only where the sentence is about the answer itself.
+AMBIGUOUS = frozenset(
+    ["not allowed to", "not permitted to", "out of scope", "no information on", "no information about", "is not possible to", "isn't possible to", "not possible to say", "cannot provide", "can't provide", "found nothing", "find nothing", "reichen nicht aus", "no está permitido", "no consta"]
+)
+ITSELF = re.compile(
+    r"\b(?:i|i'm|i've|we|me|my|us|our|you|your|this|that|these|those|it|here|there|question|request|topic|answer|reply|response|sources?|documents?|passages?|context|corpus|material|guidelines|policy|assistant|found|available"
+    r"|frage|antwort|quellen|unterlagen|dokumente|angaben|informationen|kontext|auszüge|belege|stellen|material|pregunta|respuesta|fuentes?|documentos?|contexto|pasajes|datos|información|me|eso|esto|ello)\b",
+    re.I,
+)
 #: Sentences around a refusal that don't answer either.
 COURTESY = re.compile(
     r"(?:hello|hi|hey|hmm+|well|dear user|thank you|thanks|regrettably|unfortunately|sorry|i'?m sorry|i am sorry|my apologies|apologies|summary|answer|response|report|note|conclusion|result|please|is there anything|anything else"
@@ -324,6 +338,12 @@ def refusal_automaton():
     return words
 
 
+def _declining(part: str) -> bool:
+    """Whether a sentence or clause declines or says that there is no answer."""
+    phrases = {phrase for _, phrase in refusal_automaton().iter(part.lower())}
+    return bool(phrases) and (not phrases <= AMBIGUOUS or bool(ITSELF.search(part)))
+
+
 def refuses(response: str) -> bool:
     """Whether the response declines and says nothing else."""
     words = refusal_automaton()
@@ -335,7 +355,7 @@ def refuses(response: str) -> bool:
         part = re.sub(r"^(?:\W|\d+[.)])+", "", part)
         if not WORD.search(part):
             continue
-        if next(words.iter(part.lower()), None) is not None:
+        if _declining(part):
             # a list or a clause that goes on to answer isn't a refusal
             if re.search(r"\b(?:but|however|aber|jedoch|pero|sin embargo)\b.{25,}|(?:但|不过).{8,}", part) and not _declines(part):
                 return False
@@ -348,8 +368,7 @@ def refuses(response: str) -> bool:
 
 
 def _declines(part: str) -> bool:
-    tail = re.split(r"\b(?:but|however|aber|jedoch|pero|sin embargo)\b|但|不过", part)[-1].lower()
-    return next(refusal_automaton().iter(tail), None) is not None
+    return _declining(re.split(r"\b(?:but|however|aber|jedoch|pero|sin embargo)\b|但|不过", part)[-1])
 
 
 # ---- truncation -----------------------------------------------------------------------------
@@ -359,21 +378,31 @@ SOURCE = re.compile(r"^\s*(?:\[\d+\]|[-*+•]|\d{1,2}[.)])")
 STOP = re.compile(r"[.!?。！？][\"”’'»)\]）」』*_]*$")
 MARKER = re.compile(r"^\s*(?:[-*+•]|\d{1,2}[.)])(?:\s+|$)")
 OPEN, CLOSE = "([{（【「『", ")]}）】」』"
+#: Intervals may end with another bracket than they begin with.
+INTERVAL = re.compile(r"[\[(\]]\s*[^\s\[\](){},;]+\s*[,;]\s*[^\s\[\](){},;]+\s*[\])\[](?!\()")
+DELIMITER = re.compile("[" + re.escape(OPEN + CLOSE) + "„“”«»\"]")
+#: Quotation marks that open stand before a word, as some languages close with those that open in others.
+OPENING = re.compile(r"(?<![^\s(\[{（【])[\"“«](?=\S)")
 
 
 def open_delimiter(text: str) -> bool:
     """Whether a bracket, quotation or code fence is still open at the end, by a stack."""
     if text.count("```") % 2:
         return True
+    opening = {m.start() for m in OPENING.finditer(text)}
     stack: list[str] = []
-    for c in text:
-        if c in OPEN:
-            stack.append(CLOSE[OPEN.index(c)])
-        elif stack and c == stack[-1]:
+    for m in DELIMITER.finditer(INTERVAL.sub(lambda m: " " * len(m.group()), text)):
+        c = m.group()
+        if stack and c in stack[-1]:
             stack.pop()
-    if stack:
-        return True
-    return text.count("«") > text.count("»") or (text.count("„") > sum(text.count(q) for q in "“”"))
+        elif c == "„":
+            stack.append("“”")
+        elif c in "\"“«":
+            if m.start() in opening:
+                stack.append({'"': '"', "“": "”", "«": "»"}[c])
+        elif c in OPEN:
+            stack.append(CLOSE[OPEN.index(c)])
+    return bool(stack)
 
 
 def masked(text: str) -> str:

@@ -1,7 +1,7 @@
 import pytest
 
 from corvane.llm.broken_pairs import defective_pairs
-from corvane.llm.pairs import Grams, SuffixAutomaton, breaks_off, classify, copies, is_empty, open_delimiter, refuses
+from corvane.llm.pairs import LongAutomaton, SuffixAutomaton, breaks_off, classify, copies, is_empty, open_delimiter, refuses
 
 
 @pytest.mark.parametrize("text", [None, "", " \n\t", "n/a", "[TODO]", "<p>&nbsp;</p>", "**Answer:** ", "…", "​", "A:", "{}", "答案："])
@@ -18,7 +18,8 @@ def test_suffix_automaton_coverage_matches_brute_force():
     own, other, least = "abracadabra", "xxabracxcadabrayyra", 3
     subs = {own[i:j] for i in range(len(own)) for j in range(i + least, len(own) + 1)}
     want = [any(i <= k < i + n and other[i : i + n] in subs for i in range(len(other)) for n in range(least, 12) if i + n <= len(other)) for k in range(len(other))]
-    assert SuffixAutomaton(own).covered(other, least) == want == Grams(own).covered(other, least)
+    assert SuffixAutomaton(own).covered(other, least) == want
+    assert all(LongAutomaton(own, stretch).covered(other, least) == want for stretch in (1, 2, 4, 20))
 
 
 def test_giving_up_early_changes_nothing():
@@ -30,7 +31,7 @@ def test_giving_up_early_changes_nothing():
         least, share = rng.randint(1, 4), rng.choice([0.2, 0.5, 0.8, 1.0])
         hit = [h for c, h in zip(text, SuffixAutomaton(own).covered(text, least)) if c != " "]
         want = sum(hit) >= share * len(hit) - 1e-9
-        assert SuffixAutomaton(own).mostly_covers(text, least, share) == want == Grams(own).mostly_covers(text, least, share)
+        assert SuffixAutomaton(own).mostly_covers(text, least, share) == want == LongAutomaton(own, 7).mostly_covers(text, least, share)
 
 
 def test_copies():
@@ -103,3 +104,23 @@ def test_only_a_source_list_that_ends_the_response_is_exempt():
     assert classify("What is it?", whole + ", [3] c (part").defect == "truncated"
     assert classify("What is it?", whole + "\n\nIt has two parts. The first one (a").defect == "truncated"
     assert classify("What is it?", whole.replace("monthly.", "monthly. It depends on")).defect == "truncated"
+
+
+@pytest.mark.parametrize("text", ["Delta of a call lies in [0, 1).", "The half-open interval (0, 1] is used.", "It is in ]0; 1[ for all „calls“ and «puts».", "Das ist »die Grenze« und “so” weiter.", 'The "limit" is 5" wide (see "a").'])
+def test_closed_delimiters(text):
+    assert not open_delimiter(text) and classify("What is it?", text).defect is None
+
+
+@pytest.mark.parametrize("text", ["It is called „limit", "The desk says «the limit is", 'The policy reads "the limit is', "It says “the (limit) is"])
+def test_open_quotations(text):
+    assert open_delimiter(text)
+
+
+@pytest.mark.parametrize("text", ["Equity swaps are out of scope.", "Crypto is not allowed to be traded.", "No information on volatility surfaces is published."])
+def test_facts_are_no_refusals(text):
+    assert not refuses(text)
+
+
+@pytest.mark.parametrize("text", ["That is out of scope for me.", "I am not allowed to say.", "No information on this was found in the sources."])
+def test_ambiguous_phrases_about_the_answer_decline(text):
+    assert refuses(text)
