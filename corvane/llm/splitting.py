@@ -78,21 +78,27 @@ def cut_places(text: str, size: int = SIZE, least: int = LEAST, overlap: int = O
             open_ &= ~hit
         return np.where(length - start <= size, length, found)
 
-    # every boundary and its successor; a cut in a stretch without boundaries adds a node of its own
+    # every boundary and its successor; in a stretch without boundaries the cuts are evenly spaced nodes of their own
     keys = np.unique(np.concatenate(nodes))
     ends = successor(keys)
-    known, new = keys, np.setdiff1d(ends, keys)
-    new = new[new < length]
+    step = size - overlap
     pairs = [(keys, ends)]
+    known, new = keys, np.setdiff1d(ends[ends < length], keys)
     while len(new):
-        known = np.union1d(known, new)
-        ends = successor(new)
-        pairs.append((new, ends))
+        at = np.searchsorted(better, new - overlap + least, "right")
+        ahead = np.minimum(np.where(at < len(better), better[np.minimum(at, len(better) - 1)], length), length) if len(better) else np.full(len(new), length)
+        more = np.maximum(0, -((new - overlap + size - ahead) // step))
+        first = np.repeat(new, more)
+        place = np.arange(len(first)) - np.repeat(np.cumsum(more) - more, more)
+        pairs.append((first + place * step, first + (place + 1) * step))
+        last = new + more * step
+        ends = successor(last)
+        pairs.append((last, ends))
+        known = np.union1d(known, np.concatenate([pairs[-2][0], last]))
         new = np.setdiff1d(ends[ends < length], known)
     keys = np.concatenate([k for k, _ in pairs])
-    ends = np.concatenate([e for _, e in pairs])
-    order = np.argsort(keys)
-    keys, ends = keys[order], ends[order]
+    keys, place = np.unique(keys, return_index=True)
+    ends = np.concatenate([e for _, e in pairs])[place]
     last = len(keys)
     jump = np.append(np.where(ends >= length, last, np.searchsorted(keys, ends)), last)
     reached = np.zeros(last + 1, dtype=bool)
