@@ -76,8 +76,10 @@ def land(chances: np.ndarray, sizes: np.ndarray, wanted: float) -> np.ndarray:
     if abs(gap) > 0.5 and len(taken) and len(left):
         left = left[np.argsort(sizes[left], kind="stable")]
         at = np.searchsorted(sizes[left], sizes[taken] + gap)
-        tries = [(abs(sizes[left[j]] - sizes[i] - gap), i, left[j]) for i, a in zip(taken, at) for j in (a - 1, a) if 0 <= j < len(left)]
-        off, i, j = min(tries)
+        near = np.clip(np.stack([at - 1, at]), 0, len(left) - 1)
+        miss_by = np.abs(sizes[left[near]] - sizes[taken] - gap)
+        which, i = np.unravel_index(miss_by.argmin(), miss_by.shape)
+        off, i, j = miss_by[which, i], taken[i], left[near[which, i]]
         if off < abs(gap):
             out[i], out[j] = 0.0, 1.0
     return out
