@@ -52,8 +52,10 @@ def _entries(width: int, least_words: int, rows: int, bands: int):
                 # the sketch is needed once a class; a copy in another partition repeats it
                 new = np.array([c not in emitted and not emitted.add(c) for c in classes.tolist()], dtype=bool)
                 carried = [s.tobytes() if n else None for s, n in zip(sketches, new)]
+                # these rows only pass through the shuffle, so those of a class go everywhere
+                anywhere = sh.mix(classes.view(np.uint64) + np.arange(len(classes), dtype=np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(classes), pa.array(classes), pa.array(names, pa.string()), pa.array(carried, pa.binary())],
+                    [pa.array(anywhere), pa.array(classes), pa.array(names, pa.string()), pa.array(carried, pa.binary())],
                     names=["band", "class", "id", "sketch"],
                 )
                 grouped = samples[new].reshape(-1, bands, rows)
@@ -150,14 +152,14 @@ def _pairs_of_bands(block: int):
     return run
 
 
-def _pairs_in_blocks(hot: DataFrame, block: int) -> DataFrame:
-    """All pairs (a, b), a < b, of the classes of each hot band, one bounded cell of two blocks at a time."""
-    sizes = hot.groupBy("band").count().select("band", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    members = hot.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    row = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = row.where("block <= other").select("band", F.col("block").alias("i"), F.col("other").alias("j"), F.col("class").alias("x"))
-    right = row.where("other <= block").select("band", F.col("other").alias("i"), F.col("block").alias("j"), F.col("class").alias("y"))
-    both = left.join(right, ["band", "i", "j"]).where("x <> y and (i <> j or x < y)")
+def _pairs_in_blocks(members: DataFrame, group: str, item: str, block: int) -> DataFrame:
+    """All pairs (a, b), a < b, of the items of each group, one bounded cell of two blocks at a time."""
+    sizes = members.groupBy(group).count().where("count > 1").select(group, F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    placed = members.join(sizes, group).withColumn("block", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int"))
+    row = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = row.where("block <= other").select(group, F.col("block").alias("i"), F.col("other").alias("j"), F.col(item).alias("x"))
+    right = row.where("other <= block").select(group, F.col("other").alias("i"), F.col("block").alias("j"), F.col(item).alias("y"))
+    both = left.join(right, [group, "i", "j"]).where("x <> y and (i <> j or x < y)")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -236,7 +238,7 @@ def near_duplicate_classes(
     known = met.where("b is null").select(F.col("a").alias("class"), "id", "sketch")
     hot = met.where("id = 'hot' and b is not null").select(F.col("a").alias("band"), F.col("b").alias("class"))
     plain = met.where("id is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    candidates = plain.unionByName(_pairs_in_blocks(hot, block)).distinct()
+    candidates = plain.unionByName(_pairs_in_blocks(hot, "band", "class", block)).distinct()
     sketches = known.where("sketch is not null").groupBy("class").agg(F.max("sketch").alias("sketch"))
     close = (
         candidates.join(sketches.select(F.col("class").alias("a"), F.col("sketch").alias("one")), "a")
@@ -269,12 +271,7 @@ def near_duplicate_pairs(df: DataFrame, **settings) -> DataFrame:
         .join(members.select(F.col("class").alias("b"), F.col("id").alias("y")), "b")
         .select(F.least("x", "y").alias("one"), F.greatest("x", "y").alias("two"))
     )
-    copies = (
-        members.select("class", F.col("id").alias("one"))
-        .join(members.select("class", F.col("id").alias("two")), "class")
-        .where("one < two")
-        .select("one", "two")
-    )
+    copies = _pairs_in_blocks(members, "class", "id", settings.get("block", BLOCK)).select(F.col("a").alias("one"), F.col("b").alias("two"))
     return across.unionByName(copies)
 
 
