@@ -21,11 +21,13 @@ STOPWORD_LISTS = {
     "relevancy": RELEVANCY_STOPWORDS,
 }
 # What is taken out of a text before its numbers are read, and the numbers.
-SOURCE_TAG = r"(?i)\[source=[^\]]*\]"
-GATE_PLACES = r"(?i)\b(page|chunk|doc|document|section|chapter)[\s_#-]*\d+(\.\d+)?"
-GATE_NUMBER = r"([-+]?\d+(?:\.\d+)?%?)"
-DOMAIN_PLACES = r"(?i)\b(page|doc|document|section|chapter|chunk)\s*#?\s*\d+(\.\d+)?"
-LIST_NUMBER = r"(^|\n)\s*\d+(\.\d+)*[.)](\s)"
+SOURCE_TAG = r"(?i)\[source=[^\]]*?chunk_id=[^\]]*?\]"
+GATE_CHUNKS = r"(?i)\bchunk[_:-]?\d+\b"
+GATE_PLACES = r"(?i)\b(page|doc|document|section|chapter)\s*#?\s*\d+(?:\.\d+)?"
+GATE_NUMBER = r"(-?\d+(?:\.\d+)?%?)"
+DOMAIN_PLACES = r"(?i)\b(page|doc|document|section|chapter|chunk)\s*#?\s*\d+(?:\.\d+)?"
+DOMAIN_PARENTHESES = r"(?i)\((?:page|doc)\s*#?\s*\d+(?:\.\d+)?\)"
+LIST_NUMBER = r"(^|\n)\s*\d+(?:\.\d+)*[.)](?=\s)"
 DOMAIN_NUMBER = r"(-?\d+(?:,\d{3})*(?:\.\d+)?%?)"
 ABBREVIATIONS = {
     "frtb": "fundamental review of the trading book",
@@ -129,16 +131,21 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def _without(c: Column, *patterns: str) -> Column:
+    for pattern in patterns:
+        c = F.regexp_replace(c, pattern, " ")
+    return c
+
+
 def numbers_gate(c: Column) -> Column:
-    """Numbers of a text for the gates: source tags and page or chunk references go first, per cent is a hundredth."""
-    t = F.regexp_replace(F.regexp_replace(text(c), SOURCE_TAG, " "), GATE_PLACES, " ")
-    return _parsed(F.regexp_extract_all(t, F.lit(GATE_NUMBER), F.lit(1)))
+    """Numbers of a text for the gates: source tags, chunk names and places go first, per cent is a hundredth."""
+    return _parsed(F.regexp_extract_all(_without(text(c), SOURCE_TAG, GATE_CHUNKS, GATE_PLACES), F.lit(GATE_NUMBER), F.lit(1)))
 
 
 def numbers_domain(c: Column) -> Column:
-    """Numbers of an answer: list numbers and references go first, thousands separators are read."""
-    t = F.regexp_replace(F.regexp_replace(text(c), DOMAIN_PLACES, " "), SOURCE_TAG, " ")
-    return _parsed(F.regexp_extract_all(F.regexp_replace(t, LIST_NUMBER, "$1 $3"), F.lit(DOMAIN_NUMBER), F.lit(1)))
+    """Numbers of an answer: places, source tags and list numbers go first, thousands separators are read."""
+    bare = _without(text(c), DOMAIN_PLACES, SOURCE_TAG, DOMAIN_PARENTHESES, LIST_NUMBER)
+    return _parsed(F.regexp_extract_all(bare, F.lit(DOMAIN_NUMBER), F.lit(1)))
 
 
 def _parsed(found: Column) -> Column:

@@ -16,21 +16,33 @@ def contains_either(a: Column, b: Column) -> Column:
 def match_judgements(retrieved: DataFrame, judged: DataFrame, by: str) -> DataFrame:
     """Retrieved rows and the judgements they satisfy, in three tiers.
 
-    ``retrieved`` has (by, position, chunk_id, source, section, content),
-    ``judged`` (by, qrel_id, chunk_id, source, section, text, relevance): equal
-    chunks; equal source and section with one text in the other; or, for a
-    judgement without a chunk, one text in the other.  Texts are squeezed.  The
-    join is on ``by``; what it pairs is bounded by the lists of one request.
+    ``retrieved`` has (by, position, chunk_id, source, section, content) and may have parent_id and expanded,
+    ``judged`` (by, qrel_id, chunk_id, source, section, text, relevance) and may have parent_id.  First equal chunks.
+    A judgement that names a source, section or parent asks for rows that agree in every one it names, and, if it names
+    a chunk too, for one text in the other; it never falls back on text alone.  A judgement of neither chunk nor place
+    asks for one text in the other.  Texts are squeezed.  The join is on ``by``; what it pairs is bounded by the lists of
+    one request.
     """
-    q = judged.select(by, "qrel_id", "relevance", *(F.col(c).alias(f"q_{c}") for c in ("chunk_id", "source", "section", "text")))
-    either = contains_either(F.col("content"), F.col("q_text"))
-    same_place = (F.col("source") == F.col("q_source")) & (F.col("section") == F.col("q_section")) & (F.col("section") != "")
+    places = ["source", "section", "parent_id"]
+    rows = retrieved.select(by, "position", *(_identifier(retrieved, c).alias(c) for c in ["chunk_id", *places]), "content", _identifier(retrieved, "expanded").alias("expanded"))
+    q = judged.select(by, "qrel_id", "relevance", *(_identifier(judged, c).alias(f"q_{c}") for c in ["chunk_id", *places]), T.text(F.col("text")).alias("q_text"))
+    either = contains_either(T.text(F.col("content")), F.col("q_text")) | contains_either(F.col("expanded"), F.col("q_text"))
+    named = F.concat(*(F.col(f"q_{c}") for c in places)) != ""
+    agree = F.lit(True)
+    for c in places:
+        agree = agree & ((F.col(f"q_{c}") == "") | (F.col(c) == F.col(f"q_{c}")))
+    loose = F.col("q_chunk_id") == ""
     tier = (
-        F.when(F.col("chunk_id") == F.col("q_chunk_id"), "chunk")
-        .when(F.col("q_chunk_id").isNotNull() & same_place & either, "place")
-        .when(F.col("q_chunk_id").isNull() & either, "text")
+        F.when(~loose & (F.col("chunk_id") == F.col("q_chunk_id")), "chunk")
+        .when(named, F.when(agree & (loose | either), "place"))
+        .when(loose & either, "text")
     )
-    return retrieved.join(q, by).withColumn("tier", tier).where("tier is not null").select(by, "position", "qrel_id", "relevance", "tier")
+    return rows.join(q, by).withColumn("tier", tier).where("tier is not null").select(by, "position", "qrel_id", "relevance", "tier")
+
+
+def _identifier(df: DataFrame, column: str) -> Column:
+    """A column without surrounding blanks, empty where null or absent."""
+    return F.trim(T.text(F.col(column))) if column in df.columns else F.lit("")
 
 
 def retrieval_metrics(retrieved: DataFrame, judged: DataFrame, matches: DataFrame, by: str, ks: tuple[int, ...]) -> DataFrame:
@@ -38,7 +50,10 @@ def retrieval_metrics(retrieved: DataFrame, judged: DataFrame, matches: DataFram
 
     Recall counts the judgements of relevance 2 and more, or all if there are
     none, by the position of their first match.  Each matched position adds the
-    gain of its best judgement; the ideal takes each judgement once.
+    gain of its best judgement; the ideal takes each judgement once.  Whether dense
+    and sparse search gave rows, whether both did and one matched, and by how many
+    places the matching row that reranking likes best stands before the one fusion
+    does, are told too.
     """
     totals = judged.groupBy(by).agg(
         F.count_if(F.col("relevance") >= 2).alias("primary"), F.count("*").alias("all"), F.array_sort(F.collect_list(-F.col("relevance"))).alias("ideal")
@@ -52,11 +67,19 @@ def retrieval_metrics(retrieved: DataFrame, judged: DataFrame, matches: DataFram
     ideal = lambda k: F.aggregate(
         F.transform(F.slice("ideal", 1, k), lambda r, i: (F.pow(F.lit(2.0), -r) - 1) / F.log2(i + 2.0)), F.lit(0.0), lambda s, x: s + x
     )
-    rows = totals.join(hits, by, "left").join(gains, by, "left")
+    kinds = retrieved.groupBy(by).agg((F.count("dense_rank") > 0).alias("dense"), (F.count("sparse_rank") > 0).alias("sparse"))
+    best = lambda score: F.max_by("position", F.struct(F.coalesce(score, F.lit(0.0)), -F.col("position")))
+    lifts = retrieved.join(gained.select(by, "position"), [by, "position"], "left_semi").groupBy(by).agg((best("rrf_score") - best("rerank_score")).alias("uplift"))
+    rows = totals.join(hits, by, "left").join(gains, by, "left").join(kinds, by, "left").join(lifts, by, "left")
+    flag = lambda c: F.coalesce(c.cast("int"), F.lit(0)).cast("double")
     bottom = F.when(F.col("primary") > 0, F.col("primary")).otherwise(F.col("all"))
     return rows.select(
         by,
         F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"),
+        flag(F.col("dense")).alias("dense_hit_rate"),
+        flag(F.col("sparse")).alias("sparse_hit_rate"),
+        flag(F.col("dense") & F.col("sparse") & F.col("first").isNotNull()).alias("hybrid_gain_rate"),
+        F.coalesce(F.col("uplift").cast("double"), F.lit(0.0)).alias("rerank_uplift"),
         *(F.coalesce(F.col(f"hits_{k}") / bottom, F.lit(0.0)).alias(f"recall_{k}") for k in ks),
         *(F.round(F.coalesce(F.col(f"dcg_{k}") / ideal(k), F.lit(0.0)), 6).alias(f"ndcg_{k}") for k in ks),
     )

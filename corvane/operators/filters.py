@@ -168,12 +168,22 @@ def expand_reason(route_: Column, rank: Column, chars: Column, signal: Column, g
     )
 
 
-def exposure_request(question: Column) -> dict[str, Column]:
-    """Desk, limit and date of an exposure question; all null unless desk and limit are named."""
+# The words and patterns of a request for an exposure.
+REQUEST_WORDS = ("desk", "delta", "exposure", "limit", "breach")
+REQUEST_DESK = r"(?i)\bdesk\s+([A-Za-z][A-Za-z0-9_\-/]*)"
+REQUEST_LIMIT = r"(?i)(?:abs\s+delta\s+limit|delta\s+limit|limit)\s*(?:=|is|of|:)?\s*([0-9][0-9,]*(?:\.\d+)?)"
+REQUEST_DATE = r"\b(20\d{2}-\d{2}-\d{2})\b"
+
+
+def exposure_request(question: Column, today: Column | None = None) -> dict[str, Column]:
+    """Desk, absolute limit and date of an exposure question; all null unless desk and limit are both named.
+
+    The date is ``today`` (the current one by default) where the question has none.
+    """
     q = T.text(question)
-    asks = T.contains_any(F.lower(q), ("exposure", "delta", "limit"))
-    desk = F.nullif(F.regexp_extract(q, r"(?:for|at|of) ([A-Z]\w+(?: [A-Z]\w+)*(?: desk| book)?)", 1), F.lit(""))
-    limit = F.regexp_replace(F.nullif(F.regexp_extract(q, r"([\d,]+(?:\.\d+)?) million", 1), F.lit("")), ",", "").try_cast("double")
-    date = F.nullif(F.regexp_extract(q, r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")).try_cast("date")
-    whole = asks & limit.isNotNull()
-    return {"desk": F.when(whole, desk), "abs_limit": F.when(whole, limit * 1e6), "as_of": F.when(whole, date)}
+    found = lambda pattern: F.nullif(F.regexp_extract(q, pattern, 1), F.lit(""))
+    desk = F.upper(found(REQUEST_DESK))
+    limit = F.regexp_replace(found(REQUEST_LIMIT), ",", "").try_cast("double")
+    asked = F.coalesce(found(REQUEST_DATE), today if today is not None else F.date_format(F.current_date(), "yyyy-MM-dd"))
+    whole = T.contains_any(F.lower(q), REQUEST_WORDS) & desk.isNotNull() & limit.isNotNull()
+    return {"desk": F.when(whole, desk), "abs_limit": F.when(whole, limit), "as_of": F.when(whole, asked)}

@@ -63,25 +63,33 @@ def sections(df: DataFrame, identifier: str, content: str) -> DataFrame:
     )
 
 
-def parents(df: DataFrame, identifier: str, content: str, source: str, file_type: str) -> DataFrame:
-    """Parent documents: the sections of Markdown with text, else the whole document."""
-    named = df.select(F.col(identifier).alias("_id"), F.col(source).alias("source"), F.col(file_type).alias("file_type"), F.col(content).alias("content"))
-    own = sections(named.where("file_type = 'md'"), "_id", "content").withColumn("text", T.strip(F.col("text"))).where("text <> ''")
-    cut = own.join(named.select("_id", "source", "file_type"), "_id").select(
-        "_id", "source", F.lit("md_section").alias("parent_type"), "section_path", "start_char", "start_line", "end_line", "text"
+def parents(df: DataFrame, identifier: str, content: str, source: str, file_type: str, page: str | None = None) -> DataFrame:
+    """Parent documents: the sections with text of Markdown that has any, else the whole document or page.
+
+    Sections come stripped, a document as it is; lines count from 1 in Markdown and are 0 elsewhere.
+    """
+    number = F.coalesce(F.col(page).cast("int"), F.lit(0)) if page else F.lit(0)
+    named = df.select(
+        F.col(identifier).alias("_id"), T.text(F.col(source)).alias("source"), F.col(file_type).alias("file_type"), number.alias("page"), T.text(F.col(content)).alias("content")
+    ).withColumn("md", (F.lower(F.trim(T.text(F.col("file_type")))) == "md") | F.lower("source").endswith(".md"))
+    own = sections(named.where("md"), "_id", "content")
+    cut = own.withColumn("text", T.strip(F.col("text"))).where("text <> ''").join(named.select("_id", "source", "file_type"), "_id").select(
+        "_id", "source", F.lit("md_section").alias("parent_type"), "section_path", "start_char", (F.col("start_line") + 1).alias("start_line"), "end_line", F.lit(0).alias("page"), "text"
     )
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     whole = named.join(own.select("_id").distinct(), "_id", "left_anti").select(
         "_id",
         "source",
-        F.when(F.col("file_type") == "md", "md_file").otherwise("doc").alias("parent_type"),
+        F.when(F.col("md"), "md_file").when(F.col("page") != 0, "pdf_page").otherwise("doc").alias("parent_type"),
         F.lit("").alias("section_path"),
-        F.lit(0).cast("bigint").alias("start_char"),
-        F.lit(0).cast("bigint").alias("start_line"),
-        F.lit(0).cast("bigint").alias("end_line"),
-        T.strip(T.text(F.col("content"))).alias("text"),
-    ).where("text <> ''")
+        none.alias("start_char"),
+        F.when(F.col("md"), one).otherwise(none).alias("start_line"),
+        F.when(F.col("md"), F.length("content") - F.length(F.replace(F.col("content"), F.lit("\n"))) + 1).otherwise(0).cast("bigint").alias("end_line"),
+        F.when(F.col("md"), 0).otherwise(F.col("page")).alias("page"),
+        F.col("content").alias("text"),
+    )
     return cut.unionByName(whole).withColumn(
-        "parent_id", T.short_sha1(F.col("source"), F.col("section_path"), F.col("start_char"), F.lit(0))
+        "parent_id", T.short_sha1(F.col("source"), F.col("section_path"), F.col("start_char"), F.col("page"))
     ).withColumnRenamed("_id", identifier)
 
 

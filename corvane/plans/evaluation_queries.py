@@ -22,48 +22,57 @@ KS = (1, 3, 5)
 # Retrieved rows in their final order, with content, and the judgements of each request: the chunks its answer
 # cites (relevance 2) and the gold texts of its item (relevance 1).
 _RETRIEVED = f"""retrieved AS (SELECT d.request_id, row_number() OVER (PARTITION BY d.request_id ORDER BY coalesce(d.rerank_score, d.coarse_score) DESC NULLS LAST, d.retrieval_id) AS position,
-    d.chunk_id, coalesce(c.source, '') AS source, trim(coalesce(c.section_path, '')) AS section, {sql_squeeze('c.page_content')} AS content FROM {DOCS} d LEFT JOIN {CHUNKS} c USING (chunk_id))"""
+    d.chunk_id, trim(coalesce(c.source, '')) AS source, trim(coalesce(c.section_path, '')) AS section, trim(coalesce(c.parent_id, '')) AS parent_id, {sql_squeeze('c.page_content')} AS content,
+    {sql_squeeze('left(p.page_content, 900)')} AS expanded, d.dense_rank, d.sparse_rank, d.rrf_score, d.rerank_score FROM {DOCS} d LEFT JOIN {CHUNKS} c USING (chunk_id) LEFT JOIN {PARENTS} p ON p.parent_id = c.parent_id)"""
 _JUDGED = f"""cited AS (SELECT DISTINCT request_id, c.chunk_id AS chunk_id FROM (SELECT request_id, unnest(citations) AS c FROM {ANSWERS}) WHERE c.chunk_id IS NOT NULL),
   gold AS (SELECT DISTINCT a.request_id, {sql_squeeze('g')} AS text FROM {ANSWERS} a JOIN (SELECT id, unnest(ground_truth_contexts) AS g FROM {ITEMS}) q ON q.id = a.item_id),
-  judged AS (SELECT c.request_id, 'chunk ' || c.chunk_id AS qrel_id, c.chunk_id, coalesce(k.source, '') AS source, trim(coalesce(k.section_path, '')) AS section, {sql_squeeze('k.page_content')} AS text, 2 AS relevance FROM cited c LEFT JOIN {CHUNKS} k USING (chunk_id)
-    UNION ALL SELECT request_id, 'text ' || md5(text), NULL, '', '', text, 1 FROM gold WHERE text <> '')"""
-_MATCHES = """matches AS (SELECT request_id, position, qrel_id, relevance, tier FROM (SELECT r.request_id, r.position, j.qrel_id, j.relevance,
+  by_chunk AS (SELECT c.request_id, 'chunk ' || c.chunk_id AS qrel_id, c.chunk_id, trim(coalesce(k.source, '')) AS source, trim(coalesce(k.section_path, '')) AS section, trim(coalesce(k.parent_id, '')) AS parent_id, {sql_squeeze('k.page_content')} AS text, 2 AS relevance FROM cited c LEFT JOIN {CHUNKS} k USING (chunk_id)),
+  judged AS (SELECT * FROM by_chunk UNION ALL SELECT DISTINCT request_id, 'place ' || md5(source || '|' || section), NULL, source, section, '', 'not looked at', 1 FROM by_chunk WHERE source <> ''
+    UNION ALL SELECT request_id, 'text ' || md5(text), NULL, '', '', '', text, 1 FROM gold WHERE text <> '')"""
+_EITHER = "j.text <> '' AND (r.content <> '' AND (contains(r.content, j.text) OR contains(j.text, r.content)) OR r.expanded <> '' AND (contains(r.expanded, j.text) OR contains(j.text, r.expanded)))"
+_MATCHES = f"""matches AS (SELECT request_id, position, qrel_id, relevance, tier FROM (SELECT r.request_id, r.position, j.qrel_id, j.relevance,
     CASE WHEN r.chunk_id = j.chunk_id THEN 'chunk'
-      WHEN j.chunk_id IS NOT NULL AND r.source = j.source AND r.section = j.section AND r.section <> '' AND r.content <> '' AND j.text <> '' AND (contains(r.content, j.text) OR contains(j.text, r.content)) THEN 'place'
-      WHEN j.chunk_id IS NULL AND r.content <> '' AND j.text <> '' AND (contains(r.content, j.text) OR contains(j.text, r.content)) THEN 'text' END AS tier
+      WHEN j.source || j.section || j.parent_id <> '' THEN CASE WHEN (j.source = '' OR j.source = r.source) AND (j.section = '' OR j.section = r.section) AND (j.parent_id = '' OR j.parent_id = r.parent_id)
+        AND (j.chunk_id IS NULL OR ({_EITHER})) THEN 'place' END
+      WHEN j.chunk_id IS NULL AND ({_EITHER}) THEN 'text' END AS tier
     FROM retrieved r JOIN judged j USING (request_id)) WHERE tier IS NOT NULL)"""
 _WITH = f"WITH {_RETRIEVED}, {_JUDGED}, {_MATCHES}"
 
 
+def _placed_texts(spark, sf_dir, name: str):
+    return _chunks(spark, sf_dir).select(
+        "chunk_id", *(F.trim(T.text(F.col(c))).alias(n) for c, n in (("source", "source"), ("section_path", "section"), ("parent_id", "parent_id"))), T.squeeze(F.col("page_content")).alias(name)
+    )
+
+
 def _retrieved(spark, sf_dir):
     place = Window.partitionBy("request_id").orderBy(F.desc_nulls_last(F.coalesce("rerank_score", "coarse_score")), "retrieval_id")
-    rows = _docs(spark, sf_dir, "request_id", "chunk_id", "rerank_score", "coarse_score").select("request_id", "chunk_id", F.row_number().over(place).cast("bigint").alias("position"))
-    texts = _chunks(spark, sf_dir).select(
-        "chunk_id", T.text(F.col("source")).alias("source"), F.trim(T.text(F.col("section_path"))).alias("section"), T.squeeze(F.col("page_content")).alias("content")
-    )
-    return rows.join(texts, "chunk_id", "left").fillna("", ["source", "section", "content"])
+    scores = ["dense_rank", "sparse_rank", "rrf_score", "rerank_score"]
+    rows = _docs(spark, sf_dir, "request_id", "chunk_id", "coarse_score", *scores).select("request_id", "chunk_id", *scores, F.row_number().over(place).cast("bigint").alias("position"))
+    parents = _parents(spark, sf_dir).select("parent_id", T.squeeze(F.substring("page_content", 1, 900)).alias("expanded"))
+    texts = _placed_texts(spark, sf_dir, "content").join(parents, "parent_id", "left")
+    return rows.join(texts, "chunk_id", "left").fillna("", ["source", "section", "parent_id", "content", "expanded"])
 
 
 def _judged(spark, sf_dir):
+    """Judgements of each request: the chunks its answer cites, the places of these, and the gold texts of its item."""
     answers, items = _answers(spark, sf_dir), _items(spark, sf_dir)
     cited = answers.select("request_id", F.explode("citations.chunk_id").alias("chunk_id")).where("chunk_id is not null").distinct()
-    texts = _chunks(spark, sf_dir).select(
-        "chunk_id", T.text(F.col("source")).alias("source"), F.trim(T.text(F.col("section_path"))).alias("section"), T.squeeze(F.col("page_content")).alias("text")
-    )
-    by_chunk = cited.join(texts, "chunk_id", "left").fillna("", ["source", "section", "text"]).select(
-        "request_id", F.concat(F.lit("chunk "), "chunk_id").alias("qrel_id"), "chunk_id", "source", "section", "text", F.lit(2).alias("relevance")
+    by_chunk = cited.join(_placed_texts(spark, sf_dir, "text"), "chunk_id", "left").fillna("", ["source", "section", "parent_id", "text"]).select(
+        "request_id", F.concat(F.lit("chunk "), "chunk_id").alias("qrel_id"), "chunk_id", "source", "section", "parent_id", "text", F.lit(2).alias("relevance")
     )
+    digest = lambda c: F.md5(c.cast("binary"))
+    none = F.lit(None).cast("string")
+    by_place = by_chunk.where("source <> ''").select("request_id", "source", "section").distinct().select(
+        "request_id", F.concat(F.lit("place "), digest(F.concat_ws("|", "source", "section"))).alias("qrel_id"), none.alias("chunk_id"), "source", "section",
+        F.lit("").alias("parent_id"), F.lit("not looked at").alias("text"), F.lit(1).alias("relevance"),
+    )
     gold = items.select(F.col("id").alias("item_id"), F.explode("ground_truth_contexts").alias("g")).select("item_id", T.squeeze(F.col("g")).alias("text"))
     by_text = answers.select("request_id", "item_id").join(gold, "item_id").where("text <> ''").select("request_id", "text").distinct().select(
-        "request_id",
-        F.concat(F.lit("text "), F.md5(F.col("text").cast("binary"))).alias("qrel_id"),
-        F.lit(None).cast("string").alias("chunk_id"),
-        F.lit("").alias("source"),
-        F.lit("").alias("section"),
-        "text",
-        F.lit(1).alias("relevance"),
-    )
-    return by_chunk.unionByName(by_text)
+        "request_id", F.concat(F.lit("text "), digest(F.col("text"))).alias("qrel_id"), none.alias("chunk_id"),
+        *(F.lit("").alias(c) for c in ("source", "section", "parent_id")), "text", F.lit(1).alias("relevance"),
+    )
+    return by_chunk.unionByName(by_place).unionByName(by_text)
 
 
 def _matched(spark, sf_dir):
@@ -251,8 +260,11 @@ _METRICS = _WITH + """, totals AS (SELECT request_id, count(*) FILTER (relevance
   hits AS (SELECT f.request_id, count(*) FILTER (position <= 1) AS h1, count(*) FILTER (position <= 3) AS h3, count(*) FILTER (position <= 5) AS h5 FROM first f JOIN totals t USING (request_id) WHERE prim = 0 OR relevance >= 2 GROUP BY f.request_id),
   pos AS (SELECT request_id, position, max(relevance) AS relevance FROM matches GROUP BY request_id, position),
   gains AS (SELECT request_id, min(position) AS first, """ + ", ".join(f"sum(CASE WHEN position <= {k} THEN (pow(2, relevance) - 1) / log2(position + 1) ELSE 0 END) AS d{k}" for k in KS) + """ FROM pos GROUP BY request_id),
-  per AS (SELECT t.request_id, coalesce(1.0 / first, 0.0) AS mrr, """ + ", ".join(f"coalesce(h{k} / CASE WHEN prim > 0 THEN prim ELSE every END, 0.0) AS recall_{k}" for k in KS) + ", " + ", ".join(
-    f"round(coalesce(d{k} / list_sum(list_transform(ideal[1:{k}], lambda r, i: (pow(2, r) - 1) / log2(i + 1))), 0.0), 6) AS ndcg_{k}" for k in KS) + " FROM totals t LEFT JOIN hits USING (request_id) LEFT JOIN gains USING (request_id))"
+  kinds AS (SELECT request_id, count(dense_rank) > 0 AS dense, count(sparse_rank) > 0 AS sparse FROM retrieved GROUP BY request_id),
+  lifts AS (SELECT request_id, arg_max(position, (coalesce(rrf_score, 0.0), -position)) - arg_max(position, (coalesce(rerank_score, 0.0), -position)) AS uplift FROM retrieved SEMI JOIN matches USING (request_id, position) GROUP BY request_id),
+  per AS (SELECT t.request_id, coalesce(1.0 / first, 0.0) AS mrr, CAST(coalesce(dense, false) AS INT) AS dense_hit_rate, CAST(coalesce(sparse, false) AS INT) AS sparse_hit_rate,
+    CAST(coalesce(dense AND sparse AND first IS NOT NULL, false) AS INT) AS hybrid_gain_rate, coalesce(uplift, 0) AS rerank_uplift, """ + ", ".join(f"coalesce(h{k} / CASE WHEN prim > 0 THEN prim ELSE every END, 0.0) AS recall_{k}" for k in KS) + ", " + ", ".join(
+    f"round(coalesce(d{k} / list_sum(list_transform(ideal[1:{k}], lambda r, i: (pow(2, r) - 1) / log2(i + 1))), 0.0), 6) AS ndcg_{k}" for k in KS) + " FROM totals t LEFT JOIN hits USING (request_id) LEFT JOIN gains USING (request_id) LEFT JOIN kinds USING (request_id) LEFT JOIN lifts USING (request_id))"
 
 
 def _metrics(spark, sf_dir):
@@ -260,10 +272,10 @@ def _metrics(spark, sf_dir):
     return E.retrieval_metrics(retrieved, judged, matches, "request_id", KS)
 
 
-_NAMES = ["mrr", *(f"recall_{k}" for k in KS), *(f"ndcg_{k}" for k in KS)]
+_NAMES = ["mrr", "dense_hit_rate", "sparse_hit_rate", "hybrid_gain_rate", "rerank_uplift", *(f"recall_{k}" for k in KS), *(f"ndcg_{k}" for k in KS)]
 
 
-@register("agg1_retrieval_metrics", _METRICS + " SELECT request_id, round(mrr, 6) AS mrr, " + ", ".join(f"round({n}, 6) AS {n}" for n in _NAMES[1:]) + " FROM per")
+@register("agg1_retrieval_metrics", _METRICS + " SELECT request_id, " + ", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in _NAMES) + " FROM per")
 def agg1(spark, sf_dir):
     return _metrics(spark, sf_dir).select("request_id", *(F.round(n, 6).alias(n) for n in _NAMES))
 
@@ -285,7 +297,7 @@ def agg2(spark, sf_dir):
     return sliced.groupBy("tag").agg(F.count("*").alias("requests"), *(F.round(F.avg(n), 6).alias(n) for n in _NAMES))
 
 
-_LABELLED = f"SELECT a.request_id, a.status <> 'ok' AS blocked, a.failure_reason, {sql_strip(chr(99) + 'oalesce(i.reference_answer, ' + chr(39) * 2 + ')')} = '' AS should_block, i.id IS NOT NULL AS labelled FROM {ANSWERS} a LEFT JOIN {ITEMS} i ON i.id = a.item_id"
+_LABELLED = f"SELECT a.request_id, a.status <> 'ok' AS blocked, a.failure_reason, {sql_strip("coalesce(i.reference_answer, '')")} = '' AS should_block, i.id IS NOT NULL AS labelled FROM {ANSWERS} a LEFT JOIN {ITEMS} i ON i.id = a.item_id"
 
 
 def _labelled(spark, sf_dir):

@@ -52,18 +52,28 @@ def prj1(spark, sf_dir):
     return found.select("page_id", "ordinal", "section_path", "start_line", "end_line", "start_char", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def _sources_of_parents(spark, sf_dir):
+    """Loaded pages, and the pages of PDF files, as documents with a page number."""
+    pages = table(spark, sf_dir, "web_docs").select(F.col("page_id").cast("string").alias("doc"), "source", "file_type", F.lit(0).alias("page"), "page_content").dropDuplicates(["doc"])
+    pdf = _parents(spark, sf_dir).where("file_type = 'pdf'").select(F.col("parent_id").alias("doc"), "source", "file_type", "page", "page_content")
+    return pages.unionByName(pdf)
+
+
 @register(
     "prj2_parents",
     _SECTIONS
-    + rf""", named AS (SELECT DISTINCT page_id, source, file_type, page_content FROM web_docs WHERE file_type = 'md'),
-    cut AS (SELECT s.page_id, n.source, 'md_section' AS parent_type, section_path, start_char, start_line, end_line, {sql_strip('text')} AS text FROM sections s JOIN named n USING (page_id) WHERE {sql_strip('text')} <> ''),
-    whole AS (SELECT page_id, source, 'md_file' AS parent_type, '' AS section_path, 0 AS start_char, 0 AS start_line, 0 AS end_line, {sql_strip("coalesce(page_content, '')")} AS text FROM named WHERE page_id NOT IN (SELECT page_id FROM cut) AND {sql_strip("coalesce(page_content, '')")} <> '')
-    SELECT page_id, parent_type, section_path, end_line, left(sha1(concat_ws(':', source, section_path, CAST(start_char AS BIGINT), 0)), 12) AS parent_id, length(text) AS n_chars
+    + rf""", named AS (SELECT DISTINCT CAST(page_id AS VARCHAR) AS doc, page_id, source, file_type, 0 AS page, coalesce(page_content, '') AS content FROM web_docs
+      UNION ALL SELECT parent_id, NULL, source, file_type, coalesce(page, 0), coalesce(page_content, '') FROM {PARENTS} WHERE file_type = 'pdf'),
+    cut AS (SELECT n.doc, n.source, 'md_section' AS parent_type, section_path, CAST(start_char AS BIGINT) AS start_char, start_line + 1 AS start_line, end_line, 0 AS page, {sql_strip('text')} AS text FROM sections s JOIN named n USING (page_id) WHERE {sql_strip('text')} <> ''),
+    whole AS (SELECT doc, source, CASE WHEN md THEN 'md_file' WHEN page <> 0 THEN 'pdf_page' ELSE 'doc' END AS parent_type, '' AS section_path, 0 AS start_char, CASE WHEN md THEN 1 ELSE 0 END AS start_line,
+        CASE WHEN md THEN length(content) - length(replace(content, chr(10), '')) + 1 ELSE 0 END AS end_line, CASE WHEN md THEN 0 ELSE page END AS page, content AS text
+      FROM (SELECT *, lower(trim(coalesce(file_type, ''))) = 'md' OR lower(coalesce(source, '')) LIKE '%.md' AS md FROM named WHERE doc NOT IN (SELECT CAST(page_id AS VARCHAR) FROM sections)))
+    SELECT doc, parent_type, section_path, start_line, end_line, page, left(sha1(concat_ws(':', coalesce(source, ''), section_path, start_char, page)), 12) AS parent_id, length(text) AS n_chars
     FROM (SELECT * FROM cut UNION ALL SELECT * FROM whole)""",
 )
 def prj2(spark, sf_dir):
-    found = I.parents(_pages(spark, sf_dir), "page_id", "page_content", "source", "file_type")
-    return found.select("page_id", "parent_type", "section_path", "end_line", "parent_id", F.length("text").cast("bigint").alias("n_chars"))
+    found = I.parents(_sources_of_parents(spark, sf_dir), "doc", "page_content", "source", "file_type", "page")
+    return found.select("doc", "parent_type", "section_path", "start_line", "end_line", "page", "parent_id", F.length("text").cast("bigint").alias("n_chars"))
 
 
 @register("prj3_recursive_chunks")
@@ -300,7 +310,7 @@ def prj22(spark, sf_dir):
     return claims(_answers(spark, sf_dir))
 
 
-@register("flt1_min_length", f"SELECT chunk_id FROM {CHUNKS} WHERE length({sql_strip(chr(99) + 'oalesce(page_content, ' + chr(39) * 2 + ')')}) >= 80", once=True)
+@register("flt1_min_length", f"SELECT chunk_id FROM {CHUNKS} WHERE length({sql_strip("coalesce(page_content, '')")}) >= 80", once=True)
 def flt1(spark, sf_dir):
     return _chunk_rows(spark, sf_dir).where(P.long_enough(F.col("page_content"), 80)).select("chunk_id")
 
@@ -349,7 +359,7 @@ SQL_ROUTE = r"""CASE WHEN regexp_matches({0}, '\b(vs|compare|difference)\b') OR
     WHEN regexp_matches({0}, '\b(compute|calculation|calculate|formula)\b') OR contains({0}, '怎么算') OR contains({0}, '公式') THEN 'procedure' ELSE 'default' END"""
 
 
-@register("flt6_route", f"SELECT id, {SQL_ROUTE.format(chr(108) + 'ower(question)')} AS route FROM {ITEMS}", once=True)
+@register("flt6_route", f"SELECT id, {SQL_ROUTE.format("lower(question)")} AS route FROM {ITEMS}", once=True)
 def flt6(spark, sf_dir):
     return _item_rows(spark, sf_dir).select("id", P.route(F.col("question")).alias("route"))
 
@@ -357,7 +367,7 @@ def flt6(spark, sf_dir):
 SQL_TYPE = f"CASE WHEN {_any('{0}', P.TYPE_NUMERIC)} THEN 'numeric' WHEN {_any('{0}', P.TYPE_COMPARE)} THEN 'compare' WHEN {_any('{0}', P.TYPE_PROCEDURE)} THEN 'procedure' WHEN {_any('{0}', P.TYPE_DEFINITION)} THEN 'definition' ELSE 'default' END"
 
 
-@register("flt7_question_type", f"SELECT id, {SQL_TYPE.format(chr(108) + 'ower(question)')} AS kind FROM {ITEMS}", once=True)
+@register("flt7_question_type", f"SELECT id, {SQL_TYPE.format("lower(question)")} AS kind FROM {ITEMS}", once=True)
 def flt7(spark, sf_dir):
     return _item_rows(spark, sf_dir).select("id", P.question_type(F.col("question")).alias("kind"))
 
@@ -443,13 +453,22 @@ def flt15(spark, sf_dir):
     return _answers(spark, sf_dir).join(wanted, "item_id", "left_semi").select("request_id")
 
 
+# questions of the table name no desk with a limit, so each is also asked with both, in turn written in every way
+_ASKED = """SELECT id, 'as is' AS form, coalesce(question, '') AS q FROM {0} UNION ALL
+  SELECT id, 'composed', coalesce(question, '') || CASE length(coalesce(question, '')) % 5 WHEN 0 THEN ' Is desk rates/eu-1 over its abs delta limit of 1,250,000.5 on 2024-03-07?'
+    WHEN 1 THEN ' Desk FX_spot, limit = 40' WHEN 2 THEN ' delta limit: 7,5 for the credit desk' WHEN 3 THEN ' What is the limit of 5 million?' ELSE ' breach at DESK  Equity limit is 12.75 as of 1999-01-31' END FROM {0}"""
+
+
 @register(
     "flt16_exposure_requests",
-    rf"""SELECT id, CASE WHEN ok THEN nullif(regexp_extract(q, '(?:for|at|of) ([A-Z]\w+(?: [A-Z]\w+)*(?: desk| book)?)', 1), '') END AS desk, CASE WHEN ok THEN l * 1e6 END AS abs_limit,
-        CASE WHEN ok THEN try_cast(nullif(regexp_extract(q, '(\d{{4}}-\d{{2}}-\d{{2}})', 1), '') AS DATE) END AS as_of FROM (
-        SELECT id, q, l, {_any('lower(q)', ('exposure', 'delta', 'limit'))} AND l IS NOT NULL AS ok FROM (SELECT id, coalesce(question, '') AS q, try_cast(replace(nullif(regexp_extract(question, '([\d,]+(?:\.\d+)?) million', 1), ''), ',', '') AS DOUBLE) AS l FROM {ITEMS}))""",
-    once=True,
+    rf"""SELECT id, form, CASE WHEN ok THEN desk END AS desk, CASE WHEN ok THEN lim END AS abs_limit, CASE WHEN ok THEN coalesce(nullif(regexp_extract(q, '\b(20\d{{2}}-\d{{2}}-\d{{2}})\b', 1), ''), '2024-01-31') END AS as_of
+        FROM (SELECT *, desk IS NOT NULL AND lim IS NOT NULL AND {_any('lower(q)', ('desk', 'delta', 'exposure', 'limit', 'breach'))} AS ok FROM (
+          SELECT id, form, q, upper(nullif(regexp_extract(q, '\bdesk\s+([A-Za-z][A-Za-z0-9_\-/]*)', 1, 'i'), '')) AS desk,
+            try_cast(replace(nullif(regexp_extract(q, '(?:abs\s+delta\s+limit|delta\s+limit|limit)\s*(?:=|is|of|:)?\s*([0-9][0-9,]*(?:\.\d+)?)', 1, 'i'), ''), ',', '') AS DOUBLE) AS lim
+          FROM ({_ASKED.format(ITEMS)})))""",
 )
 def flt16(spark, sf_dir):
-    made = P.exposure_request(F.col("question"))
-    return _item_rows(spark, sf_dir).select("id", *(c.alias(n) for n, c in made.items()))
+    _items(spark, sf_dir).select("id", "question").createOrReplaceTempView("asked_items")
+    rows = spark.sql(_ASKED.format("asked_items"))
+    made = P.exposure_request(F.col("q"), F.lit("2024-01-31"))
+    return rows.select("id", "form", *(c.alias(n) for n, c in made.items()))

@@ -169,12 +169,38 @@ def str8(spark, sf_dir):
 
 
 _PARSE = "list_filter(list_transform({0}, lambda m: CASE WHEN m LIKE '%\\%' ESCAPE '\\' THEN try_cast(regexp_replace(m, '[,%]', '', 'g') AS DOUBLE) / 100.0 ELSE try_cast(regexp_replace(m, '[,%]', '', 'g') AS DOUBLE) END), lambda v: v IS NOT NULL)"
-SQL_GATE_NUMBERS = _PARSE.format(
-    r"regexp_extract_all(regexp_replace(regexp_replace(coalesce({0}, ''), '\[source=[^\]]*\]', ' ', 'gi'), '\b(page|chunk|doc|document|section|chapter)[\s_#-]*\d+(\.\d+)?', ' ', 'gi'), '[-+]?\d+(?:\.\d+)?%?')"
-)
-SQL_DOMAIN_NUMBERS = _PARSE.format(
-    r"regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '\b(page|doc|document|section|chapter|chunk)\s*#?\s*\d+(\.\d+)?', ' ', 'gi'), '\[source=[^\]]*\]', ' ', 'gi'), '(^|\n)\s*\d+(\.\d+)*[.)](\s)', '\1 \3', 'g'), '-?\d+(?:,\d{{3}})*(?:\.\d+)?%?')"
-)
+_NO_TAG = r"regexp_replace({0}, '\[source=[^\]]*?chunk_id=[^\]]*?\]', ' ', 'gi')"
+_NO_PLACE = r"regexp_replace({0}, '\b(page|doc|document|section|chapter)\s*#?\s*\d+(?:\.\d+)?', ' ', 'gi')"
+_NO_DOMAIN_PLACE = r"regexp_replace({0}, '\b(page|doc|document|section|chapter|chunk)\s*#?\s*\d+(?:\.\d+)?', ' ', 'gi')"
+# the stop after a list number belongs to the next match too, which takes a second pass without look-ahead
+_NO_LIST = r"regexp_replace({0}, '(^|\n)\s*\d+(?:\.\d+)*[.)](\s)', ' \2', 'g')"
+
+
+def _sql_gate(report: str) -> str:
+    chunks = rf"regexp_replace({_NO_TAG.format(f"coalesce({report}, '')")}, '\bchunk[_:-]?\d+\b', ' ', 'gi')"
+    return _PARSE.format(rf"regexp_extract_all({_NO_PLACE.format(chunks)}, '-?\d+(?:\.\d+)?%?')")
+
+
+def _sql_domain(report: str) -> str:
+    bare = _NO_TAG.format(_NO_DOMAIN_PLACE.format(f"coalesce({report}, '')"))
+    bare = rf"regexp_replace({bare}, '\((page|doc)\s*#?\s*\d+(?:\.\d+)?\)', ' ', 'gi')"
+    return _PARSE.format(rf"regexp_extract_all({_NO_LIST.format(_NO_LIST.format(bare))}, '-?\d+(?:,\d{{3}})*(?:\.\d+)?%?')")
+
+
+class _Template:
+    """SQL with a place for an expression, filled by ``format`` like a text."""
+
+    def __init__(self, make):
+        self.format = make
+
+
+SQL_GATE_NUMBERS = _Template(_sql_gate)
+SQL_DOMAIN_NUMBERS = _Template(_sql_domain)
+_PROBES = [
+    (1, "chunk:12 and section-3 and [source=x] 7"), (2, "50% of 3.5, see chunk_12 on page 3 [source=a chunk_id=b7]"), (3, "1. first 1,250\n2) second (page 4) -7\n3.1. third 12%"),
+    (4, "chunk-9 chunk9 chunk 9 Doc #4.2 +5"), (5, ""), (6, None),
+]
+_PROBES_SQL = "(VALUES " + ", ".join(f"({i}, {'NULL' if t is None else chr(39) + t.replace(chr(39), chr(39) * 2) + chr(39)})" for i, t in _PROBES) + ") t(id, report)"
 
 
 @register("num1_gate_numbers", f"SELECT request_id, unnest({SQL_GATE_NUMBERS.format('report')}) AS number FROM {ANSWERS}")
@@ -182,11 +208,22 @@ def num1(spark, sf_dir):
     return _answers(spark, sf_dir).select("request_id", F.explode(T.numbers_gate(F.col("report"))).alias("number"))
 
 
+@register("num1_marked_numbers", f"SELECT id, unnest({SQL_GATE_NUMBERS.format('report')}) AS number FROM {_PROBES_SQL}")
+def num1_marked(spark, sf_dir):
+    """Numbers beside chunk names, places and source tags, which the tables hardly have."""
+    return spark.createDataFrame(_PROBES, "id int, report string").select("id", F.explode(T.numbers_gate(F.col("report"))).alias("number"))
+
+
 @register("num2_domain_numbers", f"SELECT request_id, unnest({SQL_DOMAIN_NUMBERS.format('report')}) AS number FROM {ANSWERS}")
 def num2(spark, sf_dir):
     return _answers(spark, sf_dir).select("request_id", F.explode(T.numbers_domain(F.col("report"))).alias("number"))
 
 
+@register("num2_marked_numbers", f"SELECT id, unnest({SQL_DOMAIN_NUMBERS.format('report')}) AS number FROM {_PROBES_SQL}")
+def num2_marked(spark, sf_dir):
+    return spark.createDataFrame(_PROBES, "id int, report string").select("id", F.explode(T.numbers_domain(F.col("report"))).alias("number"))
+
+
 @register("num3_json_numbers", "SELECT event_id, try_cast(unnest(json_extract_string(props, '$.*')) AS DOUBLE) AS number FROM events WHERE props IS NOT NULL")
 def num3(spark, sf_dir):
     rows = table(spark, sf_dir, "events").where("props is not null")

@@ -143,22 +143,49 @@ def test_config_expansion_never_shrinks():
 
 
 JUDGEMENTS = [
-    # same chunk, unrelated text; drifted chunk in the same place; same text elsewhere; text only
-    ("r1", ("c1", "s", "p", "alpha"), ("c1", "s", "p", "omega"), "chunk"),
-    ("r2", ("c1", "s", "p", "alpha beta"), ("c2", "s", "p", "alpha"), "place"),
-    ("r3", ("c1", "s", "p", "alpha"), ("c2", "s", "other", "alpha"), None),
-    ("r4", ("c1", "s", "p", "alpha beta"), (None, "", "", "beta"), "text"),
+    # (chunk, source, section, parent, content, expanded) against (chunk, source, section, parent, text)
+    ("chunk wins over text", ("c1", "s", "p", "", "alpha", ""), ("c1", "s", "p", "", "omega"), "chunk"),
+    ("a place without a chunk asks for no text", ("c1", "s", "p", "", "alpha", ""), (None, "s", "p", "", "omega"), "place"),
+    ("no way back to text from a place", ("c1", "s", "other", "", "alpha", ""), (None, "s", "p", "", "alpha"), None),
+    ("drifted chunk in its place", ("c1", "s", "p", "", "alpha beta", ""), ("c2", "s", "p", "", "alpha"), "place"),
+    ("drifted chunk elsewhere", ("c1", "s", "p", "", "alpha", ""), ("c2", "s", "other", "", "alpha"), None),
+    ("drifted chunk, other text", ("c1", "s", "p", "", "alpha", ""), ("c2", "s", "p", "", "omega"), None),
+    ("text only", ("c1", "s", "p", "", "alpha beta", ""), (None, "", "", "", "beta"), "text"),
+    ("expanded text", ("c1", "s", "p", "", "gamma", "alpha beta"), (None, "", None, None, "beta"), "text"),
+    ("parent named", ("c1", "s", "p", "q1", "alpha", ""), (None, "", "", "q1", ""), "place"),
+    ("other parent", ("c1", "s", "p", "q2", "alpha", ""), (None, "s", "p", "q1", "alpha"), None),
+    ("lost chunk without a place", ("c1", "s", "p", "", "alpha", ""), ("c2", "", "", "", "alpha"), None),
+    ("nothing named", ("c1", "s", "p", "", "alpha", ""), (None, None, None, None, None), None),
 ]
 
 
 def test_judgement_tiers(spark):
-    schema = "request_id string, {} , chunk_id string, source string, section string, {} string"
-    got = spark.createDataFrame([(r, 1, *g) for r, g, _, _ in JUDGEMENTS], schema.format("position int", "content"))
-    want = spark.createDataFrame([(r, f"{r}q", *q, 1) for r, _, q, _ in JUDGEMENTS], schema.format("qrel_id string", "text") + ", relevance int")
+    place = "chunk_id string, source string, section string, parent_id string"
+    got = spark.createDataFrame([(r, 1, *g) for r, g, _, _ in JUDGEMENTS], f"request_id string, position int, {place}, content string, expanded string")
+    want = spark.createDataFrame([(r, f"{r}q", *q, 1) for r, _, q, _ in JUDGEMENTS], f"request_id string, qrel_id string, {place}, text string, relevance int")
     tiers = {m.request_id: m.tier for m in E.match_judgements(got, want, "request_id").collect()}
     assert tiers == {r: t for r, _, _, t in JUDGEMENTS if t}
 
 
+def test_exposure_request(spark):
+    asked = lambda q: tuple(one(spark, F.struct(*P.exposure_request(F.col("t"), F.lit("2024-01-31")).values()), "t string", q))
+    assert asked("Show exposure for desk Rates with limit 5,000 as of 2024-02-03") == ("RATES", 5000.0, "2024-02-03")
+    assert asked("DESK fx/spot: abs delta limit=12.5") == ("FX/SPOT", 12.5, "2024-01-31")
+    assert asked("What is the limit of 5 million?") == asked("desk Rates?") == asked(None) == (None, None, None)
+
+
+def test_parents_of_every_kind(spark):
+    rows = [
+        ("a", "x/a.md", "md", 0, "# One\ntext\n\n## Two\n \n"), ("b", "x/b.md", None, 0, "no heading\n"), ("c", "x/c.pdf", "pdf", 7, " page "), ("d", "x/d.docx", "docx", None, None),
+    ]
+    df = spark.createDataFrame(rows, "doc string, source string, file_type string, page int, content string")
+    got = {(r.doc, r.parent_type, r.section_path, r.start_line, r.end_line, r.page, r.text) for r in I.parents(df, "doc", "content", "source", "file_type", "page").collect()}
+    assert got == {
+        ("a", "md_section", "One", 1, 3, 0, "# One\ntext"), ("a", "md_section", "One / Two", 4, 6, 0, "## Two"),
+        ("b", "md_file", "", 1, 2, 0, "no heading\n"), ("c", "pdf_page", "", 0, 0, 7, " page "), ("d", "doc", "", 0, 0, 0, ""),
+    }
+
+
 def test_metric_diff_and_thresholds(spark):
     schema = "metric string, value double"
     now = spark.createDataFrame([("retrieval_recall_at_5", 0.8), ("error_rate", 0.2), ("hallucination_rate_in_citations", 0.4), ("cache_hit_rate", 0.9)], schema)
