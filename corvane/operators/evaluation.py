@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators import filters as P
+from corvane.session import materialize
 
 
 def contains_either(a: Column, b: Column) -> Column:
@@ -146,30 +148,46 @@ def refusal_gate(docs: Column, evidence: Column, report: Column) -> Column:
     )
 
 
-def evidence_gate(claims: DataFrame, links: DataFrame, evidence: DataFrame, by: str) -> DataFrame:
+def link_claims(claims: DataFrame, evidence: DataFrame, by: str, most: int = 3) -> DataFrame:
+    """Evidence of each claim, as (by, ordinal, evidence_id, common, ratio, numbers).
+
+    ``claims`` (by, ordinal, claim, cited), ``evidence`` (by, evidence_id, chunk_id, snippet).  The evidence of the
+    chunks a claim cites, else the ``most`` with the largest token overlap, else the first.  Tokens and numbers are
+    read once a claim and once an evidence; ``common`` is the overlap, ``ratio`` its share of the claim's tokens,
+    ``numbers`` whether the evidence has the claim's numbers.  Claims of a request without evidence keep one row with a
+    null ``evidence_id``.  What is paired is bounded by the lists of one request.
+    """
+    own = claims.select(by, "ordinal", T.token_set_b(F.col("claim")).alias("toks"), T.numbers_gate(F.col("claim")).alias("nums"), "cited")
+    given = evidence.select(by, "evidence_id", "chunk_id", T.token_set_b(F.col("snippet")).alias("seen"), T.numbers_gate(F.col("snippet")).alias("values"))
+    # of several evidences of a chunk the last counts for its citation
+    last = F.row_number().over(Window.partitionBy(by, "chunk_id").orderBy(F.desc("evidence_id"))) == 1
+    met = own.join(given.withColumn("last", last), by, "left")
+    scored = met.select(
+        by, "ordinal", "evidence_id",
+        F.when(F.col("evidence_id").isNotNull(), T.overlap(F.col("toks"), F.col("seen"))).alias("common"),
+        F.size("toks").alias("size"),
+        numbers_supported(F.col("nums"), F.coalesce("values", F.array().cast("array<double>"))).alias("numbers"),
+        (F.col("last") & F.array_contains("cited", F.col("chunk_id"))).alias("named"),
+    )
+    group = Window.partitionBy(by, "ordinal")
+    ranked = scored.withColumn("place", F.row_number().over(group.orderBy(F.desc("common"), "evidence_id"))).withColumn("any", F.max(F.coalesce("named", F.lit(False))).over(group))
+    kept = F.when(F.col("any"), F.col("named")).otherwise((F.col("place") == 1) | ((F.col("common") > 0) & (F.col("place") <= most)))
+    return ranked.where(kept).select(by, "ordinal", "evidence_id", "common", T.share(F.col("common"), F.col("size")).alias("ratio"), "numbers")
+
+
+def evidence_gate(links: DataFrame, evidence: DataFrame, by: str) -> DataFrame:
     """The first failure of each request: (by, category); requests that pass are left out.
 
-    ``claims`` (by, ordinal, claim), ``links`` (by, ordinal, evidence_id),
-    ``evidence`` (by, evidence_id, snippet, complete).  Incomplete evidence comes
-    first, then the first failing claim in order: unlinked, linked to nothing, not
+    ``links`` as of ``link_claims``, ``evidence`` (by, complete).  Incomplete
+    evidence comes first, then the first failing claim in order: unlinked, not
     supported by any link, or with numbers no link supports.
     """
     incomplete = evidence.where(~F.col("complete")).select(by).distinct().select(by, F.lit(-1).cast("bigint").alias("ordinal"), F.lit("evidence_incomplete").alias("category"))
-    joined = claims.join(links, [by, "ordinal"], "left").join(evidence.select(by, "evidence_id", "snippet"), [by, "evidence_id"], "left")
-    own, other = T.token_set_b(F.col("claim")), T.token_set_b(F.col("snippet"))
-    scored = joined.withColumn("common", T.overlap(own, other)).withColumn("ratio", overlap_ratio(own, other)).withColumn(
-        "numbers", numbers_supported(T.numbers_gate(F.col("claim")), T.numbers_gate(F.col("snippet")))
-    )
-    judged = scored.groupBy(by, "ordinal").agg(
-        F.count("evidence_id").alias("links"),
-        F.count_if(F.col("evidence_id").isNotNull() & F.col("snippet").isNull()).alias("lost"),
-        F.max("common").alias("common"),
-        F.max("ratio").alias("ratio"),
-        F.max("numbers").alias("numbers"),
+    judged = links.groupBy(by, "ordinal").agg(
+        F.count("evidence_id").alias("links"), F.max("common").alias("common"), F.max("ratio").alias("ratio"), F.max("numbers").alias("numbers")
     )
     category = (
         F.when(F.col("links") == 0, "evidence_missing")
-        .when(F.col("lost") > 0, "evidence_not_found")
         .when((F.col("common") < 3) | (F.col("ratio") < 0.25), "evidence_not_supporting")
         .when(~F.col("numbers"), "evidence_numeric_mismatch")
     )
@@ -177,6 +195,30 @@ def evidence_gate(claims: DataFrame, links: DataFrame, evidence: DataFrame, by:
     return failed.groupBy(by).agg(F.min_by("category", "ordinal").alias("category"))
 
 
+def numeric_gate(report: Column, said: Column, tools: Column, evidence: Column) -> Column:
+    """Category and unmatched numbers of a report, null if it passes.
+
+    ``said`` are the numbers of its claims, ``tools`` those of the tool outputs (null if no tool ran), ``evidence`` the
+    number of its evidences.  Without tools numbers need some evidence; with them every number that stands in a
+    calculation must be among theirs, if they have any.  At most five unmatched numbers are told, the smallest first.
+    """
+    numbers = F.array_distinct(F.concat(T.numbers_gate(report), said))
+
+    def unmatched(all_numbers: Column) -> Column:
+        calculated = F.filter(all_numbers, lambda v: P.number_context(report, v) == "calculated")
+        return F.array_sort(F.filter(calculated, lambda v: ~F.exists(tools, lambda c: T.near(v, c, 1e-6, 0.01))))
+
+    def judge(all_numbers: Column) -> Column:
+        none = F.array().cast("array<double>")
+        open_ = F.when(tools.isNotNull() & (F.size(tools) > 0), unmatched(all_numbers)).otherwise(none)
+        category = F.when(F.size(all_numbers) == 0, F.lit(None)).when(
+            tools.isNull(), F.when(evidence == 0, "numeric_stated_without_evidence")
+        ).when(F.size(open_) > 0, "numeric_calculated_mismatch")
+        return F.struct(category.alias("category"), F.slice(open_, 1, 5).alias("unmatched"))
+
+    return T.bind(numbers, judge)
+
+
 # Metrics that are better when higher, and when lower.
 HIGHER = ("citations_coverage", "citation_precision", "numeric_consistency_score", "glossary_consistency_score", "domain_consistency_score", "retrieval_mrr", "retrieval_dense_hit_rate", "retrieval_sparse_hit_rate", "retrieval_hybrid_gain_rate", "retrieval_rerank_uplift", "gate_block_benefit_rate", "reliability_success_rate", "ragas_faithfulness", "ragas_answer_relevancy", "ragas_context_relevancy", "ragas_context_precision_no_ref", "ragas_context_recall", "ragas_answer_correctness", "ragas_response_completeness")
 LOWER = ("hallucination_rate_in_citations", "gate_false_kill_rate", "reliability_error_rate", "reliability_timeout_rate", "latency_p50_ms", "latency_p95_ms", "latency_p99_ms", "cost_estimated_usd", "ragas_contradiction_score")
@@ -221,21 +263,55 @@ def ordered_first(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
 def exact_quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, float], digits: int = 6) -> DataFrame:
     """Interpolated quantiles of each group, exact, with its ``n``, ``low`` and ``high``.
 
-    Equal values are counted first, which partial aggregation does where the rows
-    are; only the distinct values of a group are then put in order, in a window
-    that can spill, and the ranks are read off their running counts.
+    Equal values are counted first, which partial aggregation does where the rows are.  The distinct values are then
+    range-partitioned, so that a group of any size is spread over many tasks; the counts of whole partitions, of which
+    there are few, tell each task at which rank its values begin.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    # the number of its partition is only known of a stored row
+    stored = materialize(counted.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()), "quantile-values")
+    parts = stored.groupBy(*by, "_part").agg(F.sum("_n").alias("_here"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = counted.withColumn("_upto", F.sum("_n").over(group.orderBy(value))).withColumn("_all", F.sum("_n").over(group))
+    parts = parts.select(
+        *by, "_part", (F.sum("_here").over(group.orderBy("_part")) - F.col("_here")).alias("_before"), F.sum("_here").over(group).alias("_all")
+    )
+    matched = parts.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    joined = stored.join(matched.withColumnRenamed("_part", "_p"), same)
+    ranked = joined.withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy("_part", *by).orderBy("_v")))
     place = lambda q: (F.col("_all") - 1) * F.lit(q)
-    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col(value)))
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
     found = ranked.groupBy(*by).agg(
         F.sum("_n").alias("n"),
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
+        F.min("_v").alias("low"),
+        F.max("_v").alias("high"),
         *(c for name, q in wanted.items() for c in (at(F.floor(place(q))).alias(f"_{name}a"), at(F.ceil(place(q))).alias(f"_{name}b"))),
     )
     part = lambda q: (F.col("n") - 1) * F.lit(q) - F.floor((F.col("n") - 1) * F.lit(q))
     between = lambda name, q: F.col(f"_{name}a") + (F.col(f"_{name}b") - F.col(f"_{name}a")) * part(q)
     return found.select(*by, "n", "low", "high", *(F.round(between(name, q), digits).alias(name) for name, q in wanted.items()))
+
+
+def reliability(samples: DataFrame, quantiles: dict[str, float], prices: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """One row of success, error, timeout and cache rates, latency quantiles, mean tokens and their price.
+
+    ``samples`` (ok, timeout, cached, latency, prompt_chars, answer_chars); a token is four characters, ``prices`` are
+    of a thousand tokens of prompts and of answers; negative and null latencies don't count.
+    """
+    n = F.greatest(F.count("*"), F.lit(1))
+    rate = lambda c, name: F.round(F.count_if(c) / n, 6).alias(name)
+    prompt, answer = F.coalesce(F.avg(F.col("prompt_chars") / 4.0), F.lit(0.0)), F.coalesce(F.avg(F.col("answer_chars") / 4.0), F.lit(0.0))
+    rates = samples.agg(
+        rate(F.col("ok"), "success_rate"),
+        rate(~F.col("ok"), "error_rate"),
+        rate(~F.col("ok") & F.col("timeout"), "timeout_rate"),
+        rate(F.col("cached"), "cache_hit_rate"),
+        F.round(prompt, 6).alias("prompt_tokens"),
+        F.round(answer, 6).alias("completion_tokens"),
+        F.round(prompt / 1000 * prices[0] + answer / 1000 * prices[1], 9).alias("usd"),
+    )
+    # a table without latencies has no row of quantiles
+    found = exact_quantiles(samples.where("latency >= 0"), [], "latency", quantiles).select(*quantiles)
+    return rates.join(found, F.lit(True), "left")

@@ -10,7 +10,7 @@ from corvane.operators import evaluation as E
 from corvane.operators import filters as P
 from corvane.operators import retrieval as R
 from corvane.plans.catalog import register
-from corvane.plans.ingest_queries import CLAIMS, PARENTS, SQL_JUNK, SQL_TYPE, _any, _parents, claims
+from corvane.plans.ingest_queries import CLAIMS, MARKED, PARENTS, SQL_JUNK, SQL_TYPE, _any, _parents, claims, marked, sql_claims
 from corvane.plans.retrieval_queries import DOCS, ENTRIES, _docs, _entries
 from corvane.plans.text_queries import (
     ANSWERS, CHUNKS, ITEMS, SQL_A, SQL_B, SQL_DOMAIN_NUMBERS, SQL_GATE_NUMBERS, _answer_rows, _answers, _chunks, _items, sql_list, sql_relevancy, sql_squeeze, sql_strip, sql_support,
@@ -91,33 +91,41 @@ def join3(spark, sf_dir):
     return _matched(spark, sf_dir)[2].select("request_id", "position", "qrel_id", "tier")
 
 
-_LINKED = f"""WITH c AS (SELECT request_id, ordinal, claim, list_distinct({SQL_B.format('claim')}) AS toks FROM {CLAIMS}),
-  e AS (SELECT DISTINCT e.request_id, e.entry_id, e.seq, left(coalesce(k.page_content, ''), 600) AS snippet FROM {ENTRIES} e JOIN {CHUNKS} k USING (chunk_id)),
-  s AS (SELECT c.request_id, c.ordinal, e.entry_id, len(list_intersect(c.toks, list_distinct({SQL_B.format('e.snippet')}))) AS common, e.seq FROM c JOIN e USING (request_id)),
-  best AS (SELECT request_id, ordinal, entry_id FROM s WHERE common > 0 QUALIFY row_number() OVER (PARTITION BY request_id, ordinal ORDER BY common DESC, entry_id) <= 3),
-  fallback AS (SELECT s.request_id, s.ordinal, s.entry_id FROM s LEFT JOIN best b USING (request_id, ordinal) WHERE b.entry_id IS NULL QUALIFY row_number() OVER (PARTITION BY s.request_id, s.ordinal ORDER BY s.entry_id) = 1),
-  links AS (SELECT * FROM best UNION ALL SELECT * FROM fallback)"""
+def _sql_linked(claims_: str) -> str:
+    return f"""WITH c AS (SELECT request_id, ordinal, claim, cited, list_distinct({SQL_B.format('claim')}) AS toks, {SQL_GATE_NUMBERS.format('claim')} AS nums FROM {claims_}),
+  e AS (SELECT DISTINCT e.request_id, e.entry_id, e.chunk_id, left(coalesce(k.page_content, ''), 600) AS snippet FROM {ENTRIES} e JOIN {CHUNKS} k USING (chunk_id)),
+  s AS (SELECT c.request_id, c.ordinal, e.entry_id, len(list_intersect(c.toks, list_distinct({SQL_B.format('e.snippet')}))) AS common FROM c JOIN e USING (request_id)),
+  named AS (SELECT c.request_id, c.ordinal, max(e.entry_id) AS entry_id FROM (SELECT DISTINCT request_id, ordinal, unnest(cited) AS chunk_id FROM c) c JOIN e USING (request_id, chunk_id) GROUP BY c.request_id, c.ordinal, chunk_id),
+  best AS (SELECT request_id, ordinal, entry_id FROM s ANTI JOIN named USING (request_id, ordinal) WHERE common > 0 QUALIFY row_number() OVER (PARTITION BY request_id, ordinal ORDER BY common DESC, entry_id) <= 3),
+  fallback AS (SELECT s.request_id, s.ordinal, s.entry_id FROM s ANTI JOIN named USING (request_id, ordinal) ANTI JOIN best USING (request_id, ordinal) QUALIFY row_number() OVER (PARTITION BY s.request_id, s.ordinal ORDER BY s.entry_id) = 1),
+  links AS (SELECT * FROM named UNION ALL SELECT * FROM best UNION ALL SELECT * FROM fallback)"""
+
+
+_LINKED = _sql_linked(CLAIMS)
 
 
 def _snippets(spark, sf_dir):
     texts = _chunks(spark, sf_dir).select("chunk_id", F.substring(T.text(F.col("page_content")), 1, 600).alias("snippet"), "source", "start_index")
-    return _entries(spark, sf_dir, "request_id", "chunk_id").join(texts, "chunk_id")
+    return _entries(spark, sf_dir, "request_id", "chunk_id").join(texts, "chunk_id").withColumnRenamed("entry_id", "evidence_id")
 
 
 def _links(spark, sf_dir):
-    """The three entries that share most tokens with a claim, or the first entry where none shares any."""
-    own = claims(_answers(spark, sf_dir))
-    met = own.join(_snippets(spark, sf_dir).select("request_id", "entry_id", "snippet"), "request_id")
-    scored = met.select("request_id", "ordinal", "entry_id", T.overlap(T.token_set_b(F.col("claim")), T.token_set_b(F.col("snippet"))).alias("common"))
-    place = F.row_number().over(Window.partitionBy("request_id", "ordinal").orderBy(F.desc("common"), "entry_id"))
-    top = F.max("common").over(Window.partitionBy("request_id", "ordinal"))
-    ranked = scored.withColumn("place", place).withColumn("top", top)
-    return ranked.where("(common > 0 and place <= 3) or (top = 0 and place = 1)").select("request_id", "ordinal", "entry_id")
+    return E.link_claims(claims(_answers(spark, sf_dir)), _snippets(spark, sf_dir), "request_id")
+
+
+def _linked(links):
+    return links.where("evidence_id is not null").select("request_id", "ordinal", F.col("evidence_id").alias("entry_id"))
 
 
 @register("join4_claim_evidence", _LINKED + " SELECT request_id, ordinal, entry_id FROM links")
 def join4(spark, sf_dir):
-    return _links(spark, sf_dir)
+    return _linked(_links(spark, sf_dir))
+
+
+@register("join4_cited_evidence", _sql_linked(sql_claims(MARKED)) + " SELECT request_id, ordinal, entry_id FROM links")
+def join4_cited(spark, sf_dir):
+    """Evidence of claims that name some chunks, which then are the only ones."""
+    return _linked(E.link_claims(claims(marked(_answers(spark, sf_dir))), _snippets(spark, sf_dir), "request_id"))
 
 
 @register(
@@ -329,22 +337,30 @@ def agg3_reasons(spark, sf_dir):
     return _labelled(spark, sf_dir).groupBy(reason.alias("reason"), T.text(F.col("failure_reason.category")).alias("category")).agg(F.count("*").alias("n"))
 
 
+#: Prices of a thousand tokens, of prompts and of completions.
+PRICES = (0.5, 1.5)
+
+
 @register(
     "agg4_reliability",
-    """SELECT round(count(*) FILTER (event_type <> 'error') / greatest(count(*), 1), 6) AS success_rate, round(count(*) FILTER (event_type = 'error') / greatest(count(*), 1), 6) AS error_rate,
-       round(count(*) FILTER (value > 100) / greatest(count(*), 1), 6) AS timeout_rate, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(length(props) / 4.0), 6) AS mean_tokens FROM events""",
+    f"""SELECT round(count(*) FILTER (event_type <> 'error') / greatest(count(*), 1), 6) AS success_rate, round(count(*) FILTER (event_type = 'error') / greatest(count(*), 1), 6) AS error_rate,
+       round(count(*) FILTER (event_type = 'error' AND contains(lower(props), '7')) / greatest(count(*), 1), 6) AS timeout_rate, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99,
+       round(avg(length(coalesce(props, '')) / 4.0), 6) AS prompt_tokens, round(avg(length(event_type) / 4.0), 6) AS completion_tokens,
+       round(avg(length(coalesce(props, '')) / 4.0) / 1000 * {PRICES[0]} + avg(length(event_type) / 4.0) / 1000 * {PRICES[1]}, 9) AS usd, round(count(*) FILTER (user_id % 4 = 0) / greatest(count(*), 1), 6) AS cache_hit_rate FROM events""",
 )
 def agg4(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    n = F.greatest(F.count("*"), F.lit(1))
-    rates = rows.agg(
-        F.round(F.count_if(F.col("event_type") != "error") / n, 6).alias("success_rate"),
-        F.round(F.count_if(F.col("event_type") == "error") / n, 6).alias("error_rate"),
-        F.round(F.count_if(F.col("value") > 100) / n, 6).alias("timeout_rate"),
-        F.round(F.avg(F.length("props") / 4.0), 6).alias("mean_tokens"),
-    )
-    quantiles = E.exact_quantiles(rows, [], "value", _P).select(*_P)
-    return rates.crossJoin(quantiles)  # one row each
+    """Events stand for answered requests: errors that name a 7 for timeouts, properties for prompts, types for answers."""
+    rows = table(spark, sf_dir, "events").select(
+        (F.col("event_type") != "error").alias("ok"), F.contains(F.lower("props"), F.lit("7")).alias("timeout"), F.length(T.text(F.col("props"))).alias("prompt_chars"),
+        F.length("event_type").alias("answer_chars"), (F.col("user_id") % 4 == 0).alias("cached"), F.col("value").alias("latency"),
+    )
+    return E.reliability(rows, _P, PRICES)
+
+
+@register("agg4_node_latency", "SELECT event_type AS node, count(value) AS n, round(quantile_cont(value, 0.95), 6) AS p95 FROM events WHERE value >= 0 GROUP BY event_type")
+def agg4_nodes(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("value >= 0").select(F.col("event_type").alias("node"), "value")
+    return E.exact_quantiles(rows, ["node"], "value", {"p95": 0.95}).select("node", "n", "p95")
 
 
 _P = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
@@ -609,9 +625,8 @@ _EVIDENCE = f"""{_LINKED}, ev AS (SELECT DISTINCT e.request_id, e.entry_id, left
 
 def _evidence_gate(spark, sf_dir):
     complete = P.anchor_complete(F.col("source"), F.col("chunk_id"), F.col("snippet"), F.col("start_index"))
-    evidence = _snippets(spark, sf_dir).select("request_id", F.col("entry_id").alias("evidence_id"), "snippet", complete.alias("complete"))
-    links = _links(spark, sf_dir).withColumnRenamed("entry_id", "evidence_id")
-    return E.evidence_gate(claims(_answers(spark, sf_dir)), links, evidence, "request_id")
+    evidence = _snippets(spark, sf_dir).withColumn("complete", complete)
+    return E.evidence_gate(E.link_claims(claims(_answers(spark, sf_dir)), evidence, "request_id"), evidence, "request_id")
 
 
 @register("gate2_evidence", _EVIDENCE + " SELECT request_id, category FROM gate")
@@ -619,19 +634,32 @@ def gate2(spark, sf_dir):
     return _evidence_gate(spark, sf_dir)
 
 
-_NUMERIC = f"""SELECT a.request_id, CASE WHEN len({SQL_GATE_NUMBERS.format('a.report')}) = 0 THEN NULL WHEN coalesce(e.n, 0) = 0 THEN 'numeric_stated_without_evidence' END AS category FROM {ANSWERS} a LEFT JOIN (SELECT request_id, count(*) AS n FROM {ENTRIES} GROUP BY 1) e USING (request_id)"""
+# A third of the requests is taken to have run a tool, whose output has the first number of the report, or half as much again.
+_TOOL_SQL = f"""CASE WHEN length(coalesce(query, '')) % 3 = 0 THEN [coalesce({SQL_GATE_NUMBERS.format('report')}[1], 0) * CASE WHEN length(coalesce(report, '')) % 2 = 0 THEN 1.0 ELSE 1.5 END] END"""
+_SHOWN = "CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(v AS VARCHAR) END"
+_AROUND = f"substr(low, greatest(instr(low, {_SHOWN}) - 50, 1), instr(low, {_SHOWN}) - greatest(instr(low, {_SHOWN}) - 50, 1) + 50)"
+_NUMERIC = f"""WITH said AS (SELECT request_id, flatten(list({SQL_GATE_NUMBERS.format('claim')})) AS nums FROM {CLAIMS} GROUP BY request_id),
+  rows_ AS (SELECT a.request_id, lower(coalesce(a.report, '')) AS low, list_distinct(list_concat({SQL_GATE_NUMBERS.format('a.report')}, coalesce(s.nums, []))) AS nums, {_TOOL_SQL} AS tools, coalesce(e.n, 0) AS evidence
+    FROM {ANSWERS} a LEFT JOIN said s USING (request_id) LEFT JOIN (SELECT request_id, count(*) AS n FROM {ENTRIES} GROUP BY 1) e USING (request_id)),
+  open_ AS (SELECT *, list_sort(list_filter(list_filter(nums, lambda v: instr(low, {_SHOWN}) > 0 AND ({_any(_AROUND, P.CALCULATION_WORDS)})), lambda v: len(list_filter(tools, lambda c: {SQL_NEAR.format(v='v', c='c', a='1e-6', r='0.01')})) = 0)) AS lost FROM rows_)
+  SELECT request_id, CASE WHEN len(nums) = 0 THEN NULL WHEN tools IS NULL THEN CASE WHEN evidence = 0 THEN 'numeric_stated_without_evidence' END WHEN len(lost) > 0 THEN 'numeric_calculated_mismatch' END AS category,
+    CASE WHEN tools IS NULL THEN '' ELSE array_to_string(list_transform(lost[1:5], lambda x: round(x, 6)), ' ') END AS unmatched FROM open_"""
 
 
 def _numeric_gate(spark, sf_dir):
-    """Numbers need evidence; no request here has tool outputs to hold calculated ones against."""
-    rows = _counts(spark, sf_dir)
-    category = F.when((F.size(T.numbers_gate(F.col("report"))) > 0) & (F.col("evidence") == 0), "numeric_stated_without_evidence")
-    return rows.select("request_id", category.alias("category"))
+    first = F.try_element_at(T.numbers_gate(F.col("report")), F.lit(1))
+    value = F.coalesce(first, F.lit(0.0)) * F.when(F.length(T.text(F.col("report"))) % 2 == 0, 1.0).otherwise(1.5)
+    tools = F.when(F.length(T.text(F.col("query"))) % 3 == 0, F.array(value))
+    said = claims(_answers(spark, sf_dir)).groupBy("request_id").agg(F.flatten(F.collect_list(T.numbers_gate(F.col("claim")))).alias("said"))
+    rows = _counts(spark, sf_dir).join(said, "request_id", "left").withColumn("tools", tools)
+    none = F.array().cast("array<double>")
+    return rows.select("request_id", E.numeric_gate(F.col("report"), F.coalesce("said", none), F.col("tools"), F.col("evidence")).alias("g"))
 
 
 @register("gate3_numeric", _NUMERIC)
 def gate3(spark, sf_dir):
-    return _numeric_gate(spark, sf_dir)
+    shown = F.array_join(F.transform("g.unmatched", lambda x: F.round(x, 6).cast("string")), " ")
+    return _numeric_gate(spark, sf_dir).select("request_id", F.col("g.category").alias("category"), shown.alias("unmatched"))
 
 
 @register(
@@ -640,7 +668,7 @@ def gate3(spark, sf_dir):
         SELECT request_id, coalesce(g1.category, g2.category, g3.category) AS category FROM g1 LEFT JOIN g2 USING (request_id) LEFT JOIN g3 USING (request_id)""",
 )
 def gate4(spark, sf_dir):
-    parts = [g.withColumnRenamed("category", f"c{i}") for i, g in enumerate((gate1(spark, sf_dir), _evidence_gate(spark, sf_dir), _numeric_gate(spark, sf_dir)))]
+    parts = [g.withColumnRenamed("category", f"c{i}") for i, g in enumerate((gate1(spark, sf_dir), _evidence_gate(spark, sf_dir), _numeric_gate(spark, sf_dir).select("request_id", "g.category")))]
     rows = parts[0].join(parts[1], "request_id", "left").join(parts[2], "request_id", "left")
     return rows.select("request_id", F.coalesce("c0", "c1", "c2").alias("category"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
@@ -203,7 +204,7 @@ def prj15(spark, sf_dir):
        SELECT DISTINCT e.request_id, e.seq, e.entry_id, e.chunk_id, c.page_content FROM evidence_entries e JOIN """ + CHUNKS + " c USING (chunk_id))",
 )
 def prj16(spark, sf_dir):
-    from pyspark.sql import Window
+
 
     entries = table(spark, sf_dir, "evidence_entries").select("request_id", "seq", "entry_id", "chunk_id").distinct()
     rows = entries.join(_chunks(spark, sf_dir).select("chunk_id", F.substring("page_content", 1, 600).alias("snippet")), "chunk_id")
@@ -241,7 +242,7 @@ def prj18(spark, sf_dir):
         WHERE item_id IS NOT NULL AND ({sql_strip("coalesce(query, '')")} <> '' OR {sql_strip("coalesce(report, '')")} <> '')) WHERE back <= 3 GROUP BY item_id""",
 )
 def prj19(spark, sf_dir):
-    from pyspark.sql import Window
+
 
     turn = F.concat(F.lit("User: "), T.text(F.col("query")), F.lit("\nAssistant: "), T.text(F.col("report")))
     said = (T.strip(T.text(F.col("query"))) != "") | (T.strip(T.text(F.col("report"))) != "")
@@ -290,24 +291,70 @@ def prj21(spark, sf_dir):
     return _answer_rows(spark, sf_dir).select("request_id", F.array_join(blocks, "\n\n").alias("answer"))
 
 
-_CLAIM_LINES = rf"list_transform(list_filter(list_transform(list_filter(list_transform(regexp_split_to_array(coalesce(report, ''), '\r\n|\n|\r'), lambda x: {sql_strip('x')}), lambda x: x <> '' AND NOT starts_with(lower(x), 'citations:') AND NOT regexp_full_match(x, '\d+\)\s*.*')), lambda x: {sql_strip(chr(114) + chr(101) + 'gexp_replace(x, ' + chr(39) + '^[-*]' + chr(92) + 's+' + chr(39) + ', ' + chr(39) * 2 + ')')}), lambda x: x <> ''), lambda x: left(x, 300))"
+_PARAGRAPHS = f"list_filter(list_transform(string_split(coalesce(report, ''), chr(10) || chr(10)), lambda p: {sql_strip('p')}), lambda p: p <> '')"
+_LINES = rf"list_transform(regexp_split_to_array(p, '\r\n|\n|\r'), lambda x: {sql_strip('x')})"
+_SAID = rf"list_filter({_LINES}, lambda x: x <> '' AND NOT starts_with(lower(x), 'citations:') AND NOT regexp_full_match(x, '\d+\)\s*.*'))"
+_BARE = r"regexp_replace(x, '^[-*]\s+', '')"
+_STATEMENTS = f"list_transform(list_filter(list_transform({_SAID}, lambda x: {sql_strip(_BARE)}), lambda x: x <> ''), lambda x: left(x, 300))"
+_CITED_IN = r"list_transform(regexp_extract_all(p || CASE WHEN starts_with(lower(nxt), 'citations:') THEN chr(10) || nxt ELSE '' END, 'chunk_id=([^\]\s]+)', 1), lambda x: x)"
+
+
+def sql_claims(answers: str) -> str:
+    """Claims of the reports of a table or query with request_id and report."""
+    return f"""(SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY para, place) - 1 AS ordinal, claim, cited FROM (
+      SELECT request_id, para, unnest(said) AS claim, generate_subscripts(said, 1) AS place, cited FROM (
+        SELECT request_id, para, CASE WHEN len(said) > 0 THEN said ELSE [left(p, 300)] END AS said, cited FROM (
+          SELECT request_id, para, p, {_STATEMENTS} AS said, {_CITED_IN} AS cited FROM (
+            SELECT request_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS para, unnest(list_append(ps[2:], '')) AS nxt FROM (SELECT request_id, {_PARAGRAPHS} AS ps FROM {answers}))
+          WHERE NOT starts_with(lower(p), 'citations:')))))"""
 
 
 def claims(answers):
-    """Claims of each answer: its lines without list signs, numbered lines and the citation list."""
-    lines = F.filter(F.transform(F.split(T.text(F.col("report")), I.LINE_END), T.strip), lambda x: (x != "") & ~F.lower(x).startswith("citations:") & ~x.rlike(r"^\d+\)\s*.*$"))
-    bare = F.filter(F.transform(lines, lambda x: T.strip(F.regexp_replace(x, r"^[-*]\s+", ""))), lambda x: x != "")
-    return answers.select("request_id", F.posexplode(bare).alias("ordinal", "claim")).select(
-        "request_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.substring("claim", 1, 300).alias("claim")
-    )
+    """Claims of each answer as (request_id, ordinal, claim, cited).
+
+    A paragraph's claims are its lines without list signs, numbered lines and citation lists, or all of it if none is
+    left, cut to 300 characters; ``cited`` are the chunks that it, or a citation list right below it, names.
+    """
+    listed = lambda x: F.lower(x).startswith("citations:")
+    paragraphs = F.filter(F.transform(F.split(T.text(F.col("report")), "\n\n"), T.strip), lambda x: x != "")
+
+    def statements(paragraph):
+        lines = F.filter(F.transform(F.split(paragraph, I.LINE_END), T.strip), lambda x: (x != "") & ~listed(x) & ~x.rlike(r"^\d+\)\s*.*$"))
+        bare = F.filter(F.transform(lines, lambda x: T.strip(F.regexp_replace(x, r"^[-*]\s+", ""))), lambda x: x != "")
+        return T.bind(bare, lambda said: F.transform(F.when(F.size(said) > 0, said).otherwise(F.array(paragraph)), lambda x: F.substring(x, 1, 300)))
 
+    rows = answers.select("request_id", paragraphs.alias("ps"))
+    following = F.concat(F.slice("ps", 2, F.greatest(F.size("ps"), F.lit(1))), F.array(F.lit("")))
+    rows = rows.select("request_id", F.posexplode(F.arrays_zip(F.col("ps").alias("p"), following.alias("nxt"))).alias("at", "b")).where(~listed(F.col("b.p")))
+    cited = F.regexp_extract_all(F.concat(F.col("b.p"), F.when(listed(F.col("b.nxt")), F.concat(F.lit("\n"), "b.nxt")).otherwise("")), F.lit(r"chunk_id=([^\]\s]+)"), F.lit(1))
+    made = rows.select("request_id", "at", cited.alias("cited"), F.posexplode(statements(F.col("b.p"))).alias("place", "claim"))
+    # an answer's claims are few
+    ordinal = F.row_number().over(Window.partitionBy("request_id").orderBy("at", "place")) - 1
+    return made.select("request_id", ordinal.cast("bigint").alias("ordinal"), "claim", "cited")
 
-CLAIMS = f"(SELECT request_id, unnest({_CLAIM_LINES}) AS claim, generate_subscripts({_CLAIM_LINES}, 1) - 1 AS ordinal FROM {ANSWERS})"
+
+CLAIMS = sql_claims(ANSWERS)
+#: Some reports with text around their claims: lists, blocks of nothing but numbers, and citations of chunks by name.
+_MARKED = """(SELECT request_id, CASE length(request_id || coalesce(report, '')) % 4 WHEN 0 THEN coalesce(report, '') || chr(10) || chr(10) || 'Citations:' || chr(10) || '[source=a chunk_id=' || coalesce({chunk}, 'none') || ']'
+    WHEN 1 THEN '1) a numbered line' || chr(10) || '2) another' || chr(10) || chr(10) || '- ' || coalesce(report, '') || ' [source=b chunk_id=' || coalesce({chunk}, 'none') || ']'
+    WHEN 2 THEN coalesce(report, '') || chr(10) || chr(10) || 'Citations: none' || chr(10) || chr(10) || '* The limit holds.' ELSE report END AS report FROM {table})"""
+MARKED = _MARKED.format(chunk="citations[1].chunk_id", table=ANSWERS)
+
+
+def marked(answers):
+    answers.select("request_id", "report", "citations").createOrReplaceTempView("marked_answers")
+    return answers.sparkSession.sql(_MARKED.format(chunk="try_element_at(citations, 1).chunk_id", table="marked_answers").replace("chr(10)", "char(10)")[1:-1])
 
 
 @register("prj22_claims", f"SELECT request_id, ordinal, claim FROM {CLAIMS}")
 def prj22(spark, sf_dir):
-    return claims(_answers(spark, sf_dir))
+    return claims(_answers(spark, sf_dir)).drop("cited")
+
+
+@register("prj22_marked_claims", f"SELECT request_id, ordinal, claim, array_to_string(cited, ' ') AS cited FROM {sql_claims(MARKED)}")
+def prj22_marked(spark, sf_dir):
+    """Claims of reports with lists, numbered blocks and citations by name, which the table hardly has."""
+    return claims(marked(_answers(spark, sf_dir))).select("request_id", "ordinal", "claim", F.array_join("cited", " ").alias("cited"))
 
 
 @register("flt1_min_length", f"SELECT chunk_id FROM {CHUNKS} WHERE length({sql_strip("coalesce(page_content, '')")}) >= 80", once=True)
@@ -431,7 +478,7 @@ def _expand_sql() -> str:
 
 @register("flt13_expand_policy", _expand_sql())
 def flt13(spark, sf_dir):
-    from pyspark.sql import Window
+
 
     docs = table(spark, sf_dir, "retrieved_docs").where("coarse_score is not null").select("retrieval_id", "request_id", "chunk_id", F.col("coarse_score").alias("score")).distinct()
     rows = docs.join(_answers(spark, sf_dir).select("request_id", P.route(F.col("query")).alias("route")), "request_id")
