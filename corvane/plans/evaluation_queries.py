@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import evaluation as E
 from corvane.operators import filters as P
+from corvane.operators import grading as G
 from corvane.operators import retrieval as R
 from corvane.plans.catalog import register
 from corvane.plans.ingest_queries import CLAIMS, MARKED, PARENTS, SQL_JUNK, SQL_TYPE, _any, _parents, claims, marked, sql_claims
@@ -464,50 +465,50 @@ def agg11(spark, sf_dir):
     return rows.select("request_id", F.round(E.relevancy(F.col("query"), F.col("report"), F.col("reference_answer")), 6).alias("relevancy"))
 
 
-# Terms of the trade that weigh more in a question.
-CORE_TERMS = ("frtb", "cva", "xva", "dva", "fva", "kva", "mva", "colva", "delta", "gamma", "vega", "theta", "rho", "volga", "vanna", "charm", "var", "es", "expected", "shortfall", "initial", "margin", "variation", "wrong-way", "right-way", "netting", "csa", "collateral")
-_WEIGHT = f"CASE WHEN list_contains({sql_list(CORE_TERMS)}, token) THEN 2.5 WHEN length(token) < 2 OR list_contains({sql_list(T.FOCUS_STOPWORDS)}, token) THEN 0.2 ELSE 1.0 END"
-
-
-def _weight(token):
-    return F.when(token.isin(*CORE_TERMS), 2.5).when((F.length(token) < 2) | token.isin(*T.FOCUS_STOPWORDS), 0.2).otherwise(1.0)
+_RAISED = " ".join(f"WHEN kind = '{k}' AND token = '{w}' THEN {v}" for k, words in G.KIND_WEIGHTS.items() for w, v in words.items())
+_WEIGHT = f"greatest(CASE WHEN list_contains({sql_list(G.CORE_TERMS)}, token) THEN 2.5 WHEN length(token) < 2 OR list_contains({sql_list(T.FOCUS_STOPWORDS)}, token) THEN 0.2 ELSE 1.0 END, CASE {_RAISED} ELSE 0.0 END)"
+_NUMBER_TERMS = sql_list(G.NUMBER_TERMS)
 
 
 @register(
     "agg12_document_grades",
-    f"""WITH q AS (SELECT request_id, token, {_WEIGHT} AS w FROM (SELECT request_id, unnest(list_distinct({SQL_A.format('query')})) AS token FROM {ANSWERS})),
-        total AS (SELECT request_id, greatest(sum(w), 8.0) AS total, sum(w) AS exact FROM q GROUP BY request_id),
-        d AS (SELECT DISTINCT x.request_id, x.chunk_id, lower(coalesce(c.page_content, '')) AS low, list_distinct({SQL_A.format('c.page_content')}) AS toks, c.parent_id FROM {DOCS} x JOIN {CHUNKS} c USING (chunk_id)),
-        h AS (SELECT d.request_id, d.chunk_id, d.parent_id, round(coalesce(sum(q.w) FILTER (list_contains(d.toks, q.token)), 0), 6) AS hit FROM d JOIN q USING (request_id) GROUP BY d.request_id, d.chunk_id, d.parent_id),
-        g AS (SELECT h.request_id, round(max(hit / total), 9) AS top_isrel, round(avg(hit / total), 9) AS avg_isrel, count(*) FILTER (hit >= 2.0) AS supporting, count(DISTINCT parent_id) AS parents FROM h JOIN total USING (request_id) GROUP BY h.request_id),
-        cc AS (SELECT request_id, sum(w) AS covered FROM (SELECT DISTINCT q.request_id, q.token, q.w FROM q JOIN d USING (request_id) WHERE contains(d.low, q.token)) GROUP BY request_id)
-        SELECT g.request_id, top_isrel, avg_isrel, supporting, parents, round(coalesce(covered, 0) / exact, 9) AS claim_coverage,
-        CASE WHEN top_isrel < 0.1 AND round(coalesce(covered, 0) / exact, 9) < 0.15 THEN 'irrelevant' WHEN top_isrel >= 0.2 AND round(coalesce(covered, 0) / exact, 9) >= 0.3 THEN 'sufficient' ELSE 'insufficient' END AS tier
-        FROM g JOIN total USING (request_id) LEFT JOIN cc USING (request_id)""",
+    f"""WITH kinds AS (SELECT request_id, {SQL_TYPE.format("lower(coalesce(query, ''))")} AS kind, list_distinct({SQL_A.format('query')}) AS own FROM {ANSWERS}),
+        q AS (SELECT request_id, kind, token, {_WEIGHT} AS w, length(token) >= 2 AND NOT list_contains({sql_list(T.FOCUS_STOPWORDS)}, token) AS focus FROM (SELECT request_id, kind, unnest(own) AS token FROM kinds)),
+        total AS (SELECT k.request_id, k.kind, round(coalesce(sum(w), 0), 6) AS total, count(*) FILTER (focus) AS focused, count(*) FILTER (focus AND list_contains({_NUMBER_TERMS}, token)) AS number_focus FROM kinds k LEFT JOIN q USING (request_id) GROUP BY k.request_id, k.kind),
+        d AS (SELECT x.request_id, x.retrieval_id AS doc, place, nullif(trim(coalesce(c.source, '')), '') AS source, nullif(trim(coalesce(c.parent_id, '')), '') AS parent_id, gap, lower(coalesce(c.page_content, '')) AS content,
+            CASE WHEN place = 1 THEN lower(left(coalesce(p.page_content, ''), 900)) ELSE '' END AS expanded, lower(coalesce(c.section_path, '')) AS section
+          FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY coalesce(rerank_score, coarse_score) DESC NULLS LAST, retrieval_id) AS place,
+              max(coalesce(rerank_score, coarse_score)) OVER (PARTITION BY request_id) - coalesce(rerank_score, coarse_score) AS gap FROM {DOCS}) x JOIN {CHUNKS} c USING (chunk_id) LEFT JOIN {PARENTS} p ON p.parent_id = c.parent_id),
+        t AS (SELECT *, list_distinct({SQL_A.format("CASE WHEN expanded <> '' THEN expanded ELSE content END")}) AS toks, concat_ws(' ', expanded, content, section) AS everything FROM d),
+        h AS (SELECT t.request_id, t.doc, round(coalesce(sum(q.w) FILTER (list_contains(t.toks, q.token)), 0), 6) AS hit,
+            coalesce(sum(q.w) FILTER (t.place = 1 AND (contains(t.content, q.token) OR contains(t.section, q.token))), 0) AS top FROM t LEFT JOIN q USING (request_id) GROUP BY t.request_id, t.doc),
+        g AS (SELECT t.*, total.total, total.kind, total.focused, h.hit, h.top, round(h.hit / greatest(total.total, 8.0), 9) AS isrel,
+            regexp_matches(everything, '\\p{{Nd}}') OR (number_focus > 0 AND len(list_intersect({SQL_A.format('everything')}, {_NUMBER_TERMS})) > 0) AS numeric FROM t JOIN h USING (request_id, doc) JOIN total USING (request_id)),
+        seen AS (SELECT t.request_id, count(DISTINCT q.token) FILTER (q.focus AND list_contains(t.toks, q.token)) AS seen FROM t LEFT JOIN q USING (request_id) GROUP BY t.request_id),
+        cc AS (SELECT request_id, sum(w) AS covered FROM (SELECT DISTINCT q.request_id, q.token, q.w FROM q JOIN t USING (request_id) WHERE contains(t.expanded, q.token) OR contains(t.content, q.token) OR contains(t.section, q.token)) GROUP BY request_id),
+        pen AS (SELECT request_id, round(least(sum(CASE WHEN parent_id IS NOT NULL AND n > 3 THEN (n - 3) * 0.05 ELSE 0.0 END), 0.3), 6) AS redundancy_penalty FROM (SELECT request_id, parent_id, count(*) AS n FROM d GROUP BY request_id, parent_id) GROUP BY request_id),
+        r AS (SELECT g.request_id, g.kind, count(*) AS documents, max(isrel) AS top_isrel, round(sum(isrel) / count(*), 6) AS avg_isrel, count(*) FILTER (hit >= 2.0) AS supporting, count(*) FILTER (CASE WHEN gap IS NOT NULL THEN gap <= 0.4 ELSE isrel >= 0.15 END) AS useful,
+            count(DISTINCT source) AS sources, count(DISTINCT parent_id) AS parents, bool_or(numeric) AS numeric_evidence, max(pen.redundancy_penalty) AS redundancy_penalty,
+            round(CASE WHEN max(focused) > 0 THEN max(seen.seen) / max(focused) ELSE 0.0 END, 9) AS query_coverage, round(CASE WHEN max(total) > 0 THEN coalesce(max(covered), 0) / max(total) ELSE 0.0 END, 9) AS claim_coverage,
+            round(max(top) / greatest(max(total), 1.0), 9) AS top_claim_score FROM g JOIN pen USING (request_id) JOIN seen USING (request_id) LEFT JOIN cc USING (request_id) GROUP BY g.request_id, g.kind),
+        v AS (SELECT *, CASE WHEN top_isrel < 0.2 OR supporting = 0 THEN 'low_relevance'
+            WHEN kind = 'compare' THEN CASE WHEN query_coverage >= 0.3 AND claim_coverage >= 0.4 AND (sources >= 2 OR parents >= 2) AND top_isrel >= 0.35 THEN 'ok_compare' ELSE 'compare_needs_broader_coverage' END
+            WHEN kind = 'numeric' THEN CASE WHEN query_coverage >= 0.25 AND claim_coverage >= 0.3 AND numeric_evidence THEN 'ok_numeric' ELSE 'numeric_backing_weak' END
+            WHEN kind = 'procedure' THEN CASE WHEN query_coverage >= 0.25 AND claim_coverage >= 0.3 AND parents >= 1 THEN 'ok_procedure' ELSE 'procedure_context_thin' END
+            WHEN kind = 'definition' THEN CASE WHEN query_coverage >= 0.3 AND claim_coverage >= 0.4 AND top_claim_score >= 0.5 THEN 'ok_definition' ELSE 'definition_coverage_thin' END
+            WHEN query_coverage >= 0.25 AND claim_coverage >= 0.3 AND top_isrel >= 0.3 THEN 'ok' ELSE 'coverage_thin' END AS reason FROM r)
+        SELECT *, starts_with(reason, 'ok') AS sufficient, CASE WHEN top_isrel < 0.1 AND claim_coverage < 0.15 THEN 'irrelevant' WHEN top_isrel >= 0.2 AND claim_coverage >= 0.3 THEN 'sufficient' ELSE 'insufficient' END AS tier FROM v""",
 )
 def agg12(spark, sf_dir):
-    tokens = _answers(spark, sf_dir).select("request_id", F.array_distinct(T.tokens_a(F.col("query"))).alias("q"))
-    own = lambda c: F.aggregate(F.filter("q", c), F.lit(0.0), lambda s, t: s + _weight(t))
-    weighted = tokens.withColumn("exact", own(lambda t: F.lit(True))).where("size(q) > 0")
-    docs = _docs(spark, sf_dir, "request_id", "chunk_id").select("request_id", "chunk_id").distinct().join(
-        _chunks(spark, sf_dir).select("chunk_id", "parent_id", F.lower(T.text(F.col("page_content"))).alias("low"), F.array_distinct(T.tokens_a(F.col("page_content"))).alias("toks")), "chunk_id"
-    )
-    met = docs.join(weighted, "request_id")
-    hit = F.round(own(lambda t: F.array_contains("toks", t)), 6)
-    # which query tokens a document covers is a small array, united over the documents of a request
-    graded = met.select("request_id", "parent_id", "exact", hit.alias("hit"), F.filter("q", lambda t: F.contains(F.col("low"), t)).alias("covered"))
-    isrel = F.col("hit") / F.greatest("exact", F.lit(8.0))
-    by = graded.groupBy("request_id").agg(
-        F.round(F.max(isrel), 9).alias("top_isrel"),
-        F.round(F.avg(isrel), 9).alias("avg_isrel"),
-        F.count_if(F.col("hit") >= 2.0).alias("supporting"),
-        F.count_distinct("parent_id").alias("parents"),
-        F.max("exact").alias("exact"),
-        F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered"),
+    score = F.coalesce("rerank_score", "coarse_score")
+    own = Window.partitionBy("request_id")
+    docs = _docs(spark, sf_dir, "request_id", "chunk_id", "rerank_score", "coarse_score").select(
+        "request_id", "chunk_id", F.row_number().over(own.orderBy(F.desc_nulls_last(score), "retrieval_id")).alias("place"), (F.max(score).over(own) - score).alias("gap")
     )
-    share = F.round(F.aggregate("covered", F.lit(0.0), lambda s, t: s + _weight(t)) / F.col("exact"), 9)
-    out = by.withColumn("claim_coverage", share)
-    return out.select("request_id", "top_isrel", "avg_isrel", "supporting", "parents", "claim_coverage", P.sufficiency_tier(F.col("top_isrel"), F.col("claim_coverage")).alias("tier"))
+    parents = _parents(spark, sf_dir).select("parent_id", F.substring(T.text(F.col("page_content")), 1, 900).alias("parent_text"))
+    texts = _chunks(spark, sf_dir).select("chunk_id", "source", F.col("section_path").alias("section"), "parent_id", F.col("page_content").alias("content")).join(parents, "parent_id", "left")
+    rows = docs.join(texts, "chunk_id").withColumn("expanded", F.when(F.col("place") == 1, F.col("parent_text")))
+    return G.grade_documents(_answers(spark, sf_dir).select("request_id", "query"), rows, "request_id", "query")
 
 
 def _sufficiency_sql(expression: str) -> str:
