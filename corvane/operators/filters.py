@@ -9,13 +9,8 @@ from corvane.functions import text as T
 
 # Patterns, thresholds and word lists that results depend on.
 CITATION_NOISE = r"\[\s*\d+\s*\]|\^\s*\[|\[\s*edit\s*\]|Archived\s+\d{4}|Wayback Machine|ISBN|registered trademark"
-NAVIGATION = (
-    "jump to", "navigation", "search", "further information", "see also", "external links", "references", "sources", "bibliography", "log in", "contents",
-    "move to sidebar", "hide", "print/export", "download as pdf", "printable version", "in other projects", "wikidata item", "appearance", "permanent link",
-    "page information", "cite this page", "get shortened link", "upload file", "special pages", "about wikipedia", "disclaimers", "contact wikipedia",
-    "code of conduct", "developers", "statistics", "cookie statement", "privacy policy", "terms of use",
-)
-FINANCE_TERMS = ("frtb", "cva", "dva", "xva", "kva", "fva", "mva", "colva", "delta", "gamma", "vega", "volga", "vanna", "charm", "var", "es", "margin", "default", "exposure", "collateral", "shortfall", "isda", "bcbs", "basel")
+NAVIGATION = r"jump to|navigation|search|further information|see also|external links|references|sources|bibliography|log in|contents|move to sidebar|hide|print/export|download as pdf|printable version|in other projects|wikidata item|appearance|permanent link|page information|cite this page|get shortened link|upload file|special pages|about wikipedia|disclaimers|contact wikipedia|code of conduct|developers|statistics|cookie statement|privacy policy|terms of use"
+FINANCE_TERMS = r"frtb|cva|dva|xva|kva|fva|mva|colva|delta|gamma|vega|volga|vanna|charm|var|es|margin|default|exposure|collateral|shortfall|isda|bcbs|basel"
 COMPARE = ("compare", "difference", "vs", "versus", "between", "distinguish")
 NUMERIC = ("calculate", "value", "limit", "threshold", "how much", "how many", "number")
 MULTIHOP = ("because", "therefore", "then", "chain")
@@ -26,8 +21,8 @@ TYPE_DEFINITION = ("what is", "define", "meaning of", "stands for")
 REFUSAL_WORDS = ("could not find evidence in corpus", "do not know", "not sure", "insufficient", "无法", "不足", "不知道")
 CALCULATION_WORDS = ("计算", "等于", "结果是", "得出", "总计", "sum", "total", "calculate", "equals", "results in", "derived", "computed", "approximately", "约")
 
-NAVIGATION_PATTERN = "(?i)^(" + "|".join(NAVIGATION) + r")\b"
-FINANCE_PATTERN = r"(?i)\b(" + "|".join(FINANCE_TERMS) + r")\b"
+NAVIGATION_PATTERN = rf"(?i)^({NAVIGATION})\b"
+FINANCE_PATTERN = rf"(?i)\b({FINANCE_TERMS})\b"
 
 
 def long_enough(c: Column, least: int) -> Column:
@@ -147,6 +142,14 @@ EXPAND = (
 )
 
 
+def expand_chars(route_: Column) -> Column:
+    """How much of a parent is attached at most."""
+    out = F.lit(900)
+    for row in EXPAND:
+        out = F.when(route_ == row[0], F.lit(row[2])).otherwise(out)
+    return out
+
+
 def expand_reason(route_: Column, rank: Column, chars: Column, signal: Column, gap: Column) -> Column:
     """Why a chunk's parent is attached, or an empty text; ``rank`` counts from 0."""
 

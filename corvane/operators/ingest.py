@@ -7,9 +7,14 @@ as Arrow functions on batches.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +22,7 @@ from corvane.functions import text as T
 
 HEADING = r"^(#{1,6})\s+(.+?)\s*$"
 LINE_END = r"\r\n|\n|\r"
+VECTOR_TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def sections(df: DataFrame, identifier: str, content: str) -> DataFrame:
@@ -254,6 +260,30 @@ def hash_vector(c: Column, size: int = 64) -> Column:
     return T.bind(F.transform(tokens, lambda t: F.sha2(t.cast("binary"), 256)), lambda digests: _sum_of_digests(digests, size))
 
 
+@lru_cache(200_000)
+def _signed_digest(token: str) -> np.ndarray:
+    digest = np.frombuffer(hashlib.sha256(token.encode("utf-8", "surrogatepass")).digest(), np.uint8).astype(np.int64)
+    return np.where(np.roll(digest, -7) % 2 == 0, digest, -digest)
+
+
+def hash_vectors(df: DataFrame, key: str, content: str, size: int = 64) -> DataFrame:
+    """(key, vector): the vectors of ``hash_vector`` for whole corpora, as array operations over batches of texts."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens = [VECTOR_TOKEN.findall((t or "").lower()) or [""] for t in batch.column(1).to_pylist()]
+            starts = np.cumsum([0, *map(len, tokens)])[:-1]
+            sums = np.add.reduceat(np.stack([_signed_digest(t) for own in tokens for t in own]), starts).astype(float)
+            sums /= np.maximum(np.sqrt((sums * sums).sum(axis=1, keepdims=True)) * np.sqrt(size // 32), 1e-300)
+            values = np.tile(sums, size // 32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], values.ravel())], names=["key", "vector"])
+
+    return df.select(F.col(key).alias("key"), F.col(content).alias("text")).mapInArrow(run, f"key {kind}, vector array<double>")
+
+
 def _sum_of_digests(digests: Column, size: int) -> Column:
     byte = lambda h, i: F.conv(F.substring(h, 2 * (i % 32) + 1, F.lit(2)), 16, 10).cast("int")
     signed = lambda h, i: F.when(byte(h, i + 7) % 2 == 0, 1).otherwise(-1) * byte(h, i)

@@ -2,29 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.config import DEFAULT, RetrievalConfig
-from corvane.functions import text as T
 from corvane.operators import filters as P
+from corvane.operators import hybrid as H
 from corvane.operators import ingest as I
-from corvane.operators import retrieval as R
+from corvane.operators.hybrid import Embedding, Model
 from corvane.sources.files import scan_documents
 from corvane.sources.manifest import diff_manifest, source_digests, upsert
 
-#: A model's rewriting, reranking or writing: a function from rows to rows, by name of the step.
-Model = Callable[[DataFrame], DataFrame]
 
+def build_chunks(documents: DataFrame, config: RetrievalConfig = DEFAULT, cut=I.seeking_chunks) -> tuple[DataFrame, DataFrame]:
+    """Parents and cleaned, named chunks of (source, file_type, text) documents.
 
-def build_chunks(documents: DataFrame, config: RetrievalConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Parents and cleaned, named chunks of (source, file_type, text) documents."""
+    ``cut`` makes (parent_id, chunk_index, start_index, text) rows of parents; a model's chunker can take its place.
+    """
     named = documents.where("text is not null").select(F.col("source").alias("doc"), "source", "file_type", "text")
     parents = I.parents(named, "doc", "text", "source", "file_type").drop("doc")
-    cut = I.seeking_chunks(parents, "parent_id", "text")
-    rows = cut.join(parents.select("parent_id", "source", "section_path", "start_char"), "parent_id").withColumn("text", I.clean_noise(F.col("text")))
+    rows = cut(parents, "parent_id", "text").join(parents.select("parent_id", "source", "section_path", "start_char"), "parent_id").withColumn("text", I.clean_noise(F.col("text")))
     kept = rows.where(P.long_enough(F.col("text"), config.ingest_min_chars) & ~P.is_junk(F.col("text")))
     start = F.col("start_char") + F.col("start_index")
     return parents, kept.select(
@@ -33,37 +30,41 @@ def build_chunks(documents: DataFrame, config: RetrievalConfig = DEFAULT) -> tup
 
 
 class Engine:
-    """Chunks and parents of a corpus with the plans over them; the models are pluggable, none is needed."""
+    """Chunks and parents of a corpus with the plans over them; the models are pluggable, none is needed.
+
+    ``rewrite`` gives other wordings of questions whose documents are insufficient, ``rerank`` scores of candidates,
+    ``embed`` vectors of texts.
+    """
 
-    def __init__(self, spark: SparkSession, chunks: DataFrame, parents: DataFrame, config: RetrievalConfig = DEFAULT, rewrite: Model | None = None, rerank: Model | None = None):
+    def __init__(
+        self, spark: SparkSession, chunks: DataFrame, parents: DataFrame, config: RetrievalConfig = DEFAULT, rewrite: Model | None = None, rerank: Model | None = None, embed: Embedding = I.hash_vectors
+    ):
         self.spark, self.chunks, self.parents, self.config = spark, chunks, parents, config
-        self.rewrite, self.rerank = rewrite, rerank
+        self.rewrite, self.rerank, self.embed = rewrite, rerank, embed
+        self._corpus: H.Corpus | None = None
 
     @classmethod
-    def from_folder(cls, spark: SparkSession, folder: str, config: RetrievalConfig = DEFAULT) -> Engine:
+    def from_folder(cls, spark: SparkSession, folder: str, config: RetrievalConfig = DEFAULT, **models) -> Engine:
         parents, chunks = build_chunks(scan_documents(spark, folder).where("error is null"), config)
-        return cls(spark, chunks, parents, config)
+        return cls(spark, chunks, parents, config, **models)
+
+    @property
+    def corpus(self) -> H.Corpus:
+        """The indexes, made when they are first needed."""
+        if self._corpus is None:
+            chunks = self.chunks.select("chunk_id", "source", F.col("section_path").alias("section"), "parent_id", "text")
+            parents = self.parents.select("parent_id", F.col("section_path").alias("section"), "text")
+            self._corpus = H.index(chunks, parents, self.embed)
+        return self._corpus
 
-    def ask(self, questions: DataFrame) -> DataFrame:
-        """(id, key, place, level, tier) of the final chunks of (id, question) rows, all in one plan.
+    def ask(self, questions: DataFrame, most_rounds: int = 2) -> DataFrame:
+        """(id, key, place, adv, expanded, level, round, tier, ...) of the final chunks of (id, question) rows.
 
-        Questions that need no retrieval give no rows.
+        All questions of a round are one plan.  Questions that need no retrieval give no rows.
         """
         routed = questions.withColumn("c", P.complexity(F.col("question"))).where("c.needs_retrieval")
-        rows = self.rewrite(routed) if self.rewrite else routed
-        variants = rows.select("id", F.posexplode(R.query_variants(F.col("question"), self.config.max_variants, self.config.expansion_n)).alias("n", "variant"))
-        keyed = variants.withColumn("qid", F.concat_ws("#", F.col("id").cast("string"), F.col("n").cast("string")))
-        found = R.sparse_search(self.chunks, "chunk_id", "text", keyed, "qid", "variant", self.config.per_query_k)
-        lists = found.join(keyed.select("qid", "id"), "qid")
-        fused = lists.groupBy("id", "key").agg(F.round(F.sum(1.0 / (self.config.rrf_k + F.col("rank"))), 9).alias("rrf"))
-        texts = self.chunks.select(F.col("chunk_id").alias("key"), "source", F.col("section_path").alias("section"), "text")
-        rows = fused.join(texts, "key").where(P.passes_quality(F.col("text"), self.config.min_chunk_chars))
-        asked = questions.select("id", "question")
-        scored = rows.join(asked, "id").withColumn("score", F.round(F.col("rrf") + R.metadata_boost(F.array_distinct(T.tokens_a(F.col("question"))), F.col("source"), F.col("section")), 9))
-        scored = self.rerank(scored) if self.rerank else scored
-        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "key")))
-        chosen = R.diverse(ranked, "id", self.config.final_k, self.config.max_per_source, self.config.max_per_section)
-        return chosen.join(routed.select("id", F.col("c.level").alias("level")), "id")
+        chunks, state = H.rounds(self.corpus, routed.select("id", "question"), self.config, most_rounds, self.rewrite, self.rerank)
+        return chunks.join(state.select("id", "tier", "sufficient"), "id").join(routed.select("id", F.col("c.level").alias("level")), "id")
 
     def update(self, documents: DataFrame) -> Engine:
         """An engine in which the changed and deleted sources of ``documents``, a whole corpus, are brought up to date."""
@@ -73,7 +74,7 @@ class Engine:
         deleted = state.where("state = 'deleted'").select("source")
         fresh = state.where("state in ('added', 'changed')").select("source")
         pick = lambda new, old: upsert(old, new.join(fresh, "source", "left_semi"), "source", deleted)
-        return Engine(self.spark, pick(chunks, self.chunks), pick(parents, self.parents), self.config, self.rewrite, self.rerank)
+        return Engine(self.spark, pick(chunks, self.chunks), pick(parents, self.parents), self.config, self.rewrite, self.rerank, self.embed)
 
     def status(self) -> DataFrame:
         """Chunks and parents of each source."""

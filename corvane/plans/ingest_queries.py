@@ -112,7 +112,7 @@ def prj7(spark, sf_dir):
     f"""WITH c AS (SELECT parent_id, source, page_content, i, i * 700 AS start_index, {_CLEAN.format('substr(page_content, i * 700 + 1, 800)')} AS text
         FROM (SELECT parent_id, source, page_content, unnest(range(0, CAST(floor(greatest(length(page_content) - 101, 0) / 700) AS BIGINT) + 1)) AS i FROM {PARENTS} WHERE length(page_content) > 0))
         SELECT parent_id, i AS chunk_index, left(sha1(concat_ws(':', coalesce(source, ''), start_index, text)), 12) AS digest FROM c WHERE length(text) >= 30
-        AND NOT regexp_matches(text, '(?i)^({'|'.join(P.NAVIGATION)})\\b') AND NOT starts_with(text, '^')
+        AND NOT regexp_matches(text, '(?i)^({P.NAVIGATION})\\b') AND NOT starts_with(text, '^')
         AND list_sum(list_transform(regexp_extract_all(text, '{P.CITATION_NOISE}'), lambda m: length(m))) IS NOT DISTINCT FROM NULL
         AND NOT (len(regexp_extract_all(text, '[A-Za-z]{{3,}}')) > 0 AND len(regexp_extract_all(regexp_replace(text, '\\p{{L}}', 'x', 'g'), '\\b\\d{{4}}\\b')) / greatest(len(regexp_extract_all(text, '[A-Za-z]{{3,}}')), 1) > 0.25)""",
 )
@@ -158,13 +158,12 @@ def prj10(spark, sf_dir):
     return made.select("parent_id", F.lit("summary").alias("doc_type"), "summary")
 
 
-@register(
-    "prj11_hyde",
-    rf"""SELECT parent_id, CASE WHEN l <> '' THEN {sql_strip("'What is ' || l || ' and why does it matter ' || k")} WHEN k <> '' THEN 'What is ' || k || ' and how is it used in risk systems' ELSE 'What is the definition and background' END AS question
+SQL_HYDE = rf"""SELECT parent_id, CASE WHEN l <> '' THEN {sql_strip("'What is ' || l || ' and why does it matter ' || k")} WHEN k <> '' THEN 'What is ' || k || ' and how is it used in risk systems' ELSE 'What is the definition and background' END AS question
         FROM (SELECT parent_id, regexp_replace({sql_strip("string_split(" + sql_strip("coalesce(section_path, '')") + ", '/')[-1]")}, '\s+', ' ', 'g') AS l,
-              array_to_string(regexp_extract_all({_sql_summary('page_content', 240)}, '[A-Za-z0-9]+')[1:12], ' ') AS k FROM {PARENTS} p)""",
-    once=True,
-)
+              array_to_string(regexp_extract_all({_sql_summary('page_content', 240)}, '[A-Za-z0-9]+')[1:12], ' ') AS k FROM {PARENTS} p)"""
+
+
+@register("prj11_hyde", SQL_HYDE, once=True)
 def prj11(spark, sf_dir):
     return _parent_rows(spark, sf_dir).select("parent_id", I.hypothetical_question(F.col("page_content"), F.col("section_path")).alias("question"))
 
@@ -363,7 +362,7 @@ def flt1(spark, sf_dir):
 
 
 _STRIPPED = sql_strip("coalesce(page_content, '')")
-SQL_JUNK = rf"""(t = '' OR regexp_matches(t, '(?i)^({'|'.join(P.NAVIGATION)})\b') OR coalesce(list_sum(list_transform(regexp_extract_all(t, '{P.CITATION_NOISE}'), lambda m: length(m))), 0) / greatest(length(t), 1) > 0.15
+SQL_JUNK = rf"""(t = '' OR regexp_matches(t, '(?i)^({P.NAVIGATION})\b') OR coalesce(list_sum(list_transform(regexp_extract_all(t, '{P.CITATION_NOISE}'), lambda m: length(m))), 0) / greatest(length(t), 1) > 0.15
     OR starts_with(t, '^') OR (len(regexp_extract_all(t, '[A-Za-z]{{3,}}')) > 0 AND len(regexp_extract_all(regexp_replace(t, '\p{{L}}', 'x', 'g'), '\b\d{{4}}\b')) / greatest(len(regexp_extract_all(t, '[A-Za-z]{{3,}}')), 1) > 0.25))"""
 
 
@@ -390,13 +389,12 @@ def _any(expression: str, parts) -> str:
     return "(" + " OR ".join(f"contains({expression}, '{p}')" for p in parts) + ")"
 
 
-@register(
-    "flt5_complexity",
-    rf"""SELECT id, CASE WHEN s THEN 'simple' WHEN h THEN 'complex' ELSE 'moderate' END AS level, NOT s AS needs_retrieval, NOT s AND h AS needs_fanout, CASE WHEN s THEN 0.8 WHEN h THEN 0.75 ELSE 0.6 END AS confidence FROM (
-        SELECT id, h, length(q) < 15 AND NOT h AND NOT regexp_matches(q, '(?i)\b({'|'.join(P.FINANCE_TERMS)})\b') AS s FROM (
-        SELECT id, q, {_any('lower(q)', P.COMPARE + P.NUMERIC + P.MULTIHOP)} OR len(regexp_extract_all(q, '\?')) > 1 AS h FROM (SELECT id, {sql_strip("coalesce(question, '')")} AS q FROM {ITEMS})))""",
-    once=True,
-)
+SQL_COMPLEXITY = rf"""SELECT id, CASE WHEN s THEN 'simple' WHEN h THEN 'complex' ELSE 'moderate' END AS level, NOT s AS needs_retrieval, NOT s AND h AS needs_fanout, CASE WHEN s THEN 0.8 WHEN h THEN 0.75 ELSE 0.6 END AS confidence FROM (
+        SELECT id, h, length(q) < 15 AND NOT h AND NOT regexp_matches(q, '(?i)\b({P.FINANCE_TERMS})\b') AS s FROM (
+        SELECT id, q, {_any('lower(q)', P.COMPARE + P.NUMERIC + P.MULTIHOP)} OR len(regexp_extract_all(q, '\?')) > 1 AS h FROM (SELECT id, {sql_strip("coalesce(question, '')")} AS q FROM {ITEMS})))"""
+
+
+@register("flt5_complexity", SQL_COMPLEXITY, once=True)
 def flt5(spark, sf_dir):
     return _item_rows(spark, sf_dir).select("id", P.complexity(F.col("question")).alias("c")).select("id", "c.level", "c.needs_retrieval", "c.needs_fanout", "c.confidence")
 

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from corvane.config import DEFAULT
 from corvane.functions import text as T
 from corvane.operators import filters as P
+from corvane.operators import hybrid as H
 from corvane.operators import ingest as I
 from corvane.operators import retrieval as R
 from corvane.plans.catalog import register
-from corvane.plans.ingest_queries import PARENTS, SQL_QUALITY, SQL_ROUTE, _parents, _sql_summary
+from corvane.plans.ingest_queries import PARENTS, SQL_COMPLEXITY, SQL_HYDE, SQL_QUALITY, SQL_ROUTE, SQL_TYPE, _parents, _sql_summary
 from corvane.plans.text_queries import ANSWERS, CHUNKS, ITEMS, SQL_A, _answers, _chunk_rows, _chunks, _items, sql_list, sql_strip
 from corvane.session import materialize, table
 
@@ -53,10 +54,10 @@ def ret1(spark, sf_dir):
 
 @register("ret1_dense_cells")
 def ret1_cells(spark, sf_dir):
-    """The inverted-file index: 32 cells fitted to at most 20,000 rows, 16 probed; recall is measured in the tests."""
+    """The inverted-file index, fitted to at most 20,000 rows and probed to a recall of 0.95 in them; the tests measure it."""
     rows = table(spark, sf_dir, "embeddings")
-    centers = R.fit_cells(rows, "embedding", 32)
-    return R.nearest_in_cells(rows, "vec_id", "embedding", rows.where("vec_id % 50 = 0"), "vec_id", "embedding", DEFAULT.dense_k, centers, 16)
+    cells = R.fit_cells(rows, "embedding", DEFAULT.dense_k)
+    return R.nearest_in_cells(rows, "vec_id", "embedding", rows.where("vec_id % 50 = 0"), "vec_id", "embedding", DEFAULT.dense_k, cells)
 
 
 @register(
@@ -65,11 +66,8 @@ def ret1_cells(spark, sf_dir):
     + " SELECT token, count(*) AS documents, sum(tf) AS occurrences, round(any_value(idf), 6) AS idf FROM p JOIN idf USING (token) GROUP BY token",
 )
 def ret2(spark, sf_dir):
-    docs = _chunks(spark, sf_dir)
-    index = materialize(R.postings(docs, "chunk_id", "page_content"), "postings")
-    idf = R.inverse_frequencies(index, docs.count())
-    counted = index.groupBy("token").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
-    return counted.join(idf, "token").select("token", "documents", "occurrences", F.round("idf", 6).alias("idf"))
+    index = R.lexicon(_chunks(spark, sf_dir), "chunk_id", "page_content")
+    return index.weights.select("token", "documents", "occurrences", F.round("idf", 6).alias("idf"))
 
 
 @register(
@@ -373,32 +371,79 @@ def ret19(spark, sf_dir):
     return _docs(spark, sf_dir, "rerank_score", "rrf_score", "coarse_score").select("retrieval_id", score.alias("score"), stage.alias("stage"))
 
 
-@register(
-    "ret21_expanded_round",
-    bm25_sql(CHUNKS, "chunk_id", "page_content", _TERMS)
-    + """, first AS (SELECT qid, max(score) AS top FROM scored GROUP BY qid HAVING max(score) < 12)
-      SELECT qid, key, score FROM scored JOIN first USING (qid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) <= 8""",
-)
-def ret21(spark, sf_dir):
-    """A second, wider round for the questions whose best score of the first stays low."""
-    asked, wide = _asked(spark, sf_dir), DEFAULT.expanded()
-    found = materialize(R.sparse_search(_chunks(spark, sf_dir), "chunk_id", "page_content", asked, "id", "question", wide.final_k), "round")
-    low = found.where("rank = 1 and score < 12").select("qid")
-    return found.join(low, "qid", "left_semi").select("qid", "key", "score")
+# ---- the whole flow -------------------------------------------------------------------------
+_VECTOR_TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
+_OR_EMPTY = "CASE WHEN len({0}) > 0 THEN {0} ELSE [''] END"
+
+
+def _parent_signal_sql(docs: str, text: str, asked: str) -> str:
+    body = bm25_sql(docs, "parent_id", text, f"SELECT id AS qid, unnest({SQL_A.format('question')}) AS token FROM {asked}")
+    return f"(SELECT qid AS id, key AS parent_id, round(score / max(score) OVER (PARTITION BY qid), 6) AS score FROM (SELECT * FROM ({body.strip()} SELECT * FROM scored) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) <= 12))"
+
+
+def _flow_sql() -> str:
+    """CTEs up to ``final``: the first round for the asked questions."""
+    sparse = bm25_sql(CHUNKS, "chunk_id", "page_content", f"SELECT qid, unnest({_distinct('a')}[1:24]) AS token FROM (SELECT qid, {SQL_A.format('variant')} AS a FROM vq)")
+    signed = "CASE WHEN CAST('0x' || substr(d, 2 * ((i + 7) % 32) + 1, 2) AS INT) % 2 = 0 THEN 1 ELSE -1 END * CAST('0x' || substr(d, 2 * i + 1, 2) AS INT)"
+    policy = lambda slot: "CASE route " + " ".join(f"WHEN '{row[0]}' THEN {row[slot]}" for row in P.EXPAND) + " END"
+    return f"""WITH RECURSIVE asked AS MATERIALIZED (SELECT * FROM {ASKED}), {_VARIANTS.strip()[5:]},
+  vq AS MATERIALIZED (SELECT v.id, ordinal, v.id || '#' || ordinal AS qid, variant FROM variants v JOIN ({SQL_COMPLEXITY}) x ON x.id = v.id WHERE v.id IN (SELECT id FROM asked) AND (x.needs_fanout OR ordinal = 0)),
+  tk AS (SELECT kind, key, unnest({_OR_EMPTY.format('a')}) AS token FROM (SELECT 'c' AS kind, chunk_id AS key, {_VECTOR_TOKENS.format('page_content')} AS a FROM {CHUNKS} UNION ALL SELECT 'q', qid, {_VECTOR_TOKENS.format('variant')} FROM vq)),
+  tn AS MATERIALIZED (SELECT kind, key, token, count(*) AS n FROM tk GROUP BY ALL),
+  td AS MATERIALIZED (SELECT token, i, {signed} AS s FROM (SELECT token, sha256(token) AS d FROM (SELECT DISTINCT token FROM tn)), range(0, 32) r(i)),
+  ts AS (SELECT kind, key, i, sum(n * s) AS s FROM tn JOIN td USING (token) GROUP BY kind, key, i),
+  tv AS MATERIALIZED (SELECT kind, key, list(CAST(CAST(x AS FLOAT) AS DOUBLE) ORDER BY i) AS v FROM (SELECT kind, key, i, s / greatest(sqrt(sum(s * s) OVER (PARTITION BY kind, key)) * sqrt(2.0), 1e-300) AS x FROM ts) GROUP BY kind, key),
+  dense AS (SELECT qid, key, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM (SELECT q.key AS qid, c.key, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM tv q, tv c WHERE q.kind = 'q' AND c.kind = 'c') QUALIFY rank <= 30),
+  sparse AS (SELECT qid, key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM ({sparse.strip()} SELECT * FROM scored) QUALIFY rank <= 30),
+  merged AS (SELECT qid, key, dense.rank AS dr, sparse.rank AS sr, score AS bm25 FROM dense FULL JOIN sparse USING (qid, key)),
+  ranks AS (SELECT *, round(coalesce(1.0 / (60 + dr), 0) + coalesce(1.0 / (60 + sr), 0), 9) AS rrf, max(bm25) OVER (PARTITION BY qid) AS top FROM merged),
+  good AS (SELECT r.*, k.source, k.section_path, list_distinct({SQL_A.format('vq.variant')}) AS toks FROM ranks r JOIN (SELECT *, {sql_strip("coalesce(page_content, '')")} AS t FROM {CHUNKS}) k ON k.chunk_id = r.key JOIN vq USING (qid) WHERE {SQL_QUALITY}),
+  cand AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, key) <= 50),
+  coarse AS MATERIALIZED (SELECT qid, key, trim(coalesce(source, '')) AS source, trim(coalesce(section_path, '')) AS section, round(rrf + 0.5 * coalesce(bm25 / top, 0) + least(0.15, 0.05 * len(list_filter(toks, lambda t: contains(lower(coalesce(source, '')), t) OR contains(lower(coalesce(section_path, '')), t)))), 9) AS score FROM cand),
+  ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank, round(max(score) OVER (PARTITION BY qid) - score, 9) AS gap FROM coarse),
+  walk AS (SELECT qid, 0::BIGINT AS rank, []::VARCHAR[] AS ids, []::VARCHAR[] AS sources, []::VARCHAR[] AS sections FROM ranked GROUP BY qid
+    UNION ALL SELECT w.qid, r.rank, CASE WHEN ok THEN list_append(ids, r.key) ELSE ids END, CASE WHEN ok THEN list_append(sources, r.source) ELSE sources END, CASE WHEN ok THEN list_append(sections, r.section) ELSE sections END
+    FROM walk w JOIN ranked r ON r.qid = w.qid AND r.rank = w.rank + 1,
+    LATERAL (SELECT len(w.ids) < 12 AND (r.source = '' OR len(list_filter(w.sources, lambda x: x = r.source)) < 2) AND (r.section = '' OR len(list_filter(w.sections, lambda x: x = r.section)) < 1) AS ok) o WHERE r.rank <= 50),
+  picked AS (SELECT qid, ids FROM walk QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank DESC) = 1),
+  diverse AS (SELECT r.qid, r.key, r.score, r.gap, row_number() OVER (PARTITION BY r.qid ORDER BY CASE WHEN list_contains(p.ids, r.key) THEN 0 ELSE 1 END, r.rank) AS place FROM ranked r JOIN picked p USING (qid) WHERE r.rank <= 50 QUALIFY place <= 12),
+  fused AS (SELECT vq.id, x.key, round(sum(1.0 / (60 + place)), 9) AS fused, arg_min(score, ordinal) AS score, arg_min(gap, ordinal) AS gap FROM diverse x JOIN vq USING (qid) GROUP BY vq.id, x.key),
+  best AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fused DESC, key) AS place FROM fused QUALIFY place <= 12),
+  summary AS MATERIALIZED {_parent_signal_sql(_SUMMARIES, 'summary', 'asked')}, hyde AS MATERIALIZED {_parent_signal_sql(f'({SQL_HYDE})', 'question', 'asked')},
+  adv AS (SELECT b.id, b.key, b.place, b.gap, k.parent_id, coalesce(s.score, 0.0) AS summary, coalesce(h.score, 0.0) AS hyde, round(b.score + 0.35 * coalesce(s.score, 0.0) + 0.35 * coalesce(h.score, 0.0), 9) AS adv, nullif(trim(coalesce(p.page_content, '')), '') AS parent_text,
+      length(coalesce(k.page_content, '')) AS chars, CASE WHEN {SQL_TYPE.format("lower(coalesce(a.question, ''))")} = 'numeric' THEN 'numeric' ELSE {SQL_ROUTE.format("lower(coalesce(a.question, ''))")} END AS route
+    FROM best b JOIN {CHUNKS} k ON k.chunk_id = b.key JOIN asked a ON a.id = b.id LEFT JOIN summary s ON s.id = b.id AND s.parent_id = k.parent_id LEFT JOIN hyde h ON h.id = b.id AND h.parent_id = k.parent_id LEFT JOIN {PARENTS} p ON p.parent_id = k.parent_id),
+  pol AS (SELECT *, place - 1 < {policy(1)} AS room, CASE WHEN {policy(3)} > 0 THEN greatest(summary, hyde) >= {policy(3)} ELSE greatest(summary, hyde) > 0 END AS strong, gap <= {policy(4)} AS near, chars <= {policy(5)} AS short, {policy(2)} AS most FROM adv),
+  reasoned AS (SELECT *, CASE WHEN parent_text IS NULL OR NOT room THEN '' WHEN route IN ('compare', 'background', 'procedure') THEN CASE WHEN strong THEN 'parent_signal' WHEN near THEN 'near_top' WHEN short THEN 'short_chunk' ELSE '' END
+      WHEN route = 'numeric' THEN CASE WHEN strong AND near AND short THEN 'numeric_backing' ELSE '' END WHEN strong AND near THEN 'default_signal' WHEN near AND short THEN 'default_short_chunk' ELSE '' END AS reason FROM pol),
+  final AS (SELECT id, key, row_number() OVER (PARTITION BY id ORDER BY adv DESC, place) AS last, adv, summary, hyde, reason, CASE WHEN reason <> '' THEN md5(left(parent_text, most)) END AS expanded FROM reasoned QUALIFY last <= 4)"""
+
+
+def corpus(spark, sf_dir):
+    """The chunks and parents of the tables with their indexes."""
+    chunks = _chunks(spark, sf_dir).select("chunk_id", "source", F.col("section_path").alias("section"), "parent_id", F.col("page_content").alias("text"))
+    parents = _parents(spark, sf_dir).select("parent_id", F.col("section_path").alias("section"), F.col("page_content").alias("text"))
+    return H.index(chunks, parents)
 
 
 def hybrid_flow(spark, sf_dir, asked):
-    """Questions to diverse final chunks: variants, lexical search, fusion, quality filter, boost, quotas."""
-    fused = multi_query(spark, sf_dir, asked)
-    tokens = asked.select("id", F.array_distinct(T.tokens_a(F.col("question"))).alias("tokens"))
-    chunks = _chunks(spark, sf_dir).select(F.col("chunk_id").alias("key"), "source", F.col("section_path").alias("section"), "page_content")
-    rows = fused.join(chunks, "key").where(P.passes_quality(F.col("page_content"))).join(tokens, "id")
-    boost = R.metadata_boost(F.col("tokens"), F.col("source"), F.col("section"))
-    scored = rows.withColumn("score", F.round(F.col("rrf") + boost, 9))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "key")))
-    return R.diverse(ranked, "id", DEFAULT.final_k, DEFAULT.max_per_source, DEFAULT.max_per_section)
-
-
-@register("flow_hybrid")
+    """Questions to their final chunks through the whole of retrieval."""
+    found = H.retrieve(corpus(spark, sf_dir), asked.select("id", "question"))
+    return found.select("id", "key", F.col("place").cast("bigint").alias("place"), "adv", "summary", "hyde", "reason", F.md5(F.col("expanded").cast("binary")).alias("expanded"))
+
+
+@register("flow_hybrid", _flow_sql() + " SELECT id, key, last AS place, adv, summary, hyde, reason, expanded FROM final")
 def flow(spark, sf_dir):
     return hybrid_flow(spark, sf_dir, _asked(spark, sf_dir))
+
+
+@register("ret21_expanded_round")
+def ret21(spark, sf_dir):
+    """Rounds of retrieval and grading: irrelevant results are searched for again with every k doubled."""
+    return H.rounds(corpus(spark, sf_dir), _asked(spark, sf_dir).select("id", "question"))[1].select("id", "round", "tier", "sufficient", "reason")
+
+
+@register("ret21_expanded_chunks")
+def ret21_chunks(spark, sf_dir):
+    """The chunks of each question's last round."""
+    return H.rounds(corpus(spark, sf_dir), _asked(spark, sf_dir).select("id", "question"))[0].select("id", "round", "key", F.col("place").cast("bigint").alias("place"), "adv")

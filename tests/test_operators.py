@@ -1,6 +1,7 @@
 import io
 import json
 import math
+import pathlib
 import random
 import zipfile
 
@@ -14,6 +15,7 @@ from corvane.operators import filters as P
 from corvane.operators import ingest as I
 from corvane.operators import retrieval as R
 from corvane.operators import windows as W
+from corvane.plans import catalog as queries
 from corvane.plans.engine import Engine, build_chunks
 from corvane.sources import files
 from corvane.sources import manifest as M
@@ -106,11 +108,33 @@ def test_nearest_in_blocks_and_in_cells(spark):
 
     want = {(q, k) for q, v in rows if q % 50 == 0 for k in [k for _, k in sorted((-round(cosine(v, w), 6), k) for k, w in rows)[:10]]}
     assert len(exact & want) >= 0.98 * len(want)
-    centers = R.fit_cells(df, "v", 16)
-    near = {(r.qid, r.key) for r in R.nearest_in_cells(df, "id", "v", asked, "id", "v", 10, centers, 8).collect()}
+    cells = R.fit_cells(df, "v", 10)
+    near = {(r.qid, r.key) for r in R.nearest_in_cells(df, "id", "v", asked, "id", "v", 10, cells, block=20).collect()}
     assert len(near & exact) >= 0.9 * len(exact)
 
 
+def test_cells_reach_their_recall_on_the_given_vectors(spark):
+    folder = pathlib.Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("no test tables here")
+    found = [{(r.qid, r.key) for r in queries.queries()[name](spark, str(folder)).collect()} for name in ("ret1_dense_exact", "ret1_dense_cells")]
+    assert len(found[0] & found[1]) >= 0.9 * len(found[0])
+
+
+def test_nearest_with_text_keys_and_ties(spark):
+    rows = [(k, [1.0, 0.0]) for k in "edcba"] + [("z", [0.0, 1.0]), ("n", None), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id string, v array<float>")
+    got = [(r.key, r.rank) for r in R.nearest(df, "id", "v", df.where("id = 'z'"), "id", "v", 3, block=2).collect()]
+    assert sorted(got, key=lambda x: x[1]) == [("z", 1), ("a", 2), ("b", 3)]
+
+
+def test_hash_vectors_equal_the_expression(spark):
+    df = spark.createDataFrame([("a", "Delta, 风险! delta"), ("b", ""), ("c", None)], "k string, t string")
+    want = {r.k: r.v for r in df.select("k", I.hash_vector(F.col("t")).alias("v")).collect()}
+    got = {r.key: r.vector for r in I.hash_vectors(df, "k", "t").collect()}
+    assert all(max(abs(x - y) for x, y in zip(got[k], want[k])) < 1e-12 for k in want)
+
+
 def test_diverse_respects_quotas_then_fills_up(spark):
     rows = [(1, i, f"k{i}", "s1" if i < 5 else f"s{i}", "sec" if i in (1, 2) else "") for i in range(1, 9)]
     df = spark.createDataFrame(rows, "q int, rank int, key string, source string, section string")
@@ -330,7 +354,7 @@ def test_bundles_and_vectors_are_written(spark, tmp_path):
     files.write_bundles(spark.createDataFrame([("r1", "a"), ("r2", "b")], "request_id string, report string"), str(tmp_path / "b"))
     assert spark.read.json(str(tmp_path / "b")).where("request_id = 'r2'").first().report == "b"
     rows = spark.createDataFrame([(i, [float(i % 3), 1.0, float(i)]) for i in range(40)], "id bigint, v array<double>")
-    files.write_vectors(R.with_cells(rows, "v", R.fit_cells(rows, "v", 4)), str(tmp_path / "v"))
+    files.write_vectors(R.with_cells(rows, "v", R.fit_cells(rows, "v", 4).centers), str(tmp_path / "v"))
     stored = spark.read.parquet(str(tmp_path / "v"))
     assert stored.count() == 40 and stored.select("cell").distinct().count() > 1
 
