@@ -315,3 +315,38 @@ def reliability(samples: DataFrame, quantiles: dict[str, float], prices: tuple[f
     # a table without latencies has no row of quantiles
     found = exact_quantiles(samples.where("latency >= 0"), [], "latency", quantiles).select(*quantiles)
     return rates.join(found, F.lit(True), "left")
+
+
+# Words that don't tell one text from another.
+GOLD_STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "will", "have", "has", "had", "not", "but", "its", "their", "than", "when", "what", "which", "who", "whom", "how", "why", "where", "into", "over", "under", "such", "also", "then", "them", "they", "there", "these", "those", "been", "being", "each", "other", "some", "any", "all", "more", "most", "less", "least", "very", "much", "many", "given", "including")
+
+
+def gold_chunks(wanted: DataFrame, chunks: DataFrame, by: list[str], least: float = 0.4, extras: int = 2) -> DataFrame:
+    """The chunk that holds each gold text: (by, gold, file, chunk_id, relevance, score).
+
+    ``wanted`` has (by, gold, file), ``chunks`` (chunk_id, file, section, text).  A chunk of just that text, wherever it
+    is, scores 1; else the best of the file by the share of the text in sentences the chunk holds, of which the first 80
+    characters are looked for, or of its telling words, ``least`` at the least.  Up to ``extras`` other chunks of the same
+    file and section follow with relevance 1.  A gold text is compared with the chunks of its file only.
+    """
+    own = [*by, "gold", "file"]
+    same = chunks.select(T.strip(F.col("text")).alias("bare"), "chunk_id").groupBy("bare").agg(F.min("chunk_id").alias("chunk_id"))
+    exact = wanted.withColumn("bare", T.strip(F.col("gold"))).join(same, "bare").select(*own, "chunk_id", F.lit(1.0).alias("score"))
+    marked = F.regexp_replace("gold", r"([.!?。])\s+|\n+", "$1\u0001")
+    parts = F.filter(F.transform(F.split(marked, "\u0001"), T.strip), lambda s: F.length(s) >= 12)
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("gold"), F.lit("([a-z]{4,})"), F.lit(1))), lambda w: ~w.isin(*GOLD_STOPWORDS))
+    rest = wanted.join(exact.select(*own), own, "left_anti").withColumn("parts", parts).withColumn("words", words)
+    met = rest.join(chunks.select("file", "chunk_id", "text", F.lower("text").alias("low")), "file")
+    held = F.aggregate(F.filter("parts", lambda s: F.contains(F.col("text"), F.substring(s, 1, 80))), F.lit(0), lambda n, s: n + F.length(s))
+    told = T.share(F.size(F.filter("words", lambda w: F.contains(F.col("low"), w))), F.size("words"))
+    score = F.round(F.greatest(held / F.length("gold"), told), 6)
+    # the least of (-score, chunk) is kept where the pairs are, and each pair is scored once
+    found = met.select(*own, F.struct((-score).alias("s"), "chunk_id").alias("c")).groupBy(*own).agg(F.min("c").alias("c"))
+    scored = found.select(*own, F.col("c.chunk_id").alias("chunk_id"), (-F.col("c.s")).alias("score")).where(F.col("score") >= least)
+    best = materialize(exact.unionByName(scored), "gold-best")
+    placed = best.join(chunks.select("chunk_id", "section"), "chunk_id").where("section <> ''").select(*own, "section", F.col("chunk_id").alias("_best"))
+    # ranked where the chunks of a section are, so that each place is looked up once
+    near = chunks.where("section <> ''").select("file", "section", "chunk_id").withColumn("_n", F.row_number().over(Window.partitionBy("file", "section").orderBy("chunk_id"))).where(F.col("_n") <= extras + 1)
+    others = placed.join(near, ["file", "section"]).where("chunk_id <> _best")
+    others = others.withColumn("_k", F.row_number().over(Window.partitionBy(*own).orderBy("chunk_id"))).where(F.col("_k") <= extras)
+    return best.select(*own, "chunk_id", F.lit(2).alias("relevance"), "score").unionByName(others.select(*own, "chunk_id", F.lit(1).alias("relevance"), F.lit(None).cast("double").alias("score")))

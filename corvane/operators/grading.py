@@ -81,7 +81,7 @@ def grade_documents(questions: DataFrame, docs: DataFrame, by: str, question: st
     )
     surplus = F.when(F.col("parent_id").isNotNull() & (F.col("n") > 3), (F.col("n") - 3) * 0.05).otherwise(0.0)
     united = parents.groupBy(by).agg(
-        F.sum("n").alias("documents"), F.max("best").alias("top_isrel"), F.round(F.sum("sum") / F.sum("n"), 6).alias("avg_isrel"), F.sum("supporting").alias("supporting"), F.sum("useful").alias("useful"),
+        F.sum("n").alias("documents"), F.max("best").alias("top_isrel"), F.round(F.sum("sum") / F.sum("n") + 1e-10, 6).alias("avg_isrel"), F.sum("supporting").alias("supporting"), F.sum("useful").alias("useful"),
         F.size(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"), F.count("parent_id").alias("parents"), F.max("numeric").alias("numeric_evidence"),
         F.array_distinct(F.flatten(F.collect_set("seen"))).alias("seen"), F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered"),
         F.max("top").alias("top"), F.round(F.least(F.sum(surplus), F.lit(0.3)), 6).alias("redundancy_penalty"), *(F.first(c).alias(c) for c in ("kind", "total", "focus")),

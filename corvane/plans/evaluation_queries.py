@@ -228,20 +228,31 @@ def join11(spark, sf_dir):
     return diff_manifest(digests(chunks), digests(chunks.where("chunk_index % 7 <> 3")), "source")
 
 
+_GOLD = f"""g AS (SELECT DISTINCT i.id, x.gold, regexp_extract(replace(c.source, chr(92), '/'), '([^/]*)$', 1) AS file FROM (SELECT id, unnest(ground_truth_contexts) AS gold FROM {ITEMS}) i JOIN (SELECT item_id, unnest(citations) AS cit FROM {ANSWERS}) a ON a.item_id = i.id
+      JOIN {CHUNKS} c ON c.chunk_id = a.cit.chunk_id, LATERAL (SELECT i.gold AS gold) x WHERE trim(coalesce(i.gold, '')) <> '' AND coalesce(c.source, '') <> '')"""
+_SENTENCES = rf"list_filter(list_transform(string_split(regexp_replace(gold, '([.!?。])\s+|\n+', '\1' || chr(1), 'g'), chr(1)), lambda s: {sql_strip('s')}), lambda s: length(s) >= 12)"
+_GOLD_WORDS = f"list_distinct(list_filter(regexp_extract_all(lower(gold), '[a-z]{{4,}}'), lambda w: NOT list_contains({sql_list(E.GOLD_STOPWORDS)}, w)))"
+
+
 @register(
     "join13_gold_chunks",
-    f"""WITH g AS (SELECT DISTINCT a.request_id, {sql_squeeze('x')} AS gold FROM {ANSWERS} a JOIN (SELECT id, unnest(ground_truth_contexts) AS x FROM {ITEMS}) i ON i.id = a.item_id),
-        m AS (SELECT DISTINCT g.request_id, g.gold, d.chunk_id, round(len(list_intersect(list_distinct({SQL_B.format('g.gold')}), list_distinct({SQL_B.format('c.page_content')}))) / greatest(len(list_distinct({SQL_B.format('g.gold')})), 1), 6) AS score
-              FROM g JOIN {DOCS} d USING (request_id) JOIN {CHUNKS} c USING (chunk_id) WHERE g.gold <> '')
-        SELECT request_id, md5(gold) AS gold, chunk_id, score FROM m WHERE score >= 0.4 QUALIFY row_number() OVER (PARTITION BY request_id, gold ORDER BY score DESC, chunk_id) = 1""",
+    f"""WITH {_GOLD}, k AS (SELECT chunk_id, coalesce(page_content, '') AS text, trim(coalesce(section_path, '')) AS section, regexp_extract(replace(coalesce(source, ''), chr(92), '/'), '([^/]*)$', 1) AS file FROM {CHUNKS}),
+        w AS (SELECT *, {_SENTENCES} AS sentences, {_GOLD_WORDS} AS words FROM g),
+        exact AS (SELECT w.id, w.gold, w.file, min(k.chunk_id) AS chunk_id, 1.0 AS score FROM w JOIN k ON {sql_strip('w.gold')} = {sql_strip('k.text')} GROUP BY w.id, w.gold, w.file),
+        scored AS (SELECT w.id, w.gold, w.file, k.chunk_id, round(greatest(coalesce(list_sum(list_transform(list_filter(sentences, lambda s: contains(k.text, left(s, 80))), lambda s: length(s))), 0) / length(w.gold),
+            CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda x: contains(lower(k.text), x))) / len(words) ELSE 0 END), 6) AS score FROM w ANTI JOIN exact USING (id, gold, file) JOIN k USING (file)),
+        best AS (SELECT * FROM exact UNION ALL SELECT * FROM scored WHERE score >= 0.4 QUALIFY row_number() OVER (PARTITION BY id, gold, file ORDER BY score DESC, chunk_id) = 1),
+        extra AS (SELECT b.id, b.gold, b.file, o.chunk_id FROM best b JOIN k ON k.chunk_id = b.chunk_id JOIN k o ON o.file = b.file AND o.section = k.section AND o.chunk_id <> b.chunk_id WHERE k.section <> '' QUALIFY row_number() OVER (PARTITION BY b.id, b.gold, b.file ORDER BY o.chunk_id) <= 2)
+        SELECT id, md5(gold) AS gold, file, chunk_id, 2 AS relevance, CAST(score AS DOUBLE) AS score FROM best UNION ALL SELECT id, md5(gold), file, chunk_id, 1, NULL FROM extra""",
 )
 def join13(spark, sf_dir):
-    gold = _items(spark, sf_dir).select(F.col("id").alias("item_id"), F.explode("ground_truth_contexts").alias("x")).select("item_id", T.squeeze(F.col("x")).alias("gold")).where("gold <> ''")
-    asked = _answers(spark, sf_dir).select("request_id", "item_id").join(gold, "item_id").select("request_id", "gold").distinct()
-    found = asked.join(_docs(spark, sf_dir, "request_id", "chunk_id").select("request_id", "chunk_id").distinct(), "request_id").join(_chunks(spark, sf_dir).select("chunk_id", "page_content"), "chunk_id")
-    score = F.round(E.overlap_ratio(T.token_set_b(F.col("gold")), T.token_set_b(F.col("page_content"))), 6)
-    best = E.ordered_first(found.select("request_id", "gold", "chunk_id", score.alias("score")).where("score >= 0.4"), ["request_id", "gold"], F.desc("score"), F.asc("chunk_id"))
-    return best.select("request_id", F.md5(F.col("gold").cast("binary")).alias("gold"), "chunk_id", "score")
+    """The chunk of each gold text of an item in each file its answers cite, and up to two more of the same section."""
+    chunks = _chunks(spark, sf_dir).select("chunk_id", F.col("source"), T.text(F.col("page_content")).alias("text"), F.trim(T.text(F.col("section_path"))).alias("section"))
+    cited = _answers(spark, sf_dir).select(F.col("item_id").alias("id"), F.explode("citations.chunk_id").alias("chunk_id")).distinct()
+    files_ = cited.join(chunks, "chunk_id").where("coalesce(source, '') <> ''").select("id", T.base_name(F.col("source")).alias("file")).distinct()
+    gold = _items(spark, sf_dir).select("id", F.explode("ground_truth_contexts").alias("gold")).where("trim(gold) <> ''").distinct()
+    found = E.gold_chunks(gold.join(files_, "id"), chunks.withColumn("file", T.base_name(T.text(F.col("source")))), ["id"])
+    return found.select("id", F.md5(F.col("gold").cast("binary")).alias("gold"), "file", "chunk_id", "relevance", "score")
 
 
 @register(
@@ -487,7 +498,7 @@ _NUMBER_TERMS = sql_list(G.NUMBER_TERMS)
         seen AS (SELECT t.request_id, count(DISTINCT q.token) FILTER (q.focus AND list_contains(t.toks, q.token)) AS seen FROM t LEFT JOIN q USING (request_id) GROUP BY t.request_id),
         cc AS (SELECT request_id, sum(w) AS covered FROM (SELECT DISTINCT q.request_id, q.token, q.w FROM q JOIN t USING (request_id) WHERE contains(t.expanded, q.token) OR contains(t.content, q.token) OR contains(t.section, q.token)) GROUP BY request_id),
         pen AS (SELECT request_id, round(least(sum(CASE WHEN parent_id IS NOT NULL AND n > 3 THEN (n - 3) * 0.05 ELSE 0.0 END), 0.3), 6) AS redundancy_penalty FROM (SELECT request_id, parent_id, count(*) AS n FROM d GROUP BY request_id, parent_id) GROUP BY request_id),
-        r AS (SELECT g.request_id, g.kind, count(*) AS documents, max(isrel) AS top_isrel, round(sum(isrel) / count(*), 6) AS avg_isrel, count(*) FILTER (hit >= 2.0) AS supporting, count(*) FILTER (CASE WHEN gap IS NOT NULL THEN gap <= 0.4 ELSE isrel >= 0.15 END) AS useful,
+        r AS (SELECT g.request_id, g.kind, count(*) AS documents, max(isrel) AS top_isrel, round(sum(isrel) / count(*) + 1e-10, 6) AS avg_isrel, count(*) FILTER (hit >= 2.0) AS supporting, count(*) FILTER (CASE WHEN gap IS NOT NULL THEN gap <= 0.4 ELSE isrel >= 0.15 END) AS useful,
             count(DISTINCT source) AS sources, count(DISTINCT parent_id) AS parents, bool_or(numeric) AS numeric_evidence, max(pen.redundancy_penalty) AS redundancy_penalty,
             round(CASE WHEN max(focused) > 0 THEN max(seen.seen) / max(focused) ELSE 0.0 END, 9) AS query_coverage, round(CASE WHEN max(total) > 0 THEN coalesce(max(covered), 0) / max(total) ELSE 0.0 END, 9) AS claim_coverage,
             round(max(top) / greatest(max(total), 1.0), 9) AS top_claim_score FROM g JOIN pen USING (request_id) JOIN seen USING (request_id) LEFT JOIN cc USING (request_id) GROUP BY g.request_id, g.kind),
