@@ -48,24 +48,31 @@ def sections(df: DataFrame, identifier: str, content: str) -> DataFrame:
         ),
     ).where(F.size("heads") > 0)
     first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("level"), F.lit("").alias("title"))
-    starts = F.when(F.col("heads")[0]["at"] > 0, F.concat(F.array(first), F.col("heads"))).otherwise(F.col("heads"))
-    placed = marked.withColumn("starts", starts).select("_id", "lines", "heads", "starts", F.posexplode("starts").alias("ordinal", "own"))
-    # an ancestor is an earlier, higher heading that no heading in between closes
-    open_ = lambda h: (h["at"] <= F.col("own.at")) & ~F.exists(
-        "heads", lambda k: (k["at"] > h["at"]) & (k["at"] <= F.col("own.at")) & (k["level"] <= h["level"])
-    )
-    path = F.array_join(F.transform(F.filter("heads", open_), lambda h: h["title"]), " / ")
-    end = F.coalesce(F.try_element_at("starts", F.col("ordinal") + 2)["at"], F.size("lines"))
-    cut = placed.withColumn("end_line", end)
-    before = F.aggregate(F.slice("lines", F.lit(1), F.col("own.at")), F.lit(0), lambda total, line: total + F.length(line) + 1)
+    starts = F.when(F.get("heads", F.lit(0))["at"] > 0, F.concat(F.array(first), F.col("heads"))).otherwise(F.col("heads"))
+    own = "struct<at:int,level:int,title:string>"
+    begin = F.expr(f"cast(named_struct('at', 0, 'chars', 0L, 'open', array(), 'done', array()) as struct<at:int,chars:bigint,open:array<{own}>,done:array<struct<at:int,path:string,chars:bigint>>>)")
+
+    def step(state: Column, h: Column) -> Column:
+        # the lines between two headings are measured once, and a heading closes those of its level and below
+        between = F.when(h["at"] > state["at"], F.length(F.array_join(F.slice("lines", state["at"] + 1, h["at"] - state["at"]), "\n")) + 1).otherwise(0)
+        chars = state["chars"] + between
+        open_ = F.when(h["level"] > 0, F.concat(F.filter(state["open"], lambda k: k["level"] < h["level"]), F.array(h))).otherwise(state["open"])
+        path = F.array_join(F.transform(open_, lambda k: k["title"]), " / ")
+        done = F.struct(h["at"].alias("at"), path.alias("path"), chars.alias("chars"))
+        return F.struct(h["at"].alias("at"), chars.alias("chars"), open_.alias("open"), F.concat(state["done"], F.array(done)).alias("done"))
+
+    walked = marked.select("_id", "lines", F.aggregate(starts, begin, step, lambda state: state["done"]).alias("done"))
+    # an outer one, for the other adds a filter that walks the headings again
+    cut = walked.select("_id", "lines", "done", F.posexplode_outer("done").alias("ordinal", "own"))
+    cut = cut.withColumn("end_line", F.coalesce(F.try_element_at("done", F.col("ordinal") + 2)["at"], F.size("lines")))
     return cut.select(
         F.col("_id").alias(identifier),
         F.col("ordinal").cast("bigint").alias("ordinal"),
-        F.when(F.col("own.level") > 0, path).otherwise("").alias("section_path"),
+        F.col("own.path").alias("section_path"),
         F.array_join(F.slice("lines", F.col("own.at") + 1, F.col("end_line") - F.col("own.at")), "\n").alias("text"),
         F.col("own.at").cast("bigint").alias("start_line"),
         F.col("end_line").cast("bigint").alias("end_line"),
-        before.cast("bigint").alias("start_char"),
+        F.col("own.chars").alias("start_char"),
     )
 
 

@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import ingest as I
 from corvane.operators import retrieval as R
-from corvane.operators.windows import bucket_step
+from corvane.operators.windows import PRIORITY_ALIASES, bucket_step
 
-# Other names of the priority class with its own budget, and words of errors that may pass.
-PRIORITY_ALIASES = {"noncritical": "non_critical", "non-critical": "non_critical", "query": "non_critical"}
+# Words of errors that may pass.
 TRANSIENT = ("timeout", "timed out", "connection", "rate limit", "429", "500", "502", "503", "504")
 
 

@@ -51,33 +51,50 @@ def bucket_step(level: float, last: float, now: float, need: float, capacity: fl
     return False, level, (need - level) / rate if rate > 0 else float("inf")
 
 
-def token_bucket(df: DataFrame, key: str, ts: str, order: str, need: str, capacity: float, per_minute: float) -> DataFrame:
-    """Each request with ``allowed`` and ``retry_after``, by a bucket of tokens for each key.
+def token_bucket(df: DataFrame, key: str, ts: str, order: str, need: str, capacity: float, per_minute: float, priority: str | None = None, classes: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Each request with ``allowed`` and ``retry_after``, by a bucket of tokens for each key and priority class.
 
-    The rows of a key follow each other in time; they pass as a stream of sorted
-    batches, so none is gathered.
+    ``classes`` has (capacity, per_minute) of the classes with a budget of their own; requests of another class than
+    these and ``default`` are free, as are those of a class without a rate.  The rows of a key and class follow each
+    other in time; they pass as a stream of sorted batches, so none is gathered.
     """
-    rate = per_minute / 60.0
+    known = {"default": (capacity, per_minute), **(classes or {})}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, level, last = None, capacity, 0.0
+        current, level, last = None, 0.0, 0.0
         for batch in batches:
             allowed, wait = [], []
-            for k, at, n in zip(batch["key"], batch["at"], batch["need"]):
-                if current is None or k != current:
-                    current, level, last = k, capacity, at
-                ok, level, retry = bucket_step(level, last, at, n, capacity, rate)
+            for k, c, at, n in zip(batch["key"], batch["class"], batch["at"], batch["need"]):
+                most, rate = known.get(c, (0.0, 0.0))
+                if rate <= 0:
+                    allowed.append(True)
+                    wait.append(0.0)
+                    continue
+                if current != (k, c):
+                    current, level, last = (k, c), most, at
+                ok, level, retry = bucket_step(level, last, at, n, most, rate / 60.0)
                 last = max(last, at)
                 allowed.append(ok)
                 wait.append(round(retry, 6))
             yield pd.DataFrame({"id": batch["id"], "allowed": allowed, "retry_after": wait})
 
-    rows = df.select(F.col(key).alias("key"), (micros(ts) / 1e6).alias("at"), F.col(order).alias("id"), F.col(need).cast("double").alias("need"))
+    name = priority_class(F.col(priority)) if priority else F.lit("default")
+    rows = df.select(F.col(key).alias("key"), name.alias("class"), (micros(ts) / 1e6).alias("at"), F.col(order).alias("id"), F.col(need).cast("double").alias("need"))
     kind = rows.schema["id"].dataType.simpleString()
-    ordered = rows.where("key is not null").repartition("key").sortWithinPartitions("key", "at", "id")
+    ordered = rows.where("key is not null").repartition("key", "class").sortWithinPartitions("key", "class", "at", "id")
     return ordered.mapInPandas(run, f"id {kind}, allowed boolean, retry_after double").withColumnRenamed("id", order)
 
 
+# Other names of the priority class with its own budget.
+PRIORITY_ALIASES = {"noncritical": "non_critical", "non-critical": "non_critical", "query": "non_critical"}
+
+
+def priority_class(name: Column) -> Column:
+    """The class a priority stands for; ``default`` where none is named."""
+    low = F.coalesce(F.nullif(F.trim(F.lower(name)), F.lit("")), F.lit("default"))
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in PRIORITY_ALIASES.items() for x in pair)), low), low)
+
+
 def ttl_hits(df: DataFrame, key: str, ts: str, order: str, seconds: int) -> DataFrame:
     """Each access with ``hit``: the key was written again within ``seconds``."""
     before = F.lag(micros(ts)).over(Window.partitionBy(key).orderBy(ts, order))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from typing import Any
 
@@ -46,21 +47,41 @@ def distinct_requests(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def token_bucket(events: DataFrame, capacity: float, per_minute: float) -> DataFrame:
-    """Each request with ``allowed``, by a token bucket kept as state for each user."""
+#: Requests of a key that are put in order at once; older ones are then decided.
+IN_ORDER = 10_000
+
+
+def token_bucket(events: DataFrame, capacity: float, per_minute: float, in_order: int = IN_ORDER) -> DataFrame:
+    """Each request with ``allowed``, by a token bucket kept as state for each user.
+
+    The requests of a trigger are decided in the order of their times as long as they come no more than ``in_order``
+    requests late: a heap of that many is all that is held of a user, whatever the trigger brings.
+    """
     rate = per_minute / 60.0
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         level, last = state.get if state.exists else (capacity, None)
-        # the batches of one trigger are put in order; across triggers the state goes on
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        allowed = []
-        for at, need in zip(rows["ts"].map(pd.Timestamp.timestamp), rows["need"]):
-            ok, level, _ = bucket_step(level, at if last is None else last, at, need, capacity, rate)
-            last = at if last is None else max(last, at)
-            allowed.append(ok)
+        waiting: list[tuple[float, int, float]] = []
+
+        def decide(most: int) -> pd.DataFrame:
+            nonlocal level, last
+            ids, allowed = [], []
+            while len(waiting) > most:
+                at, number, need = heapq.heappop(waiting)
+                ok, level, _ = bucket_step(level, at if last is None else last, at, need, capacity, rate)
+                last = at if last is None else max(last, at)
+                ids.append(number)
+                allowed.append(ok)
+            return pd.DataFrame({"event_id": ids, "user_id": key[0], "allowed": allowed}).astype({"event_id": "int64", "allowed": "bool"})
+
+        for rows in batches:
+            for row in zip(rows["ts"].map(pd.Timestamp.timestamp), rows["event_id"], rows["need"]):
+                heapq.heappush(waiting, row)
+            if len(waiting) > in_order:
+                yield decide(in_order)
+        out = decide(0)
         state.update((level, last))
-        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "allowed": allowed})
+        yield out
 
     rows = events.select("event_id", "ts", "user_id", F.floor("value").cast("double").alias("need"))
     return rows.groupBy("user_id").applyInPandasWithState(

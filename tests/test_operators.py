@@ -301,7 +301,7 @@ def test_files_are_indexed_once(spark, tmp_path):
     (folder / "a.md").write_text("two")
     (folder / "b.md").write_text("three")
     assert indexing.index_batch(read(), table) == {"indexed": 2, "skipped": 0}
-    assert {r.text for r in spark.read.parquet(f"{table}/version=2").collect()} == {"two", "three"}
+    assert {r.text for r in indexing.read_index(spark, table).collect()} == {"two", "three"}
 
 
 def test_thresholds_and_reports():
@@ -312,6 +312,13 @@ def test_thresholds_and_reports():
     assert "| recall | 0.5000 |" in files.report_markdown("R", {"recall": 0.5})
 
 
+def test_buckets_by_priority_class(spark):
+    rows = [(1, "u", 0, 50.0, None), (2, "u", 1, 50.0, "query"), (3, "u", 2, 50.0, "noncritical"), (4, "u", 3, 11.0, "default"), (5, "u", 4, 1e9, "vip"), (6, "u", 5, 0.0, "default")]
+    df = spark.createDataFrame(rows, "id int, k string, s int, need double, p string").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.id: r.allowed for r in W.token_bucket(df, "k", "ts", "id", "need", 60, 0.06, "p", {"non_critical": (60, 0.06)}).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: True, 6: True}
+
+
 def test_engine_end_to_end(spark):
     docs = [(f"corpus/{n}.md", "md", f"# {n.title()}\n\n" + f"The {n} of a book tells how its value moves when the market moves. " * 4) for n in ("delta", "gamma", "vega")]
     docs += [(f"corpus/other{i}.md", "md", f"Settlement of trade number {i} follows two days later, unless holidays of either country come between them and delay it.") for i in range(9)]
