@@ -93,7 +93,20 @@ def prj4(spark, sf_dir):
     return found.select("parent_id", "chunk_index", "start_index", F.length("text").cast("bigint").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@register("prj4_seeking_chunks")
+_LAST = r"CASE WHEN regexp_matches(w, '{0}') THEN a + length(regexp_extract(w, '(?s)^(.*){0}', 1)) + {1} END"
+
+
+@register(
+    "prj4_seeking_chunks",
+    rf"""WITH RECURSIVE p AS MATERIALIZED (SELECT parent_id, page_content AS t, length(page_content) AS n FROM {PARENTS} WHERE length(page_content) > 0),
+      walk AS (SELECT parent_id, -1::BIGINT AS i, 0::BIGINT AS s, 0::BIGINT AS e, 0::BIGINT AS nxt FROM p
+        UNION ALL SELECT parent_id, i + 1, s, e, CASE WHEN e >= n THEN n WHEN e - 100 > s THEN e - 100 ELSE e END FROM (
+          SELECT parent_id, i, s, n, least(n, CASE WHEN lim >= n THEN n WHEN instr(w, chr(10) || chr(10)) > 0 THEN a + instr(w, chr(10) || chr(10)) + 1
+            ELSE coalesce({_LAST.format(r'\. ', 2)}, {_LAST.format('。', 1)}, {_LAST.format(r'\n', 1)}, lim) END)::BIGINT AS e FROM (
+            SELECT *, substr(t, a + 1, lim + 100 - a) AS w FROM (SELECT *, greatest(s, lim - 100) AS a FROM (
+              SELECT w.parent_id, w.i, w.nxt AS s, p.t, p.n, least(w.nxt + 800, p.n) AS lim FROM walk w JOIN p USING (parent_id) WHERE w.nxt < p.n)))))
+      SELECT parent_id, i AS chunk_index, s AS start_index, e - s AS n_chars FROM walk WHERE i >= 0""",
+)
 def prj4b(spark, sf_dir):
     found = I.seeking_chunks(_parents(spark, sf_dir), "parent_id", "page_content")
     return found.select("parent_id", "chunk_index", "start_index", F.length("text").cast("bigint").alias("n_chars"))

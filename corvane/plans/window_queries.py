@@ -130,18 +130,32 @@ def stm1_sessions(spark, sf_dir):
     return W.session_windows(_events(spark, sf_dir), "user_id", "ts", "6 hours")
 
 
-@register("stm2_token_bucket")
+_BUCKET = """WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS sec, floor(value) AS need, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL),
+      walk AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 60.0::DOUBLE AS level, NULL::DOUBLE AS last, true AS allowed, 0.0::DOUBLE AS retry_after FROM e GROUP BY user_id
+        UNION ALL SELECT user_id, n, event_id, CASE WHEN need > 0 AND ok THEN filled - need ELSE filled END, greatest(last, sec), ok, CASE WHEN ok THEN 0.0 WHEN need > 60 THEN 'inf'::DOUBLE ELSE round((need - filled) / (0.02 / 60.0), 6) END FROM (
+          SELECT *, need <= 0 OR (need <= 60 AND need <= filled + 1e-9) AS ok FROM (
+            SELECT e.user_id, e.n, e.event_id, e.sec, e.need, coalesce(w.last, e.sec) AS last, least(60.0, w.level + greatest(0.0, e.sec - coalesce(w.last, e.sec)) * (0.02::DOUBLE / 60.0)) AS filled FROM walk w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)))"""
+
+
+@register("stm2_token_bucket", _BUCKET + " SELECT event_id, allowed, retry_after FROM walk WHERE n > 0")
 def stm2(spark, sf_dir):
     rows = _events(spark, sf_dir).withColumn("need", F.floor("value"))
     return W.token_bucket(rows, "user_id", "ts", "event_id", "need", capacity=60, per_minute=0.02)
 
 
-@register("stm2_stream_bucket")
+@register("stm2_stream_bucket", _BUCKET + " SELECT event_id, user_id, allowed FROM walk WHERE n > 0")
 def stm2_stream(spark, sf_dir):
     stream = usage.token_bucket(usage.read_events(spark, sf_dir), 60, 0.02)
     return usage.run_to_table(stream, "append", "bucket")
 
 
+@register("stm2_priority_bucket")
+def stm2_priority(spark, sf_dir):
+    """Buckets by user and priority class: views are not critical, errors have a class without a budget."""
+    rows = _events(spark, sf_dir).withColumn("need", F.floor("value")).withColumn("priority", F.when(F.col("event_type") == "view", "query").when(F.col("event_type") == "error", "vip"))
+    return W.token_bucket(rows, "user_id", "ts", "event_id", "need", 60, 0.02, "priority", {"non_critical": (30, 0.01)})
+
+
 @register("stm3_rate_limit", "SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) <= 1 AS allowed FROM events")
 def stm3(spark, sf_dir):
     return W.fixed_window_limit(_events(spark, sf_dir), "user_id", "ts", "event_id", "hour", 1).select("event_id", "allowed")
