@@ -56,6 +56,7 @@ MESSAGE = re.compile(
 )
 LINK = re.compile(r"!?\[([^\]]*)\]\(([^)\s]*)[^)]*\)")
 MARK = re.compile(r"^\s*(#{1,6}|>+|[-*+•·]|\d{1,3}[.)])\s+|[*_`]{1,3}(?=\S)|(?<=\S)[*_`]{1,3}|\s#+\s*$")
+HASHES = re.compile(r"(#{1,6})\s")
 MARKS = frozenset("#>-*+•·0123456789")
 EMPHASIS = re.compile(r"[*_`]{1,3}(?=\S)|(?<=\S)[*_`]{1,3}")
 NUMBER = re.compile(r"^(\d+(\.\d+)*[.)]?|[-*•])\s+")
@@ -78,16 +79,13 @@ class Line:
     key: int  # a number for the wording, whatever figures are in it
     words: tuple[int, ...]  # slots of the wording's words, of pairs of them, and of all of it
     flags: int
+    density: float  # the ratio's logarithm, less for short lines
 
     @property
     def ratio(self) -> float:
         """Text-to-tag ratio: characters outside links for each character of markup."""
         return (len(self.text) - self.linked) / (1 + self.tags)
 
-    @property
-    def density(self) -> float:
-        return math.log1p(max(0.0, self.ratio)) * min(1.0, len(self.text) / LONG)
-
 
 class _Events(HTMLParser):
     """Collects text, link text and markup of one line after the other."""
@@ -168,9 +166,13 @@ class LineReader:
             item, top = "li" in events.seen, "h1" in events.seen
         else:
             shown, linked, heading, item, top = raw.strip(), 0, False, False, False
-        top = top or bool(re.match(r"#\s", shown))
-        heading = heading or bool(re.match(r"#{1,6}\s", shown)) or (shown.startswith("**") and shown.endswith("**") and len(shown) > 4)
-        item = item or bool(re.match(r"[-*+•]\s", shown))
+        first = shown[:1]
+        if first == "#":
+            mark = HASHES.match(shown)
+            heading, top = heading or mark is not None, top or (mark is not None and mark.end(1) == 1)
+        elif first == "*" and shown.startswith("**") and shown.endswith("**") and len(shown) > 4:
+            heading = True
+        item = item or (first in "-*+•" and shown[1:2].isspace())
         if "](" in shown:
             linked += sum(len(t) for t, _ in LINK.findall(shown))
             shown = LINK.sub(r"\1", shown)
@@ -184,7 +186,9 @@ class LineReader:
         if not any(c.isalnum() for c in plain):
             return None
         text = NUMBER.sub("", plain).strip() or plain
-        return text, plain, len(raw) - len(plain), min(linked, len(plain)), heading, item, top, *wording(text)
+        tags, linked = len(raw) - len(plain), min(linked, len(plain))
+        density = math.log1p(max(0.0, (len(text) - linked) / (1 + tags))) * min(1.0, len(text) / LONG)
+        return text, plain, tags, linked, heading, item, top, *wording(text), density
 
 
 def read_lines(content: str, markup: bool) -> list[Line]:
@@ -192,33 +196,30 @@ def read_lines(content: str, markup: bool) -> list[Line]:
 
 
 @lru_cache(100_000)
-def _slot(name: str) -> int:
-    return xxhash.xxh64_intdigest(name) & (SLOTS - 1)
+def _word_hash(word: str) -> int:
+    return xxhash.xxh32_intdigest("#" if word.isdigit() else word.encode("utf-8", "surrogatepass")) >> 2
 
 
 def wording(text: str) -> tuple[int, tuple[int, ...], int]:
     """Key, slots and flags of a line.
 
-    Slots below ``SLOTS`` count words: the first ones, pairs of neighbours among
-    them, the first and the last.  A wording of few words has two more slots for
-    all of it, by independent hashes, so that one that is shared by chance shows.
+    Slots below ``SLOTS`` count words: the first ones, and by themselves the first
+    and the last of these.  A wording of few words has two more slots for all of
+    it, by independent hashes, so that one that is shared by chance shows.
     """
-    folded = SPACES.sub(" ", text.casefold()).strip()
+    folded = " ".join(text.casefold().split())
     key = xxhash.xxh64_intdigest(DIGITS.sub("#", folded).encode("utf-8", "surrogatepass"))
-    words = ["#" if w.isdigit() else w for w in (m.group() for m in islice(WORD.finditer(folded), OPENING + 1))]
-    slots = {_slot("1" + w) for w in words[:OPENING]} | {_slot(f"2{a} {b}") for a, b in zip(words, words[1:OPENING])}
+    words = [_word_hash(m.group()) for m in islice(WORD.finditer(folded), OPENING + 1)]
+    whole = 0 < len(words) <= OPENING
+    del words[OPENING:]
+    slots = {h & (SLOTS - 1) for h in words}
     if words:
-        slots |= {_slot("a" + words[0]), _slot("z" + words[-1])}
-    found = sorted(slots)
-    if 0 < len(words) <= OPENING:
-        found += [SLOTS + (key & (SLOTS - 1)), 2 * SLOTS + (key >> 40 & (SLOTS - 1))]
-    flags = (
-        KNOWN * bool(PRIOR.match(text))
-        | ASIDE * bool(POINTER.fullmatch(text) or MESSAGE.fullmatch(text))
-        | LENGTHY * (len(text) >= 2 * LONG)
-        | AWAY * bool(MESSAGE.fullmatch(text))
-    )
-    return key - (1 << 64) if key >> 63 else key, tuple(found), flags
+        slots.add((words[0] * 31 + 7) & (SLOTS - 1))
+        slots.add((words[-1] * 37 + 11) & (SLOTS - 1))
+    found = (*slots, SLOTS + (key & (SLOTS - 1)), 2 * SLOTS + (key >> 40 & (SLOTS - 1))) if whole else tuple(slots)
+    away = MESSAGE.fullmatch(text) is not None
+    flags = KNOWN * (PRIOR.match(text) is not None) | ASIDE * (away or POINTER.fullmatch(text) is not None) | LENGTHY * (len(text) >= 2 * LONG) | AWAY * away
+    return key - (1 << 64) if key >> 63 else key, found, flags
 
 
 def _slug(text: str) -> str:
