@@ -91,8 +91,8 @@ def language_votes(text: str, words: list[str] | None = None) -> dict[str, float
     """How strongly a text speaks for each language: stopwords, Chinese characters, and telling letters."""
     votes = dict.fromkeys([*STOPWORDS, "zh"], 0.0)
     lowered = text.lower()
-    for w in LATIN.findall(lowered) if words is None else words:
-        for lang in SPEAKS_FOR.get(w, ()):
+    for languages in filter(None, map(SPEAKS_FOR.get, LATIN.findall(lowered) if words is None else words)):
+        for lang in languages:
             votes[lang] += 1.0
     if not text.isascii():
         votes["zh"] = len(CJK.findall(text)) / 2.5
