@@ -118,14 +118,9 @@ QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|
 
 
 def response_language(text: str) -> str | None:
-    """The language most of a response is in, by sentences weighted by their votes; quotations don't count."""
-    text = QUOTED.sub(" ", text)
-    totals: dict[str, float] = {}
-    for part in sentences(text):
-        votes = language_votes(part)
-        for lang, n in votes.items():
-            totals[lang] = totals.get(lang, 0.0) + n
-    ranked = sorted(totals.items(), key=lambda v: -v[1])
+    """The language most of a response is in, by its votes; quotations don't count."""
+    # the votes of a text are the sum of those of its sentences
+    ranked = sorted(language_votes(QUOTED.sub(" ", text)).items(), key=lambda v: -v[1])
     if len(ranked) < 2 or ranked[0][1] < 2 or ranked[0][1] < 1.6 * ranked[1][1]:
         return None
     return ranked[0][0]
