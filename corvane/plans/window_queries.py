@@ -10,10 +10,13 @@ from corvane.operators import windows as W
 from corvane.plans.catalog import register
 from corvane.plans.retrieval_queries import DOCS, ENTRIES, _docs, _entries
 from corvane.plans.text_queries import ANSWERS, CHUNKS, ITEMS, SQL_B, _answers, _chunks, _items
-from corvane.session import table
+from corvane.operators import ingest as I
+from corvane.operators import retrieval as R
+from corvane.plans.ingest_queries import PARENTS, _parents
+from corvane.session import scratch_path, table
 from corvane.sources import files
 from corvane.sources.manifest import upsert
-from corvane.streaming import usage
+from corvane.streaming import indexing, usage
 
 
 def _events(spark, sf_dir):
@@ -211,8 +214,6 @@ def src7(spark, sf_dir):
 @register("src8_corpus_lines", f"SELECT page_content, source FROM {CHUNKS} WHERE page_content IS NOT NULL AND source IS NOT NULL")
 def src8(spark, sf_dir):
     """Chunks written as a corpus of JSON lines and read again."""
-    from corvane.session import scratch_path
-
     rows = _chunks(spark, sf_dir).where("page_content is not null and source is not null")
     path = scratch_path(spark, "corpus")
     files.write_corpus(rows.select("page_content", F.create_map(F.lit("source"), "source").alias("metadata")), path)
@@ -235,3 +236,51 @@ def snk4(spark, sf_dir):
     rows = _chunks(spark, sf_dir)
     gone = rows.agg(F.min("source").alias("source"))
     return rows.join(gone, "source", "left_anti").select("chunk_id")
+
+
+@register(
+    "src10_vector_rows",
+    f"SELECT chunk_id, source, file_type, parent_id, section_path, start_index, page, start_line, end_line, length(coalesce(page_content, '')) AS n_chars, 64 AS dimensions FROM {CHUNKS}",
+)
+def src10(spark, sf_dir):
+    """The rows of a vector table, stored by cell and read again."""
+    chunks = _chunks(spark, sf_dir)
+    vectors = I.hash_vectors(chunks, "chunk_id", "page_content").select(F.col("key").alias("chunk_id"), "vector")
+    path = scratch_path(spark, "vectors")
+    files.write_vectors(R.with_cells(chunks.join(vectors, "chunk_id"), "vector", R.fit_cells(vectors, "vector", 10).centers), path)
+    kept = ["chunk_id", "source", "file_type", "parent_id", "section_path", "start_index", "page", "start_line", "end_line"]
+    text = F.length(T.text(F.col("page_content"))).cast("bigint")
+    return spark.read.parquet(path).select(*kept, text.alias("n_chars"), F.size("vector").alias("dimensions"))
+
+
+@register(
+    "src12_traces",
+    """SELECT CAST(event_id // 4 AS VARCHAR) AS request_id, count(*) AS nodes, round(max(value), 6) AS slowest, CAST(sum(CAST(floor(value) AS INT)) AS BIGINT) AS prompt_tokens FROM events GROUP BY 1""",
+)
+def src12(spark, sf_dir):
+    """Traces of four nodes each, written as JSON and read again."""
+    node = F.struct(F.col("event_type").alias("name"), F.col("value").alias("latency_ms"), F.struct(F.floor("value").cast("int").alias("prompt_tokens"), F.lit(0).alias("completion_tokens")).alias("token_usage"))
+    request = F.expr("event_id div 4").cast("string")
+    path = scratch_path(spark, "traces")
+    _events(spark, sf_dir).groupBy(request.alias("request_id")).agg(F.collect_list(node).alias("nodes")).write.json(path)
+    rows = files.read_traces(spark, path, lines=True).select("request_id", F.explode("nodes").alias("n"))
+    return rows.groupBy("request_id").agg(
+        F.count("*").alias("nodes"), F.round(F.max("n.latency_ms"), 6).alias("slowest"), F.sum("n.token_usage.prompt_tokens").alias("prompt_tokens")
+    )
+
+
+@register("stm6_incremental_index", f"SELECT parent_id AS source, length(page_content) AS n_chars, page % 3 = 1 AS changed FROM {PARENTS} WHERE page_content IS NOT NULL")
+def stm6(spark, sf_dir):
+    """Two batches of files into the incremental index: all, some of them unfinished, then all as they are."""
+    rows = _parents(spark, sf_dir).where("page_content is not null")
+    late = F.coalesce(F.col("page") % 3 == 1, F.lit(False))
+    as_files = lambda text: rows.select(F.col("parent_id").alias("path"), text.cast("binary").alias("content"))
+    path = scratch_path(spark, "index")
+    indexing.index_batch(as_files(F.when(late, F.lit("unfinished")).otherwise(F.col("page_content"))), path, parts=8)
+    first = indexing.read_index(spark, path, parts=8).select("source", F.col("digest").alias("before"))
+    indexing.index_batch(as_files(F.col("page_content")), path, parts=8)
+    now = indexing.read_index(spark, path, parts=8).join(first, "source")
+    # the page of a parent is null where it has none
+    known = rows.select(F.col("parent_id").alias("source"), F.col("page").isNull().alias("unknown"))
+    changed = F.when(~F.col("unknown"), F.col("digest") != F.col("before"))
+    return now.join(known, "source").select("source", F.length("text").cast("bigint").alias("n_chars"), changed.alias("changed"))

@@ -186,10 +186,10 @@ def write_corpus(df: DataFrame, path: str) -> None:
     df.select("page_content", "metadata").write.mode("overwrite").json(path)
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """Trace files, corrupt ones left out."""
+def read_traces(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Trace files of one trace each, or with one a line; corrupt ones are left out."""
     node = "struct<name:string,latency_ms:double,token_usage:struct<prompt_tokens:int,completion_tokens:int>>"
-    return spark.read.schema(f"request_id string, nodes array<{node}>").option("mode", "DROPMALFORMED").option("multiLine", True).json(path)
+    return spark.read.schema(f"request_id string, nodes array<{node}>").option("mode", "DROPMALFORMED").option("multiLine", not lines).json(path)
 
 
 def latest_file(spark: SparkSession, folder: str, pattern: str) -> str | None:

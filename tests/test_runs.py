@@ -153,3 +153,20 @@ def test_tables_artifacts_traces_and_reset(spark, tmp_path):
 def test_comparison_report(spark):
     rows = spark.createDataFrame([("recall", 0.5, 0.7, -0.2, "regressed")], "metric string, current double, baseline double, delta double, verdict string")
     assert "| recall | 0.700 | 0.500 | -0.200 | regressed |" in store.comparison_markdown(rows)
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    from corvane import __main__ as cli
+
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    (folder / "gamma.md").write_text("# Gamma\n\n" + "The gamma of a book tells how its delta moves when the market moves. " * 4)
+    monkeypatch.setattr(cli, "build_session", lambda name: spark)
+    assert cli.main([]) == 2 and cli.main(["ask", "x"]) == 2
+    assert cli.main(["index", f"file://{folder}", str(tmp_path / "store")]) == 0 and "gamma.md" in capsys.readouterr().out
+    assert cli.main(["ask", str(tmp_path / "store"), "What does gamma tell about a book?"]) == 0 and "gamma.md:" in capsys.readouterr().out
+    monkeypatch.setattr("sys.stdin", io.StringIO("What does gamma tell?\n\nAnd its delta in a book?\n"))
+    assert cli.main(["chat", str(tmp_path / "store")]) == 0 and capsys.readouterr().out.count("gamma.md:") == 2
+    assert cli.main(["status", str(tmp_path / "store")]) == 0
