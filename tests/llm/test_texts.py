@@ -196,6 +196,19 @@ def test_levels(spark):
     assert reading_levels(df.limit(0), examples, identifier="doc_id", text="text", language="lang").count() == 0
 
 
+def test_examples_without_some_levels(spark):
+    import warnings
+
+    graded = [(" ".join(EXAMPLES[level]), "en", level) for level in (1, 4) for _ in range(3)]
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        own = lv.example_words(graded)
+        model = lv.fit(graded, own, {lang: sum(n.values()) for lang, n in own.items()})
+    sentences = lv.Sentences.of(lv.units(" ".join(EXAMPLES[1])), "en")
+    votes = lv.text_votes(sentences, np.zeros(len(sentences.sizes), dtype=np.int64), 1, "en", model.languages["en"])
+    assert lv.most_voted(votes).tolist() == [1]
+
+
 def test_special_tokens_make_no_table_row():
     from corvane.llm.levels import units
 
