@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import filters as P
 from corvane.operators import ingest as I
+from corvane.operators import tools as X
 from corvane.plans.catalog import register
 from corvane.plans.text_queries import (
     ANSWERS, CHUNKS, ITEMS, _answer_rows, _answers, _chunk_rows, _chunks, _item_rows, _items, sql_list, sql_squeeze, sql_strip,
@@ -517,16 +518,31 @@ _ASKED = """SELECT id, 'as is' AS form, coalesce(question, '') AS q FROM {0} UNI
     WHEN 1 THEN ' Desk FX_spot, limit = 40' WHEN 2 THEN ' delta limit: 7,5 for the credit desk' WHEN 3 THEN ' What is the limit of 5 million?' ELSE ' breach at DESK  Equity limit is 12.75 as of 1999-01-31' END FROM {0}"""
 
 
-@register(
-    "flt16_exposure_requests",
-    rf"""SELECT id, form, CASE WHEN ok THEN desk END AS desk, CASE WHEN ok THEN lim END AS abs_limit, CASE WHEN ok THEN coalesce(nullif(regexp_extract(q, '\b(20\d{{2}}-\d{{2}}-\d{{2}})\b', 1), ''), '2024-01-31') END AS as_of
+_REQUESTS = rf"""SELECT id, form, CASE WHEN ok THEN desk END AS desk, CASE WHEN ok THEN lim END AS abs_limit, CASE WHEN ok THEN coalesce(nullif(regexp_extract(q, '\b(20\d{{2}}-\d{{2}}-\d{{2}})\b', 1), ''), '2024-01-31') END AS as_of
         FROM (SELECT *, desk IS NOT NULL AND lim IS NOT NULL AND {_any('lower(q)', ('desk', 'delta', 'exposure', 'limit', 'breach'))} AS ok FROM (
           SELECT id, form, q, upper(nullif(regexp_extract(q, '\bdesk\s+([A-Za-z][A-Za-z0-9_\-/]*)', 1, 'i'), '')) AS desk,
             try_cast(replace(nullif(regexp_extract(q, '(?:abs\s+delta\s+limit|delta\s+limit|limit)\s*(?:=|is|of|:)?\s*([0-9][0-9,]*(?:\.\d+)?)', 1, 'i'), ''), ',', '') AS DOUBLE) AS lim
-          FROM ({_ASKED.format(ITEMS)})))""",
-)
-def flt16(spark, sf_dir):
+          FROM ({_ASKED.format(ITEMS)})))"""
+
+
+def _asked_rows(spark, sf_dir):
     _items(spark, sf_dir).select("id", "question").createOrReplaceTempView("asked_items")
-    rows = spark.sql(_ASKED.format("asked_items"))
+    return spark.sql(_ASKED.format("asked_items"))
+
+
+@register("flt16_exposure_requests", _REQUESTS)
+def flt16(spark, sf_dir):
     made = P.exposure_request(F.col("q"), F.lit("2024-01-31"))
-    return rows.select("id", "form", *(c.alias(n) for n, c in made.items()))
+    return _asked_rows(spark, sf_dir).select("id", "form", *(c.alias(n) for n, c in made.items()))
+
+
+@register(
+    "udf3_exposure_tool",
+    f"""SELECT id, form, 'tool:{X.TOOL}:' || desk || ':' || as_of AS chunk_id, total_delta, abs(total_delta) > abs_limit AS breach, NULL::VARCHAR AS failure,
+        'Tool result for desk ' || desk || ' as of ' || as_of || '. Total delta is ' || printf('%.2f', total_delta) || '. Absolute delta limit is ' || printf('%.2f', abs_limit) || '. Limit breach is ' || CASE WHEN abs(total_delta) > abs_limit THEN 'yes' ELSE 'no' END || '.' AS document
+        FROM (SELECT *, CASE WHEN seed % 2 = 0 THEN 1 ELSE -1 END * CAST(seed % 900000 + 50000 AS DOUBLE) AS total_delta FROM (SELECT *, CAST('0x' || left(sha1(desk || '|' || as_of || '|' || CAST(abs_limit AS VARCHAR)), 8) AS BIGINT) AS seed FROM ({_REQUESTS}) WHERE desk IS NOT NULL))""",
+)
+def udf3(spark, sf_dir):
+    """The tool's results for all questions that ask for one, as documents."""
+    found = X.exposure_tool(_asked_rows(spark, sf_dir), "q", F.lit("2024-01-31"))
+    return found.select("id", "form", "chunk_id", "total_delta", "breach", "failure", "document")

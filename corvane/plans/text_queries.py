@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators.evaluation import exact_quantiles
+from corvane.operators.tools import mock_exposure
 from corvane.plans.catalog import register
 from corvane.session import spread, table
 
@@ -252,14 +253,6 @@ def num5(spark, sf_dir):
     return _answer_rows(spark, sf_dir).select("request_id", T.safe_number(found).alias("number"))
 
 
-def mock_exposure(desk, as_of, limit) -> dict:
-    """A deterministic stand-in exposure: sign and size from the first eight hex digits of a hash."""
-    digest = F.sha1(F.concat_ws("|", desk, as_of, limit).cast("binary"))
-    seed = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-    total = F.when(seed % 2 == 0, 1).otherwise(-1) * (seed % 900000 + 50000)
-    return {"total_delta": total.cast("double"), "breach": F.abs(total) > limit.cast("double")}
-
-
 @register(
     "num6_mock_exposure",
     """SELECT s_name, CASE WHEN seed % 2 = 0 THEN 1 ELSE -1 END * CAST(seed % 900000 + 50000 AS DOUBLE) AS total_delta,

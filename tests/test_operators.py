@@ -14,6 +14,7 @@ from corvane.operators import evaluation as E
 from corvane.operators import filters as P
 from corvane.operators import ingest as I
 from corvane.operators import retrieval as R
+from corvane.operators import tools as X
 from corvane.operators import windows as W
 from corvane.plans import catalog as queries
 from corvane.plans.engine import Engine, build_chunks
@@ -198,6 +199,15 @@ def test_exposure_request(spark):
     assert asked("What is the limit of 5 million?") == asked("desk Rates?") == asked(None) == (None, None, None)
 
 
+def test_exposure_tool(spark):
+    df = spark.createDataFrame([(1, "Show desk Rates with limit 5,000 as of 2024-02-03"), (2, "What is delta?"), (3, None)], "id int, q string")
+    got = X.exposure_tool(df, "q").collect()
+    assert [r.id for r in got] == [1] and got[0].chunk_id == "tool:monitor_desk_exposure:RATES:2024-02-03" and got[0].breach and "Limit breach is yes." in got[0].document
+    failing = lambda rows: rows.withColumns({"total_delta": F.lit(None).cast("double"), "breach": F.lit(None).cast("boolean")})
+    lost = X.exposure_tool(df, "q", tool=failing).first()
+    assert lost.failure == "tool_error" and lost.document is None
+
+
 def test_parents_of_every_kind(spark):
     rows = [
         ("a", "x/a.md", "md", 0, "# One\ntext\n\n## Two\n \n"), ("b", "x/b.md", None, 0, "no heading\n"), ("c", "x/c.pdf", "pdf", 7, " page "), ("d", "x/d.docx", "docx", None, None),
