@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from corvane.config import DEFAULT, RetrievalConfig
 from corvane.operators import filters as P
 from corvane.operators import hybrid as H
 from corvane.operators import ingest as I
+from corvane.operators import retrieval as R
 from corvane.operators.hybrid import Embedding, Model
+from corvane.operators.models import Tool
 from corvane.sources.files import scan_documents
 from corvane.sources.manifest import diff_manifest, source_digests, upsert
 
@@ -66,6 +70,32 @@ class Engine:
         chunks, state = H.rounds(self.corpus, routed.select("id", "question"), self.config, most_rounds, self.rewrite, self.rerank)
         return chunks.join(state.select("id", "tier", "sufficient"), "id").join(routed.select("id", F.col("c.level").alias("level")), "id")
 
+    def tools(self, most: int = 5) -> dict[str, Tool]:
+        """The searches a planner may call, by name; each returns at most ``most`` rows as JSON."""
+        shown = lambda rows, *columns: json.dumps([r.asDict() for r in rows.select(*columns, F.substring("text", 1, 200).alias("snippet")).collect()], ensure_ascii=False)
+        texts = self.corpus.chunks.withColumnRenamed("chunk_id", "key")
+        one = lambda query: self.spark.createDataFrame([("1", query)], "qid string, text string")
+
+        def semantic_search(query: str) -> str:
+            found = H.hybrid(self.corpus, one(query), self.config, self.rerank).where(F.col("place") <= most)
+            return shown(found.join(texts, "key").orderBy("place"), "key", "source", "section", "score")
+
+        def keyword_search(query: str) -> str:
+            found = R.search(self.corpus.words, one(query), "qid", "text", most, repeat=True)
+            return shown(found.join(texts, "key").orderBy("rank"), "key", "source", "section", "score")
+
+        def structured_lookup(source: str = "", section: str = "") -> str:
+            rows = P.structured_lookup(self.corpus.chunks.withColumn("section_path", F.col("section")), source, section)
+            return shown(rows.limit(most), "chunk_id", "source", "section")
+
+        def chunk_read(chunk_id: str) -> str:
+            own = self.chunks.where(F.col("chunk_id") == chunk_id).select("parent_id")
+            siblings = self.chunks.join(own, "parent_id", "left_semi")
+            # the chunk itself first, then its neighbours in order
+            return shown(siblings.orderBy(F.col("chunk_id") != chunk_id, "chunk_index").limit(most + 1), "chunk_id", "source", "section_path")
+
+        return {f.__name__: f for f in (semantic_search, keyword_search, structured_lookup, chunk_read)}
+
     def update(self, documents: DataFrame) -> Engine:
         """An engine in which the changed and deleted sources of ``documents``, a whole corpus, are brought up to date."""
         parents, chunks = build_chunks(documents, self.config)

@@ -118,6 +118,16 @@ def test_tools_are_called_at_most_so_often_and_never_twice():
     assert len(M.run_tools("?", again, tools)[1]) == 1
 
 
+def test_tools_of_an_engine(spark, engine):
+    tools = engine.tools(most=2)
+    first = json.loads(tools["semantic_search"](query="What does gamma tell about a book?"))[0]
+    assert first["source"] == "corpus/gamma.md" and json.loads(tools["keyword_search"](query="gamma"))[0]["key"] == first["key"]
+    assert [r["source"] for r in json.loads(tools["structured_lookup"](source="VEGA"))] == ["corpus/vega.md"]
+    assert json.loads(tools["chunk_read"](chunk_id=first["key"]))[0]["chunk_id"] == first["key"]
+    plan = lambda q, calls: {"answer": calls[0]["output"]} if calls else {"tool": "keyword_search", "arguments": {"query": q}}
+    assert first["key"] in M.run_tools("gamma", plan, tools)[0]
+
+
 def test_judged_metrics_need_a_judge(spark):
     samples = spark.createDataFrame([("a",), ("b",)], "id string")
     assert M.judged_metrics(samples, {"faithfulness": lambda s: s.select("id", F.lit(0.5).alias("value"))}) == {"ragas_faithfulness": 0.5}
