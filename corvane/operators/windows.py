@@ -101,31 +101,73 @@ def ttl_hits(df: DataFrame, key: str, ts: str, order: str, seconds: int) -> Data
     return df.withColumn("hit", F.coalesce(micros(ts) - before <= seconds * 1_000_000, F.lit(False)))
 
 
-def lru_hits(df: DataFrame, owner: str, key: str, ts: str, order: str, capacity: int) -> DataFrame:
+def _touch(cache: OrderedDict, key, capacity: int) -> None:
+    cache[key] = None
+    cache.move_to_end(key)
+    if len(cache) > capacity:
+        cache.popitem(last=False)
+
+
+def lru_hits(df: DataFrame, owner: str, key: str, ts: str, order: str, capacity: int, seconds: int = 86_400) -> DataFrame:
     """Each access with ``hit``: its key is among the ``capacity`` last used ones of its owner.
 
-    The accesses of an owner pass as a stream of sorted batches past a cache of
-    fixed size.
+    An owner's accesses are cut into spans of ``seconds``.  What a span leaves in the cache is at most ``capacity`` keys,
+    whatever was there before, so these lists are made in parallel, laid over each other in one pass, and each span is
+    then played through from the keys it begins with.  A busy owner is one task's work only for the lists.
     """
+    rows = df.select(F.col(owner).alias("owner"), F.col(key).alias("key"), micros(ts).alias("at"), F.col(order).alias("id")).where("owner is not null and key is not null")
+    rows = rows.withColumn("span", F.floor(F.col("at") / (seconds * 1_000_000)))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("owner", "key", "id")}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, cache = None, OrderedDict()
         for batch in batches:
-            hits = []
-            for who, k in zip(batch["owner"], batch["key"]):
+            done = []
+            for who, span, k in zip(batch["owner"], batch["span"], batch["key"]):
+                if current != (who, span):
+                    if current is not None:
+                        done.append((*current, list(cache)))
+                    current, cache = (who, span), OrderedDict()
+                _touch(cache, k, capacity)
+            if done:
+                yield pd.DataFrame(done, columns=["owner", "span", "keys"])
+        if current is not None:
+            yield pd.DataFrame([(*current, list(cache))], columns=["owner", "span", "keys"])
+
+    def begun(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, cache = None, OrderedDict()
+        for batch in batches:
+            begin = []
+            for who, span, keys in zip(batch["owner"], batch["span"], batch["keys"]):
                 if current is None or who != current:
                     current, cache = who, OrderedDict()
-                hits.append(k in cache)
-                cache[k] = None
-                cache.move_to_end(k)
-                if len(cache) > capacity:
-                    cache.popitem(last=False)
-            yield pd.DataFrame({"id": batch["id"], "hit": hits})
+                begin += [(who, span, k, place) for place, k in enumerate(cache)]
+                for k in keys:
+                    _touch(cache, k, capacity)
+            yield pd.DataFrame(begin, columns=["owner", "span", "key", "place"])
 
-    rows = df.select(F.col(owner).alias("owner"), F.col(key).alias("key"), micros(ts).alias("at"), F.col(order).alias("id"))
-    kind = rows.schema["id"].dataType.simpleString()
-    ordered = rows.where("owner is not null and key is not null").repartition("owner").sortWithinPartitions("owner", "at", "id")
-    return ordered.mapInPandas(run, f"id {kind}, hit boolean").withColumnRenamed("id", order)
+    def played(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, cache = None, OrderedDict()
+        for batch in batches:
+            hits = []
+            for who, span, k in zip(batch["owner"], batch["span"], batch["key"]):
+                if current != (who, span):
+                    current, cache = (who, span), OrderedDict()
+                hits.append(k in cache)
+                _touch(cache, k, capacity)
+            asked = ~batch["seed"].to_numpy(dtype=bool)
+            yield pd.DataFrame({"id": batch["id"][asked], "hit": pd.Series(hits, index=batch.index, dtype=bool)[asked]})
+
+    spans = rows.repartition("owner", "span").sortWithinPartitions("owner", "span", "at", "id").select("owner", "span", "key")
+    lists = spans.mapInPandas(left, f"owner {kinds['owner']}, span bigint, keys array<{kinds['key']}>")
+    seeds = lists.repartition("owner").sortWithinPartitions("owner", "span").mapInPandas(begun, f"owner {kinds['owner']}, span bigint, key {kinds['key']}, place bigint")
+    # a null would turn the batch's whole numbers into floats, which hold no large ones
+    none = F.lit(0).cast(kinds["id"]) if kinds["id"] in ("tinyint", "smallint", "int", "bigint") else F.lit(None).cast(kinds["id"])
+    both = rows.select("owner", "span", "key", "at", "id", F.lit(False).alias("seed")).unionByName(
+        seeds.select("owner", "span", "key", F.col("place").alias("at"), none.alias("id"), F.lit(True).alias("seed"))
+    )
+    ordered = both.repartition("owner", "span").sortWithinPartitions("owner", "span", F.desc("seed"), "at", "id")
+    return ordered.mapInPandas(played, f"id {kinds['id']}, hit boolean").withColumnRenamed("id", order)
 
 
 def session_windows(df: DataFrame, key: str, ts: str, gap: str) -> DataFrame:

@@ -322,6 +322,26 @@ def test_thresholds_and_reports():
     assert "| recall | 0.5000 |" in files.report_markdown("R", {"recall": 0.5})
 
 
+def test_cache_hits_across_spans(spark):
+    from collections import OrderedDict
+
+    rng = random.Random(8)
+    rows = [(2**60 + i, rng.choice(["hot"] * 4 + ["a", "b"]), rng.choice("abcdefghij"), rng.randint(0, 4000)) for i in range(600)] + [(1, None, "a", 5), (2, "a", None, 5)]
+    want, caches = {}, {}
+    for i, who, k, at in sorted((r for r in rows if r[1] and r[2]), key=lambda r: (r[3], r[0])):
+        cache = caches.setdefault(who, OrderedDict())
+        want[i] = k in cache
+        cache[k] = None
+        cache.move_to_end(k)
+        if len(cache) > 4:
+            cache.popitem(last=False)
+    df = spark.createDataFrame(rows, "id bigint, who string, k string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    for seconds in (10, 300, 10_000):
+        got = {r.id: r.hit for r in W.lru_hits(df, "who", "k", "ts", "id", 4, seconds).collect()}
+        assert got == want
+    assert W.lru_hits(df.limit(0), "who", "k", "ts", "id", 4).count() == 0
+
+
 def test_buckets_by_priority_class(spark):
     rows = [(1, "u", 0, 50.0, None), (2, "u", 1, 50.0, "query"), (3, "u", 2, 50.0, "noncritical"), (4, "u", 3, 11.0, "default"), (5, "u", 4, 1e9, "vip"), (6, "u", 5, 0.0, "default")]
     df = spark.createDataFrame(rows, "id int, k string, s int, need double, p string").withColumn("ts", F.timestamp_seconds("s"))
