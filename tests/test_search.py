@@ -39,7 +39,10 @@ def folder(spark, tmp_path_factory):
 
 
 #: Queries that search by words, and the rows they may move here; each question meets 1,500 chunks, so that the pairs are 60,000.
-MOVED = {"ret13_multi_query": 40_000, "ret3_bm25_top": 40_000, "ret14_parent_rescoring": 40_000, "ret16_chunk_read": 40_000, "ret3_keyword_tool": 40_000, "flow_hybrid": 80_000, "ret21_expanded_chunks": 80_000}
+MOVED = {
+    "ret13_multi_query": 40_000, "ret3_bm25_top": 40_000, "ret14_parent_rescoring": 40_000, "ret16_chunk_read": 40_000, "ret3_keyword_tool": 40_000,
+    "flow_hybrid": 80_000, "ret21_expanded_chunks": 80_000, "ret21_expanded_round": 80_000,
+}
 
 
 @pytest.mark.parametrize("name", MOVED)
