@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from corvane import session
 from corvane.operators import retrieval as R
 from corvane.plans import catalog
 
@@ -76,3 +77,50 @@ def test_search_over_blocks_and_passes_equals_the_formula(spark, monkeypatch, re
         expected |= {(qid, key, -score, rank) for rank, (score, key) in enumerate(sorted(scores)[:6], 1)}
     found = R.sparse_search(spark.createDataFrame(docs, "k string, t string").repartition(3), "k", "t", spark.createDataFrame(asked, "id int, q string"), "id", "q", 6, repeat)
     assert {(r.qid, r.key, r.score, r.rank) for r in found.collect()} == expected
+
+
+def moved_bytes(spark) -> int:
+    """Bytes written to shuffles so far."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty()
+    none = gateway.jvm.java.util.ArrayList()
+    return sum(s.shuffleWriteBytes() for s in gateway.jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc.statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)))
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """Chunks and parents of 6 MB of text out of 1,500 words, some of the rows repeated."""
+    at, rng, now = tmp_path_factory.mktemp("long"), random.Random(11), datetime.datetime(2025, 1, 1)
+    words = [*WORDS, *("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(1500))]
+    text = lambda n: " ".join(rng.choices(words, k=n)) + ". "
+    chunks = [(f"c{i:05d}", i % 10, f"s{i % 90}.md", f"p{i // 10:04d}", f"part {i % 7}", text(250), now) for i in range(1500)]
+    parents = [(f"p{i:04d}", f"s{i % 90}.md", "md", f"part {i % 7}", "".join(text(40) for _ in range(60)), now) for i in range(150)]
+    asked = [(f"q{50 * i:08d}", f"How do {' and '.join(rng.sample(words, 4))} compare?", now) for i in range(10)]
+    for name, rows, kind in (
+        ("chunks", chunks + chunks[:50], "chunk_id string, chunk_index int, source string, parent_id string, section_path string, page_content string, indexed_at timestamp"),
+        ("parents", parents + parents[:5], "parent_id string, source string, file_type string, section_path string, page_content string, indexed_at timestamp"),
+        ("questions", asked, "id string, question string, updated_at timestamp"),
+    ):
+        spark.createDataFrame(rows, kind).repartition(8).write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+#: Queries that search by words, and the bytes they may move here.
+MOVED_BYTES = {"ret3_bm25_top": 600_000}
+
+
+@pytest.mark.parametrize("name", MOVED_BYTES)
+def test_texts_are_not_moved(spark, long_texts, name):
+    before = moved_bytes(spark)
+    assert catalog.queries()[name](spark, long_texts).count() > 0
+    assert moved_bytes(spark) - before < MOVED_BYTES[name]
+
+
+@pytest.mark.parametrize("held", [1_000_000, 0])
+def test_index_takes_each_key_once(spark, monkeypatch, held):
+    monkeypatch.setattr(session, "SURPLUS_HELD", held)
+    docs = [("a", "risk limit"), ("a", "risk limit"), ("b", "risk"), ("b", "risk"), ("b", "risk"), ("c", "margin desk"), ("d", "curve"), (None, "hedge"), (None, "hedge")]
+    index = R.lexicon(spark.createDataFrame(docs, "k string, t string").repartition(4), "k", "t")
+    assert (index.documents, index.mean_length) == (5, 1.4)
+    assert sorted((r.key or "", r.dl, r.tokens) for r in index.tokens.collect()) == [("", 1, "hedge"), ("a", 2, "risk limit"), ("b", 1, "risk"), ("c", 2, "margin desk"), ("d", 1, "curve")]
+    assert {r.token: (r.documents, r.occurrences) for r in index.weights.collect()}["risk"] == (2, 2)
