@@ -124,3 +124,47 @@ def test_index_takes_each_key_once(spark, monkeypatch, held):
     assert (index.documents, index.mean_length) == (5, 1.4)
     assert sorted((r.key or "", r.dl, r.tokens) for r in index.tokens.collect()) == [("", 1, "hedge"), ("a", 2, "risk limit"), ("b", 1, "risk"), ("c", 2, "margin desk"), ("d", 1, "curve")]
     assert {r.token: (r.documents, r.occurrences) for r in index.weights.collect()}["risk"] == (2, 2)
+
+
+@pytest.fixture(scope="module")
+def many_chunks(spark, tmp_path_factory):
+    """20,000 short chunks, whose vectors of 64 values are larger than all else."""
+    at, rng, now = tmp_path_factory.mktemp("many"), random.Random(13), datetime.datetime(2025, 1, 1)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(1500)]
+    text = lambda n: " ".join(rng.choices(words, k=n)) + ". "
+    chunks = [(f"c{i:05d}", i % 10, f"s{i % 90}.md", f"p{i // 100:04d}", f"part {i % 7}", text(12), now) for i in range(20_000)]
+    parents = [(f"p{i:04d}", f"s{i % 90}.md", "md", f"part {i % 7}", text(60), now) for i in range(200)]
+    asked = [(f"q{50 * i:08d}", f"How do {' and '.join(rng.sample(words, 4))} compare?", now) for i in range(4)]
+    for name, rows, kind in (
+        ("chunks", chunks, "chunk_id string, chunk_index int, source string, parent_id string, section_path string, page_content string, indexed_at timestamp"),
+        ("parents", parents, "parent_id string, source string, file_type string, section_path string, page_content string, indexed_at timestamp"),
+        ("questions", asked, "id string, question string, updated_at timestamp"),
+    ):
+        spark.createDataFrame(rows, kind).repartition(8).write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+def test_vectors_are_not_moved_and_stored_as_they_are_multiplied(spark, many_chunks, monkeypatch):
+    before, stored, kept = moved_bytes(spark), {}, session.materialize
+
+    def noted(df, label, **options):
+        stored[label] = kept(df, label, **options)
+        return stored[label]
+
+    monkeypatch.setattr(session, "materialize", noted)  # what once() stores
+    assert catalog.queries()["ret21_expanded_round"](spark, many_chunks).count() == 4
+    assert dict(stored["chunk-vectors"].dtypes)["vector"] == "array<float>"
+    assert moved_bytes(spark) - before < 3_500_000
+
+
+def test_streamed_vectors_over_blocks_and_passes_equal_the_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(f"r{i:03d}", [rng.gauss(0, 1) + (i % 7) for _ in range(8)]) for i in range(500)] + [(f"t{i}", [1.0] * 8) for i in range(9)] + [("n", None), (None, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "id string, v array<double>").repartition(5)
+    asked = df.where("id like 'r%0' or id = 't3' or id is null or v is null")
+    of = lambda found: {(r.qid, r.key, r.score, r.rank) for r in found.collect()}
+    exact = of(R.nearest(df, "id", "v", asked, "id", "v", 6))
+    monkeypatch.setattr(R, "VECTOR_BLOCK", 7)
+    monkeypatch.setattr(R, "VALUES_AT_ONCE", 100)
+    assert len(exact) == 6 * 51 and of(R.nearest_streamed(df, "id", "v", asked, "id", "v", 6)) == exact
+    assert R.nearest_streamed(df, "id", "v", df.where("id = 'none'"), "id", "v", 6).count() == 0
