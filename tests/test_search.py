@@ -168,3 +168,32 @@ def test_streamed_vectors_over_blocks_and_passes_equal_the_blocks(spark, monkeyp
     monkeypatch.setattr(R, "VALUES_AT_ONCE", 100)
     assert len(exact) == 6 * 51 and of(R.nearest_streamed(df, "id", "v", asked, "id", "v", 6)) == exact
     assert R.nearest_streamed(df, "id", "v", df.where("id = 'none'"), "id", "v", 6).count() == 0
+
+
+@pytest.fixture(scope="module")
+def any_numbers(spark, tmp_path_factory):
+    """Questions of any number, four of them with one wording, one empty and one repeated, over 60 chunks."""
+    at, rng, now = tmp_path_factory.mktemp("numbers"), random.Random(17), datetime.datetime(2025, 1, 1)
+    text = lambda n: " ".join(rng.choices([*WORDS, "of", "the", "book", "trade"], k=n)) + ". "
+    chunks = [(f"c{i:05d}", i % 10, f"s{i % 9}.md", f"p{i // 10:04d}", f"part {i % 7}", text(40), now) for i in range(60)]
+    parents = [(f"p{i:04d}", f"s{i % 9}.md", "md", f"part {i % 7}", text(60), now) for i in range(6)]
+    wordings = ["How do market and margin compare?", "How do market and margin compare?", "What is the hedge of a desk?", "what is the hedge of a desk?", None, "Which limit has the curve and why does risk matter?"]
+    asked = [(f"q{i:08d}", wordings[i % 6], now) for i in (0, 1, 2, 3, 4, 5, 6, 49, 50)]
+    for name, rows, kind in (
+        ("chunks", chunks, "chunk_id string, chunk_index int, source string, parent_id string, section_path string, page_content string, indexed_at timestamp"),
+        ("parents", parents, "parent_id string, source string, file_type string, section_path string, page_content string, indexed_at timestamp"),
+        ("questions", asked + asked[:1], "id string, question string, updated_at timestamp"),
+    ):
+        spark.createDataFrame(rows, kind).write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+def test_rounds_give_every_question_its_chunks(spark, any_numbers):
+    from corvane.operators import hybrid as H
+    from corvane.plans import retrieval_queries as Q
+
+    found = catalog.queries()["ret21_expanded_chunks"](spark, any_numbers).collect()
+    asked = [r.id for r in spark.read.parquet(f"{any_numbers}/questions.parquet").select("id").distinct().collect()]
+    assert {r.id for r in found} == set(asked)
+    each = H.rounds(Q.corpus(spark, any_numbers), Q._items(spark, any_numbers).select("id", "question"))[0]  # each question on its own
+    assert sorted(map(tuple, found)) == sorted(map(tuple, each.select("id", "round", "key", "place", "adv").collect()))
