@@ -197,3 +197,13 @@ def test_rounds_give_every_question_its_chunks(spark, any_numbers):
     assert {r.id for r in found} == set(asked)
     each = H.rounds(Q.corpus(spark, any_numbers), Q._items(spark, any_numbers).select("id", "question"))[0]  # each question on its own
     assert sorted(map(tuple, found)) == sorted(map(tuple, each.select("id", "round", "key", "place", "adv").collect()))
+
+
+def test_rounds_give_every_question_its_state(spark, any_numbers):
+    from corvane.operators import hybrid as H
+    from corvane.plans import retrieval_queries as Q
+
+    found = catalog.queries()["ret21_expanded_round"](spark, any_numbers).collect()
+    each = H.rounds(Q.corpus(spark, any_numbers), Q._items(spark, any_numbers).select("id", "question"))[1]  # each question on its own
+    assert len(found) == spark.read.parquet(f"{any_numbers}/questions.parquet").select("id").distinct().count()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, each.select("id", "round", "tier", "sufficient", "reason").collect()))
